@@ -94,3 +94,24 @@ def any_null(cols: list[ColumnOrName]) -> Column:
     for c in cols:
         out = out | _col(c).isNull()
     return out
+
+
+def int_div(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """Integral division (SQL ``div``) of non-negative BIGINT by positive BIGINT.
+
+    ``a - pmod(a, b)`` is an exact multiple of ``b``, so the double division
+    is exact (operands below 2**53) and the cast loses nothing.
+    """
+    a, b = _col(a).cast("bigint"), _col(b).cast("bigint")
+    return ((a - F.pmod(a, b)) / b).cast("bigint")
+
+
+def hundredths_half_up(num: ColumnOrName, den: ColumnOrName) -> Column:
+    """``num/den`` rounded half-up to 2 places, as integer hundredths (BIGINT).
+
+    For non-negative integer ``num`` and positive integer ``den`` this is
+    exact integer arithmetic: ``(200*num + den) div (2*den)``.  Two-place
+    rounding of a double mean depends on summation order; this does not.
+    """
+    n, d = _col(num).cast("bigint"), _col(den).cast("bigint")
+    return int_div(n * 200 + d, d * 2)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekcast.functions.calendar import week_of
-from weekcast.functions.scalar import clamp, clip_band, round_half_up, safe_div
+from weekcast.functions.scalar import clamp, clip_band, int_div, round_half_up, safe_div
 from weekcast.operators.clean import drop_week, valid_week
 from weekcast.operators.windows import centred
 
@@ -96,7 +96,8 @@ def simple_profile(ratios: DataFrame, keys=("regionid", "product"),
     g = ratios.groupBy(*keys, F.substring(week_col, 5, 2).alias("week")).agg(
         F.sum("ratio_h").alias("_s"), F.count(F.lit(1)).alias("_n"))
     return g.select(*keys, "week",
-                    (F.expr("(2 * _s + _n) div (2 * _n)") / 100.0).alias("ratio"))
+                    (int_div(F.col("_s") * 2 + F.col("_n"), F.col("_n") * 2) / 100.0)
+                    .alias("ratio"))
 
 
 def week_index(df: DataFrame, keys=("regionid", "product"), week_col: str = "yearweek",

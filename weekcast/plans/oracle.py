@@ -244,3 +244,192 @@ for _how, _kw in (("inner", "INNER JOIN"), ("left", "LEFT JOIN"), ("right", "RIG
     ORACLE[f"region_join_{_how}"] = sql(["weekly_sales", "region_master"], f"""
 SELECT b.regionname, a.regionid, a.product, a.yearweek, a.qty
 FROM weekly_sales a {_kw} region_master b ON a.regionid = b.regionid""")
+
+# --------------------------------------------------------------------------- joins
+
+for _how, _kw in (("inner", "INNER JOIN"), ("left", "LEFT JOIN")):
+    ORACLE[f"promo_join_using_{_how}"] = sql(["weekly_sales", "promo_data"], f"""
+SELECT a.regionid, a.product AS productgroup, a.yearweek, a.qty AS volume, b.price, b.discount,
+       CASE WHEN b.discount > b.price THEN 0.0 ELSE b.discount END AS new_discount
+FROM weekly_sales a {_kw} promo_data b
+  ON a.regionid = b.regionid AND a.product = b.productgroup AND a.yearweek = b.yearweek""")
+
+ORACLE["discounted_price"] = sql(["promo_data"], f"""
+SELECT regionid || productgroup AS key, regionid, productgroup, yearweek, price, nd AS new_discount,
+       {r6('price - price * (nd / price)', 'sale_price')}
+FROM (SELECT *, CASE WHEN discount > price THEN 0.0 ELSE discount END AS nd FROM promo_data) t""")
+
+_C1 = """
+c1_p AS (
+  SELECT * FROM promotion
+  WHERE CAST(targetweek AS INTEGER) >= (SELECT min(CAST(planweek AS INTEGER)) FROM promotion)),
+c1_g AS (
+  SELECT productgroup, item,
+         max(CASE WHEN map_price = 0 THEN 1 ELSE 0 END) AS has_zero,
+         sum(map_price) AS s, count(CASE WHEN map_price > 0 THEN 1 END) AS nz,
+         first(map_price ORDER BY targetweek, regionseg, salesid) AS fp
+  FROM c1_p GROUP BY productgroup, item),
+c1_x AS (
+  SELECT c1_p.*, CASE WHEN has_zero = 1 THEN (CASE WHEN nz <> 0 THEN s / nz ELSE 0.0 END)
+                      ELSE fp END AS price
+  FROM c1_p JOIN c1_g USING (productgroup, item)),
+c1_y AS (SELECT *, CASE WHEN price = 0 THEN 0.0 ELSE price - ir END AS pmap_u FROM c1_x),
+c1_z AS (SELECT *, CASE WHEN pmap_u = 0 THEN 0.0 ELSE pmap_u * 0.9 END AS pmap10_u FROM c1_y),
+c1 AS (
+  SELECT regionseg, salesid, productgroup, item, targetweek, planweek, price AS map_price,
+         CASE WHEN price = 0 THEN 0.0 ELSE ir END AS ir, pmap_u AS pmap,
+         CAST(floor(pmap10_u + 0.5) AS BIGINT) AS pmap10,
+         CASE WHEN pmap10_u = 0 THEN 0.0 ELSE 1 - pmap10_u / price END AS pro_percent
+  FROM c1_z)"""
+
+ORACLE["promo_price_impute"] = sql(["promotion"], f"""
+SELECT regionseg, salesid, productgroup, item, targetweek, planweek, {r6('map_price', 'map_price')},
+       {r6('ir', 'ir')}, {r6('pmap', 'pmap')}, pmap10, {r6('pro_percent', 'pro_percent')}
+FROM c1""", _C1)
+
+_C2 = _C1 + """,
+c2 AS (
+  SELECT s.regionseg1, s.productseg2, s.regionseg2, s.regionseg3, s.productseg3, s.yearweek,
+         s.year, s.week, s.qty, coalesce(p.map_price, 0.0) AS map_price,
+         coalesce(p.ir, 0.0) AS ir, coalesce(p.pmap, 0.0) AS pmap,
+         coalesce(p.pmap10, 0) AS pmap10, coalesce(p.pro_percent, 0.0) AS pro_percent,
+         CASE WHEN coalesce(p.map_price, 0.0) = 0 THEN 'N' ELSE 'Y' END AS promotion_check
+  FROM sales_detail s LEFT JOIN c1 p
+    ON s.regionseg1 = p.regionseg AND s.productseg2 = p.productgroup
+   AND s.regionseg2 = p.salesid AND s.productseg3 = p.item AND s.yearweek = p.targetweek)"""
+
+ORACLE["promo_flag"] = sql(["promotion", "sales_detail"], f"""
+SELECT regionseg1, productseg2, regionseg2, regionseg3, productseg3, yearweek, year, week, qty,
+       {r6('map_price', 'map_price')}, {r6('ir', 'ir')}, {r6('pmap', 'pmap')}, pmap10,
+       {r6('pro_percent', 'pro_percent')}, promotion_check
+FROM c2""", _C2)
+
+ORACLE["promo_lookup"] = sql(["sellout", "account_promo"], """
+SELECT s.regionid, s.accountid, s.yearweek, s.qty, coalesce(a.pro_percent, 0.0) AS pro_percent
+FROM sellout s LEFT JOIN (
+  SELECT accountid, yearweek, pro_percent,
+         row_number() OVER (PARTITION BY accountid, yearweek ORDER BY o_orderkey) AS rn
+  FROM account_promo) a
+  ON s.accountid = a.accountid AND s.yearweek = a.yearweek AND a.rn = 1""")
+
+ORACLE["promo_fanout"] = sql(["sellout", "account_promo"], """
+SELECT s.*, b.pro_percent
+FROM sellout s LEFT JOIN account_promo b ON s.accountid = b.accountid AND s.yearweek = b.yearweek
+ORDER BY s.regionid, s.accountid, s.yearweek""")
+
+for _pick, _dir in (("first", "ASC"), ("last", "DESC")):
+    ORACLE[f"key_overlay_{_pick}"] = sql(["tax_accounts", "key_fix"], f"""
+SELECT a.suta_tin, a.c_name, a.c_mktsegment,
+       coalesce(b.mata_tin, trim(a.suta_tin)) AS updated_suta_tin
+FROM tax_accounts a LEFT JOIN (
+  SELECT trim(suta_tin) AS k, mata_tin,
+         row_number() OVER (PARTITION BY trim(suta_tin)
+                            ORDER BY o_orderdate {_dir}, o_orderkey {_dir}) AS rn
+  FROM key_fix) b
+  ON trim(a.suta_tin) = b.k AND b.rn = 1""")
+
+ORACLE["key_overlay_fanout"] = sql(["tax_accounts", "key_fix"], """
+SELECT CASE WHEN b.k IS NULL THEN trim(a.suta_tin) ELSE b.mata_tin END AS updated_suta_tin,
+       CASE WHEN b.k IS NOT NULL THEN b.mata_tin ELSE trim(a.suta_tin) END
+         AS updated_suta_tin_nvl2,
+       a.suta_tin, a.c_name, a.c_mktsegment
+FROM tax_accounts a
+LEFT JOIN (SELECT trim(suta_tin) AS k, mata_tin FROM key_fix) b ON trim(a.suta_tin) = b.k""")
+
+ORACLE["param_filter"] = sql(["weekly_sales"], """
+SELECT * FROM weekly_sales WHERE regionid IN ('ASIA', 'EUROPE') OR product IN ('Brand#7')""")
+
+# --------------------------------------------------------------------------- aggregates
+
+ORACLE["avg_by_key"] = sql(["weekly_sales"], f"""
+SELECT regionid, product, {r6('avg(qty)', 'avg_qty')} FROM weekly_sales GROUP BY 1, 2""")
+
+ORACLE["sum_by_key"] = sql(["sales_detail"], """
+SELECT regionseg1, productseg2, productseg3, sum(qty) AS sum_qty FROM sales_detail
+GROUP BY 1, 2, 3""")
+
+ORACLE["count_avg"] = sql(["weekly_sales"], f"""
+SELECT regionid, product, count(*) AS cnt, {r6('avg(qty)', 'mean')} FROM weekly_sales
+GROUP BY 1, 2""")
+
+ORACLE["global_minmax"] = sql(["weekly_sales"], """
+SELECT min(yearweek) AS min_yearweek, max(yearweek) AS max_yearweek, min(qty) AS min_qty,
+       max(qty) AS max_qty FROM weekly_sales""")
+
+ORACLE["group_minmax"] = sql(["weekly_sales"], """
+SELECT regionid, product, min(yearweek) AS min_yearweek, max(yearweek) AS max_yearweek
+FROM weekly_sales GROUP BY 1, 2""")
+
+ORACLE["group_stats"] = sql(["weekly_sales"], f"""
+SELECT regionid, product, yearweek, qty,
+       count(*) OVER (PARTITION BY regionid, product) AS cnt,
+       sum(qty) OVER (PARTITION BY regionid, product) AS sum,
+       {r6('avg(qty) OVER (PARTITION BY regionid, product)', 'mean')},
+       {r6('stddev_pop(qty) OVER (PARTITION BY regionid, product)', 'stddev')}
+FROM weekly_sales""")
+
+ORACLE["nonzero_mean"] = sql(["promotion"], f"""
+SELECT productgroup, item,
+       {r6('CASE WHEN count(CASE WHEN map_price > 0 THEN 1 END) = 0 THEN 0.0 '
+           'ELSE sum(map_price) / count(CASE WHEN map_price > 0 THEN 1 END) END', 'nz_mean')}
+FROM promotion GROUP BY 1, 2""")
+
+ORACLE["distinct_totals"] = sql(["sales_detail"], """
+SELECT DISTINCT regionseg1, productseg2 FROM sales_detail""")
+
+ORACLE["mean_of_sums"] = sql(["sales_detail"], f"""
+SELECT regionseg1, productseg2, {r6('avg(s)', 'mean_of_sums')}, count(*) AS n_yearweek
+FROM (SELECT regionseg1, productseg2, yearweek, sum(qty) AS s FROM sales_detail GROUP BY 1, 2, 3) t
+GROUP BY 1, 2""")
+
+ORACLE["week_index"] = sql(["sales_detail"], f"""
+SELECT yearweek, regionseg1, productseg2, week_qty, {r6('m', 'mean_week_qty')},
+       {r6('CASE WHEN m = 0 THEN 0.0 ELSE week_qty / m END', 'ratio')}
+FROM (SELECT *, avg(week_qty) OVER (PARTITION BY regionseg1, productseg2) AS m
+      FROM (SELECT regionseg1, productseg2, yearweek, sum(qty) AS week_qty FROM sales_detail
+            GROUP BY 1, 2, 3) a) b""")
+
+ORACLE["pivot_weeks"] = sql(["weekly_sales"], """
+SELECT regionid, product, sum(CASE WHEN yearweek = '199801' THEN qty END) AS "199801",
+       sum(CASE WHEN yearweek = '199802' THEN qty END) AS "199802"
+FROM weekly_sales GROUP BY 1, 2""")
+
+# --------------------------------------------------------------------------- windows
+
+ORACLE["partition_ratio"] = sql(["weekly_sales"], """
+SELECT regionid, product, yearweek, qty, CAST(avg_h AS DOUBLE) / 100 AS avg_qty,
+       CAST(CASE WHEN avg_h = 0 THEN 100
+                 ELSE (20000 * CAST(qty AS BIGINT) + avg_h) // (2 * avg_h) END AS DOUBLE) / 100
+         AS ratio
+FROM (SELECT *, (200 * CAST(sum(qty) OVER w AS BIGINT) + count(*) OVER w)
+                  // (2 * count(*) OVER w) AS avg_h
+      FROM weekly_sales
+      WHERE CAST(substr(yearweek, 1, 4) AS INTEGER) >= 1996
+        AND CAST(substr(yearweek, 5, 2) AS INTEGER) <> 53
+        AND product IN ('Brand#1', 'Brand#2')
+      WINDOW w AS (PARTITION BY regionid, product)) t""")
+
+for _n, _wing in (("moving_avg_3", 1), ("moving_avg_5", 2)):
+    ORACLE[_n] = sql(["weekly_sales"], f"""
+SELECT regionid, product, yearweek, qty,
+       {r6(f'avg(qty) OVER (PARTITION BY regionid, product ORDER BY yearweek '
+           f'ROWS BETWEEN {_wing} PRECEDING AND {_wing} FOLLOWING)', 'mv_avg')}
+FROM weekly_sales""")
+
+ORACLE["group_position"] = sql(["weekly_sales"], """
+SELECT *, row_number() OVER (PARTITION BY regionid, product ORDER BY yearweek) - 1 AS pos
+FROM weekly_sales""")
+
+ORACLE["sort_mixed"] = sql(["weekly_sales"], """
+SELECT regionid || product AS key, regionid, product, yearweek, qty FROM weekly_sales
+WHERE 1 = 1 AND qty > 30 ORDER BY regionid, product DESC, yearweek""")
+
+ORACLE["first_match"] = sql(["weekly_sales"], """
+SELECT * FROM weekly_sales WHERE product = 'Brand#7' AND qty > 40
+ORDER BY yearweek, regionid LIMIT 1""")
+
+ORACLE["top_n"] = sql(["weekly_sales"], """
+SELECT regionid, product, sum_qty FROM (
+  SELECT *, row_number() OVER (PARTITION BY regionid ORDER BY sum_qty DESC, product) AS rn
+  FROM (SELECT regionid, product, sum(qty) AS sum_qty FROM weekly_sales GROUP BY 1, 2) a) b
+WHERE rn <= 3""")

@@ -157,3 +157,234 @@ def region_join_left(spark, sf_dir):
 @register
 def region_join_right(spark, sf_dir):
     return _master_join(spark, sf_dir, "right")
+
+
+# --------------------------------------------------------------------------- joins
+
+def _volume(spark, sf_dir):
+    return ds.weekly_sales(spark, sf_dir).select(
+        "regionid", F.col("product").alias("productgroup"), "yearweek",
+        F.col("qty").alias("volume"))
+
+
+def _promo_join(spark, sf_dir, how):
+    j = joins.join_using(_volume(spark, sf_dir), ds.promo_data(spark, sf_dir),
+                         ["regionid", "productgroup", "yearweek"], how)
+    return j.select("regionid", "productgroup", "yearweek", "volume", "price", "discount",
+                    sc.discount_guard("discount", "price").alias("new_discount"))
+
+
+@register
+def promo_join_using_inner(spark, sf_dir):
+    return _promo_join(spark, sf_dir, "inner")
+
+
+@register
+def promo_join_using_left(spark, sf_dir):
+    return _promo_join(spark, sf_dir, "left")
+
+
+@register
+def discounted_price(spark, sf_dir):
+    p = ds.promo_data(spark, sf_dir)
+    nd = sc.discount_guard("discount", "price")
+    return p.select(F.concat("regionid", "productgroup").alias("key"), "regionid",
+                    "productgroup", "yearweek", "price", nd.alias("new_discount"),
+                    r6(sc.discounted("price", nd / F.col("price")), "sale_price"))
+
+
+@register
+def promo_price_impute(spark, sf_dir):
+    p = promo.impute_promo_prices(ds.promotion(spark, sf_dir))
+    return p.select("regionseg", "salesid", "productgroup", "item", "targetweek", "planweek",
+                    r6("map_price"), r6("ir"), r6("pmap"), "pmap10", r6("pro_percent"))
+
+
+def _sales_promo(spark, sf_dir):
+    return promo.attach_promotion(ds.sales_detail(spark, sf_dir),
+                                  promo.impute_promo_prices(ds.promotion(spark, sf_dir)))
+
+
+@register
+def promo_flag(spark, sf_dir):
+    s = _sales_promo(spark, sf_dir)
+    return s.select(*[r6(c) if c in ("map_price", "ir", "pmap", "pro_percent") else F.col(c)
+                      for c in s.columns])
+
+
+@register
+def promo_lookup(spark, sf_dir):
+    r = promo.promo_percent_lookup(ds.sellout(spark, sf_dir), ds.account_promo(spark, sf_dir))
+    return r.select("regionid", "accountid", "yearweek", "qty", "pro_percent")
+
+
+@register
+def promo_fanout(spark, sf_dir):
+    r = promo.promo_percent_fanout(ds.sellout(spark, sf_dir), ds.account_promo(spark, sf_dir))
+    return r.orderBy("regionid", "accountid", "yearweek")
+
+
+def _overlay(spark, sf_dir, pick):
+    acc = ds.tax_accounts(spark, sf_dir)
+    r = joins.lookup(acc, ds.key_fix(spark, sf_dir), ["suta_tin"], ["suta_tin"], "mata_tin",
+                     order=["o_orderdate", "o_orderkey"], default=F.trim(acc.suta_tin),
+                     pick=pick, out="updated_suta_tin", trim=True)
+    return r.select("suta_tin", "c_name", "c_mktsegment", "updated_suta_tin")
+
+
+@register
+def key_overlay_first(spark, sf_dir):
+    return _overlay(spark, sf_dir, "first")
+
+
+@register
+def key_overlay_last(spark, sf_dir):
+    return _overlay(spark, sf_dir, "last")
+
+
+@register
+def key_overlay_fanout(spark, sf_dir):
+    r = joins.overlay_fanout(ds.tax_accounts(spark, sf_dir), ds.key_fix(spark, sf_dir),
+                             "suta_tin", "suta_tin", "mata_tin", out="updated_suta_tin")
+    return r.select("updated_suta_tin", "updated_suta_tin_nvl2", "suta_tin", "c_name",
+                    "c_mktsegment")
+
+
+@register
+def param_filter(spark, sf_dir):
+    # Batch parameters (category, name, value): which regions / products to keep.
+    params = spark.createDataFrame(
+        [("COMMON", "VALID_REGION", "ASIA"), ("COMMON", "VALID_REGION", "EUROPE"),
+         ("COMMON", "VALID_PRODUCT", "Brand#7")], "CATEGORY string, NAME string, VALUE string")
+    return clean.params_filter(ds.weekly_sales(spark, sf_dir), params, "regionid", "product")
+
+
+# --------------------------------------------------------------------------- aggregates (A*)
+
+@register
+def avg_by_key(spark, sf_dir):
+    return aggs.mean_by_key(ds.weekly_sales(spark, sf_dir), ["regionid", "product"], "qty") \
+        .select("regionid", "product", r6("avg_qty"))
+
+
+@register
+def sum_by_key(spark, sf_dir):
+    return aggs.sum_by_key(ds.sales_detail(spark, sf_dir),
+                           ["regionseg1", "productseg2", "productseg3"], "qty")
+
+
+@register
+def count_avg(spark, sf_dir):
+    r = aggs.count_mean_by_key(ds.weekly_sales(spark, sf_dir), ["regionid", "product"], "qty")
+    return r.select("regionid", "product", "cnt", r6("mean"))
+
+
+@register
+def global_minmax(spark, sf_dir):
+    ws = ds.weekly_sales(spark, sf_dir)
+    return ws.agg(F.min("yearweek").alias("min_yearweek"), F.max("yearweek").alias("max_yearweek"),
+                  F.min("qty").alias("min_qty"), F.max("qty").alias("max_qty"))
+
+
+@register
+def group_minmax(spark, sf_dir):
+    return aggs.min_max(ds.weekly_sales(spark, sf_dir), "yearweek", ["regionid", "product"])
+
+
+@register
+def group_stats(spark, sf_dir):
+    r = aggs.stats_on_rows(ds.weekly_sales(spark, sf_dir), ["regionid", "product"], "qty")
+    return r.select("regionid", "product", "yearweek", "qty", "cnt", "sum", r6("mean"),
+                    r6("stddev"))
+
+
+@register
+def nonzero_mean(spark, sf_dir):
+    r = aggs.nonzero_mean(ds.promotion(spark, sf_dir), ["productgroup", "item"], "map_price")
+    return r.select("productgroup", "item", r6("nz_mean"))
+
+
+@register
+def distinct_totals(spark, sf_dir):
+    return ds.sales_detail(spark, sf_dir).select("regionseg1", "productseg2").distinct()
+
+
+@register
+def mean_of_sums(spark, sf_dir):
+    r = aggs.mean_of_sums(ds.sales_detail(spark, sf_dir), ["regionseg1", "productseg2"],
+                          "yearweek", "qty")
+    return r.select("regionseg1", "productseg2", r6("mean_of_sums"), "n_yearweek")
+
+
+@register
+def week_index(spark, sf_dir):
+    r = seasonality.week_index(ds.sales_detail(spark, sf_dir), ["regionseg1", "productseg2"])
+    return r.select("yearweek", "regionseg1", "productseg2", "week_qty", r6("mean_week_qty"),
+                    r6("ratio"))
+
+
+@register
+def pivot_weeks(spark, sf_dir):
+    return aggs.pivot_sum(ds.weekly_sales(spark, sf_dir), ["regionid", "product"], "yearweek",
+                          ["199801", "199802"], "qty")
+
+
+# --------------------------------------------------------------------------- windows (W*, O*)
+
+@register
+def partition_ratio(spark, sf_dir):
+    ws = ds.weekly_sales(spark, sf_dir)
+    f = clean.drop_week(clean.from_year(ws, "yearweek", 1996), "yearweek", 53) \
+        .filter(F.col("product").isin("Brand#1", "Brand#2"))
+    m = f.groupBy("regionid", "product").agg(F.sum("qty").alias("_s"),
+                                              F.count(F.lit(1)).alias("_n"))
+    j = f.join(m, on=["regionid", "product"], how="inner")
+    avg_h = sc.hundredths_half_up("_s", "_n")
+    j = j.withColumn("_avg_h", avg_h)
+    ratio_h = F.when(F.col("_avg_h") == 0, F.lit(100).cast("bigint")) \
+               .otherwise(sc.int_div(F.col("qty").cast("bigint") * 20000 + F.col("_avg_h"),
+                                     F.col("_avg_h") * 2))
+    return j.select("regionid", "product", "yearweek", "qty",
+                    (F.col("_avg_h") / 100.0).alias("avg_qty"), (ratio_h / 100.0).alias("ratio"))
+
+
+@register
+def moving_avg_3(spark, sf_dir):
+    r = win.moving_avg(ds.weekly_sales(spark, sf_dir), ["regionid", "product"], ["yearweek"],
+                       "qty", 3, "mv_avg")
+    return r.select("regionid", "product", "yearweek", "qty", r6("mv_avg"))
+
+
+@register
+def moving_avg_5(spark, sf_dir):
+    r = win.moving_avg(ds.weekly_sales(spark, sf_dir), ["regionid", "product"], ["yearweek"],
+                       "qty", 5, "mv_avg")
+    return r.select("regionid", "product", "yearweek", "qty", r6("mv_avg"))
+
+
+@register
+def group_position(spark, sf_dir):
+    return win.position_in_group(ds.weekly_sales(spark, sf_dir), ["regionid", "product"],
+                                 ["yearweek"], "pos")
+
+
+@register
+def sort_mixed(spark, sf_dir):
+    ws = ds.weekly_sales(spark, sf_dir).filter(clean.conjunction(F.col("qty") > 30))
+    return ws.select(F.concat("regionid", "product").alias("key"), "regionid", "product",
+                     "yearweek", "qty") \
+             .orderBy(F.col("regionid").asc(), F.col("product").desc(), F.col("yearweek").asc())
+
+
+@register
+def first_match(spark, sf_dir):
+    ws = ds.weekly_sales(spark, sf_dir)
+    return ws.filter((F.col("product") == "Brand#7") & (F.col("qty") > 40)) \
+             .orderBy("yearweek", "regionid").limit(1)
+
+
+@register
+def top_n(spark, sf_dir):
+    s = aggs.sum_by_key(ds.weekly_sales(spark, sf_dir), ["regionid", "product"], "qty")
+    t = win.top_n(s, ["regionid"], "sum_qty", ["product"], 3)
+    return t.select("regionid", "product", "sum_qty")
