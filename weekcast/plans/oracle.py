@@ -433,3 +433,174 @@ SELECT regionid, product, sum_qty FROM (
   SELECT *, row_number() OVER (PARTITION BY regionid ORDER BY sum_qty DESC, product) AS rn
   FROM (SELECT regionid, product, sum(qty) AS sum_qty FROM weekly_sales GROUP BY 1, 2) a) b
 WHERE rn <= 3""")
+
+# --------------------------------------------------------------------------- series
+
+_SEG6 = "regionseg1, productseg1, productseg2, regionseg2, regionseg3, productseg3"
+_SEG5 = "regionseg1, productseg2, regionseg2, regionseg3, productseg3"
+
+
+def _missing_weeks(src: str, keys: str, name: str) -> str:
+    """CTE ``name``: (keys, m) for Mondays absent between each key's first and last week."""
+    return f"""
+{name}_b AS (SELECT {keys}, min({monday('yearweek')}) AS mn, max({monday('yearweek')}) AS mx
+             FROM {src} GROUP BY {keys}),
+{name}_cal AS (SELECT {keys}, CAST(unnest(generate_series(mn, mx, INTERVAL 7 DAY)) AS DATE) AS m
+               FROM {name}_b),
+{name} AS (SELECT * FROM {name}_cal c WHERE NOT EXISTS (
+             SELECT 1 FROM {src} s WHERE {' AND '.join(f's.{k} = c.{k}' for k in
+                                                         keys.split(', '))}
+               AND {monday('s.yearweek')} = c.m))"""
+
+
+def _summary(src: str, keys: str, flag: bool = False) -> str:
+    extra = ", count(CASE WHEN promotion_check = 'N' THEN 1 END) AS n_flag_n" if flag else ""
+    return f"""
+SELECT {keys}, count(*) AS n_rows, sum(qty) AS sum_qty,
+       count(CASE WHEN qty = 0 THEN 1 END) AS n_zero, min(yearweek) AS min_week,
+       max(yearweek) AS max_week{extra}
+FROM {src} GROUP BY {keys}"""
+
+
+ORACLE["fill_weeks_6key"] = sql(["sales_detail"], _summary("f6", _SEG6),
+                                _missing_weeks("sales_detail", _SEG6, "miss6") + f""",
+f6 AS (SELECT {_SEG6}, yearweek, qty FROM sales_detail
+       UNION ALL SELECT {_SEG6}, {yw('m')} AS yearweek, 0.0 AS qty FROM miss6)""")
+
+_C3 = _C2 + "," + _missing_weeks("c2", _SEG5, "miss5") + f""",
+c3 AS (SELECT * FROM c2
+       UNION ALL
+       SELECT {_SEG5}, {yw('m')} AS yearweek, CAST(year(m + 3) AS INTEGER) AS year,
+              CAST(week(m) AS INTEGER) AS week, 0.0 AS qty, 0.0 AS map_price, 0.0 AS ir,
+              0.0 AS pmap, 0 AS pmap10, 0.0 AS pro_percent, 'N' AS promotion_check
+       FROM miss5)"""
+
+ORACLE["fill_weeks_5key"] = sql(["promotion", "sales_detail"], _summary("c3", _SEG5, True), _C3)
+
+ORACLE["future_weeks"] = sql(["weekly_sales"], f"""
+SELECT regionid, product, {yw('wk')} AS yearweek, 0.0 AS qty
+FROM (SELECT regionid, product,
+             CAST(unnest(generate_series(kmax + 7, gmax + 28, INTERVAL 7 DAY)) AS DATE) AS wk
+      FROM (SELECT regionid, product, max({monday('yearweek')}) AS kmax FROM weekly_sales
+            GROUP BY 1, 2) k,
+           (SELECT max({monday('yearweek')}) AS gmax FROM weekly_sales) g) t""")
+
+_C5 = _missing_weeks("weekly_sales", "regionid, product", "missw") + f""",
+c5_f AS (SELECT regionid, product, yearweek, qty FROM weekly_sales
+         UNION ALL SELECT regionid, product, {yw('m')}, 0.0 FROM missw),
+c5 AS (SELECT *, CASE WHEN moving_avg = 0 THEN 1.0 ELSE qty / moving_avg END AS seasonality
+       FROM (SELECT *, avg(qty) OVER (PARTITION BY regionid, product ORDER BY yearweek
+                                      ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS moving_avg
+             FROM c5_f) t)"""
+
+ORACLE["seasonality_ratio"] = sql(["weekly_sales"], f"""
+SELECT regionid, product, yearweek, qty, {r6('moving_avg', 'moving_avg')},
+       {r6('seasonality', 'seasonality')} FROM c5""", _C5)
+
+ORACLE["active_items"] = sql(["sales_detail"], f"""
+SELECT s.* FROM sales_detail s JOIN (
+  SELECT {_SEG5} FROM (SELECT {_SEG5}, max(yearweek) AS kmax FROM sales_detail
+                       GROUP BY {_SEG5}) k
+  WHERE kmax >= (SELECT {week_add('max(yearweek)', -7)} FROM sales_detail)) a
+USING ({_SEG5})""")
+
+# --------------------------------------------------------------------------- clusters
+
+ORACLE["item_clusters"] = sql(["sales_detail"], f"""
+SELECT regionseg1, productseg2, productseg3, sum_qty, rank, {r6('rank / cnt', 'ratio')},
+       CASE WHEN rank / cnt <= 0.3 THEN 0 WHEN rank / cnt <= 0.6 THEN 1 ELSE 2 END AS cluster
+FROM (SELECT *, row_number() OVER (PARTITION BY regionseg1, productseg2
+                                   ORDER BY regionseg1, productseg2, sum_qty DESC, productseg3)
+                  AS rank,
+                count(*) OVER (PARTITION BY regionseg1, productseg2) AS cnt
+      FROM (SELECT regionseg1, productseg2, productseg3, sum(qty) AS sum_qty
+            FROM sales_detail
+            WHERE 1 = 1
+              AND yearweek >= (SELECT {week_add('max(yearweek)', -20)} FROM sales_detail)
+            GROUP BY regionseg1, productseg2, productseg3) a) b""")
+
+# --------------------------------------------------------------------------- forecasts
+
+ORACLE["forecast_mean4"] = sql(["sales_detail"], f"""
+SELECT regionseg1, regionseg2, productseg2, productseg3, {week_add('gmax', 1)} AS fcst_week,
+       {r6('avg(qty)', 'fcst')}
+FROM sales_detail, (SELECT max(yearweek) AS gmax FROM sales_detail) g
+WHERE yearweek > {week_add('gmax', -4)}
+GROUP BY regionseg1, regionseg2, productseg2, productseg3, gmax""")
+
+
+def _c7(src: str, keys: str, name: str) -> str:
+    """CTE ``name``: level x seasonality forecast rows for weeks after each key's last week."""
+    on = " AND ".join(f"f.{k} = p.{k}" for k in keys.split(", "))
+    return f"""
+{name}_g AS (SELECT max({monday('yearweek')}) AS gmax FROM {src}),
+{name}_k AS (
+  SELECT {keys},
+         coalesce(sum(CASE WHEN gmax - {monday('yearweek')} <= 21 THEN qty END), 0.0) / 4
+           AS fcst,
+         coalesce(sum(CASE WHEN gmax - {monday('yearweek')} <= 21 THEN seasonality END), 0.0) / 4
+           AS avg_season,
+         max({monday('yearweek')}) AS kmax, gmax
+  FROM {src}, {name}_g GROUP BY {keys}, gmax),
+{name}_p AS (SELECT {keys}, CAST(substr(yearweek, 5, 2) AS INTEGER) AS wn,
+                    avg(seasonality) AS target
+             FROM {src} GROUP BY {keys}, CAST(substr(yearweek, 5, 2) AS INTEGER)),
+{name}_f AS (SELECT {keys}, fcst, avg_season,
+                    CAST(unnest(generate_series(kmax + 7, gmax + 28, INTERVAL 7 DAY)) AS DATE)
+                      AS wk
+             FROM {name}_k),
+{name} AS (
+  SELECT f.*, {yw('f.wk')} AS yearweek, coalesce(p.target, 0.0) AS seasonality,
+         CASE WHEN avg_season <> 0 THEN fcst * coalesce(p.target, 0.0) / avg_season
+              ELSE 0.0 END AS fcst_timeseries
+  FROM {name}_f f LEFT JOIN {name}_p p ON {on} AND CAST(week(f.wk) AS INTEGER) = p.wn)"""
+
+
+ORACLE["forecast_level_seasonal"] = sql(["weekly_sales"], f"""
+SELECT regionid, product, yearweek, 0.0 AS qty, 0.0 AS moving_avg,
+       {r6('seasonality', 'seasonality')}, {r6('fcst', 'fcst')},
+       {r6('fcst_timeseries', 'fcst_timeseries')}
+FROM c7""", _C5 + "," + _c7("c5", "regionid, product", "c7"))
+
+_E1 = _C3 + f""",
+e1_r AS (
+  SELECT *, CASE WHEN moving_avg = 0 THEN 1.0 ELSE qty / moving_avg END AS seasonality
+  FROM (SELECT *, avg(qty) OVER (PARTITION BY {_SEG5}
+                                 ORDER BY yearweek, qty, map_price, ir, pmap, pmap10,
+                                          pro_percent, promotion_check
+                                 ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS moving_avg
+        FROM c3) t),
+e1_a AS (
+  SELECT r.* FROM e1_r r JOIN (
+    SELECT {_SEG5} FROM (SELECT {_SEG5}, max(yearweek) AS kmax FROM e1_r GROUP BY {_SEG5}) k
+    WHERE kmax >= (SELECT {week_add('max(yearweek)', -7)} FROM e1_r)) a USING ({_SEG5})),""" + \
+    _c7("e1_a", _SEG5, "e1")
+
+ORACLE["demand_pipeline"] = sql(["promotion", "sales_detail"], f"""
+SELECT {_SEG5}, yearweek, CAST(substr(yearweek, 1, 4) AS INTEGER) AS year,
+       CAST(substr(yearweek, 5, 2) AS INTEGER) AS week, 'N' AS promotion_check,
+       {r6('seasonality', 'seasonality')}, {r6('fcst', 'fcst')},
+       {r6('fcst_timeseries', 'fcst_timeseries')}
+FROM e1""", _E1)
+
+# --------------------------------------------------------------------------- simple seasonality
+
+_C9 = """
+c9_c AS (SELECT regionid, product, yearweek,
+                CASE WHEN qty < 0 THEN 0.0 WHEN qty > 700000 THEN 700000.0 ELSE qty END AS qty
+         FROM weekly_sales WHERE 1 = 1 AND CAST(substr(yearweek, 5, 2) AS INTEGER) <> 53),
+c9_m AS (SELECT regionid, product, CAST(floor(avg(qty) + 0.5) AS BIGINT) AS avg_qty
+         FROM c9_c GROUP BY regionid, product),
+c9 AS (SELECT c.*, m.avg_qty,
+              CASE WHEN m.avg_qty = 0 THEN 100
+                   ELSE CAST(floor(c.qty / m.avg_qty * 100 + 0.5) AS BIGINT) END AS ratio_h
+       FROM c9_c c JOIN c9_m m USING (regionid, product))"""
+
+ORACLE["seasonality_simple"] = sql(["weekly_sales"], """
+SELECT regionid, product, yearweek, qty, avg_qty, CAST(ratio_h AS DOUBLE) / 100 AS ratio
+FROM c9""", _C9)
+
+ORACLE["seasonality_simple_profile"] = sql(["weekly_sales"], """
+SELECT regionid, product, substr(yearweek, 5, 2) AS week,
+       CAST((2 * sum(ratio_h) + count(*)) // (2 * count(*)) AS DOUBLE) / 100 AS ratio
+FROM c9 GROUP BY regionid, product, substr(yearweek, 5, 2)""", _C9)

@@ -388,3 +388,119 @@ def top_n(spark, sf_dir):
     s = aggs.sum_by_key(ds.weekly_sales(spark, sf_dir), ["regionid", "product"], "qty")
     t = win.top_n(s, ["regionid"], "sum_qty", ["product"], 3)
     return t.select("regionid", "product", "sum_qty")
+
+
+# --------------------------------------------------------------------------- series
+
+SEG6 = ["regionseg1", "productseg1", "productseg2", "regionseg2", "regionseg3", "productseg3"]
+SEG5 = ["regionseg1", "productseg2", "regionseg2", "regionseg3", "productseg3"]
+
+
+def _key_summary(df, keys, flag_col=None):
+    aggs_ = [F.count(F.lit(1)).alias("n_rows"), F.sum("qty").alias("sum_qty"),
+             F.count(F.when(F.col("qty") == 0, 1)).alias("n_zero"),
+             F.min("yearweek").alias("min_week"), F.max("yearweek").alias("max_week")]
+    if flag_col:
+        aggs_.append(F.count(F.when(F.col(flag_col) == "N", 1)).alias("n_flag_n"))
+    return df.groupBy(*keys).agg(*aggs_)
+
+
+@register
+def fill_weeks_6key(spark, sf_dir):
+    f = series.fill_weeks(ds.sales_detail(spark, sf_dir), SEG6, fill={"qty": 0.0},
+                          derived=series.week_parts())
+    return _key_summary(f, SEG6)
+
+
+def _filled5(spark, sf_dir):
+    fill = {"qty": 0.0, "map_price": 0.0, "ir": 0.0, "pmap": 0.0, "pmap10": 0,
+            "pro_percent": 0.0, "promotion_check": "N"}
+    return series.fill_weeks(_sales_promo(spark, sf_dir), SEG5, fill=fill,
+                             derived=series.week_parts())
+
+
+@register
+def fill_weeks_5key(spark, sf_dir):
+    return _key_summary(_filled5(spark, sf_dir), SEG5, "promotion_check")
+
+
+@register
+def future_weeks(spark, sf_dir):
+    return series.extend_weeks(ds.weekly_sales(spark, sf_dir), ["regionid", "product"], 4,
+                               fill={"qty": 0.0}, only_new=True)
+
+
+def _ratio_series(spark, sf_dir):
+    f = series.fill_weeks(ds.weekly_sales(spark, sf_dir), ["regionid", "product"],
+                          fill={"qty": 0.0})
+    return series.moving_ratio(f, ["regionid", "product"], ["yearweek"], "qty", 5)
+
+
+@register
+def seasonality_ratio(spark, sf_dir):
+    r = _ratio_series(spark, sf_dir)
+    return r.select("regionid", "product", "yearweek", "qty", r6("moving_avg"),
+                    r6("seasonality"))
+
+
+@register
+def active_items(spark, sf_dir):
+    return series.active_keys(ds.sales_detail(spark, sf_dir), SEG5)
+
+
+# --------------------------------------------------------------------------- clusters
+
+@register
+def item_clusters(spark, sf_dir):
+    c = cluster.item_clusters(ds.sales_detail(spark, sf_dir))
+    return c.select("regionseg1", "productseg2", "productseg3", "sum_qty", "rank", r6("ratio"),
+                    "cluster")
+
+
+# --------------------------------------------------------------------------- forecasts
+
+@register
+def forecast_mean4(spark, sf_dir):
+    f = forecast.mean_recent_forecast(ds.sales_detail(spark, sf_dir),
+                                      ["regionseg1", "regionseg2", "productseg2", "productseg3"],
+                                      recent=4, horizon=1)
+    return f.select("regionseg1", "regionseg2", "productseg2", "productseg3", "fcst_week",
+                    r6("fcst"))
+
+
+@register
+def forecast_level_seasonal(spark, sf_dir):
+    f = forecast.level_seasonal_forecast(_ratio_series(spark, sf_dir), ["regionid", "product"],
+                                         fill={"qty": 0.0, "moving_avg": 0.0}, only_new=True)
+    return f.select("regionid", "product", "yearweek", "qty", "moving_avg", r6("seasonality"),
+                    r6("fcst"), r6("fcst_timeseries"))
+
+
+@register
+def demand_pipeline(spark, sf_dir):
+    """Flagship: promotions -> price imputation -> sales x promotion -> week gap fill ->
+    5-week moving ratio -> discontinued-item filter -> level x seasonality forecast."""
+    filled = _filled5(spark, sf_dir)
+    tiebreak = ["qty", "map_price", "ir", "pmap", "pmap10", "pro_percent", "promotion_check"]
+    ratio = series.moving_ratio(filled, SEG5, ["yearweek", *tiebreak], "qty", 5,
+                                "moving_avg", "seasonality")
+    alive = series.active_keys(ratio, SEG5)
+    fill = {"qty": 0.0, "map_price": 0.0, "ir": 0.0, "pmap": 0.0, "pmap10": 0,
+            "pro_percent": 0.0, "promotion_check": "N", "moving_avg": 0.0}
+    f = forecast.level_seasonal_forecast(alive, SEG5, fill=fill, only_new=True)
+    return f.select(*SEG5, "yearweek", "year", "week", "promotion_check", r6("seasonality"),
+                    r6("fcst"), r6("fcst_timeseries"))
+
+
+# --------------------------------------------------------------------------- simple seasonality
+
+@register
+def seasonality_simple(spark, sf_dir):
+    r = seasonality.simple_seasonality(ds.weekly_sales(spark, sf_dir))
+    return r.select("regionid", "product", "yearweek", "qty", "avg_qty", "ratio")
+
+
+@register
+def seasonality_simple_profile(spark, sf_dir):
+    r = seasonality.simple_seasonality(ds.weekly_sales(spark, sf_dir))
+    return seasonality.simple_profile(r)
