@@ -604,3 +604,10 @@ ORACLE["seasonality_simple_profile"] = sql(["weekly_sales"], """
 SELECT regionid, product, substr(yearweek, 5, 2) AS week,
        CAST((2 * sum(ratio_h) + count(*)) // (2 * count(*)) AS DOUBLE) / 100 AS ratio
 FROM c9 GROUP BY regionid, product, substr(yearweek, 5, 2)""", _C9)
+
+# --------------------------------------------------------------------------- page lines
+
+ORACLE["page_lines"] = r"""
+SELECT page_id, url, len(string_split_regex(html, '\r?\n')) AS n_lines,
+       length(array_to_string(string_split_regex(html, '\r?\n'), chr(10))) AS n_chars
+FROM pages"""

@@ -504,3 +504,42 @@ def seasonality_simple(spark, sf_dir):
 def seasonality_simple_profile(spark, sf_dir):
     r = seasonality.simple_seasonality(ds.weekly_sales(spark, sf_dir))
     return seasonality.simple_profile(r)
+
+
+# --------------------------------------------------------------------------- ML (M1-M7)
+
+from weekcast.operators import ml, text  # noqa: E402
+
+LAST_TRAIN_WEEK = 199952
+
+
+def _dt_predictions(spark, sf_dir):
+    train, test = ml.split_by_week(ds.dt_input(spark, sf_dir), "yearweek", LAST_TRAIN_WEEK)
+    return ml.fit_predict(ml.decision_tree_pipeline(), train, test)
+
+
+@register
+def dt_regression(spark, sf_dir):
+    p = _dt_predictions(spark, sf_dir)
+    return p.select("regionid", "product", "yearweek", "holiday", "promotion", "pro_percent",
+                    "qty", "prediction").orderBy("yearweek")
+
+
+@register
+def dt_metrics(spark, sf_dir):
+    return ml.regression_metrics(_dt_predictions(spark, sf_dir))
+
+
+@register
+def kmeans_segments(spark, sf_dir):
+    return ml.kmeans_segments(ds.student_like(spark, sf_dir), ["sw", "db", "and"], k=2)
+
+
+# --------------------------------------------------------------------------- page lines
+
+@register
+def page_lines(spark, sf_dir):
+    from weekcast.sources.tables import load
+    pages = load(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    t = text.normalise_lines(pages, "html", "text")
+    return t.select("page_id", "url", "n_lines", F.length("text").alias("n_chars"))
