@@ -94,13 +94,15 @@ def params_filter(df: DataFrame, params: DataFrame, region_col: str, product_col
         return p.filter(F.col("NAME") == name).select(F.col("VALUE").alias(alias)).distinct()
 
     rs, ps = member_set(region_param, "_rv"), member_set(product_param, "_pv")
-    flags = p.agg(
-        (F.max(F.when(F.col("NAME") == region_param, 1).otherwise(0)) == 0).alias("_r_missing"),
-        (F.max(F.when((F.col("NAME") == region_param) & (F.col("VALUE") == "ALL"), 1)
-               .otherwise(0)) == 1).alias("_r_all"),
-        (F.max(F.when(F.col("NAME") == product_param, 1).otherwise(0)) == 0).alias("_p_missing"),
-        (F.max(F.when((F.col("NAME") == product_param) & (F.col("VALUE") == "ALL"), 1)
-               .otherwise(0)) == 1).alias("_p_all"))
+
+    def has(cond):
+        return F.coalesce(F.max(F.when(cond, 1)), F.lit(0)) == 1
+
+    region, product = F.col("NAME") == region_param, F.col("NAME") == product_param
+    flags = p.agg((~has(region)).alias("_r_missing"),
+                  has(region & (F.col("VALUE") == "ALL")).alias("_r_all"),
+                  (~has(product)).alias("_p_missing"),
+                  has(product & (F.col("VALUE") == "ALL")).alias("_p_all"))
     j = (df.join(rs, df[region_col] == rs._rv, "left")
            .join(ps, df[product_col] == ps._pv, "left")
            .crossJoin(F.broadcast(flags)))

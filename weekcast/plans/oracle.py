@@ -611,3 +611,16 @@ ORACLE["page_lines"] = r"""
 SELECT page_id, url, len(string_split_regex(html, '\r?\n')) AS n_lines,
        length(array_to_string(string_split_regex(html, '\r?\n'), chr(10))) AS n_chars
 FROM pages"""
+
+# --------------------------------------------------------------------------- set ops, renames, sorts
+
+ORACLE["missing_weeks"] = sql(["weekly_sales"], f"""
+SELECT regionid, product, {yw('m')} AS yearweek FROM missw""",
+                              _missing_weeks("weekly_sales", "regionid, product", "missw"))
+
+ORACLE["sales_sorted"] = sql(["sales_detail"], """
+SELECT regionseg1 AS REGIONSEG1, productseg1 AS PRODUCTSEG1, productseg2 AS PRODUCTSEG2,
+       regionseg2 AS REGIONSEG2, regionseg3 AS REGIONSEG3, productseg3 AS PRODUCTSEG3,
+       yearweek AS YEARWEEK, year AS YEAR, week AS WEEK, qty AS QTY
+FROM sales_detail
+ORDER BY productseg2, regionseg3, productseg3, yearweek, regionseg1, productseg1, regionseg2""")

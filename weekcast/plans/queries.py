@@ -543,3 +543,28 @@ def page_lines(spark, sf_dir):
     pages = load(spark, sf_dir, "pages", ["page_id", "url", "html"])
     t = text.normalise_lines(pages, "html", "text")
     return t.select("page_id", "url", "n_lines", F.length("text").alias("n_chars"))
+
+
+# --------------------------------------------------------------------------- set ops, renames, sorts
+
+@register
+def missing_weeks(spark, sf_dir):
+    """Expected weeks (each key's calendar from first to last week) minus present weeks
+    (J13, U2): the rows a gap fill adds, found by an anti join."""
+    ws = ds.weekly_sales(spark, sf_dir)
+    keys = ["regionid", "product"]
+    b = ws.groupBy(*keys).agg(F.min(cal.monday("yearweek")).alias("mn"),
+                              F.max(cal.monday("yearweek")).alias("mx"))
+    calendar = b.select(*keys, F.explode(cal.week_sequence("mn", "mx")).alias("_wk")) \
+                .select(*keys, cal.yearweek("_wk").alias("yearweek"))
+    return joins.missing_from(calendar, ws, [*keys, "yearweek"])
+
+
+@register
+def sales_sorted(spark, sf_dir):
+    """Rename every column (P4) and sort by a multi-column key (O1, O3)."""
+    s = ds.sales_detail(spark, sf_dir).toDF(
+        "REGIONSEG1", "PRODUCTSEG1", "PRODUCTSEG2", "REGIONSEG2", "REGIONSEG3", "PRODUCTSEG3",
+        "YEARWEEK", "YEAR", "WEEK", "QTY")
+    return s.orderBy("PRODUCTSEG2", "REGIONSEG3", "PRODUCTSEG3", "YEARWEEK", "REGIONSEG1",
+                     "PRODUCTSEG1", "REGIONSEG2")
