@@ -53,6 +53,18 @@ def yearweek(d: ColumnOrName) -> Column:
                     F.lpad(iso_week(d).cast("string"), 2, "0"))
 
 
+def yearweek_int(d: ColumnOrName) -> Column:
+    """``YYYYWW`` of a date as INT.  Same order as the string key; min / max over it
+    run in a hash aggregate (string min / max force a sort-based aggregate)."""
+    d = _col(d).cast("date")
+    return iso_year(d) * 100 + iso_week(d)
+
+
+def yearweek_str(k: ColumnOrName) -> Column:
+    """INT ``YYYYWW`` back to the 6-character key."""
+    return F.lpad(_col(k).cast("string"), 6, "0")
+
+
 def monday(yw: ColumnOrName) -> Column:
     """Monday (DATE) of week key ``yw``.
 

@@ -8,15 +8,10 @@ Mondays (``datediff / 7``), never ``YYYYWW`` integer subtraction, so the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekcast.functions.calendar import monday, week_add, week_of, yearweek
-from weekcast.operators.joins import with_global
-
-
-def _one_week():
-    return F.expr("INTERVAL 7 DAYS")
+from weekcast.functions.calendar import monday, week_of, week_sequence, yearweek
 
 
 def mean_recent_forecast(df: DataFrame, keys, week_col: str = "yearweek", value: str = "qty",
@@ -24,18 +19,20 @@ def mean_recent_forecast(df: DataFrame, keys, week_col: str = "yearweek", value:
     """Mean of the rows present in the last ``recent`` weeks, as the forecast for each of the
     next ``horizon`` weeks (C12, F16, A16).  One row per key per horizon week."""
     keys = list(keys)
-    g = with_global(df, _gmax=F.max(week_col))
-    rec = g.filter(F.col(week_col) > week_add(F.col("_gmax"), -recent))
-    m = rec.groupBy(*keys).agg(F.avg(value).alias("fcst"), F.max("_gmax").alias("_gmax"))
+    gmax = df.agg(F.max(monday(week_col)).alias("_g")).scalar()  # Monday of the last week
+    rec = df.filter(monday(week_col) > F.date_add(gmax, -7 * recent))
+    m = rec.groupBy(*keys).agg(F.avg(value).alias("fcst")).withColumn("_gmax", gmax)
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_h")
     return (m.select(*keys, "fcst", "_gmax", steps)
-             .select(*keys, week_add(F.col("_gmax"), F.col("_h")).alias("fcst_week"), "fcst"))
+             .select(*keys, yearweek(F.date_add("_gmax", F.col("_h") * 7)).alias("fcst_week"),
+                     "fcst"))
 
 
 def level_seasonal_forecast(df: DataFrame, keys, week_col: str = "yearweek",
                             value: str = "qty", season_col: str = "seasonality",
-                            recent: int = 4, horizon: int = 4,
-                            fill: dict | None = None, only_new: bool = False) -> DataFrame:
+                            recent: int = 4, horizon: int = 4, fill: dict | None = None,
+                            only_new: bool = False,
+                            last_week: Column | None = None) -> DataFrame:
     """Level x seasonality forecast per key.
 
     fcst        = sum(qty of the last ``recent`` weeks) / recent
@@ -45,31 +42,46 @@ def level_seasonal_forecast(df: DataFrame, keys, week_col: str = "yearweek",
     fcst_timeseries = fcst * target / avg_season  (0 when avg_season is 0)
 
     New rows cover the weeks after each key's last week through ``horizon``
-    weeks past the global last week, with ``fill`` constants for the other
-    measures; history rows get fcst = fcst_timeseries = 0.  ``only_new``
-    returns just the new rows.
+    weeks past the global last week (``last_week``, computed from ``df`` when
+    not given), with ``fill`` constants for the other measures; history rows
+    get fcst = fcst_timeseries = 0.  ``only_new`` returns just the new rows.
+
+    Plan: one partial aggregate of ``df`` at (key, week number) grain (at most
+    53 rows per key), then per-key totals as windows over that small result;
+    each (key, week number) row emits the future weeks carrying its week
+    number, and the key's first row also emits the future weeks whose number
+    never occurred.  ``df`` is read once when ``only_new``.
     """
     keys = list(keys)
     fill = dict(fill or {})
     wk = monday(week_col)
-    g = with_global(df.withColumn("_wk", wk), _gmax=F.max(wk))
-    is_recent = F.datediff(F.col("_gmax"), F.col("_wk")) <= 7 * (recent - 1)
-    per_key = g.groupBy(*keys).agg(
-        (F.coalesce(F.sum(F.when(is_recent, F.col(value))), F.lit(0.0)) / recent).alias("fcst"),
-        (F.coalesce(F.sum(F.when(is_recent, F.col(season_col))), F.lit(0.0)) / recent)
-        .alias("avg_season"),
-        F.max("_wk").alias("_kmax"), F.max("_gmax").alias("_gmax"))
-    profile = df.groupBy(*keys, week_of(week_col).alias("_wn")).agg(
-        F.avg(season_col).alias("_target"))
-    future = per_key.select(*keys, "fcst", "avg_season", F.explode(F.sequence(
-        F.date_add("_kmax", 7), F.date_add("_gmax", 7 * horizon), _one_week())).alias("_wk"))
-    future = future.withColumn(week_col, yearweek("_wk")) \
-                   .withColumn("_wn", week_of(week_col))
-    f = future.join(profile, on=[*keys, "_wn"], how="left")
-    target = F.coalesce(F.col("_target"), F.lit(0.0))
+    gmax = monday(last_week) if last_week is not None else \
+        df.agg(F.max(wk).alias("_g")).scalar()
+    rec = df.withColumn("_wk", wk).withColumn(
+        "_recent", F.datediff(gmax, F.col("_wk")) <= 7 * (recent - 1))
+    g1 = rec.groupBy(*keys, week_of(week_col).alias("_wn")).agg(
+        F.avg(season_col).alias("_target"),
+        F.sum(F.when(F.col("_recent"), F.col(value))).alias("_rq"),
+        F.sum(F.when(F.col("_recent"), F.col(season_col))).alias("_rs"),
+        F.max("_wk").alias("_kmax_wn"))
+    kw = Window.partitionBy(*keys)
+    g2 = (g1.withColumn("fcst", F.coalesce(F.sum("_rq").over(kw), F.lit(0.0)) / recent)
+            .withColumn("avg_season", F.coalesce(F.sum("_rs").over(kw), F.lit(0.0)) / recent)
+            .withColumn("_kmax", F.max("_kmax_wn").over(kw))
+            .withColumn("_wns", F.collect_set("_wn").over(kw))  # <= 53 week numbers
+            .withColumn("_first", F.row_number().over(kw.orderBy("_wn")) == 1)
+            .withColumn("_gmax", gmax))
+    weeks = week_sequence(F.date_add("_kmax", 7), F.date_add("_gmax", 7 * horizon))
+    mine = F.filter(weeks, lambda d: (F.weekofyear(d) == F.col("_wn")) |
+                    (F.col("_first") & ~F.array_contains(F.col("_wns"), F.weekofyear(d))))
+    f = g2.select(*keys, "fcst", "avg_season", "_wn", "_target",
+                  F.explode(mine).alias("_wk"))
+    target = F.when(F.weekofyear("_wk") == F.col("_wn"), F.coalesce("_target", F.lit(0.0))) \
+              .otherwise(F.lit(0.0))
     ts = F.when(F.col("avg_season") != 0, F.col("fcst") * target / F.col("avg_season")) \
           .otherwise(F.lit(0.0))
-    f = f.withColumn(season_col, target).withColumn("fcst_timeseries", ts)
+    f = f.withColumn(week_col, yearweek("_wk")).withColumn(season_col, target) \
+         .withColumn("fcst_timeseries", ts)
     cols = []
     for fld in df.schema.fields:
         c = fld.name

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.scalar import promo_prices, round_half_up
-from weekcast.operators.joins import lookup, with_global
+from weekcast.operators.joins import lookup
 
 PRICE_COLS = ("map_price", "ir", "pmap", "pmap10", "pro_percent")
 
@@ -16,25 +16,28 @@ def impute_promo_prices(promo: DataFrame, group_keys=("productgroup", "item"),
     """Clean promotion plans and impute one list price per (productgroup, item).
 
     1. Keep rows whose target week is >= the smallest plan week of the table
-       (a one-row aggregate, broadcast).
+       (a scalar subquery: one aggregate, no join).
     2. Per group: if some ``map_price`` is 0, the price is sum / count of the
        positive prices (0 when none is positive); otherwise the price of the
        group's first row by ``order``.  The price applies to every row.
     3. pmap / pmap10 / pro_percent / ir from ``promo_prices``; ``pmap10`` is
        output rounded half-up to an integer, ``pro_percent`` uses it unrounded.
+
+    The group statistics are window aggregates over the group, so the plan
+    rows are read once.  A group holds at most one row per (region, nation,
+    week), so its size is bounded by those dimensions, not by the data volume.
     """
     group_keys = list(group_keys)
-    p = with_global(promo, _minplan=F.min(F.col("planweek").try_cast("int")))
-    p = p.filter(F.col("targetweek").try_cast("int") >= F.col("_minplan")).drop("_minplan")
-    nz = F.count(F.when(F.col("map_price") > 0, 1))
-    g = p.groupBy(*group_keys).agg(
-        F.max(F.when(F.col("map_price") == 0, 1).otherwise(0)).alias("_has_zero"),
-        F.sum("map_price").alias("_sum"), nz.alias("_nz"),
-        F.min_by(F.col("map_price"), F.struct(*[F.col(c) for c in order])).alias("_first"))
-    price = F.when(F.col("_has_zero") == 1,
-                   F.when(F.col("_nz") != 0, F.col("_sum") / F.col("_nz")).otherwise(F.lit(0.0))) \
-             .otherwise(F.col("_first"))
-    j = p.join(g.select(*group_keys, price.alias("_price")), on=group_keys, how="inner")
+    min_plan = promo.agg(F.min(F.col("planweek").try_cast("int"))).scalar()
+    p = promo.filter(F.col("targetweek").try_cast("int") >= min_plan)
+    g = Window.partitionBy(*group_keys)
+    nz = F.count(F.when(F.col("map_price") > 0, 1)).over(g)
+    has_zero = F.max(F.when(F.col("map_price") == 0, 1).otherwise(0)).over(g)
+    first = F.min_by(F.col("map_price"), F.struct(*[F.col(c) for c in order])).over(g)
+    price = F.when(has_zero == 1,
+                   F.when(nz != 0, F.sum("map_price").over(g) / nz).otherwise(F.lit(0.0))) \
+             .otherwise(first)
+    j = p.withColumn("_price", price)
     pc = promo_prices("_price", "ir")
     return j.select("regionseg", "salesid", "productgroup", "item", "targetweek", "planweek",
                     F.col("_price").alias("map_price"), pc["ir"].alias("ir"),

@@ -1,12 +1,12 @@
 """Weekly time series per key: gap fill, horizon rows, moving ratio, active keys
 (C3-C6, S10, U1, F15-F18).
 
-Gap fill plan: the *distinct* (keys, week) set is computed with a partial
-aggregate (a hot key's duplicate rows collapse map-side), shuffled by the
-keys, and ``lead`` over each key's sorted weeks gives the next present week;
-``sequence`` between the two emits only the missing Mondays.  The original
-rows are unioned back untouched, so they are never shuffled or joined, and
-no group is collected into an array.
+A weekly series has at most one row per week and key (plus the source's
+duplicates), so the work of a per-key window is bounded by the calendar
+span, not by the data size.  The series operators are written so that gap
+fill, moving averages and the active-key test all run on one hash
+partitioning by the key: one shuffle of the input rows, and generated rows
+never cross the network.
 """
 
 from __future__ import annotations
@@ -53,18 +53,38 @@ def fill_weeks(df: DataFrame, keys, week_col: str = "yearweek", fill: dict | Non
     Existing rows (duplicates included) are kept as they are; added rows get
     ``fill`` constants (e.g. ``{"qty": 0.0}``), ``derived`` expressions of the
     week key (e.g. year / week parts), and NULL elsewhere.
+
+    One pass: rows are shuffled once by the keys, ``lead`` gives each row's
+    next week, and ``posexplode`` emits the row itself (position 0) followed
+    by the Mondays of the gap after it.  Generated rows are produced inside
+    the key's partition and never shuffled, and the output stays partitioned
+    by the keys, so a following per-series window adds no exchange.  The
+    work per key is bounded by its calendar span (weeks x duplicates).
     """
-    keys = list(keys)
-    present = (df.select(*keys, monday(week_col).alias("_wk"))
-                 .filter(F.col("_wk").isNotNull())
-                 .distinct())
-    nxt = F.lead("_wk").over(Window.partitionBy(*keys).orderBy("_wk"))
-    gaps = (present.withColumn("_next", nxt)
-                   .filter(F.datediff("_next", "_wk") > 7)
-                   .select(*keys, F.explode(F.sequence(F.date_add("_wk", 7),
-                                                       F.date_sub("_next", 7),
-                                                       _one_week())).alias("_wk")))
-    return df.unionByName(_new_rows(df, gaps, keys, week_col, fill or {}, derived or {}))
+    keys, fill, derived = list(keys), fill or {}, derived or {}
+    wk = monday(week_col)
+    x = df.withColumn("_wk", wk) \
+          .withColumn("_next", F.lead("_wk").over(Window.partitionBy(*keys).orderBy("_wk")))
+    gaps = F.when(F.datediff("_next", "_wk") > 7,
+                  F.sequence(F.date_add("_wk", 7), F.date_sub("_next", 7), _one_week())) \
+            .otherwise(F.array().cast("array<date>"))
+    x = x.select(*df.columns, F.posexplode(F.concat(F.array(F.lit(None).cast("date")), gaps))
+                 .alias("_pos", "_gap"))
+    orig = F.col("_pos") == 0
+    x = x.withColumn(week_col, F.when(orig, F.col(week_col)).otherwise(yearweek("_gap")))
+    cols = []
+    for f in df.schema.fields:
+        c = f.name
+        if c in keys or c == week_col:
+            cols.append(F.col(c))
+        elif c in derived:
+            cols.append(F.when(orig, F.col(c)).otherwise(derived[c].cast(f.dataType)).alias(c))
+        elif c in fill:
+            cols.append(F.when(orig, F.col(c)).otherwise(F.lit(fill[c]).cast(f.dataType))
+                        .alias(c))
+        else:
+            cols.append(F.when(orig, F.col(c)).alias(c))
+    return x.select(*cols)
 
 
 def extend_weeks(df: DataFrame, keys, horizon: int, week_col: str = "yearweek",
@@ -96,23 +116,30 @@ def moving_ratio(df: DataFrame, partition, order, value: str = "qty", width: int
 
 
 def active_keys(df: DataFrame, keys, week_col: str = "yearweek", threshold: str | None = None,
-                lookback: int = 7) -> DataFrame:
+                lookback: int = 7, last_week: Column | None = None) -> DataFrame:
     """Rows of keys whose last week is >= ``threshold``.
 
     Default threshold: ``lookback`` weeks before the global last week (a key
-    with no sales in the last ``lookback + 1`` weeks is discontinued).  The
-    per-key maximum is a partial aggregate; the surviving keys are applied by
-    a left-semi join, so detail rows are not grouped.
+    with no sales in the last ``lookback + 1`` weeks is discontinued); pass
+    ``last_week`` (e.g. a ``global_value`` computed from a cheaper source) to
+    avoid a separate pass over ``df``.  The key's last week is a window
+    maximum over the key, which shares the exchange and sort of any other
+    per-series window on the same keys.
     """
     keys = list(keys)
-    last = df.groupBy(*keys).agg(F.max(week_col).alias("_kmax"))
-    if threshold is None:
-        last = with_global(last, _gmax=F.max("_kmax"))
-        thr = week_add(F.col("_gmax"), -lookback)
-    else:
+    kmax = F.max(week_col).over(Window.partitionBy(*keys))
+    if threshold is not None:
         thr = F.lit(threshold)
-    alive = last.filter(F.col("_kmax") >= thr).select(*keys)
-    return df.join(alive, on=keys, how="left_semi")
+    else:
+        anchor = last_week if last_week is not None else global_value(df, F.max(week_col))
+        thr = week_add(anchor, -lookback)
+    return df.withColumn("_kmax", kmax).filter(F.col("_kmax") >= thr).drop("_kmax")
+
+
+def global_value(df: DataFrame, expr: Column) -> Column:
+    """A whole-table aggregate as a scalar-subquery Column (J14): evaluated once per query
+    by a partial + final aggregate; no join, no driver round trip."""
+    return df.agg(expr.alias("_v")).scalar()
 
 
 def last_weeks(df: DataFrame, n: int, week_col: str = "yearweek",

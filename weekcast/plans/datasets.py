@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.functions.calendar import yearweek
+from weekcast.functions.calendar import yearweek, yearweek_int, yearweek_str
 from weekcast.sources.tables import load
 
 # Fixed values of the derived promotion table: brands whose list price is
@@ -62,37 +62,57 @@ def weekly_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(F.sum("l_quantity").alias("qty")))
 
 
-def sales_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six-segment weekly sales (the ``pro_actual_sales`` layout, lower-case names)."""
+def sales_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The star join aggregated once at the finest grain the sales and promotion
+    tables need: (region, size class, type, nation, segment, brand, ship week).
+
+    ``sales_detail`` and ``promotion`` both roll up from it (sum / max / min
+    compose), so a pipeline that needs both reads the line items once.
+    """
     f = line_facts(spark, sf_dir)
-    g = (f.groupBy(F.col("r_name").alias("regionseg1"),
-                   F.when(F.col("p_size") <= 25, "SMALL").otherwise("LARGE").alias("productseg1"),
-                   F.col("p_type").alias("productseg2"),
-                   F.col("n_name").alias("regionseg2"),
-                   F.col("c_mktsegment").alias("regionseg3"),
-                   F.col("p_brand").alias("productseg3"),
-                   yearweek("l_shipdate").alias("yearweek"))
-          .agg(F.sum("l_quantity").alias("qty")))
-    return g.select("regionseg1", "productseg1", "productseg2", "regionseg2", "regionseg3",
+    zero = (F.col("p_brand") == ZERO_PRICE_BRAND) | (
+        F.col("p_brand").isin(*RETURN_ZERO_PRICE_BRANDS) & (F.col("l_returnflag") == "R"))
+    price = F.when(zero, F.lit(0.0)).otherwise(F.floor("p_retailprice").cast("double"))
+    return (f.groupBy(F.col("r_name").alias("regionseg1"),
+                      F.when(F.col("p_size") <= 25, "SMALL").otherwise("LARGE")
+                      .alias("productseg1"),
+                      F.col("p_type").alias("productseg2"),
+                      F.col("n_name").alias("regionseg2"),
+                      F.col("c_mktsegment").alias("regionseg3"),
+                      F.col("p_brand").alias("productseg3"),
+                      yearweek("l_shipdate").alias("yearweek"))
+             .agg(F.sum("l_quantity").alias("qty"),
+                  F.max(price).alias("_max_price"),
+                  F.max(F.col("p_retailprice") * F.col("l_discount")).alias("_max_ir"),
+                  F.min(yearweek_int("o_orderdate")).alias("_min_order_week")))
+
+
+def sales_detail(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    """Six-segment weekly sales (the ``pro_actual_sales`` layout, lower-case names)."""
+    b = base if base is not None else sales_base(spark, sf_dir)
+    return b.select("regionseg1", "productseg1", "productseg2", "regionseg2", "regionseg3",
                     "productseg3", "yearweek",
                     F.substring("yearweek", 1, 4).cast("int").alias("year"),
                     F.substring("yearweek", 5, 2).cast("int").alias("week"), "qty")
 
 
-def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+def promotion(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Promotion plan rows (regionseg, salesid, productgroup, item, targetweek, planweek,
-    map_price, ir) per region, nation, type, brand and ship week."""
-    f = line_facts(spark, sf_dir)
-    zero = (F.col("p_brand") == ZERO_PRICE_BRAND) | (
-        F.col("p_brand").isin(*RETURN_ZERO_PRICE_BRANDS) & (F.col("l_returnflag") == "R"))
-    price = F.when(zero, F.lit(0.0)).otherwise(F.floor("p_retailprice").cast("double"))
-    return (f.groupBy(F.col("r_name").alias("regionseg"), F.col("n_name").alias("salesid"),
-                      F.col("p_type").alias("productgroup"), F.col("p_brand").alias("item"),
-                      yearweek("l_shipdate").alias("targetweek"))
-             .agg(F.greatest(F.min(yearweek("o_orderdate")), F.lit(FIRST_PLAN_WEEK))
+    map_price, ir) per region, nation, type, brand and ship week.
+
+    map_price: the largest list price of the week's lines (0 for brands without a
+    known price); ir: the largest rebate; planweek: the first order week, not
+    before ``FIRST_PLAN_WEEK``.
+    """
+    b = base if base is not None else sales_base(spark, sf_dir)
+    return (b.groupBy(F.col("regionseg1").alias("regionseg"),
+                      F.col("regionseg2").alias("salesid"),
+                      F.col("productseg2").alias("productgroup"),
+                      F.col("productseg3").alias("item"), F.col("yearweek").alias("targetweek"))
+             .agg(F.greatest(yearweek_str(F.min("_min_order_week")), F.lit(FIRST_PLAN_WEEK))
                   .alias("planweek"),
-                  F.max(price).alias("map_price"),
-                  F.max(F.col("p_retailprice") * F.col("l_discount")).alias("ir")))
+                  F.max("_max_price").alias("map_price"),
+                  F.max("_max_ir").alias("ir")))
 
 
 def account_promo(spark: SparkSession, sf_dir: str) -> DataFrame:

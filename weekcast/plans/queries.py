@@ -19,6 +19,7 @@ from weekcast.functions import scalar as sc
 from weekcast.operators import aggs, clean, cluster, forecast, joins, promo, seasonality, series
 from weekcast.operators import windows as win
 from weekcast.plans import datasets as ds
+from weekcast.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,9 +201,9 @@ def promo_price_impute(spark, sf_dir):
                     r6("map_price"), r6("ir"), r6("pmap"), "pmap10", r6("pro_percent"))
 
 
-def _sales_promo(spark, sf_dir):
-    return promo.attach_promotion(ds.sales_detail(spark, sf_dir),
-                                  promo.impute_promo_prices(ds.promotion(spark, sf_dir)))
+def _sales_promo(spark, sf_dir, base=None):
+    return promo.attach_promotion(ds.sales_detail(spark, sf_dir, base),
+                                  promo.impute_promo_prices(ds.promotion(spark, sf_dir, base)))
 
 
 @register
@@ -399,7 +400,8 @@ SEG5 = ["regionseg1", "productseg2", "regionseg2", "regionseg3", "productseg3"]
 def _key_summary(df, keys, flag_col=None):
     aggs_ = [F.count(F.lit(1)).alias("n_rows"), F.sum("qty").alias("sum_qty"),
              F.count(F.when(F.col("qty") == 0, 1)).alias("n_zero"),
-             F.min("yearweek").alias("min_week"), F.max("yearweek").alias("max_week")]
+             cal.yearweek_str(F.min(F.col("yearweek").cast("int"))).alias("min_week"),
+             cal.yearweek_str(F.max(F.col("yearweek").cast("int"))).alias("max_week")]
     if flag_col:
         aggs_.append(F.count(F.when(F.col(flag_col) == "N", 1)).alias("n_flag_n"))
     return df.groupBy(*keys).agg(*aggs_)
@@ -479,15 +481,24 @@ def forecast_level_seasonal(spark, sf_dir):
 @register
 def demand_pipeline(spark, sf_dir):
     """Flagship: promotions -> price imputation -> sales x promotion -> week gap fill ->
-    5-week moving ratio -> discontinued-item filter -> level x seasonality forecast."""
-    filled = _filled5(spark, sf_dir)
+    5-week moving ratio -> discontinued-item filter -> level x seasonality forecast.
+
+    The star join is aggregated once and written to the shared checkpoint
+    folder (``sales_base`` feeds sales, promotions and the global last week);
+    from there the series steps share one hash partitioning by the 5 keys.
+    """
+    base = sinks.materialize(ds.sales_base(spark, sf_dir), "sales_base")
+    stage = _sales_promo(spark, sf_dir, base)
+    last_week = series.global_value(base, F.max("yearweek"))
+    fill = {"qty": 0.0, "map_price": 0.0, "ir": 0.0, "pmap": 0.0, "pmap10": 0,
+            "pro_percent": 0.0, "promotion_check": "N"}
+    filled = series.fill_weeks(stage, SEG5, fill=fill, derived=series.week_parts())
     tiebreak = ["qty", "map_price", "ir", "pmap", "pmap10", "pro_percent", "promotion_check"]
     ratio = series.moving_ratio(filled, SEG5, ["yearweek", *tiebreak], "qty", 5,
                                 "moving_avg", "seasonality")
-    alive = series.active_keys(ratio, SEG5)
-    fill = {"qty": 0.0, "map_price": 0.0, "ir": 0.0, "pmap": 0.0, "pmap10": 0,
-            "pro_percent": 0.0, "promotion_check": "N", "moving_avg": 0.0}
-    f = forecast.level_seasonal_forecast(alive, SEG5, fill=fill, only_new=True)
+    alive = series.active_keys(ratio, SEG5, last_week=last_week)
+    f = forecast.level_seasonal_forecast(alive, SEG5, fill={**fill, "moving_avg": 0.0},
+                                         only_new=True, last_week=last_week)
     return f.select(*SEG5, "yearweek", "year", "week", "promotion_check", r6("seasonality"),
                     r6("fcst"), r6("fcst_timeseries"))
 
