@@ -34,7 +34,8 @@ def test_clamps_and_week_filters(spark):
 
 
 def test_params_filter_wildcards(spark):
-    df = spark.createDataFrame([("A01", "ST1"), ("A02", "ST2"), ("A03", "ST3")], "r string, p string")
+    df = spark.createDataFrame([("A01", "ST1"), ("A02", "ST2"), ("A03", "ST3")],
+                               "r string, p string")
     schema = "CATEGORY string, NAME string, VALUE string"
     p1 = spark.createDataFrame([("COMMON", "VALID_REGION", "A01"),
                                 ("COMMON", "VALID_PRODUCT", "ST2")], schema)

@@ -12,8 +12,7 @@ from weekcast.sources import files, jdbc, sinks
 def test_csv_round_trip(spark, tmp_path):
     ws = ds.weekly_sales(spark, SF_SMALL)
     out = str(tmp_path / "ws")
-    sinks.write_csv(ws.select(F.col("regionid").alias("REGIONID"), F.col("product").alias("PRODUCT"),
-                              F.col("yearweek").alias("YEARWEEK"), F.col("qty").alias("QTY")), out)
+    sinks.write_csv(ws.toDF("REGIONID", "PRODUCT", "YEARWEEK", "QTY"), out)
     back = files.typed(files.load_csv(spark, out, "sellout"), "sellout")
     assert back.count() == ws.count()
     assert back.agg(F.sum("QTY")).first()[0] == ws.agg(F.sum("qty")).first()[0]

@@ -57,9 +57,10 @@ def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weekly_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(regionid, product, yearweek, qty): weekly shipped quantity per region and brand."""
     f = line_facts(spark, sf_dir)
-    return (f.groupBy(F.col("r_name").alias("regionid"), F.col("p_brand").alias("product"),
-                      yearweek("l_shipdate").alias("yearweek"))
-             .agg(F.sum("l_quantity").alias("qty")))
+    g = (f.groupBy(F.col("r_name").alias("regionid"), F.col("p_brand").alias("product"),
+                   yearweek_int("l_shipdate").alias("_yw"))
+          .agg(F.sum("l_quantity").alias("qty")))
+    return g.select("regionid", "product", yearweek_str("_yw").alias("yearweek"), "qty")
 
 
 def sales_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,18 +74,22 @@ def sales_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = (F.col("p_brand") == ZERO_PRICE_BRAND) | (
         F.col("p_brand").isin(*RETURN_ZERO_PRICE_BRANDS) & (F.col("l_returnflag") == "R"))
     price = F.when(zero, F.lit(0.0)).otherwise(F.floor("p_retailprice").cast("double"))
-    return (f.groupBy(F.col("r_name").alias("regionseg1"),
-                      F.when(F.col("p_size") <= 25, "SMALL").otherwise("LARGE")
-                      .alias("productseg1"),
-                      F.col("p_type").alias("productseg2"),
-                      F.col("n_name").alias("regionseg2"),
-                      F.col("c_mktsegment").alias("regionseg3"),
-                      F.col("p_brand").alias("productseg3"),
-                      yearweek("l_shipdate").alias("yearweek"))
-             .agg(F.sum("l_quantity").alias("qty"),
-                  F.max(price).alias("_max_price"),
-                  F.max(F.col("p_retailprice") * F.col("l_discount")).alias("_max_ir"),
-                  F.min(yearweek_int("o_orderdate")).alias("_min_order_week")))
+    keys = ["regionseg1", "productseg1", "productseg2", "regionseg2", "regionseg3",
+            "productseg3"]
+    g = (f.groupBy(F.col("r_name").alias("regionseg1"),
+                   F.when(F.col("p_size") <= 25, "SMALL").otherwise("LARGE")
+                   .alias("productseg1"),
+                   F.col("p_type").alias("productseg2"),
+                   F.col("n_name").alias("regionseg2"),
+                   F.col("c_mktsegment").alias("regionseg3"),
+                   F.col("p_brand").alias("productseg3"),
+                   yearweek_int("l_shipdate").alias("_yw"))
+          .agg(F.sum("l_quantity").alias("qty"),
+               F.max(price).alias("_max_price"),
+               F.max(F.col("p_retailprice") * F.col("l_discount")).alias("_max_ir"),
+               F.min(yearweek_int("o_orderdate")).alias("_min_order_week")))
+    return g.select(*keys, yearweek_str("_yw").alias("yearweek"), "qty", "_max_price",
+                    "_max_ir", "_min_order_week")
 
 
 def sales_detail(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
@@ -131,10 +136,11 @@ def account_promo(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sellout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(regionid, accountid, yearweek, qty): weekly quantity per region and account."""
     f = line_facts(spark, sf_dir)
-    return (f.groupBy(F.col("r_name").alias("regionid"),
-                      F.col("o_custkey").cast("string").alias("accountid"),
-                      yearweek("l_shipdate").alias("yearweek"))
-             .agg(F.sum("l_quantity").alias("qty")))
+    g = (f.groupBy(F.col("r_name").alias("regionid"), F.col("o_custkey").alias("_acc"),
+                   yearweek_int("l_shipdate").alias("_yw"))
+          .agg(F.sum("l_quantity").alias("qty")))
+    return g.select("regionid", F.col("_acc").cast("string").alias("accountid"),
+                    yearweek_str("_yw").alias("yearweek"), "qty")
 
 
 def key_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,10 +204,12 @@ def sellout_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def promo_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(regionid, productgroup, yearweek, price, discount) for weeks with returned lines."""
     f = line_facts(spark, sf_dir).filter(F.col("l_returnflag") == "R")
-    return (f.groupBy(F.col("r_name").alias("regionid"), F.col("p_brand").alias("productgroup"),
-                      yearweek("l_shipdate").alias("yearweek"))
-             .agg(F.max("p_retailprice").alias("price"),
-                  F.max(F.col("l_extendedprice") * F.col("l_discount")).alias("discount")))
+    g = (f.groupBy(F.col("r_name").alias("regionid"), F.col("p_brand").alias("productgroup"),
+                   yearweek_int("l_shipdate").alias("_yw"))
+          .agg(F.max("p_retailprice").alias("price"),
+               F.max(F.col("l_extendedprice") * F.col("l_discount")).alias("discount")))
+    return g.select("regionid", "productgroup", yearweek_str("_yw").alias("yearweek"), "price",
+                    "discount")
 
 
 def dt_input(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -583,7 +583,7 @@ SELECT {_SEG5}, yearweek, CAST(substr(yearweek, 1, 4) AS INTEGER) AS year,
        {r6('fcst_timeseries', 'fcst_timeseries')}
 FROM e1""", _E1)
 
-# --------------------------------------------------------------------------- simple seasonality
+# ------------------------------------------------------------------- simple seasonality
 
 _C9 = """
 c9_c AS (SELECT regionid, product, yearweek,
@@ -612,7 +612,7 @@ SELECT page_id, url, len(string_split_regex(html, '\r?\n')) AS n_lines,
        length(array_to_string(string_split_regex(html, '\r?\n'), chr(10))) AS n_chars
 FROM pages"""
 
-# --------------------------------------------------------------------------- set ops, renames, sorts
+# ------------------------------------------------------------------- set ops, renames, sorts
 
 ORACLE["missing_weeks"] = sql(["weekly_sales"], f"""
 SELECT regionid, product, {yw('m')} AS yearweek FROM missw""",

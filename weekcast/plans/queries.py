@@ -202,6 +202,11 @@ def promo_price_impute(spark, sf_dir):
 
 
 def _sales_promo(spark, sf_dir, base=None):
+    """Sales x cleaned promotions (C1 + C2).  Both sides and the plan-week subquery read
+    ``base``; it is written once to the checkpoint folder when not given, so the star
+    join runs once instead of three times."""
+    if base is None:
+        base = sinks.materialize(ds.sales_base(spark, sf_dir), "sales_base")
     return promo.attach_promotion(ds.sales_detail(spark, sf_dir, base),
                                   promo.impute_promo_prices(ds.promotion(spark, sf_dir, base)))
 
@@ -503,7 +508,7 @@ def demand_pipeline(spark, sf_dir):
                     r6("fcst"), r6("fcst_timeseries"))
 
 
-# --------------------------------------------------------------------------- simple seasonality
+# ------------------------------------------------------------------- simple seasonality
 
 @register
 def seasonality_simple(spark, sf_dir):
@@ -556,7 +561,7 @@ def page_lines(spark, sf_dir):
     return t.select("page_id", "url", "n_lines", F.length("text").alias("n_chars"))
 
 
-# --------------------------------------------------------------------------- set ops, renames, sorts
+# ------------------------------------------------------------------- set ops, renames, sorts
 
 @register
 def missing_weeks(spark, sf_dir):

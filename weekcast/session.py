@@ -57,7 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     temporary folder is created and registered.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    key = "spark.checkpoint.dir"
+    d = spark.conf.get(key, None) or sc.getConf().get(key, None)
     if not d:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")

@@ -21,7 +21,8 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, name: str,
+         columns: list[str] | None = None) -> DataFrame:
     """Read table ``name`` from ``sf_dir``; project to ``columns`` when given."""
     df = spark.read.parquet(table_path(sf_dir, name))
     if columns:
