@@ -66,3 +66,24 @@ def test_seasonality_windows_share_one_exchange(spark):
     # one exchange for the weekly aggregate, one for the three windows
     assert plan.count("Exchange hashpartitioning") == 2
     assert plan.count("Window [") == 3
+
+
+def test_pipeline_series_chain_has_one_shuffle(spark):
+    """Gap fill, moving average, active filter and forecast share one hash partitioning by the
+    series keys: the generated weeks are never shuffled."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(E.queries()["demand_pipeline"](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    series_keys = "hashpartitioning(regionseg1#"
+    exchanges = [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln]
+    on_series = [ln for ln in exchanges if series_keys in ln and "productseg3" in ln
+                 and "yearweek" not in ln and "_wn" not in ln]
+    assert len(on_series) == 1, exchanges
+    assert "Generate posexplode" in plan and plan.count("Window [") >= 4
+
+
+def test_top_n_limits_before_the_shuffle(spark):
+    plan = _plan(E.queries()["top_n"](spark, SF_SMALL))
+    assert "WindowGroupLimit" in plan

@@ -1,4 +1,5 @@
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,8 +60,9 @@ def test_stream_matches_batch(spark, tmp_path):
     src = tmp_path / "lineitem"
     src.mkdir()
     os.symlink(os.path.join(SF_SMALL, "lineitem.parquet"), src / "part-0.parquet")
-    q = start_weekly_sales(spark, str(src), SF_SMALL, out_dir="", name="ws_test",
+    name = f"ws_test_{uuid.uuid4().hex[:8]}"  # a stream resumes from its name's checkpoint
+    q = start_weekly_sales(spark, str(src), SF_SMALL, out_dir="", name=name,
                            trigger_once=True, fmt="memory", mode="complete")
     q.awaitTermination(300)
-    got = spark.sql("SELECT regionid, product, yearweek, qty FROM ws_test")
+    got = spark.sql(f"SELECT regionid, product, yearweek, qty FROM {name}")
     assert rows(got) == rows(ds.weekly_sales(spark, SF_SMALL))

@@ -60,6 +60,11 @@ def fill_weeks(df: DataFrame, keys, week_col: str = "yearweek", fill: dict | Non
     the key's partition and never shuffled, and the output stays partitioned
     by the keys, so a following per-series window adds no exchange.  The
     work per key is bounded by its calendar span (weeks x duplicates).
+
+    The input is a weekly series (a few rows per key and week).  Raw
+    transactions must be summed to (keys, week) first (``aggs.sum_by_key``):
+    that aggregate runs partial before its shuffle, so a key holding a large
+    share of the raw rows reaches this operator as one row per week.
     """
     keys, fill, derived = list(keys), fill or {}, derived or {}
     wk = monday(week_col)
