@@ -485,8 +485,8 @@ def forecast_level_seasonal(spark, sf_dir):
 
 @register
 def demand_pipeline(spark, sf_dir):
-    """Flagship: promotions -> price imputation -> sales x promotion -> week gap fill ->
-    5-week moving ratio -> discontinued-item filter -> level x seasonality forecast.
+    """Flagship: promotions -> price imputation -> sales x promotion -> discontinued-item
+    filter -> week gap fill -> 5-week moving ratio -> level x seasonality forecast.
 
     The star join is aggregated once and written to the shared checkpoint
     folder (``sales_base`` feeds sales, promotions and the global last week);
@@ -495,14 +495,17 @@ def demand_pipeline(spark, sf_dir):
     base = sinks.materialize(ds.sales_base(spark, sf_dir), "sales_base")
     stage = _sales_promo(spark, sf_dir, base)
     last_week = series.global_value(base, F.max("yearweek"))
+    # The discontinued-item test depends only on each key's last week and the global last
+    # week; gap fill adds weeks only inside a key's span and the moving ratio is per key,
+    # so filtering first is exact and only active series are expanded to weekly rows.
+    alive = series.active_keys(stage, SEG5, last_week=last_week)
     fill = {"qty": 0.0, "map_price": 0.0, "ir": 0.0, "pmap": 0.0, "pmap10": 0,
             "pro_percent": 0.0, "promotion_check": "N"}
-    filled = series.fill_weeks(stage, SEG5, fill=fill, derived=series.week_parts())
+    filled = series.fill_weeks(alive, SEG5, fill=fill, derived=series.week_parts())
     tiebreak = ["qty", "map_price", "ir", "pmap", "pmap10", "pro_percent", "promotion_check"]
     ratio = series.moving_ratio(filled, SEG5, ["yearweek", *tiebreak], "qty", 5,
                                 "moving_avg", "seasonality")
-    alive = series.active_keys(ratio, SEG5, last_week=last_week)
-    f = forecast.level_seasonal_forecast(alive, SEG5, fill={**fill, "moving_avg": 0.0},
+    f = forecast.level_seasonal_forecast(ratio, SEG5, fill={**fill, "moving_avg": 0.0},
                                          only_new=True, last_week=last_week)
     return f.select(*SEG5, "yearweek", "year", "week", "promotion_check", r6("seasonality"),
                     r6("fcst"), r6("fcst_timeseries"))
