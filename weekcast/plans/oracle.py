@@ -624,3 +624,12 @@ SELECT regionseg1 AS REGIONSEG1, productseg1 AS PRODUCTSEG1, productseg2 AS PROD
        yearweek AS YEARWEEK, year AS YEAR, week AS WEEK, qty AS QTY
 FROM sales_detail
 ORDER BY productseg2, regionseg3, productseg3, yearweek, regionseg1, productseg1, regionseg2""")
+
+ORACLE["pivot_measures"] = sql(["weekly_sales"], f"""
+SELECT regionid, product, yearweek,
+       sum(CASE WHEN measure = 'REAL_QTY' THEN sales END) AS REAL_QTY,
+       {r6("sum(CASE WHEN measure = 'PREDICTION_QTY' THEN sales END)", 'PREDICTION_QTY')}
+FROM (SELECT regionid, product, yearweek, 'REAL_QTY' AS measure, qty AS sales FROM c5
+      UNION ALL
+      SELECT regionid, product, yearweek, 'PREDICTION_QTY', moving_avg FROM c5) t
+GROUP BY regionid, product, yearweek""", _C5)

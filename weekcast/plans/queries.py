@@ -587,3 +587,17 @@ def sales_sorted(spark, sf_dir):
         "YEARWEEK", "YEAR", "WEEK", "QTY")
     return s.orderBy("PRODUCTSEG2", "REGIONSEG3", "PRODUCTSEG3", "YEARWEEK", "REGIONSEG1",
                      "PRODUCTSEG1", "REGIONSEG2")
+
+
+@register
+def pivot_measures(spark, sf_dir):
+    """Measures held as rows (REAL_QTY / PREDICTION_QTY, the moving-average level) pivoted
+    back to columns with the values given (A15)."""
+    r = _ratio_series(spark, sf_dir).select("regionid", "product", "yearweek",
+                                            F.col("qty").alias("REAL_QTY"),
+                                            F.col("moving_avg").alias("PREDICTION_QTY"))
+    long = r.unpivot(["regionid", "product", "yearweek"], ["REAL_QTY", "PREDICTION_QTY"],
+                     "measure", "sales")
+    p = aggs.pivot_sum(long, ["regionid", "product", "yearweek"], "measure",
+                       ["REAL_QTY", "PREDICTION_QTY"], "sales")
+    return p.select("regionid", "product", "yearweek", "REAL_QTY", r6("PREDICTION_QTY"))

@@ -64,5 +64,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="weekcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    sc.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:  # each call would add a fresh subfolder
+        sc.setCheckpointDir(d)
     return d
