@@ -533,7 +533,10 @@ LAST_TRAIN_WEEK = 199952
 
 
 def _dt_predictions(spark, sf_dir):
-    train, test = ml.split_by_week(ds.dt_input(spark, sf_dir), "yearweek", LAST_TRAIN_WEEK)
+    # Each stage fit (two indexers, the tree) reads its input again: write the model input
+    # once to the checkpoint folder instead of re-running the star join per fit.
+    inp = sinks.materialize(ds.dt_input(spark, sf_dir), "dt_input")
+    train, test = ml.split_by_week(inp, "yearweek", LAST_TRAIN_WEEK)
     return ml.fit_predict(ml.decision_tree_pipeline(), train, test)
 
 
@@ -551,7 +554,8 @@ def dt_metrics(spark, sf_dir):
 
 @register
 def kmeans_segments(spark, sf_dir):
-    return ml.kmeans_segments(ds.student_like(spark, sf_dir), ["sw", "db", "and"], k=2)
+    inp = sinks.materialize(ds.student_like(spark, sf_dir), "kmeans_input")
+    return ml.kmeans_segments(inp, ["sw", "db", "and"], k=2)
 
 
 # --------------------------------------------------------------------------- page lines
