@@ -417,7 +417,9 @@ SELECT regionid, product, yearweek, qty,
 FROM weekly_sales""")
 
 ORACLE["group_position"] = sql(["weekly_sales"], """
-SELECT *, row_number() OVER (PARTITION BY regionid, product ORDER BY yearweek) - 1 AS pos
+SELECT *,
+       CAST(row_number() OVER (PARTITION BY regionid, product ORDER BY yearweek) - 1 AS INTEGER)
+         AS pos
 FROM weekly_sales""")
 
 ORACLE["sort_mixed"] = sql(["weekly_sales"], """
@@ -478,7 +480,7 @@ c3 AS (SELECT * FROM c2
 ORACLE["fill_weeks_5key"] = sql(["promotion", "sales_detail"], _summary("c3", _SEG5, True), _C3)
 
 ORACLE["future_weeks"] = sql(["weekly_sales"], f"""
-SELECT regionid, product, {yw('wk')} AS yearweek, 0.0 AS qty
+SELECT regionid, product, {yw('wk')} AS yearweek, CAST(0.0 AS DOUBLE) AS qty
 FROM (SELECT regionid, product,
              CAST(unnest(generate_series(kmax + 7, gmax + 28, INTERVAL 7 DAY)) AS DATE) AS wk
       FROM (SELECT regionid, product, max({monday('yearweek')}) AS kmax FROM weekly_sales
@@ -509,9 +511,9 @@ USING ({_SEG5})""")
 ORACLE["item_clusters"] = sql(["sales_detail"], f"""
 SELECT regionseg1, productseg2, productseg3, sum_qty, rank, {r6('rank / cnt', 'ratio')},
        CASE WHEN rank / cnt <= 0.3 THEN 0 WHEN rank / cnt <= 0.6 THEN 1 ELSE 2 END AS cluster
-FROM (SELECT *, row_number() OVER (PARTITION BY regionseg1, productseg2
-                                   ORDER BY regionseg1, productseg2, sum_qty DESC, productseg3)
-                  AS rank,
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY regionseg1, productseg2
+                                        ORDER BY regionseg1, productseg2, sum_qty DESC,
+                                                 productseg3) AS INTEGER) AS rank,
                 count(*) OVER (PARTITION BY regionseg1, productseg2) AS cnt
       FROM (SELECT regionseg1, productseg2, productseg3, sum(qty) AS sum_qty
             FROM sales_detail
@@ -557,7 +559,8 @@ def _c7(src: str, keys: str, name: str) -> str:
 
 
 ORACLE["forecast_level_seasonal"] = sql(["weekly_sales"], f"""
-SELECT regionid, product, yearweek, 0.0 AS qty, 0.0 AS moving_avg,
+SELECT regionid, product, yearweek, CAST(0.0 AS DOUBLE) AS qty,
+       CAST(0.0 AS DOUBLE) AS moving_avg,
        {r6('seasonality', 'seasonality')}, {r6('fcst', 'fcst')},
        {r6('fcst_timeseries', 'fcst_timeseries')}
 FROM c7""", _C5 + "," + _c7("c5", "regionid, product", "c7"))
@@ -608,8 +611,9 @@ FROM c9 GROUP BY regionid, product, substr(yearweek, 5, 2)""", _C9)
 # --------------------------------------------------------------------------- page lines
 
 ORACLE["page_lines"] = r"""
-SELECT page_id, url, len(string_split_regex(html, '\r?\n')) AS n_lines,
-       length(array_to_string(string_split_regex(html, '\r?\n'), chr(10))) AS n_chars
+SELECT page_id, url, CAST(len(string_split_regex(html, '\r?\n')) AS INTEGER) AS n_lines,
+       CAST(length(array_to_string(string_split_regex(html, '\r?\n'), chr(10))) AS INTEGER)
+         AS n_chars
 FROM pages"""
 
 # ------------------------------------------------------------------- set ops, renames, sorts
