@@ -20,7 +20,7 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 HEADLINE = [
-    "demand_pipeline",          # E1 end to end (flagship)
+    "demand_forecast",          # E1 end to end (flagship)
     "seasonality_robust",       # C8 windows
     "seasonality_profile",      # C8 profile aggregate
     "fill_weeks_6key",          # C4 gap fill, 6 keys

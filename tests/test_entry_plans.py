@@ -73,7 +73,7 @@ def test_pipeline_series_chain_has_one_shuffle(spark):
     series keys: the generated weeks are never shuffled."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = _plan(E.queries()["demand_pipeline"](spark, SF_SMALL))
+        plan = _plan(E.queries()["demand_forecast"](spark, SF_SMALL))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     series_keys = "hashpartitioning(regionseg1#"

@@ -43,7 +43,7 @@ def test_jdbc_options():
 def test_decision_tree_and_metrics(spark):
     inp = ds.dt_input(spark, SF_SMALL)
     train, test = ml.split_by_week(inp, "yearweek", 199952)
-    pred = ml.fit_predict(ml.decision_tree_pipeline(), train, test)
+    pred = ml.fit_predict(ml.decision_tree_model(), train, test)
     assert pred.count() == test.count()
     m = ml.evaluate(pred)
     twin = ml.regression_metrics(pred).first()

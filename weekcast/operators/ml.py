@@ -22,8 +22,8 @@ def split_by_week(df: DataFrame, week_col: str, last_train_week) -> tuple[DataFr
     return df.filter(w <= int(last_train_week)), df.filter(w > int(last_train_week))
 
 
-def decision_tree_pipeline(categorical=("holiday", "promotion"), numeric=("pro_percent",),
-                           label: str = "qty", seed: int = 42, max_depth: int = 5) -> Pipeline:
+def decision_tree_model(categorical=("holiday", "promotion"), numeric=("pro_percent",),
+                        label: str = "qty", seed: int = 42, max_depth: int = 5) -> Pipeline:
     """StringIndexer per category (unseen labels kept, M1) -> VectorAssembler (M2) ->
     DecisionTreeRegressor (M3), as one Pipeline (M4)."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_in", handleInvalid="keep")

@@ -579,7 +579,7 @@ e1_a AS (
     WHERE kmax >= (SELECT {week_add('max(yearweek)', -7)} FROM e1_r)) a USING ({_SEG5})),""" + \
     _c7("e1_a", _SEG5, "e1")
 
-ORACLE["demand_pipeline"] = sql(["promotion", "sales_detail"], f"""
+ORACLE["demand_forecast"] = sql(["promotion", "sales_detail"], f"""
 SELECT {_SEG5}, yearweek, CAST(substr(yearweek, 1, 4) AS INTEGER) AS year,
        CAST(substr(yearweek, 5, 2) AS INTEGER) AS week, 'N' AS promotion_check,
        {r6('seasonality', 'seasonality')}, {r6('fcst', 'fcst')},

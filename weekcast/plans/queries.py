@@ -484,7 +484,7 @@ def forecast_level_seasonal(spark, sf_dir):
 
 
 @register
-def demand_pipeline(spark, sf_dir):
+def demand_forecast(spark, sf_dir):
     """Flagship: promotions -> price imputation -> sales x promotion -> discontinued-item
     filter -> week gap fill -> 5-week moving ratio -> level x seasonality forecast.
 
@@ -537,7 +537,7 @@ def _dt_predictions(spark, sf_dir):
     # once to the checkpoint folder instead of re-running the star join per fit.
     inp = sinks.materialize(ds.dt_input(spark, sf_dir), "dt_input")
     train, test = ml.split_by_week(inp, "yearweek", LAST_TRAIN_WEEK)
-    return ml.fit_predict(ml.decision_tree_pipeline(), train, test)
+    return ml.fit_predict(ml.decision_tree_model(), train, test)
 
 
 @register
