@@ -64,3 +64,18 @@ def test_wing_length():
     import pytest
     with pytest.raises(ValueError):
         cal.wing_length(4)
+
+
+def test_hundredths_half_up_matches_decimal(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from weekcast.functions import scalar as sc
+    rnd = random.Random(11)
+    cases = [(rnd.randint(0, 10**9), rnd.randint(1, 10**5)) for _ in range(4000)]
+    cases += [(1, 8), (5, 200), (125, 1000), (3, 2), (0, 7)]  # exact ties and zero
+    df = spark.createDataFrame(cases, "n long, d long")
+    out = df.select("n", "d", sc.hundredths_half_up("n", "d").alias("h"),
+                    sc.int_div("n", "d").alias("q"))
+    for r in out.collect():
+        want = int((Decimal(r.n) / Decimal(r.d) * 100).quantize(Decimal(1), ROUND_HALF_UP))
+        assert r.h == want and r.q == r.n // r.d

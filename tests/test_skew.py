@@ -51,3 +51,24 @@ def test_lookup_dedupes_hot_key_map_side(spark):
     assert "partial_min_by" in plan or "partial_min" in plan
     first = {r.k: r.w for r in raw.groupBy("k").agg(F.min("yearweek").alias("w")).collect()}
     assert rows(out) == [("HOT", first["HOT"]), ("K1", first["K1"]), ("ZZ", "none")]
+
+
+def test_rank_within_groups_is_exact_and_splits_hot_groups(spark):
+    from pyspark.sql import Window
+
+    from weekcast.operators.windows import rank_within_groups
+    n = 30000
+    df = spark.range(n).select(
+        F.when(F.col("id") < n // 3 * 2, F.lit("HOT")).otherwise(
+            F.concat(F.lit("G"), (F.col("id") % 7).cast("string"))).alias("g"),
+        F.col("id").cast("string").alias("item"),
+        (F.col("id") % 997).cast("double").alias("v"))  # many ties
+    got = rank_within_groups(df, ["g"], "v", ["item"], buckets=16)
+    w = Window.partitionBy("g").orderBy(F.col("v").desc(), "item")
+    want = df.withColumn("rank", F.row_number().over(w)) \
+             .withColumn("cnt", F.count(F.lit(1)).over(Window.partitionBy("g")))
+    assert rows(got, "g", "item", "rank", "cnt") == rows(want, "g", "item", "rank", "cnt")
+    # the hot group's rows are spread over many (group, bucket) window partitions
+    cuts = df.filter("g = 'HOT'").agg(F.percentile_approx("v", [i / 16 for i in range(1, 16)],
+                                                          10000).alias("c")).first().c
+    assert len(set(cuts)) > 8

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekcast.operators.series import last_weeks
-from weekcast.operators.windows import rank_ratio_bucket
+from weekcast.operators.windows import rank_ratio_bucket, rank_within_groups
 
 
 def item_clusters(df: DataFrame, group_keys=("regionseg1", "productseg2"),
@@ -19,16 +19,14 @@ def item_clusters(df: DataFrame, group_keys=("regionseg1", "productseg2"),
     ``recent_weeks + 1`` weeks) are summed per item; inside each group items
     are ranked by the sum descending (ties by item key); ``ratio`` =
     rank / items-in-group; cluster 0 for ratio <= thresholds[0], 1 for <=
-    thresholds[1], else 2.  Row number and group count share one window
-    partitioning (one exchange, one sort).
+    thresholds[1], else 2.  The rank is computed without sorting a whole
+    group in one task (``windows.rank_within_groups``), so a group holding a
+    large share of the items is split over several tasks.
     """
     group_keys = list(group_keys)
     recent = last_weeks(df, recent_weeks, week_col, inclusive=True)
     s = recent.groupBy(*group_keys, item_key).agg(F.sum(value).alias("sum_qty"))
-    ordered = Window.partitionBy(*group_keys).orderBy(F.col("sum_qty").desc(), F.col(item_key))
-    whole = Window.partitionBy(*group_keys)
-    r = (s.withColumn("rank", F.row_number().over(ordered))
-          .withColumn("cnt", F.count(F.lit(1)).over(whole)))
+    r = rank_within_groups(s, group_keys, "sum_qty", [item_key], name="rank", count_name="cnt")
     ratio = F.col("rank") / F.col("cnt")
     return r.select(*group_keys, item_key, "sum_qty", "rank", ratio.alias("ratio"),
                     rank_ratio_bucket(ratio, thresholds).alias("cluster"))

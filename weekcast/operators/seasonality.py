@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.functions.calendar import week_of
 from weekcast.functions.scalar import clamp, clip_band, int_div, round_half_up, safe_div
 from weekcast.operators.clean import drop_week, valid_week
 from weekcast.operators.windows import centred
@@ -112,7 +111,3 @@ def week_index(df: DataFrame, keys=("regionid", "product"), week_col: str = "yea
     b = a.groupBy(*keys).agg(F.avg("week_qty").alias("mean_week_qty"))
     j = a.join(b, on=keys, how="inner")
     return j.withColumn("ratio", safe_div(F.col("week_qty"), F.col("mean_week_qty"), 0.0))
-
-
-def week_number(week_col: str = "yearweek"):
-    return week_of(week_col)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weekcast.functions.calendar import wing_length
 from weekcast.functions.scalar import safe_div
+from weekcast.session import checkpoint_dir
 
 
 def centred(partition, order, width: int) -> Window:
@@ -72,3 +73,46 @@ def top_n(df: DataFrame, partition, measure: str, tiebreak, n: int) -> DataFrame
     feature).  Spark plans this as a per-partition group limit before the window."""
     return rank_desc(df, partition, measure, tiebreak, "_rn").filter(F.col("_rn") <= n) \
         .drop("_rn")
+
+
+def rank_within_groups(df: DataFrame, group_keys, measure: str, tiebreak, buckets: int = 64,
+                       name: str = "rank", count_name: str = "cnt",
+                       stage: bool = True) -> DataFrame:
+    """Exact 1-based rank by ``measure`` descending (ties by ``tiebreak``) inside each group,
+    plus the group size, without sorting a whole group in one task.
+
+    A partial ``percentile_approx`` per group gives ``buckets - 1`` cut points;
+    each row's bucket is the number of cut points above its value, so buckets
+    follow the descending order and equal values share a bucket.  Rows are
+    ranked inside (group, bucket); a small (group x bucket) count table gives
+    each bucket's offset.  The cut points only balance the buckets, the rank
+    is exact whatever they are, and a group holding a large share of the
+    rows is spread over up to ``buckets`` tasks.
+
+    ``df`` is read by several branches (cut points, ranks, offsets); with
+    ``stage`` it is first checkpointed into the shared checkpoint folder, so
+    its lineage runs once.  Use it on an already aggregated input (one row
+    per ranked item), whose size is bounded by the number of items.
+    """
+    gk = list(group_keys)
+    if stage:
+        checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
+    pcts = [i / buckets for i in range(1, buckets)]
+    cuts = df.groupBy(*gk).agg(F.percentile_approx(measure, pcts, 10000).alias("_cuts"),
+                               F.count(F.lit(1)).alias(count_name))
+    m = F.col(measure)
+    x = df.join(cuts, on=gk).withColumn("_b", F.size(F.filter("_cuts", lambda c: c > m))) \
+          .drop("_cuts")
+    wb = Window.partitionBy(*gk, "_b")
+    xw = (x.withColumn("_local", F.row_number().over(wb.orderBy(m.desc(),
+                                                                 *[F.col(c) for c in tiebreak])))
+           .withColumn("_bn", F.count(F.lit(1)).over(wb)))
+    # one row per bucket carries its size; the running sum over the group's buckets is the
+    # offset.  Both branches read the same exchange of ``x`` (reused in the plan).
+    before = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = (xw.filter(F.col("_local") == 1)
+              .select(*gk, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off")))
+    return (xw.join(offs, on=[*gk, "_b"])
+              .withColumn(name, (F.col("_off") + F.col("_local")).cast("int"))
+              .drop("_b", "_local", "_bn", "_off"))
