@@ -42,11 +42,12 @@ def _plan(df):
 
 
 @pytest.mark.parametrize("name", sorted(E.queries()))
-def test_no_python_udf_in_plans(spark, name):
+def test_no_python_udf_or_cross_join_in_plans(spark, name):
     if name.startswith(("dt_", "kmeans")):
         pytest.skip("ML fit runs jobs while building the frame")
     plan = _plan(E.queries()[name](spark, SF_SMALL))
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_filters_reach_the_scan(spark):

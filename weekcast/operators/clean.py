@@ -83,8 +83,8 @@ def params_filter(df: DataFrame, params: DataFrame, region_col: str, product_col
     ``params`` has columns (CATEGORY, NAME, VALUE), one row per set member.
     A missing parameter, or a set holding ``ALL``, matches everything.  The
     sets are de-duplicated before the lookup joins, so a row is never
-    repeated; the ALL / missing flags come from a one-row aggregate joined
-    by a broadcast (its size is one row by construction).
+    repeated; the ALL / missing flags are scalar subqueries over the
+    parameter table.
     """
     if combine not in ("or", "and"):
         raise ValueError("combine must be 'or' or 'and'")
@@ -99,15 +99,16 @@ def params_filter(df: DataFrame, params: DataFrame, region_col: str, product_col
         return F.coalesce(F.max(F.when(cond, 1)), F.lit(0)) == 1
 
     region, product = F.col("NAME") == region_param, F.col("NAME") == product_param
-    flags = p.agg((~has(region)).alias("_r_missing"),
-                  has(region & (F.col("VALUE") == "ALL")).alias("_r_all"),
-                  (~has(product)).alias("_p_missing"),
-                  has(product & (F.col("VALUE") == "ALL")).alias("_p_all"))
+
+    def flag(cond):
+        return p.agg(has(cond)).scalar()
+
+    r_wild = ~flag(region) | flag(region & (F.col("VALUE") == "ALL"))
+    p_wild = ~flag(product) | flag(product & (F.col("VALUE") == "ALL"))
     j = (df.join(rs, df[region_col] == rs._rv, "left")
-           .join(ps, df[product_col] == ps._pv, "left")
-           .crossJoin(F.broadcast(flags)))
-    r_ok = F.col("_rv").isNotNull() | F.col("_r_missing") | F.col("_r_all")
-    p_ok = F.col("_pv").isNotNull() | F.col("_p_missing") | F.col("_p_all")
+           .join(ps, df[product_col] == ps._pv, "left"))
+    r_ok = F.col("_rv").isNotNull() | r_wild
+    p_ok = F.col("_pv").isNotNull() | p_wild
     keep = (r_ok | p_ok) if combine == "or" else (r_ok & p_ok)
     return j.filter(keep).select(*df.columns)
 

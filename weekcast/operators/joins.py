@@ -96,11 +96,11 @@ def overlay_fanout(left: DataFrame, right: DataFrame, left_key: str, right_key:
 def with_global(df: DataFrame, **aggs: Column) -> DataFrame:
     """Attach whole-table aggregates (e.g. ``max_week=F.max('yearweek')``) to every row.
 
-    The aggregate is exactly one row, so it is broadcast; the detail rows are
-    not shuffled.
+    Each aggregate is an uncorrelated scalar subquery: computed once by a
+    partial + final aggregate and inlined as a value, so there is neither a
+    join nor a shuffle of the detail rows.
     """
-    g = df.agg(*[e.alias(k) for k, e in aggs.items()])
-    return df.crossJoin(F.broadcast(g))
+    return df.select("*", *[df.agg(e.alias(k)).scalar().alias(k) for k, e in aggs.items()])
 
 
 def missing_from(expected: DataFrame, present: DataFrame, keys) -> DataFrame:
