@@ -1,7 +1,7 @@
 """Forecasts.
 
 Both are per-key aggregates plus generated horizon rows; the global last
-week is a one-row aggregate broadcast to every key.  Week differences use
+week is an uncorrelated scalar subquery, computed once.  Week differences use
 Mondays (``datediff / 7``), never ``YYYYWW`` integer subtraction, so the
 "last 4 weeks" window is right across New Year (Q4).
 """
