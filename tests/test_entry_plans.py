@@ -88,3 +88,9 @@ def test_pipeline_series_chain_has_one_shuffle(spark):
 def test_top_n_limits_before_the_shuffle(spark):
     plan = _plan(E.queries()["top_n"](spark, SF_SMALL))
     assert "WindowGroupLimit" in plan
+
+
+def test_year_filter_bounds_the_lineitem_scan(spark):
+    plan = _plan(E.queries()["partition_ratio"](spark, SF_SMALL))
+    scan = [ln for ln in plan.splitlines() if "lineitem.parquet" in ln][0]
+    assert "GreaterThanOrEqual(l_shipdate,1996-01-01" in scan

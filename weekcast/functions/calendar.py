@@ -105,6 +105,13 @@ def week_sequence(start: ColumnOrName, stop: ColumnOrName) -> Column:
             .otherwise(F.array().cast("array<date>"))
 
 
+def first_monday(year: int):
+    """Python date of the Monday of ISO week 1 of ``year``.  ``iso_year(d) >= year`` holds
+    exactly when ``d >= first_monday(year)``, a plain bound a file scan can use."""
+    import datetime as dt
+    return dt.date.fromisocalendar(year, 1, 1)
+
+
 def wing_length(window: int) -> int:
     """Half-width of a centred window of odd width ``window``."""
     if window <= 0 or window % 2 == 0:

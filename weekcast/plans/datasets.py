@@ -39,14 +39,18 @@ def customer_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("c_custkey", "c_mktsegment", "n_name", "r_name")
 
 
-def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_facts(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
     """One row per lineitem with its customer geography and part attributes.
 
     Columns not used downstream are pruned by Catalyst down to the scans.
+    ``since`` (a date) keeps ship dates on or after it as a plain column
+    bound, which the Parquet scan uses to skip row groups.
     """
     li = load(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_quantity",
                                           "l_extendedprice", "l_discount", "l_returnflag",
                                           "l_linestatus", "l_shipdate"])
+    if since is not None:
+        li = li.filter(F.col("l_shipdate") >= F.lit(since))
     o = load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     og = o.join(customer_geo(spark, sf_dir), o.o_custkey == F.col("c_custkey"))
     p = load(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_type", "p_size",
@@ -54,9 +58,10 @@ def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(og, li.l_orderkey == og.o_orderkey).join(p, li.l_partkey == p.p_partkey)
 
 
-def weekly_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(regionid, product, yearweek, qty): weekly shipped quantity per region and brand."""
-    f = line_facts(spark, sf_dir)
+def weekly_sales(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
+    """(regionid, product, yearweek, qty): weekly shipped quantity per region and brand
+    (ship dates from ``since`` on, when given)."""
+    f = line_facts(spark, sf_dir, since)
     g = (f.groupBy(F.col("r_name").alias("regionid"), F.col("p_brand").alias("product"),
                    yearweek_int("l_shipdate").alias("_yw"))
           .agg(F.sum("l_quantity").alias("qty")))

@@ -89,7 +89,8 @@ def week_arith(spark, sf_dir):
 
 @register
 def clean_volume(spark, sf_dir):
-    ws = ds.weekly_sales(spark, sf_dir)
+    # the year filter also bounds the ship date at the scan (row-group skipping)
+    ws = ds.weekly_sales(spark, sf_dir, since=cal.first_monday(1996))
     f = ws.filter(clean.conjunction(F.col("product").isin("Brand#1", "Brand#2", "Brand#3"),
                                     F.col("qty") > 10))
     f = clean.from_year(clean.valid_week(f, "yearweek", 52), "yearweek", 1996)
@@ -339,7 +340,7 @@ def pivot_weeks(spark, sf_dir):
 
 @register
 def partition_ratio(spark, sf_dir):
-    ws = ds.weekly_sales(spark, sf_dir)
+    ws = ds.weekly_sales(spark, sf_dir, since=cal.first_monday(1996))
     f = clean.drop_week(clean.from_year(ws, "yearweek", 1996), "yearweek", 53) \
         .filter(F.col("product").isin("Brand#1", "Brand#2"))
     m = f.groupBy("regionid", "product").agg(F.sum("qty").alias("_s"),
