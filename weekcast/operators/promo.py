@@ -54,9 +54,12 @@ def attach_promotion(sales: DataFrame, promo: DataFrame) -> DataFrame:
     """
     p = promo.select(F.col("regionseg"), F.col("productgroup"), F.col("salesid"),
                      F.col("item"), F.col("targetweek"), *PRICE_COLS)
-    cond = ((sales.regionseg1 == p.regionseg) & (sales.productseg2 == p.productgroup) &
-            (sales.regionseg2 == p.salesid) & (sales.productseg3 == p.item) &
-            (sales.yearweek == p.targetweek))
+    pairs = (("regionseg1", "regionseg"), ("productseg2", "productgroup"),
+             ("regionseg2", "salesid"), ("productseg3", "item"), ("yearweek", "targetweek"))
+    cond = None
+    for a, b in pairs:  # bracket access resolves names case-insensitively (CSV headers)
+        c = sales[a] == p[b]
+        cond = c if cond is None else cond & c
     j = sales.join(p, cond, "left")
     price = F.coalesce(p["map_price"], F.lit(0.0))
     return j.select(
@@ -80,5 +83,6 @@ def promo_percent_fanout(sellout: DataFrame, account_promo: DataFrame) -> DataFr
     """The SQL twin of C14: every matching promotion row, NULL when none."""
     p = account_promo.select(F.col("accountid").alias("_a"), F.col("yearweek").alias("_w"),
                              "pro_percent")
-    j = sellout.join(p, (sellout.accountid == p._a) & (sellout.yearweek == p._w), "left")
+    j = sellout.join(p, (sellout["accountid"] == p["_a"]) & (sellout["yearweek"] == p["_w"]),
+                     "left")
     return j.select(*[sellout[c] for c in sellout.columns], "pro_percent")

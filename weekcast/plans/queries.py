@@ -19,6 +19,7 @@ from weekcast.functions import scalar as sc
 from weekcast.operators import aggs, clean, cluster, forecast, joins, promo, seasonality, series
 from weekcast.operators import windows as win
 from weekcast.plans import datasets as ds
+from weekcast.plans import flows
 from weekcast.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,28 +487,18 @@ def forecast_level_seasonal(spark, sf_dir):
 
 @register
 def demand_forecast(spark, sf_dir):
-    """Flagship: promotions -> price imputation -> sales x promotion -> discontinued-item
+    """Flagship (E1): promotions -> price imputation -> sales x promotion -> discontinued-item
     filter -> week gap fill -> 5-week moving ratio -> level x seasonality forecast.
 
     The star join is aggregated once and written to the shared checkpoint
     folder (``sales_base`` feeds sales, promotions and the global last week);
-    from there the series steps share one hash partitioning by the 5 keys.
+    from there the series steps share one hash partitioning by the 5 keys
+    (``flows.demand_forecast_flow``).
     """
     base = sinks.materialize(ds.sales_base(spark, sf_dir), "sales_base")
-    stage = _sales_promo(spark, sf_dir, base)
-    last_week = series.global_value(base, F.max("yearweek"))
-    # The discontinued-item test depends only on each key's last week and the global last
-    # week; gap fill adds weeks only inside a key's span and the moving ratio is per key,
-    # so filtering first is exact and only active series are expanded to weekly rows.
-    alive = series.active_keys(stage, SEG5, last_week=last_week)
-    fill = {"qty": 0.0, "map_price": 0.0, "ir": 0.0, "pmap": 0.0, "pmap10": 0,
-            "pro_percent": 0.0, "promotion_check": "N"}
-    filled = series.fill_weeks(alive, SEG5, fill=fill, derived=series.week_parts())
-    tiebreak = ["qty", "map_price", "ir", "pmap", "pmap10", "pro_percent", "promotion_check"]
-    ratio = series.moving_ratio(filled, SEG5, ["yearweek", *tiebreak], "qty", 5,
-                                "moving_avg", "seasonality")
-    f = forecast.level_seasonal_forecast(ratio, SEG5, fill={**fill, "moving_avg": 0.0},
-                                         only_new=True, last_week=last_week)
+    f = flows.demand_forecast_flow(ds.sales_detail(spark, sf_dir, base),
+                                   ds.promotion(spark, sf_dir, base), stage=False,
+                                   last_week=series.global_value(base, F.max("yearweek")))
     return f.select(*SEG5, "yearweek", "year", "week", "promotion_check", r6("seasonality"),
                     r6("fcst"), r6("fcst_timeseries"))
 
