@@ -126,3 +126,20 @@ def test_top_n_and_position(spark):
     assert rows(windows.top_n(df, ["r"], "s", ["p"], 2), "p") == [("b",), ("c",), ("d",)]
     pos = windows.position_in_group(df, ["r"], ["p"])
     assert rows(pos, "p", "pos") == [("a", 0), ("b", 1), ("c", 2), ("d", 0)]
+
+
+def test_level_seasonal_forecast_legacy_formula(spark):
+    # history weeks 201625..201632 with seasonality 1 except week 28 (=2)
+    data = [("A", f"2016{w:02d}", float(w), 2.0 if w == 28 else 1.0) for w in range(25, 33)]
+    df = spark.createDataFrame(data, "k string, yearweek string, qty double, seasonality double")
+    f = forecast.level_seasonal_forecast(df, ["k"], horizon=1, fill={"qty": 0.0},
+                                         only_new=True, legacy_week=28)
+    r = f.collect()[0]
+    # written formula: sum of all seasonality = 9 (key has week 28); shown = 9 / 4;
+    # fcst = (29+30+31+32)/4 = 30.5, avg_season = 1; ts = 30.5 * 9 / 1
+    assert (r.yearweek, r.seasonality, r.fcst, r.fcst_timeseries) == ("201633", 2.25, 30.5,
+                                                                       274.5)
+    no28 = df.filter("yearweek <> '201628'")
+    r2 = forecast.level_seasonal_forecast(no28, ["k"], horizon=1, fill={"qty": 0.0},
+                                          only_new=True, legacy_week=28).collect()[0]
+    assert (r2.seasonality, r2.fcst_timeseries) == (0.0, 0.0)

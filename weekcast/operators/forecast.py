@@ -31,8 +31,8 @@ def mean_recent_forecast(df: DataFrame, keys, week_col: str = "yearweek", value:
 def level_seasonal_forecast(df: DataFrame, keys, week_col: str = "yearweek",
                             value: str = "qty", season_col: str = "seasonality",
                             recent: int = 4, horizon: int = 4, fill: dict | None = None,
-                            only_new: bool = False,
-                            last_week: Column | None = None) -> DataFrame:
+                            only_new: bool = False, last_week: Column | None = None,
+                            legacy_week: int | None = None) -> DataFrame:
     """Level x seasonality forecast per key.
 
     fcst        = sum(qty of the last ``recent`` weeks) / recent
@@ -51,6 +51,12 @@ def level_seasonal_forecast(df: DataFrame, keys, week_col: str = "yearweek",
     each (key, week number) row emits the future weeks carrying its week
     number, and the key's first row also emits the future weeks whose number
     never occurred.  ``df`` is read once when ``only_new``.
+
+    ``legacy_week`` reproduces the formula as the source script wrote it
+    (Q6): when the key's history holds week number ``legacy_week`` the target
+    is the sum of *all* its seasonality values, else 0; the output
+    seasonality is that sum / ``recent`` and ``fcst_timeseries`` uses the
+    undivided sum.
     """
     keys = list(keys)
     fill = dict(fill or {})
@@ -60,7 +66,7 @@ def level_seasonal_forecast(df: DataFrame, keys, week_col: str = "yearweek",
     rec = df.withColumn("_wk", wk).withColumn(
         "_recent", F.datediff(gmax, F.col("_wk")) <= 7 * (recent - 1))
     g1 = rec.groupBy(*keys, week_of(week_col).alias("_wn")).agg(
-        F.avg(season_col).alias("_target"),
+        F.avg(season_col).alias("_target"), F.count(season_col).alias("_n"),
         F.sum(F.when(F.col("_recent"), F.col(value))).alias("_rq"),
         F.sum(F.when(F.col("_recent"), F.col(season_col))).alias("_rs"),
         F.max("_wk").alias("_kmax_wn"))
@@ -71,17 +77,27 @@ def level_seasonal_forecast(df: DataFrame, keys, week_col: str = "yearweek",
             .withColumn("_wns", F.collect_set("_wn").over(kw))  # <= 53 week numbers
             .withColumn("_first", F.row_number().over(kw.orderBy("_wn")) == 1)
             .withColumn("_gmax", gmax))
+    if legacy_week is not None:
+        g2 = g2.withColumn("_legacy", F.when(
+            F.array_contains("_wns", F.lit(legacy_week)),
+            F.coalesce(F.sum(F.col("_target") * F.col("_n")).over(kw), F.lit(0.0)))
+            .otherwise(F.lit(0.0)))
     weeks = week_sequence(F.date_add("_kmax", 7), F.date_add("_gmax", 7 * horizon))
     mine = F.filter(weeks, lambda d: (F.weekofyear(d) == F.col("_wn")) |
                     (F.col("_first") & ~F.array_contains(F.col("_wns"), F.weekofyear(d))))
-    f = g2.select(*keys, "fcst", "avg_season", "_wn", "_target",
+    extra = ["_legacy"] if legacy_week is not None else []
+    f = g2.select(*keys, "fcst", "avg_season", "_wn", "_target", *extra,
                   F.explode(mine).alias("_wk"))
-    target = F.when(F.weekofyear("_wk") == F.col("_wn"), F.coalesce("_target", F.lit(0.0))) \
-              .otherwise(F.lit(0.0))
+    if legacy_week is None:
+        target = F.when(F.weekofyear("_wk") == F.col("_wn"),
+                        F.coalesce("_target", F.lit(0.0))).otherwise(F.lit(0.0))
+        shown = target
+    else:
+        target, shown = F.col("_legacy"), F.col("_legacy") / recent
     ts = F.when(F.col("avg_season") != 0, F.col("fcst") * target / F.col("avg_season")) \
           .otherwise(F.lit(0.0))
-    f = f.withColumn(week_col, yearweek("_wk")).withColumn(season_col, target) \
-         .withColumn("fcst_timeseries", ts)
+    f = f.withColumn(week_col, yearweek("_wk")).withColumn("fcst_timeseries", ts) \
+         .withColumn(season_col, shown)
     cols = []
     for fld in df.schema.fields:
         c = fld.name

@@ -28,7 +28,8 @@ def sales_with_promotion(sales: DataFrame, promotion: DataFrame) -> DataFrame:
 
 def demand_forecast_flow(sales: DataFrame, promotion: DataFrame, horizon: int = 4,
                          recent: int = 4, width: int = 5, lookback: int = 7,
-                         stage: bool = True, last_week: Column | None = None) -> DataFrame:
+                         stage: bool = True, last_week: Column | None = None,
+                         legacy_week: int | None = None) -> DataFrame:
     """Sales x promotion -> discontinued-item filter -> week gap fill -> moving ratio ->
     level x seasonality forecast (C1, C2, C6, C3, C5, C7); returns the forecast rows.
 
@@ -38,7 +39,9 @@ def demand_forecast_flow(sales: DataFrame, promotion: DataFrame, horizon: int =
     series are expanded.  With ``stage`` the sales x promotion table is
     written once to the shared checkpoint folder, since it feeds both the
     series and the global last week.  ``last_week`` (the global last week
-    key) may be given when a cheaper source for it exists.
+    key) may be given when a cheaper source for it exists; ``legacy_week``
+    selects the source script's written target-week formula (see
+    ``forecast.level_seasonal_forecast``).
     """
     joined = sales_with_promotion(sales, promotion)
     if stage:
@@ -52,4 +55,5 @@ def demand_forecast_flow(sales: DataFrame, promotion: DataFrame, horizon: int =
                                 "moving_avg", "seasonality")
     return forecast.level_seasonal_forecast(ratio, SEG5, recent=recent, horizon=horizon,
                                             fill={**PROMO_FILL, "moving_avg": 0.0},
-                                            only_new=True, last_week=last_week)
+                                            only_new=True, last_week=last_week,
+                                            legacy_week=legacy_week)
