@@ -50,17 +50,24 @@ def main() -> None:
     out = {}
     for name in names:
         fn = QUERIES[name]
-        fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times = []
-        for _ in range(repeats):
-            t0 = time.perf_counter()
+        try:
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times.append(time.perf_counter() - t0)
-        out[name] = round(statistics.median(times), 3)
-        print(f"# {name}: {out[name]:.3f}s", file=sys.stderr, flush=True)
+            times = []
+            for _ in range(repeats):
+                t0 = time.perf_counter()
+                fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                times.append(time.perf_counter() - t0)
+            out[name] = round(statistics.median(times), 3)
+            print(f"# {name}: {out[name]:.3f}s", file=sys.stderr, flush=True)
+        except Exception as e:  # keep measuring the others; the failure is reported
+            out[name] = None
+            print(f"# {name}: FAILED {type(e).__name__}: {str(e)[:300]}", file=sys.stderr,
+                  flush=True)
     sf = os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(out.values()), 3),
-                      "unit": "sec", "queries": out, "sf": sf}))
+    total = round(sum(v for v in out.values() if v is not None), 3)
+    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec",
+                      "queries": out, "sf": sf,
+                      "failed": sorted(k for k, v in out.items() if v is None)}))
     spark.stop()
 
 
