@@ -439,9 +439,9 @@ def future_weeks(spark, sf_dir):
                                fill={"qty": 0.0}, only_new=True)
 
 
-def _ratio_series(spark, sf_dir):
-    f = series.fill_weeks(ds.weekly_sales(spark, sf_dir), ["regionid", "product"],
-                          fill={"qty": 0.0})
+def _ratio_series(spark, sf_dir, ws=None):
+    ws = ws if ws is not None else ds.weekly_sales(spark, sf_dir)
+    f = series.fill_weeks(ws, ["regionid", "product"], fill={"qty": 0.0})
     return series.moving_ratio(f, ["regionid", "product"], ["yearweek"], "qty", 5)
 
 
@@ -461,7 +461,8 @@ def active_items(spark, sf_dir):
 
 @register
 def item_clusters(spark, sf_dir):
-    c = cluster.item_clusters(ds.sales_detail(spark, sf_dir))
+    # read twice (global last week, recent sums): staged once instead of two star joins
+    c = cluster.item_clusters(sinks.materialize(ds.sales_detail(spark, sf_dir), "sales_detail"))
     return c.select("regionseg1", "productseg2", "productseg3", "sum_qty", "rank", r6("ratio"),
                     "cluster")
 
@@ -470,7 +471,8 @@ def item_clusters(spark, sf_dir):
 
 @register
 def forecast_mean4(spark, sf_dir):
-    f = forecast.mean_recent_forecast(ds.sales_detail(spark, sf_dir),
+    sales = sinks.materialize(ds.sales_detail(spark, sf_dir), "sales_detail")
+    f = forecast.mean_recent_forecast(sales,
                                       ["regionseg1", "regionseg2", "productseg2", "productseg3"],
                                       recent=4, horizon=1)
     return f.select("regionseg1", "regionseg2", "productseg2", "productseg3", "fcst_week",
@@ -479,8 +481,11 @@ def forecast_mean4(spark, sf_dir):
 
 @register
 def forecast_level_seasonal(spark, sf_dir):
-    f = forecast.level_seasonal_forecast(_ratio_series(spark, sf_dir), ["regionid", "product"],
-                                         fill={"qty": 0.0, "moving_avg": 0.0}, only_new=True)
+    ws = sinks.materialize(ds.weekly_sales(spark, sf_dir), "weekly_sales")
+    last_week = series.global_value(ws, F.max("yearweek"))  # the fill adds no later week
+    f = forecast.level_seasonal_forecast(_ratio_series(spark, sf_dir, ws), ["regionid", "product"],
+                                         fill={"qty": 0.0, "moving_avg": 0.0}, only_new=True,
+                                         last_week=last_week)
     return f.select("regionid", "product", "yearweek", "qty", "moving_avg", r6("seasonality"),
                     r6("fcst"), r6("fcst_timeseries"))
 
