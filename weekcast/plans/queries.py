@@ -462,7 +462,9 @@ def active_items(spark, sf_dir):
 @register
 def item_clusters(spark, sf_dir):
     # read twice (global last week, recent sums): staged once instead of two star joins
-    c = cluster.item_clusters(sinks.materialize(ds.sales_detail(spark, sf_dir), "sales_detail"))
+    sales = ds.sales_detail(spark, sf_dir).select("regionseg1", "productseg2", "productseg3",
+                                                  "yearweek", "qty")
+    c = cluster.item_clusters(sinks.materialize(sales, "sales_items"))
     return c.select("regionseg1", "productseg2", "productseg3", "sum_qty", "rank", r6("ratio"),
                     "cluster")
 
@@ -471,12 +473,11 @@ def item_clusters(spark, sf_dir):
 
 @register
 def forecast_mean4(spark, sf_dir):
-    sales = sinks.materialize(ds.sales_detail(spark, sf_dir), "sales_detail")
-    f = forecast.mean_recent_forecast(sales,
-                                      ["regionseg1", "regionseg2", "productseg2", "productseg3"],
-                                      recent=4, horizon=1)
-    return f.select("regionseg1", "regionseg2", "productseg2", "productseg3", "fcst_week",
-                    r6("fcst"))
+    keys = ["regionseg1", "regionseg2", "productseg2", "productseg3"]
+    sales = sinks.materialize(ds.sales_detail(spark, sf_dir).select(*keys, "yearweek", "qty"),
+                              "sales_recent")
+    f = forecast.mean_recent_forecast(sales, keys, recent=4, horizon=1)
+    return f.select(*keys, "fcst_week", r6("fcst"))
 
 
 @register
