@@ -143,3 +143,16 @@ def test_level_seasonal_forecast_legacy_formula(spark):
     r2 = forecast.level_seasonal_forecast(no28, ["k"], horizon=1, fill={"qty": 0.0},
                                           only_new=True, legacy_week=28).collect()[0]
     assert (r2.seasonality, r2.fcst_timeseries) == (0.0, 0.0)
+
+
+def test_history_paths_keep_every_input_row(spark):
+    df = spark.createDataFrame([("A", "201601", 3.0, 1.0), ("A", "201602", 5.0, 1.0),
+                                ("B", "201602", 2.0, 1.0)],
+                               "k string, yearweek string, qty double, seasonality double")
+    ext = series.extend_weeks(df.select("k", "yearweek", "qty"), ["k"], 1, fill={"qty": 0.0})
+    assert rows(ext) == [("A", "201601", 3.0), ("A", "201602", 5.0), ("A", "201603", 0.0),
+                         ("B", "201602", 2.0), ("B", "201603", 0.0)]
+    f = forecast.level_seasonal_forecast(df, ["k"], horizon=1, fill={"qty": 0.0})
+    hist = f.filter(F.col("fcst") == 0).filter(F.col("qty") > 0)
+    assert hist.count() == 3  # history rows carry fcst = fcst_timeseries = 0
+    assert rows(f.filter("yearweek = '201603'"), "k", "fcst") == [("A", 2.0), ("B", 0.5)]

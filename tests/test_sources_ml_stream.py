@@ -102,3 +102,16 @@ def test_stream_append_mode_resumes_and_emits_closed_weeks(spark, tmp_path):
     closed = batch.filter(F.date_add(cal.monday("yearweek"), 7) <=
                           F.date_sub(F.lit(max_ship).cast("date"), 14))
     assert closed.exceptAll(emitted).count() == 0
+
+
+def test_sink_modes_and_partitioned_parquet(spark, tmp_path):
+    df = ds.weekly_sales(spark, SF_SMALL)
+    out = str(tmp_path / "ws_parquet")
+    sinks.write_parquet(df, out, partition_by=["regionid"])
+    back = spark.read.parquet(out)
+    assert back.count() == df.count()
+    assert back.filter("regionid = 'ASIA'").count() == df.filter("regionid = 'ASIA'").count()
+    with pytest.raises(ValueError):
+        sinks.write_csv(df, str(tmp_path / "x"), mode="upsert")
+    with pytest.raises(ValueError):
+        jdbc.write_table(df, "jdbc:postgresql://h/db", "t", mode="upsert")
