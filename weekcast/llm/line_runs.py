@@ -1,0 +1,199 @@
+"""Line dedup by a suffix array over line ids (operator 3), DataFrame functions only.
+
+The corpus is read as one sequence of lines (lines without a word are left out of it), each
+document closed by an end that equals nothing.  A *run* is a sequence of lines within a
+document.  Where a run of at least ``min_words`` words already stands earlier in the corpus
+(by id, then line), the later copy is deleted.  In full: let ``q`` lines from line ``s`` on be
+the fewest with ``min_words`` words, and ``e`` the earliest line from which the same ``q`` lines
+stand.  If ``e`` is not ``s``, the lines from ``s`` on are deleted as far as they agree with the
+lines from ``e`` on (lines without a word between deleted lines go with them).
+
+Prefix doubling.  Rank 0 orders the lines by their ids (128 bits of hash); rank k + 1 orders
+the suffixes by the pair (rank k here, rank k 2**k lines on), so equal ranks at level k are
+suffixes that agree in their first 2**k lines: an interval of the suffix array whose longest
+common prefix is at least that.  Ranks are given to the *distinct* pairs, by a range-
+partitioned sort, so no task holds the array; suffixes whose pair occurs once can be part of
+no longer repeat and leave, so the levels shrink.
+
+Intervals.  The interval of ``s`` at depth ``q`` is the class of its two (overlapping) windows of
+2**k lines; its smallest member is ``e``.  The longest common prefix of ``s`` and ``e`` follows by
+going down the levels once.  Consecutive ``s`` with consecutive ``e`` are one repeat, so only the
+last of them goes down the levels.
+
+Groups: a line or passage that a third of all rows share is one row in each ranking (counted
+before the shuffle), and its joins are splittable by AQE.  Windows go by document only.
+
+Defined results: a null text stays null; an empty one stays empty; a null id counts as the
+last; rows that repeat an id come in the order of their stored rows; a document whose text
+is all deleted stays with an empty text; an empty table gives an empty table; extra columns
+stay.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weekcast.llm.common import materialize, private
+
+MIN_WORDS = 50
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The distinct ``keys`` that occur twice or more, with a rank in their order."""
+    pairs = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return materialize(pairs.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), name)
+
+
+def _lines(docs: DataFrame, row: str, text_col: str) -> DataFrame:
+    """(row, pos, idx, a, b, words) of every line with a word; idx counts those lines only."""
+    lines = docs.filter(F.col(f"`{text_col}`").isNotNull()).select(
+        F.col(row).alias("row"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("pos", "line"))
+    lines = lines.select("row", "pos", F.xxhash64("line").alias("a"),
+                         F.xxhash64(F.lit(1), "line").alias("b"),
+                         F.regexp_count("line", F.lit(WORD)).alias("words")).filter("words > 0")
+    return lines
+
+
+def _levels(base: DataFrame) -> list[DataFrame]:
+    """Level k: (row, idx, r) of the suffixes whose first 2**k lines occur twice or more."""
+    levels = [base.select("row", "idx", "r")]
+    while True:
+        k = len(levels) - 1
+        step = 1 << k
+        ahead = Window.partitionBy("row").orderBy("idx").rangeBetween(step, step)
+        pairs = levels[k].withColumn("r2", F.first("r").over(ahead)).filter("r2 is not null")
+        pairs = materialize(pairs, f"lines-pairs{k}")
+        ranks = _ranked(pairs, ["r", "r2"], f"lines-ranks{k + 1}")
+        if ranks.isEmpty():
+            return levels
+        levels.append(materialize(pairs.join(ranks, ["r", "r2"]).select(
+            "row", "idx", F.col("rank").alias("r")), f"lines-level{k + 1}"))
+
+
+def _shortest(base: DataFrame, min_words: int) -> DataFrame:
+    """(row, idx, q, k): the fewest repeated lines from idx on with ``min_words`` words."""
+    by_line = Window.partitionBy("row").orderBy("idx")
+    run = base.withColumn("new", (F.col("idx") - F.lag("idx", 1, -2).over(by_line) != 1).cast("int")) \
+        .withColumn("run", F.sum("new").over(by_line)) \
+        .withColumn("upto", F.sum("words").over(by_line))
+    # each line asks for the first line of its run by whose end enough words have passed
+    asks = run.select("row", "run", "idx", F.explode(F.array(
+        F.struct(F.col("upto").alias("at"), F.lit(1).alias("is_end")),
+        F.struct((F.col("upto") - F.col("words") + min_words).alias("at"), F.lit(0).alias("is_end"))))
+        .alias("e")).select("row", "run", "idx", "e.at", "e.is_end")
+    back = Window.partitionBy("row", "run").orderBy(F.desc("at"), F.desc("is_end")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    asks = asks.withColumn("last", F.min(F.when(F.col("is_end") == 1, F.col("idx"))).over(back))
+    q = (F.col("last") - F.col("idx") + 1).cast("int")
+    found = asks.filter("is_end = 0 and last is not null").select("row", "idx", q.alias("q"))
+    # the exponent of the largest power of two that is not above q
+    return found.withColumn("k", (F.length(F.bin("q")) - 1).cast("int"))
+
+
+def _copies(docs_order: DataFrame, levels: list[DataFrame], short: DataFrame) -> DataFrame:
+    """(row, idx, q, erow, eidx) of the lines whose first ``q`` lines stand earlier."""
+    every = levels[0].withColumn("k", F.lit(0))
+    for k, level in enumerate(levels[1:], 1):
+        every = every.union(level.withColumn("k", F.lit(k)))
+    left = every.select("row", "idx", "k", F.col("r").alias("ra"))
+    right = every.select("row", F.col("idx").alias("idx2"), "k", F.col("r").alias("rb"))
+    tail = F.expr("idx + q - shiftleft(1, k)")
+    sites = short.join(left, ["row", "idx", "k"]).withColumn("idx2", tail.cast("int")) \
+        .join(right, ["row", "idx2", "k"]).drop("idx2").join(docs_order, "row")
+    sites = materialize(sites, "lines-sites")
+    place = F.struct("no_id", "id", "row", "idx")
+    first = sites.groupBy("q", "ra", "rb").agg(F.min(place).alias("e"))
+    return sites.join(first, ["q", "ra", "rb"]) \
+        .select("row", "idx", "q", F.col("e.row").alias("erow"), F.col("e.idx").alias("eidx")) \
+        .filter("row <> erow or idx <> eidx")
+
+
+def _extended(copies: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(row, idx, end): each copy's lines up to ``end`` agree with its earliest copy."""
+    order = Window.partitionBy("row").orderBy("idx")
+    goes_on = (F.lead("idx").over(order) == F.col("idx") + 1) \
+        & (F.lead("erow").over(order) == F.col("erow")) \
+        & (F.lead("eidx").over(order) == F.col("eidx") + 1)
+    copies = materialize(copies.withColumn("last", ~F.coalesce(goes_on, F.lit(False))), "lines-copies")
+    ends = copies.filter("last").withColumn("len", F.col("q"))
+    for k in range(len(levels) - 1, -1, -1):
+        here = levels[k].select("row", F.col("idx").alias("at"), F.col("r").alias("r1"))
+        there = levels[k].select(F.col("row").alias("erow"), F.col("idx").alias("eat"),
+                                 F.col("r").alias("r2"))
+        ends = ends.withColumn("at", F.col("idx") + F.col("len")) \
+            .withColumn("eat", F.col("eidx") + F.col("len")) \
+            .join(here, ["row", "at"], "left").join(there, ["erow", "eat"], "left") \
+            .withColumn("len", F.col("len") + F.when(F.col("r1") == F.col("r2"), 1 << k).otherwise(0)) \
+            .drop("at", "eat", "r1", "r2")
+    inner = copies.filter("not last").select("row", "idx", (F.col("idx") + F.col("q")).alias("end"))
+    return inner.union(ends.select("row", "idx", (F.col("idx") + F.col("len")).alias("end")))
+
+
+def _deleted(base: DataFrame, ends: DataFrame) -> DataFrame:
+    """(row, cuts): sorted, disjoint ranges of line positions to delete."""
+    order = Window.partitionBy("row").orderBy("idx")
+    sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gone = base.select("row", "idx", "pos").join(ends, ["row", "idx"], "left") \
+        .withColumn("reach", F.max("end").over(sofar)).filter("reach > idx")
+    gone = gone.withColumn("new", (F.col("idx") - F.lag("idx", 1, -2).over(order) != 1).cast("int")) \
+        .withColumn("part", F.sum("new").over(order))
+    cuts = gone.groupBy("row", "part").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"),
+                                           F.count(F.lit(1)).alias("lines"))
+    return cuts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("cuts"),
+                                   F.sum("lines").alias("lines"))
+
+
+def repeated_runs(docs: DataFrame, row: str, text_col: str, id_col: str,
+                  min_words: int = MIN_WORDS) -> DataFrame:
+    """(row, cuts, lines): line ranges to delete of the rows that have any, and how many of
+    the lines in them have a word.  ``row`` names a stored column that is unique."""
+    lines = _lines(docs, row, text_col)
+    lines = materialize(lines, "lines")
+    ids = _ranked(lines, ["a", "b"], "lines-ids")
+    # idx numbers the lines with a word of a document; it is set before the rare ones leave
+    numbered = lines.withColumn("idx", F.row_number().over(
+        Window.partitionBy("row").orderBy("pos")) - 1)
+    base = materialize(numbered.join(ids, ["a", "b"]).select(
+        "row", "pos", "idx", "words", F.col("rank").alias("r")), "lines-level0")
+    levels = _levels(base)
+    ident = F.col(f"`{id_col}`")
+    order = docs.select(F.col(row).alias("row"), ident.isNull().alias("no_id"), ident.alias("id"))
+    copies = _copies(order, levels, _shortest(base, min_words))
+    return _deleted(base, materialize(_extended(copies, levels), "lines-ends"))
+
+
+def _without(text, cuts):
+    """The text without the lines in the cuts (sorted, disjoint ranges of positions)."""
+    lines = F.split(text, "\n", -1)
+    # a kept range goes from the end of one cut to the start of the next
+    kept = F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.slice(
+        lines, F.when(i == 0, 1).otherwise(F.get(cuts, i - 1)["hi"] + 2),
+        F.when(i == F.size(cuts), F.size(lines)).otherwise(F.get(cuts, i)["lo"])
+        - F.when(i == 0, 0).otherwise(F.get(cuts, i - 1)["hi"] + 1)))
+    return F.array_join(F.flatten(kept), "\n")
+
+
+def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                min_words: int = MIN_WORDS) -> tuple[DataFrame, str]:
+    """``docs`` with later copies of repeated runs deleted from the texts, and a column of the
+    number of lines deleted (its name is returned too)."""
+    p = private(docs)
+    row = f"{p}row"
+    stored = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "lines-docs")
+    cuts = repeated_runs(stored, row, text_col, id_col, min_words).select(
+        F.col("row").alias(f"{p}r"), F.col("cuts").alias(f"{p}cuts"), F.col("lines").alias(f"{p}lines"))
+    text = F.col(f"`{text_col}`")
+    clean = F.when(F.col(f"{p}cuts").isNull(), text).otherwise(_without(text, F.col(f"{p}cuts")))
+    joined = stored.join(cuts, F.col(row) == F.col(f"{p}r"), "left")
+    return joined.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+                         F.coalesce(F.col(f"{p}lines"), F.lit(0)).alias(f"{p}removed")), f"{p}removed"
+
+
+def remove_repeated_runs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                         min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with later copies of repeated runs deleted; the columns stay."""
+    return dedup_lines(docs, text_col, id_col, min_words)[0].select(
+        *[F.col(f"`{c}`") for c in docs.columns])

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm import mixing, quality, ship, simhash
+from weekcast.llm import decontam, line_runs, mixing, quality, ship, simhash
 from weekcast.sources.tables import load
 
-for _module in ("common", "mixing", "quality", "simhash"):
+for _module in ("common", "decontam", "line_runs", "mixing", "quality", "simhash"):
     ship(f"weekcast.llm.{_module}")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,21 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(load(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+@register
+def op3_line_dedup(spark, sf_dir):
+    """Every document without the later copies of repeated line runs."""
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    clean, removed = line_runs.dedup_lines(docs)
+    return clean.select("doc_id", "text", F.col(removed).alias("n_removed"))
+
+
+@register
+def op5_decontamination(spark, sf_dir):
+    """Documents that contain a benchmark item, and the item."""
+    return decontam.contaminated(load(spark, sf_dir, "documents", ["doc_id", "text"]),
+                                 load(spark, sf_dir, "benchmark"))
+
+
 @register
 def op7_mixing(spark, sf_dir):
     """Words that the mix takes of every document."""
