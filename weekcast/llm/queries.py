@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm import decontam, line_runs, mixing, quality, ship, simhash
+from weekcast.llm import (decontam, langid, licenses, line_runs, mixing, quality, secrets, ship,
+                          simhash)
 from weekcast.sources.tables import load
 
-for _module in ("common", "decontam", "line_runs", "mixing", "quality", "simhash"):
+for _module in ("common", "decontam", "langid", "licenses", "line_runs", "mixing", "quality", "secrets",
+                "simhash"):
     ship(f"weekcast.llm.{_module}")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +37,13 @@ def op3_line_dedup(spark, sf_dir):
     return clean.select("doc_id", "text", F.col(removed).alias("n_removed"))
 
 
+@register
+def op4_secrets(spark, sf_dir):
+    """Secrets in every document."""
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    return secrets.find_secrets(docs, prefix="").drop("text")
+
+
 @register
 def op5_decontamination(spark, sf_dir):
     """Documents that contain a benchmark item, and the item."""
@@ -42,6 +51,13 @@ def op5_decontamination(spark, sf_dir):
                                  load(spark, sf_dir, "benchmark"))
 
 
+@register
+def op6_licenses(spark, sf_dir):
+    """License phrases and templates in every document."""
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    return licenses.find_licenses(docs, prefix="").drop("text")
+
+
 @register
 def op7_mixing(spark, sf_dir):
     """Words that the mix takes of every document."""
@@ -49,6 +65,16 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register
+def op8_language(spark, sf_dir):
+    """Predicted language of every document; learned from the rows that are not held out."""
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs.filter(~held & F.col("doc_id").isNotNull()), "text", "lang", "doc_id")
+    out = langid.identify(docs.select("doc_id", "text"), model, prefix="")
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "spans")
+
+
 @register
 def op10_host_quality(spark, sf_dir):
     """Statistics and verdict of every document."""
