@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm import (decontam, langid, licenses, line_runs, mixing, quality, secrets, ship,
-                          simhash)
+from weekcast.llm import (decontam, html_blocks, langid, licenses, line_runs, mixing, quality, secrets,
+                          ship, simhash)
 from weekcast.sources.tables import load
 
-for _module in ("common", "decontam", "langid", "licenses", "line_runs", "mixing", "quality", "secrets",
+for _module in ("common", "decontam", "html_blocks", "langid", "licenses", "line_runs", "mixing", "quality", "secrets",
                 "simhash"):
     ship(f"weekcast.llm.{_module}")
 
@@ -29,6 +29,13 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(load(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+@register
+def op2_main_text(spark, sf_dir):
+    """Main text of every page."""
+    pages = load(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return html_blocks.extract(pages, prefix="", keep=["page_id", "url"])
+
+
 @register
 def op3_line_dedup(spark, sf_dir):
     """Every document without the later copies of repeated line runs."""
