@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm import (decontam, html_blocks, langid, licenses, line_runs, mixing, quality, secrets,
-                          ship, simhash)
+from weekcast.llm import (decontam, html_blocks, langid, licenses, line_runs, mixing, pii, quality,
+                          secrets, ship, simhash)
 from weekcast.sources.tables import load
 
 for _module in ("common", "decontam", "html_blocks", "langid", "licenses", "line_runs", "mixing", "quality", "secrets",
@@ -82,6 +82,17 @@ def op8_language(spark, sf_dir):
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "spans")
 
 
+@register
+def op9_pii(spark, sf_dir):
+    """Personal data in every document."""
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    marked, p = pii.find_pii(docs)
+    return marked.select(
+        "doc_id", *[F.size(f"{p}{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.spans_text(p, pii.KINDS), 256).alias("base_sha256"),
+        pii.spans_text(p, (*pii.KINDS, pii.OTHER)).alias("spans"))
+
+
 @register
 def op10_host_quality(spark, sf_dir):
     """Statistics and verdict of every document."""
