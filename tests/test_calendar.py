@@ -55,10 +55,18 @@ def test_yearweek_and_monday_of_dates(spark):
 
 
 def test_malformed_week_keys_give_null(spark):
-    df = spark.createDataFrame([("",), ("2016ab",), (None,)], "yw string")
+    bad = ["", "2016ab", None, "201660", "201600", "20163", "2016-1", "201699", "201453", "2016011",
+           "000001"]
+    df = spark.createDataFrame([(x,) for x in bad], "yw string")
     assert all(r.m is None for r in df.select(cal.monday("yw").alias("m")).collect())
 
 
+def test_week_53_only_where_the_year_has_it(spark):
+    df = spark.createDataFrame([("201553",), ("201653",), ("202053",)], "yw string")
+    got = {r.yw: r.m for r in df.select("yw", cal.monday("yw").alias("m")).collect()}
+    assert got == {"201553": dt.date(2015, 12, 28), "201653": None, "202053": dt.date(2020, 12, 28)}
+
+
 def test_wing_length():
     assert cal.wing_length(17) == 8 and cal.wing_length(5) == 2
     import pytest
@@ -73,6 +81,14 @@ def test_hundredths_half_up_matches_decimal(spark):
     rnd = random.Random(11)
     cases = [(rnd.randint(0, 10**9), rnd.randint(1, 10**5)) for _ in range(4000)]
     cases += [(1, 8), (5, 200), (125, 1000), (3, 2), (0, 7)]  # exact ties and zero
+    from weekcast.functions.scalar import half_up_div
+    odd = spark.createDataFrame([(2.5, 1), (0.9, 1), (-2.5, 1), (0.005, 1), (-0.005, 1), (1.0, 3)],
+                                "n double, d long")
+    assert [r.h for r in odd.select(sc.hundredths_half_up("n", "d").alias("h")).collect()] == \
+        [250, 90, -250, 1, 0, 33]
+    big = spark.createDataFrame([(2**62 + 1, 3)], "n long, d long")
+    r = big.select(sc.int_div("n", "d").alias("q"), half_up_div("n", "d").alias("h")).first()
+    assert r.q == (2**62 + 1) // 3 and r.h == (2 * (2**62 + 1) + 3) // 6
     df = spark.createDataFrame(cases, "n long, d long")
     out = df.select("n", "d", sc.hundredths_half_up("n", "d").alias("h"),
                     sc.int_div("n", "d").alias("q"))

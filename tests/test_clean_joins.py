@@ -93,7 +93,45 @@ def test_malformed_csv(spark, tmp_path):
                    ("201605", None)]
     bad = {r.YEARWEEK: r._reject_reason for r in files.rejects(raw, "product_volume").collect()}
     assert set(bad) == {"2016041", "201605"}
+    # rows of the wrong field count are reported when their lines are kept
+    whole = files.load_csv(spark, str(p), "product_volume", keep_corrupt=True)
+    assert rows(whole.drop(files.CORRUPT)) == rows(raw)
+    bad = {r.YEARWEEK: r._reject_reason for r in files.rejects(whole, "product_volume").collect()}
+    assert set(bad) == {"2016041", "201605", "201602", "201603"}
+    assert bad["201602"] == bad["201603"] == "wrong number of fields"
     with pytest.raises(ValueError):
         files.load_csv(spark, str(p), "product_volume", Delimeter=",")
     with pytest.raises(ValueError):
         files.require_columns(raw, ["PLANWEE"])
+
+
+def test_csv_columns_go_by_header_name(spark, tmp_path):
+    p = tmp_path / "sellout.csv"
+    p.write_text("Product,REGIONID,Qty,YearWeek,EXTRA\nP1,R1,5,201601,x\n")
+    got = files.typed(files.load_csv(spark, str(p), "sellout"), "sellout")
+    assert [tuple(r) for r in got.select("REGIONID", "PRODUCT", "YEARWEEK", "QTY").collect()] == \
+        [("R1", "P1", "201601", 5.0)]
+    assert got.columns == ["REGIONID", "PRODUCT", "YEARWEEK", "QTY"]
+    q = tmp_path / "short.csv"
+    q.write_text("PRODUCT,REGIONID,QTY\nP1,R1,5\n")
+    with pytest.raises(ValueError):
+        files.load_csv(spark, str(q), "sellout")
+    bare = tmp_path / "bare.csv"
+    bare.write_text("R1,P1,201601,5\n")
+    assert rows(files.load_csv(spark, str(bare), "sellout", header=False)) == [("R1", "P1", "201601", "5")]
+
+
+def test_files_with_different_headers_are_not_mixed(spark, tmp_path):
+    d = tmp_path / "many"
+    d.mkdir()
+    (d / "a.csv").write_text("REGIONID,PRODUCT,YEARWEEK,QTY\nR1,P1,201601,5\n")
+    (d / "b.csv").write_text("PRODUCT,REGIONID,YEARWEEK,QTY\nP1,R1,201601,5\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.load_csv(spark, str(d), "sellout").collect()
+
+
+def test_typed_view_of_lower_case_frames(spark):
+    df = spark.createDataFrame([("R", "P", "201601", "5x")],
+                               "regionid string, product string, yearweek string, qty string")
+    t = files.typed(df, "sellout")
+    assert len(t.columns) == 4 and t.first()[3] is None

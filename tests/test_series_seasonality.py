@@ -156,3 +156,28 @@ def test_history_paths_keep_every_input_row(spark):
     hist = f.filter(F.col("fcst") == 0).filter(F.col("qty") > 0)
     assert hist.count() == 3  # history rows carry fcst = fcst_timeseries = 0
     assert rows(f.filter("yearweek = '201603'"), "k", "fcst") == [("A", 2.0), ("B", 0.5)]
+
+
+def test_series_operators_on_upper_case_frames(spark):
+    df = spark.createDataFrame([("A", "201552", 5.0), ("A", "201602", 7.0)],
+                               "REGIONID string, YEARWEEK string, QTY double")
+    out = series.fill_weeks(df, ["regionid"], fill={"qty": 0.0})
+    assert rows(out) == [("A", "201552", 5.0), ("A", "201553", 0.0), ("A", "201601", 0.0),
+                         ("A", "201602", 7.0)]
+    ext = series.extend_weeks(df, ["regionid"], 1, fill={"qty": 0.0}, only_new=True)
+    assert rows(ext) == [("A", "201603", 0.0)]
+    assert series.active_keys(df, ["regionid"]).count() == 2
+    ratio = series.moving_ratio(out, ["regionid"], ["yearweek"], "qty", 3)
+    f = forecast.level_seasonal_forecast(ratio, ["regionid"], horizon=1, fill={"qty": 0.0})
+    new = f.filter("YEARWEEK = '201603'").first()
+    assert (new.REGIONID, new.QTY, new.fcst) == ("A", 0.0, 3.0) and f.count() == 5
+    from weekcast.operators import clean
+    assert rows(clean.clamp_column(df, "qty", 6.0, None), "QTY") == [(6.0,), (7.0,)]
+
+
+def test_gap_fill_leaves_rows_without_a_week(spark):
+    df = spark.createDataFrame([("A", "201601", 1.0), ("A", "999901x", 2.0), ("A", "201660", 3.0),
+                                ("A", "201603", 4.0)], "k string, yearweek string, qty double")
+    out = series.fill_weeks(df, ["k"], fill={"qty": 0.0})
+    assert rows(out, "yearweek", "qty") == [("201601", 1.0), ("201602", 0.0), ("201603", 4.0),
+                                            ("201660", 3.0), ("999901x", 2.0)]

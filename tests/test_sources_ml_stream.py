@@ -56,52 +56,30 @@ def test_kmeans(spark):
     assert {r.prediction for r in seg.select("prediction").distinct().collect()} <= {0, 1}
 
 
-def test_stream_matches_batch(spark, tmp_path):
-    from weekcast.streaming import start_weekly_sales
-    src = tmp_path / "lineitem"
-    src.mkdir()
-    os.symlink(os.path.join(SF_SMALL, "lineitem.parquet"), src / "part-0.parquet")
-    name = f"ws_test_{uuid.uuid4().hex[:8]}"  # a stream resumes from its name's checkpoint
-    q = start_weekly_sales(spark, str(src), SF_SMALL, out_dir="", name=name,
-                           trigger_once=True, fmt="memory", mode="complete")
-    q.awaitTermination(300)
-    got = spark.sql(f"SELECT regionid, product, yearweek, qty FROM {name}")
-    assert rows(got) == rows(ds.weekly_sales(spark, SF_SMALL))
-
-
-def test_stream_append_mode_resumes_and_emits_closed_weeks(spark, tmp_path):
-    """Two arrivals of line-item files; the query is stopped and resumed from its
-    checkpoint.  In append mode every week is written once, after the watermark
-    (two weeks behind the newest ship date) has passed it, with the batch value."""
-    from weekcast.streaming import start_weekly_sales
+def test_stream_equals_batch_for_files_in_any_order(spark, tmp_path):
+    """Line files that are not ordered by ship date arrive twice, with a stop in between: the
+    current sums equal the batch aggregate of all files seen, late lines included."""
+    from weekcast.streaming import current_weekly_sales, start_weekly_sales
     li = spark.read.parquet(os.path.join(SF_SMALL, "lineitem.parquet"))
     src, out = tmp_path / "lineitem", str(tmp_path / "out")
-    cut = "1998-01-01"
-    li.filter(F.col("l_shipdate") < cut).coalesce(1).write.parquet(str(src / "a"))
-    name = f"ws_append_{uuid.uuid4().hex[:8]}"
-    pattern = str(src / "*")
-
-    def run():
-        q = start_weekly_sales(spark, pattern, SF_SMALL, out_dir=out, name=name,
-                               trigger_once=True)
+    half = F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(2))
+    name = f"ws_{uuid.uuid4().hex[:8]}"  # a stream resumes from its name's checkpoint
+
+    def arrive(folder, part):
+        li.filter(half == part).repartition(3).write.parquet(str(src / folder))
+        q = start_weekly_sales(spark, str(src / "*"), SF_SMALL, out, name=name, trigger_once=True)
         q.awaitTermination(300)
+        return current_weekly_sales(spark, out)
+
+    first = arrive("a", 0)
+    assert 0 < first.agg(F.sum("qty")).first()[0] < li.agg(F.sum("l_quantity")).first()[0]
+    assert rows(arrive("b", 1)) == rows(ds.weekly_sales(spark, SF_SMALL))
+
 
-    run()
-    first = spark.read.parquet(out).count()
-    li.filter(F.col("l_shipdate") >= cut).coalesce(1).write.parquet(str(src / "b"))
-    run()  # resumes from the checkpoint: only the new file is read
-    got = spark.read.parquet(out)
-    assert got.count() > first > 0
-    # each emitted (region, product, week) appears once, with the batch quantity
-    assert got.groupBy("regionid", "product", "yearweek").count().filter("count > 1").count() == 0
-    batch = ds.weekly_sales(spark, SF_SMALL)
-    emitted = got.select("regionid", "product", "yearweek", "qty")
-    assert emitted.exceptAll(batch).count() == 0
-    # every week that closed before the final watermark has been emitted
-    max_ship = li.agg(F.max("l_shipdate")).first()[0]
-    closed = batch.filter(F.date_add(cal.monday("yearweek"), 7) <=
-                          F.date_sub(F.lit(max_ship).cast("date"), 14))
-    assert closed.exceptAll(emitted).count() == 0
+def test_kmeans_rejects_null_features(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 1.0), (5.0, 5.0)], "a double, b double")
+    with pytest.raises(Exception):
+        ml.kmeans_segments(df, ["a", "b"]).collect()
 
 
 def test_sink_modes_and_partitioned_parquet(spark, tmp_path):

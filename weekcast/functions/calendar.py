@@ -65,16 +65,26 @@ def yearweek_str(k: ColumnOrName) -> Column:
     return F.lpad(_col(k).cast("string"), 6, "0")
 
 
+def valid_yearweek(yw: ColumnOrName) -> Column:
+    """Whether the key names an ISO week: six digits, year from 1 on, week 1 to the last week
+    of that year.  NULL for a NULL key."""
+    y, w = year_of(yw), week_of(yw)
+    return _col(yw).rlike("^[0-9]{6}$") & (y >= 1) & (w >= 1) & (
+        (w <= 52) | ((w == 53) & (weeks_in_year(y) == 53)))
+
+
 def monday(yw: ColumnOrName) -> Column:
     """Monday (DATE) of week key ``yw``.
 
     Week 1 is the week holding January 4th, so its Monday is
     ``date_trunc('week', Jan 4)``; week ``w`` starts ``7*(w-1)`` days later.
-    Malformed keys give NULL (``try_cast``), never an exception.
+    A key that names no week (not six digits, week 00, week 53 of a year of
+    52, ...) gives NULL, never an exception and never another week's Monday.
     """
     y, w = year_of(yw), week_of(yw)
     jan4 = F.make_date(y, F.lit(1), F.lit(4))
-    return F.date_add(F.date_trunc("week", jan4).cast("date"), (w - 1) * 7)
+    return F.when(valid_yearweek(yw),
+                  F.date_add(F.date_trunc("week", jan4).cast("date"), (w - 1) * 7))
 
 
 def week_add(yw: ColumnOrName, gap: int | Column) -> Column:

@@ -97,21 +97,29 @@ def any_null(cols: list[ColumnOrName]) -> Column:
 
 
 def int_div(a: ColumnOrName, b: ColumnOrName) -> Column:
-    """Integral division (SQL ``div``) of non-negative BIGINT by positive BIGINT.
+    """Integral division (SQL ``div``) of integers; exact over the whole BIGINT range."""
+    return F.call_function("div", _col(a).cast("decimal(20,0)"), _col(b).cast("decimal(20,0)"))
 
-    ``a - pmod(a, b)`` is an exact multiple of ``b``, so the double division
-    is exact (operands below 2**53) and the cast loses nothing.
-    """
-    a, b = _col(a).cast("bigint"), _col(b).cast("bigint")
-    return ((a - F.pmod(a, b)) / b).cast("bigint")
+
+def half_up_div(num: ColumnOrName, den: ColumnOrName) -> Column:
+    """``num / den`` rounded to the nearest integer, halves toward +inf, on integers
+    (``den`` positive)."""
+    n, d = _col(num).cast("decimal(25,0)"), _col(den).cast("decimal(25,0)")
+    twice = n * 2 + d
+    quotient = F.call_function("div", twice, d * 2)
+    # div cuts toward zero; a negative remainder means one less
+    return quotient - F.when((twice < 0) & (twice % (d * 2) != 0), 1).otherwise(0)
+
+
+def to_micros(c: ColumnOrName) -> Column:
+    """A number to six places as a BIGINT of millionths (exact from there on)."""
+    return (_col(c).cast("decimal(18,6)") * F.lit(1_000_000).cast("decimal(7,0)")).cast("bigint")
 
 
 def hundredths_half_up(num: ColumnOrName, den: ColumnOrName) -> Column:
     """``num/den`` rounded half-up to 2 places, as integer hundredths (BIGINT).
 
-    For non-negative integer ``num`` and positive integer ``den`` this is
-    exact integer arithmetic: ``(200*num + den) div (2*den)``.  Two-place
-    rounding of a double mean depends on summation order; this does not.
+    ``num`` may be fractional: it is taken to six places exactly.  Two-place rounding of a
+    double mean depends on summation order; this does not.
     """
-    n, d = _col(num).cast("bigint"), _col(den).cast("bigint")
-    return int_div(n * 200 + d, d * 2)
+    return half_up_div(to_micros(num), _col(den).cast("decimal(14,0)") * 10_000)

@@ -5,7 +5,7 @@ a large share of the rows is reduced to one partial row per map task before
 the shuffle.  "Per key, repeated on every row" is an aggregate joined back on
 the key rather than an unordered window: a window would put a hot key's rows
 into one task, the join lets AQE broadcast the small aggregate or split a
-skewed partition.
+skewed partition.  The join back is null-safe: rows with a NULL key stay.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekcast.operators.joins import join_back
+
 
 def mean_by_key(df: DataFrame, keys, value: str, name: str = "avg_qty") -> DataFrame:
     """Mean per key (A1); an empty key cannot occur, so no size-0 guard is needed."""
@@ -29,9 +31,12 @@ def count_mean_by_key(df: DataFrame, keys, value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"), F.avg(value).alias("mean"))
 
 
-def min_max(df: DataFrame, col: str, keys=()) -> DataFrame:
-    """Global (A4) or per-key (A5) min and max of ``col``."""
-    aggs = [F.min(col).alias(f"min_{col}"), F.max(col).alias(f"max_{col}")]
+def min_max(df: DataFrame, col: str, keys=(), also=()) -> DataFrame:
+    """Global (A4) or per-key (A5) min and max of ``col`` and the columns ``also``.
+
+    Numbers and dates keep the aggregate hashed; strings make Spark sort the rows.
+    """
+    aggs = [f(c).alias(f"{n}_{c}") for c in (col, *also) for n, f in (("min", F.min), ("max", F.max))]
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
 
@@ -41,7 +46,7 @@ def stats_on_rows(df: DataFrame, keys, value: str, prefix: str = "") -> DataFram
                               F.sum(value).alias(prefix + "sum"),
                               F.avg(value).alias(prefix + "mean"),
                               F.stddev_pop(value).alias(prefix + "stddev"))
-    return df.join(s, on=list(keys), how="inner")
+    return join_back(df, s, keys)
 
 
 def nonzero_mean(df: DataFrame, keys, value: str, name: str = "nz_mean") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weekcast.functions.calendar import week_of, year_of
 from weekcast.functions.scalar import any_null, clamp
+from weekcast.operators.names import resolve
 
 
 def valid_week(df: DataFrame, col: str = "yearweek", max_week: int = 52) -> DataFrame:
@@ -42,6 +43,7 @@ def drop_long_keys(df: DataFrame, col: str = "yearweek", length: int = 6) -> Dat
 
 def clamp_column(df: DataFrame, col: str, lo=None, hi=None) -> DataFrame:
     """Clamp a numeric column in place (X16-X18); either bound may be omitted."""
+    col = resolve(df, col)
     c = F.col(col)
     if lo is not None and hi is not None:
         e = clamp(c, lo, hi)

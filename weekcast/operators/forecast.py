@@ -8,10 +8,11 @@ Mondays (``datediff / 7``), never ``YYYYWW`` integer subtraction, so the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.calendar import monday, week_of, week_sequence, yearweek
+from weekcast.operators.names import resolve, resolve_all, resolve_keys
 
 
 def mean_recent_forecast(df: DataFrame, keys, week_col: str = "yearweek", value: str = "qty",
@@ -19,8 +20,9 @@ def mean_recent_forecast(df: DataFrame, keys, week_col: str = "yearweek", value:
     """Mean of the rows present in the last ``recent`` weeks, as the forecast for each of the
     next ``horizon`` weeks (C12, F16, A16).  One row per key per horizon week."""
     keys = list(keys)
-    gmax = df.agg(F.max(monday(week_col)).alias("_g")).scalar()  # Monday of the last week
-    rec = df.filter(monday(week_col) > F.date_add(gmax, -7 * recent))
+    last = df.agg(F.max(monday(week_col)).alias("_g"))  # Monday of the last week
+    gmax = last.scalar()
+    rec = df.filter(monday(week_col) > last.select(F.date_add("_g", -7 * recent)).scalar())
     m = rec.groupBy(*keys).agg(F.avg(value).alias("fcst")).withColumn("_gmax", gmax)
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_h")
     return (m.select(*keys, "fcst", "_gmax", steps)
@@ -31,8 +33,9 @@ def mean_recent_forecast(df: DataFrame, keys, week_col: str = "yearweek", value:
 def level_seasonal_forecast(df: DataFrame, keys, week_col: str = "yearweek",
                             value: str = "qty", season_col: str = "seasonality",
                             recent: int = 4, horizon: int = 4, fill: dict | None = None,
-                            only_new: bool = False, last_week: Column | None = None,
-                            legacy_week: int | None = None) -> DataFrame:
+                            only_new: bool = False, last_week: DataFrame | None = None,
+                            legacy_week: int | None = None,
+                            monday_col: str | None = None) -> DataFrame:
     """Level x seasonality forecast per key.
 
     fcst        = sum(qty of the last ``recent`` weeks) / recent
@@ -50,7 +53,9 @@ def level_seasonal_forecast(df: DataFrame, keys, week_col: str = "yearweek",
     53 rows per key), then per-key totals as windows over that small result;
     each (key, week number) row emits the future weeks carrying its week
     number, and the key's first row also emits the future weeks whose number
-    never occurred.  ``df`` is read once when ``only_new``.
+    never occurred.  ``df`` is read once when ``only_new``.  ``monday_col``
+    names a column that holds each row's Monday already (it is left out of
+    the result).
 
     ``legacy_week`` reproduces the formula as the source script wrote it
     (Q6): when the key's history holds week number ``legacy_week`` the target
@@ -58,14 +63,16 @@ def level_seasonal_forecast(df: DataFrame, keys, week_col: str = "yearweek",
     seasonality is that sum / ``recent`` and ``fcst_timeseries`` uses the
     undivided sum.
     """
-    keys = list(keys)
-    fill = dict(fill or {})
-    wk = monday(week_col)
-    gmax = monday(last_week) if last_week is not None else \
-        df.agg(F.max(wk).alias("_g")).scalar()
-    rec = df.withColumn("_wk", wk).withColumn(
+    keys, week_col = resolve_all(df, keys), resolve(df, week_col)
+    value, season_col = resolve(df, value), resolve(df, season_col)
+    fill = resolve_keys(df, fill)
+    wk = F.col(monday_col) if monday_col else monday(week_col)
+    gmax = last_week.select(monday(last_week.columns[0])).scalar() if last_week is not None \
+        else df.agg(F.max(wk).alias("_g")).scalar()
+    number = F.weekofyear(wk) if monday_col else week_of(week_col)
+    rec = df.withColumn("_wk", wk).withColumn("_number", number).withColumn(
         "_recent", F.datediff(gmax, F.col("_wk")) <= 7 * (recent - 1))
-    g1 = rec.groupBy(*keys, week_of(week_col).alias("_wn")).agg(
+    g1 = rec.groupBy(*keys, F.col("_number").alias("_wn")).agg(
         F.avg(season_col).alias("_target"), F.count(season_col).alias("_n"),
         F.sum(F.when(F.col("_recent"), F.col(value))).alias("_rq"),
         F.sum(F.when(F.col("_recent"), F.col(season_col))).alias("_rs"),
@@ -99,12 +106,14 @@ def level_seasonal_forecast(df: DataFrame, keys, week_col: str = "yearweek",
     f = f.withColumn(week_col, yearweek("_wk")).withColumn("fcst_timeseries", ts) \
          .withColumn(season_col, shown)
     cols = []
+    df = df.drop(monday_col) if monday_col else df
     for fld in df.schema.fields:
         c = fld.name
         if c in keys or c in (week_col, season_col):
             cols.append(F.col(c).cast(fld.dataType).alias(c))
-        elif c in ("year", "week"):
-            part = F.substring(week_col, 1, 4) if c == "year" else F.substring(week_col, 5, 2)
+        elif c.lower() in ("year", "week"):
+            part = F.substring(week_col, 1, 4) if c.lower() == "year" else \
+                F.substring(week_col, 5, 2)
             cols.append(part.cast(fld.dataType).alias(c))
         elif c in fill:
             cols.append(F.lit(fill[c]).cast(fld.dataType).alias(c))

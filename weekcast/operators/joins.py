@@ -44,7 +44,8 @@ def dedupe_lookup(right: DataFrame, keys, value: str, order, pick: str = "first"
     """
     if pick not in ("first", "last"):
         raise ValueError("pick must be 'first' or 'last'")
-    ordk = F.struct(*[F.col(c) for c in order])
+    # a single column is passed plainly: fixed-width order and value keep the aggregate hashed
+    ordk = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     agg = F.min_by if pick == "first" else F.max_by
     return right.groupBy(*keys).agg(agg(F.col(value), ordk).alias(value))
 
@@ -93,6 +94,14 @@ def overlay_fanout(left: DataFrame, right: DataFrame, left_key: str, right_key:
         *[left[c] for c in left.columns])
 
 
+def by_key(df: DataFrame, key: dict) -> DataFrame:
+    """The rows of one key (K9): a plain predicate that the scan can use."""
+    cond = F.lit(True)
+    for c, v in key.items():
+        cond = cond & (F.col(c) == F.lit(v))
+    return df.filter(cond)
+
+
 def with_global(df: DataFrame, **aggs: Column) -> DataFrame:
     """Attach whole-table aggregates (e.g. ``max_week=F.max('yearweek')``) to every row.
 
@@ -103,6 +112,23 @@ def with_global(df: DataFrame, **aggs: Column) -> DataFrame:
     return df.select("*", *[df.agg(e.alias(k)).scalar().alias(k) for k, e in aggs.items()])
 
 
+def join_back(df: DataFrame, per_key: DataFrame, keys) -> DataFrame:
+    """``df`` with the columns of ``per_key`` (one row per key) on every row.
+
+    The keys are compared null-safe, so rows with a NULL key get the values of the NULL key
+    and no row is lost; AQE broadcasts a small ``per_key`` or splits a skewed partition.
+    """
+    keys = list(keys)
+    names = {k: f"_back_{i}" for i, k in enumerate(keys)}
+    right = per_key.select(*[F.col(k).alias(n) for k, n in names.items()],
+                           *[c for c in per_key.columns if c not in names])
+    cond = None
+    for k, n in names.items():
+        c = df[k].eqNullSafe(right[n])
+        cond = c if cond is None else cond & c
+    return df.join(right, cond).drop(*names.values())
+
+
 def missing_from(expected: DataFrame, present: DataFrame, keys) -> DataFrame:
     """Rows of ``expected`` whose keys are absent from ``present``."""
     return expected.join(present.select(*keys).distinct(), on=list(keys), how="left_anti")

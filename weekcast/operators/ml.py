@@ -55,7 +55,61 @@ def regression_metrics(pred: DataFrame, label: str = "qty",
 
 
 def kmeans_segments(df: DataFrame, features, k: int = 2, seed: int = 1) -> DataFrame:
-    """k-means over the numeric ``features`` (M6, C16); adds ``prediction``."""
-    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    """k-means over the numeric ``features`` (M6, C16); adds ``prediction``.
+
+    A NULL feature is an error; fill or filter such rows first.
+    """
+    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     km = KMeans(k=k, seed=seed, featuresCol="features")
     return Pipeline(stages=[va, km]).fit(df).transform(df).drop("features")
+
+
+def category_index(train: DataFrame, columns) -> DataFrame:
+    """(name, label, category_index, n) of each category of each column: 0 is the most
+    frequent label, ties go by label (M1).  The labels of one fitted indexer a column."""
+    out = None
+    for c in columns:
+        model = StringIndexer(inputCol=c, outputCol="category_index").fit(train)
+        part = model.transform(train).groupBy(F.lit(c).alias("name"), F.col(c).alias("label"),
+                                              "category_index").agg(F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def mean_by_category(train: DataFrame, test: DataFrame, categories, label: str = "qty") -> DataFrame:
+    """``test`` with the mean label of its categories in ``train`` as ``prediction`` (0 for
+    categories that ``train`` lacks): a deterministic baseline for M5."""
+    names = {c: f"_c_{c}" for c in categories}
+    means = train.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(
+        F.avg(label).alias("_mean"))
+    cond = None
+    for c, n in names.items():
+        e = test[c].eqNullSafe(means[n])
+        cond = e if cond is None else cond & e
+    return test.join(means, cond, "left").withColumn(
+        "prediction", F.coalesce("_mean", F.lit(0.0))).drop("_mean", *names.values())
+
+
+def leaf_violations(pred: DataFrame, label: str = "qty", tolerance: float = 1e-6) -> DataFrame:
+    """How many training rows sit in a leaf whose prediction is not its rows' mean label (M3)."""
+    leaves = pred.groupBy("prediction").agg(F.avg(label).alias("_mean"), F.count(F.lit(1)).alias("_n"))
+    wrong = F.abs(F.col("_mean") - F.col("prediction")) > tolerance
+    return leaves.agg(F.sum("_n").alias("n_rows"), F.coalesce(
+        F.sum(F.when(wrong, F.col("_n"))), F.lit(0)).alias("n_violations"))
+
+
+def centre_violations(df: DataFrame, features, k: int = 2, seed: int = 1,
+                      tolerance: float = 1e-9) -> DataFrame:
+    """How many rows of a k-means segmentation are nearer to another centre (M6).
+
+    The ``k`` centres are the model; distances are column expressions.
+    """
+    features = list(features)
+    va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
+    model = Pipeline(stages=[va, KMeans(k=k, seed=seed, featuresCol="features")]).fit(df)
+    far = F.array(*[sum(((F.col(f) - F.lit(float(x))) ** 2 for f, x in zip(features, centre)),
+                        F.lit(0.0)) for centre in model.stages[-1].clusterCenters()])
+    rows = model.transform(df).withColumn("_d", far)
+    wrong = F.get("_d", F.col("prediction")) > F.array_min("_d") + tolerance
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"),
+                    F.count(F.when(wrong, 1)).alias("n_violations"))

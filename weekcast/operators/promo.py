@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekcast.functions.scalar import promo_prices, round_half_up
-from weekcast.operators.joins import lookup
+from weekcast.operators.joins import join_back, lookup
 
 PRICE_COLS = ("map_price", "ir", "pmap", "pmap10", "pro_percent")
 
@@ -23,21 +23,18 @@ def impute_promo_prices(promo: DataFrame, group_keys=("productgroup", "item"),
     3. pmap / pmap10 / pro_percent / ir from ``promo_prices``; ``pmap10`` is
        output rounded half-up to an integer, ``pro_percent`` uses it unrounded.
 
-    The group statistics are window aggregates over the group, so the plan
-    rows are read once.  A group holds at most one row per (region, nation,
-    week), so its size is bounded by those dimensions, not by the data volume.
+    The group statistics are an aggregate (combined before its shuffle) that is joined back
+    null-safe, so a group of any size is spread over many tasks.
     """
     group_keys = list(group_keys)
     min_plan = promo.agg(F.min(F.col("planweek").try_cast("int"))).scalar()
     p = promo.filter(F.col("targetweek").try_cast("int") >= min_plan)
-    g = Window.partitionBy(*group_keys)
-    nz = F.count(F.when(F.col("map_price") > 0, 1)).over(g)
-    has_zero = F.max(F.when(F.col("map_price") == 0, 1).otherwise(0)).over(g)
-    first = F.min_by(F.col("map_price"), F.struct(*[F.col(c) for c in order])).over(g)
+    nz = F.count(F.when(F.col("map_price") > 0, 1))
+    has_zero = F.max(F.when(F.col("map_price") == 0, 1).otherwise(0))
+    first = F.min_by(F.col("map_price"), F.struct(*[F.col(c) for c in order]))
     price = F.when(has_zero == 1,
-                   F.when(nz != 0, F.sum("map_price").over(g) / nz).otherwise(F.lit(0.0))) \
-             .otherwise(first)
-    j = p.withColumn("_price", price)
+                   F.when(nz != 0, F.sum("map_price") / nz).otherwise(F.lit(0.0))).otherwise(first)
+    j = join_back(p, p.groupBy(*group_keys).agg(price.alias("_price")), group_keys)
     pc = promo_prices("_price", "ir")
     return j.select("regionseg", "salesid", "productgroup", "item", "targetweek", "planweek",
                     F.col("_price").alias("map_price"), pc["ir"].alias("ir"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weekcast.functions.scalar import clamp, clip_band, int_div, round_half_up, safe_div
 from weekcast.operators.clean import drop_week, valid_week
+from weekcast.operators.joins import join_back
 from weekcast.operators.windows import centred
 
 
@@ -79,7 +80,7 @@ def simple_seasonality(df: DataFrame, keys=("regionid", "product"), week_col: st
     c = drop_week(df.withColumn(value, clamp(F.col(value).cast("double"), lo, hi)),
                   week_col, except_week)
     m = c.groupBy(*keys).agg(round_half_up(F.avg(value)).alias("avg_qty"))
-    j = c.join(m, on=keys, how="inner")
+    j = join_back(c, m, keys)
     h = F.when(F.col("avg_qty") == 0, F.lit(100).cast("bigint")) \
          .otherwise(round_half_up(F.col(value) / F.col("avg_qty") * 100))
     return j.withColumn("ratio_h", h).withColumn("ratio", F.col("ratio_h") / 100.0)
@@ -109,5 +110,5 @@ def week_index(df: DataFrame, keys=("regionid", "product"), week_col: str = "yea
     keys = list(keys)
     a = df.groupBy(*keys, week_col).agg(F.sum(value).alias("week_qty"))
     b = a.groupBy(*keys).agg(F.avg("week_qty").alias("mean_week_qty"))
-    j = a.join(b, on=keys, how="inner")
+    j = join_back(a, b, keys)
     return j.withColumn("ratio", safe_div(F.col("week_qty"), F.col("mean_week_qty"), 0.0))

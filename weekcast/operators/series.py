@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from weekcast.functions.calendar import monday, week_add, yearweek
 from weekcast.functions.scalar import safe_div
 from weekcast.operators.joins import with_global
+from weekcast.operators.names import resolve, resolve_all, resolve_keys
 from weekcast.operators.windows import centred
 
 
@@ -47,7 +48,8 @@ def _new_rows(df: DataFrame, gaps: DataFrame, keys, week_col: str, fill: dict,
 
 
 def fill_weeks(df: DataFrame, keys, week_col: str = "yearweek", fill: dict | None = None,
-               derived: dict[str, Column] | None = None) -> DataFrame:
+               derived: dict[str, Column] | None = None,
+               monday_col: str | None = None) -> DataFrame:
     """Add a row for every week missing between each key's first and last week.
 
     Existing rows (duplicates included) are kept as they are; added rows get
@@ -64,16 +66,21 @@ def fill_weeks(df: DataFrame, keys, week_col: str = "yearweek", fill: dict | Non
     The input is a weekly series (a few rows per key and week).  Raw
     transactions must be summed to (keys, week) first (``aggs.sum_by_key``):
     that aggregate runs partial before its shuffle, so a key holding a large
-    share of the raw rows reaches this operator as one row per week.
+    share of the raw rows reaches this operator as one row per week.  Rows
+    whose key names no week stay as they are and get no weeks around them.
+    ``monday_col`` adds each row's Monday as a date, for steps that go on with
+    dates instead of parsing the key again.
     """
-    keys, fill, derived = list(keys), fill or {}, derived or {}
+    keys, week_col = resolve_all(df, keys), resolve(df, week_col)
+    fill, derived = resolve_keys(df, fill), resolve_keys(df, derived)
     wk = monday(week_col)
+    columns = df.columns
     x = df.withColumn("_wk", wk) \
           .withColumn("_next", F.lead("_wk").over(Window.partitionBy(*keys).orderBy("_wk")))
     gaps = F.when(F.datediff("_next", "_wk") > 7,
                   F.sequence(F.date_add("_wk", 7), F.date_sub("_next", 7), _one_week())) \
             .otherwise(F.array().cast("array<date>"))
-    x = x.select(*df.columns, F.posexplode(F.concat(F.array(F.lit(None).cast("date")), gaps))
+    x = x.select(*columns, "_wk", F.posexplode(F.concat(F.array(F.lit(None).cast("date")), gaps))
                  .alias("_pos", "_gap"))
     orig = F.col("_pos") == 0
     x = x.withColumn(week_col, F.when(orig, F.col(week_col)).otherwise(yearweek("_gap")))
@@ -89,6 +96,8 @@ def fill_weeks(df: DataFrame, keys, week_col: str = "yearweek", fill: dict | Non
                         .alias(c))
         else:
             cols.append(F.when(orig, F.col(c)).alias(c))
+    if monday_col:
+        cols.append(F.coalesce("_gap", "_wk").alias(monday_col))
     return x.select(*cols)
 
 
@@ -97,12 +106,13 @@ def extend_weeks(df: DataFrame, keys, horizon: int, week_col: str = "yearweek",
                  only_new: bool = False) -> DataFrame:
     """Add rows after each key's last week up to ``horizon`` weeks past the global last week
     (S10, U1).  Keys ending before the global last week get those weeks too."""
-    keys = list(keys)
+    keys, week_col = resolve_all(df, keys), resolve(df, week_col)
+    fill, derived = resolve_keys(df, fill), resolve_keys(df, derived)
     last = df.groupBy(*keys).agg(F.max(monday(week_col)).alias("_kmax"))
     last = with_global(last, _gmax=F.max("_kmax"))
     gaps = last.select(*keys, F.explode(F.sequence(
         F.date_add("_kmax", 7), F.date_add("_gmax", 7 * horizon), _one_week())).alias("_wk"))
-    new = _new_rows(df, gaps, keys, week_col, fill or {}, derived or {})
+    new = _new_rows(df, gaps, keys, week_col, fill, derived)
     return new if only_new else df.unionByName(new)
 
 
@@ -121,23 +131,23 @@ def moving_ratio(df: DataFrame, partition, order, value: str = "qty", width: int
 
 
 def active_keys(df: DataFrame, keys, week_col: str = "yearweek", threshold: str | None = None,
-                lookback: int = 7, last_week: Column | None = None) -> DataFrame:
+                lookback: int = 7, last_week: DataFrame | None = None) -> DataFrame:
     """Rows of keys whose last week is >= ``threshold``.
 
     Default threshold: ``lookback`` weeks before the global last week (a key
     with no sales in the last ``lookback + 1`` weeks is discontinued); pass
-    ``last_week`` (e.g. a ``global_value`` computed from a cheaper source) to
-    avoid a separate pass over ``df``.  The key's last week is a window
+    ``last_week`` (a one-row frame, e.g. from a cheaper source) to avoid a
+    separate pass over ``df``.  The threshold is computed in that one row.  The key's last week is a window
     maximum over the key, which shares the exchange and sort of any other
     per-series window on the same keys.
     """
-    keys = list(keys)
+    keys, week_col = resolve_all(df, keys), resolve(df, week_col)
     kmax = F.max(week_col).over(Window.partitionBy(*keys))
     if threshold is not None:
         thr = F.lit(threshold)
     else:
-        anchor = last_week if last_week is not None else global_value(df, F.max(week_col))
-        thr = week_add(anchor, -lookback)
+        one = last_week if last_week is not None else df.agg(F.max(week_col).alias("w"))
+        thr = one.select(week_add(one.columns[0], -lookback)).scalar()
     return df.withColumn("_kmax", kmax).filter(F.col("_kmax") >= thr).drop("_kmax")
 
 
@@ -153,9 +163,7 @@ def last_weeks(df: DataFrame, n: int, week_col: str = "yearweek",
 
     ``inclusive``: keep ``week >= last - n`` (n+1 weeks); else ``week > last - n`` (n weeks).
     """
-    g = with_global(df, _gmax=F.max(week_col))
-    start = week_add(F.col("_gmax"), -n)
-    cond = F.col(week_col) >= start if inclusive else F.col(week_col) > start
-    return g.filter(cond).drop("_gmax")
+    start = df.agg(F.max(week_col).alias("w")).select(week_add("w", -n)).scalar()
+    return df.filter(F.col(week_col) >= start if inclusive else F.col(week_col) > start)
 
 

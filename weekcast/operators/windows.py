@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.calendar import wing_length
-from weekcast.functions.scalar import safe_div
-from weekcast.session import checkpoint_dir
+from weekcast.functions.scalar import half_up_div, safe_div, to_micros
+from weekcast.operators.joins import join_back
+from weekcast.sources.sinks import materialize
 
 
 def centred(partition, order, width: int) -> Window:
@@ -36,8 +37,7 @@ def moving_stddev(df: DataFrame, partition, order, value: str, width: int,
 
 def partition_mean(df: DataFrame, keys, value: str, name: str = "avg_qty") -> DataFrame:
     """Whole-partition mean on every row (W1), as aggregate + join (see ``aggs``)."""
-    m = df.groupBy(*keys).agg(F.avg(value).alias(name))
-    return df.join(m, on=list(keys), how="inner")
+    return join_back(df, df.groupBy(*keys).agg(F.avg(value).alias(name)), keys)
 
 
 def partition_ratio(df: DataFrame, keys, value: str, default=1.0, mean_name="avg_qty",
@@ -47,6 +47,23 @@ def partition_ratio(df: DataFrame, keys, value: str, default=1.0, mean_name="avg
         .withColumn(ratio_name, safe_div(F.col(value), F.col(mean_name), default))
 
 
+def partition_ratio_exact(df: DataFrame, keys, value: str, mean_name: str = "avg_qty",
+                          ratio_name: str = "ratio") -> DataFrame:
+    """Mean per partition and value/mean, both rounded half-up to 2 places.
+
+    The values are taken to six places as exact integers, so neither result depends on the
+    order of summation; a mean of 0 gives ratio 1.  NULL values stay out of the mean.
+    """
+    x = df.withColumn("_micros", to_micros(value))
+    per_key = x.groupBy(*keys).agg(F.sum("_micros").alias("_s"), F.count("_micros").alias("_n"))
+    x = join_back(x, per_key.withColumn("_mean_h", F.when(
+        F.col("_n") > 0, half_up_div(F.col("_s"), F.col("_n") * 10_000))), keys)
+    ratio_h = F.when(F.col("_mean_h") == 0, F.lit(100).cast("bigint")).otherwise(
+        half_up_div(F.col("_micros"), F.col("_mean_h") * 100))
+    return x.withColumn(mean_name, F.col("_mean_h") / 100.0) \
+            .withColumn(ratio_name, ratio_h / 100.0).drop("_micros", "_s", "_n", "_mean_h")
+
+
 def rank_desc(df: DataFrame, partition, measure: str, tiebreak, name: str = "rank") -> DataFrame:
     """1-based row number by ``measure`` descending, ties broken by ``tiebreak``."""
     w = Window.partitionBy(*partition).orderBy(F.col(measure).desc(),
@@ -75,44 +92,41 @@ def top_n(df: DataFrame, partition, measure: str, tiebreak, n: int) -> DataFrame
         .drop("_rn")
 
 
-def rank_within_groups(df: DataFrame, group_keys, measure: str, tiebreak, buckets: int = 64,
-                       name: str = "rank", count_name: str = "cnt",
-                       stage: bool = True) -> DataFrame:
-    """Exact 1-based rank by ``measure`` descending (ties by ``tiebreak``) inside each group,
-    plus the group size, without sorting a whole group in one task.
-
-    A partial ``percentile_approx`` per group gives ``buckets - 1`` cut points;
-    each row's bucket is the number of cut points above its value, so buckets
-    follow the descending order and equal values share a bucket.  Rows are
-    ranked inside (group, bucket); a small (group x bucket) count table gives
-    each bucket's offset.  The cut points only balance the buckets, the rank
-    is exact whatever they are, and a group holding a large share of the
-    rows is spread over up to ``buckets`` tasks.
-
-    ``df`` is read by several branches (cut points, ranks, offsets); with
-    ``stage`` it is first checkpointed into the shared checkpoint folder, so
-    its lineage runs once.  Use it on an already aggregated input (one row
-    per ranked item), whose size is bounded by the number of items.
+def global_index(df: DataFrame, order, name: str = "pos", stage: str = "sorted") -> DataFrame:
+    """Number the rows 0, 1, 2, ... in the total order ``order``, without a single task.
+
+    Rows are sorted in range partitions and written once to the shared stage folder (their
+    numbers must not change between two readings); the partitions' row counts, as many as
+    there are partitions, give each partition its first number.
+    """
+    mono = f"_{name}_in_part"
+    staged = materialize(df.orderBy(*order).withColumn(mono, F.monotonically_increasing_id()), stage)
+    part = F.shiftright(F.col(mono), 33)
+    sizes = staged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+    first, pairs = 0, []
+    for row in sizes:
+        pairs += [F.lit(row["p"]), F.lit(first).cast("long")]
+        first += row["n"]
+    starts = F.create_map(*pairs) if pairs else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    inside = F.col(mono).bitwiseAND(F.lit((1 << 33) - 1))
+    return staged.withColumn(name, starts[part] + inside).drop(mono)
+
+
+def rank_within_groups(df: DataFrame, group_keys, measure: str, tiebreak,
+                       name: str = "rank", count_name: str = "cnt") -> DataFrame:
+    """Exact 1-based rank by ``measure`` descending (NULL last, ties by ``tiebreak``) inside
+    each group, plus the group size, without sorting a whole group in one task.
+
+    All rows are sorted once by (group, measure, tiebreak) in range partitions and numbered;
+    a row's rank is its number less the smallest of its group.  The range bounds cut on the
+    whole sort key, so neither a large group nor one value shared by a whole group lands in
+    one task.  NULL keys are a group.  The tiebreak must make the order total.
     """
     gk = list(group_keys)
-    if stage:
-        checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    pcts = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*gk).agg(F.percentile_approx(measure, pcts, 10000).alias("_cuts"),
-                               F.count(F.lit(1)).alias(count_name))
-    m = F.col(measure)
-    x = df.join(cuts, on=gk).withColumn("_b", F.size(F.filter("_cuts", lambda c: c > m))) \
-          .drop("_cuts")
-    wb = Window.partitionBy(*gk, "_b")
-    xw = (x.withColumn("_local", F.row_number().over(wb.orderBy(m.desc(),
-                                                                 *[F.col(c) for c in tiebreak])))
-           .withColumn("_bn", F.count(F.lit(1)).over(wb)))
-    # one row per bucket carries its size; the running sum over the group's buckets is the
-    # offset.  Both branches read the same exchange of ``x`` (reused in the plan).
-    before = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = (xw.filter(F.col("_local") == 1)
-              .select(*gk, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off")))
-    return (xw.join(offs, on=[*gk, "_b"])
-              .withColumn(name, (F.col("_off") + F.col("_local")).cast("int"))
-              .drop("_b", "_local", "_bn", "_off"))
+    order = [F.col(k).asc_nulls_first() for k in gk] + [F.col(measure).desc_nulls_last()] + \
+        [F.col(c).asc_nulls_first() for c in tiebreak]
+    numbered = global_index(df, order, "_at", "ranked")
+    per_group = numbered.groupBy(*gk).agg(F.min("_at").alias("_from"),
+                                          F.count(F.lit(1)).alias(count_name))
+    return join_back(numbered, per_group, gk) \
+        .withColumn(name, (F.col("_at") - F.col("_from") + 1).cast("int")).drop("_at", "_from")

@@ -5,9 +5,7 @@ promotion plans, key-correction tables and masters.  Each is defined here as
 a DataFrame over the provided Parquet tables, so every query's work grows with
 the input tables.
 
-Plan shape: ``nation`` and ``region`` are the only broadcast sides (fixed
-size by the schema definition: 25 and 5 rows).  Every other join is left to
-Catalyst + AQE, which broadcasts a side only when its measured runtime size is
+Plan shape: every join is left to Catalyst + AQE, which broadcasts a side only when its measured runtime size is
 under ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles both
 sides on the join key (skewed partitions are split by AQE skew-join).
 Aggregations run partial (map-side) before their shuffle.
@@ -18,24 +16,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.functions.calendar import yearweek, yearweek_int, yearweek_str
+from weekcast.functions.calendar import week_start, yearweek, yearweek_int, yearweek_str
 from weekcast.sources.tables import load
 
 # Fixed values of the derived promotion table: brands whose list price is
-# recorded as zero (no promotion price known) and the earliest plan week.
+# recorded as zero (no promotion price known), and the years from the first
+# order to the first plan week, so that some target weeks lie before it.
 ZERO_PRICE_BRAND = "Brand#3"
 RETURN_ZERO_PRICE_BRANDS = ("Brand#1", "Brand#2")
-FIRST_PLAN_WEEK = "199801"
+YEARS_BEFORE_PLANS = 4
 
 
 def customer_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer -> nation -> region (customer key, segment, nation, region)."""
     n = load(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     r = load(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    nr = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name",
+    nr = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name",
                                                                         "r_name")
     c = load(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
-    return c.join(F.broadcast(nr), c.c_nationkey == nr.n_nationkey) \
+    return c.join(nr, c.c_nationkey == nr.n_nationkey) \
             .select("c_custkey", "c_mktsegment", "n_name", "r_name")
 
 
@@ -68,14 +67,14 @@ def weekly_sales(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
     return g.select("regionid", "product", yearweek_str("_yw").alias("yearweek"), "qty")
 
 
-def sales_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales_base(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
     """The star join aggregated once at the finest grain the sales and promotion
     tables need: (region, size class, type, nation, segment, brand, ship week).
 
     ``sales_detail`` and ``promotion`` both roll up from it (sum / max / min
     compose), so a pipeline that needs both reads the line items once.
     """
-    f = line_facts(spark, sf_dir)
+    f = line_facts(spark, sf_dir, since)
     zero = (F.col("p_brand") == ZERO_PRICE_BRAND) | (
         F.col("p_brand").isin(*RETURN_ZERO_PRICE_BRANDS) & (F.col("l_returnflag") == "R"))
     price = F.when(zero, F.lit(0.0)).otherwise(F.floor("p_retailprice").cast("double"))
@@ -97,9 +96,19 @@ def sales_base(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "_max_ir", "_min_order_week")
 
 
-def sales_detail(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+def last_ship_monday(spark: SparkSession, sf_dir: str):
+    """Monday (date) of the last week with a shipped line; one value, from one column.
+
+    Lines before it can then be left out by a plain bound on the ship date.
+    """
+    return load(spark, sf_dir, "lineitem", ["l_shipdate"]).agg(
+        week_start(F.max("l_shipdate")).alias("m")).first()["m"]
+
+
+def sales_detail(spark: SparkSession, sf_dir: str, base: DataFrame | None = None,
+                 since=None) -> DataFrame:
     """Six-segment weekly sales (the ``pro_actual_sales`` layout, lower-case names)."""
-    b = base if base is not None else sales_base(spark, sf_dir)
+    b = base if base is not None else sales_base(spark, sf_dir, since)
     return b.select("regionseg1", "productseg1", "productseg2", "regionseg2", "regionseg3",
                     "productseg3", "yearweek",
                     F.substring("yearweek", 1, 4).cast("int").alias("year"),
@@ -112,17 +121,22 @@ def promotion(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -
 
     map_price: the largest list price of the week's lines (0 for brands without a
     known price); ir: the largest rebate; planweek: the first order week, not
-    before ``FIRST_PLAN_WEEK``.
+    before the first week of the year ``YEARS_BEFORE_PLANS`` after the table's
+    first order.  ``base`` is read twice: write it once and pass it.
     """
     b = base if base is not None else sales_base(spark, sf_dir)
+    first_year = F.floor(F.min("_min_order_week") / 100) + YEARS_BEFORE_PLANS
+    first_plan = b.agg(yearweek_str(first_year * 100 + 1)).scalar()
     return (b.groupBy(F.col("regionseg1").alias("regionseg"),
                       F.col("regionseg2").alias("salesid"),
                       F.col("productseg2").alias("productgroup"),
                       F.col("productseg3").alias("item"), F.col("yearweek").alias("targetweek"))
-             .agg(F.greatest(yearweek_str(F.min("_min_order_week")), F.lit(FIRST_PLAN_WEEK))
-                  .alias("planweek"),
+             .agg(F.min("_min_order_week").alias("_first"),
                   F.max("_max_price").alias("map_price"),
-                  F.max("_max_ir").alias("ir")))
+                  F.max("_max_ir").alias("ir"))
+             .select("regionseg", "salesid", "productgroup", "item", "targetweek",
+                     F.greatest(yearweek_str("_first"), first_plan).alias("planweek"),
+                     "map_price", "ir"))
 
 
 def account_promo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,16 +165,15 @@ def sellout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key-correction table (suta_tin -> mata_tin) with blank-padded source keys.
 
-    One row per pending order: an account key may map to several new keys, so
+    One row per order, of any status: an account key may map to several new keys, so
     "first" / "last" need the explicit order (o_orderdate, o_orderkey).
     """
     o = load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate",
                                        "o_orderstatus"])
-    return (o.filter(F.col("o_orderstatus") == "P")
-             .select(F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(" "))
-                     .alias("suta_tin"),
-                     F.concat(F.lit("K"), F.col("o_orderkey").cast("string")).alias("mata_tin"),
-                     "o_orderdate", "o_orderkey"))
+    return o.select(F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(" "))
+                    .alias("suta_tin"),
+                    F.concat(F.lit("K"), F.col("o_orderkey").cast("string")).alias("mata_tin"),
+                    "o_orderdate", "o_orderkey", "o_orderstatus")
 
 
 def tax_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,11 +201,12 @@ def region_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sellout_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw weekly volumes as an upstream system would export them.
+    """Raw weekly volumes as an upstream system would export them: all columns are strings.
 
     ``yearweek`` is written without zero padding (``20163`` for week 3), so
     some keys are malformed; ``volume`` (open lines) and ``target`` (returned
-    lines) are NULL for weeks without such lines.
+    lines) are NULL for weeks without such lines, and a volume that leaves 3
+    when divided by 7 carries its unit, so it is no number.
     """
     f = line_facts(spark, sf_dir)
     d = F.col("l_shipdate").cast("date")
@@ -201,9 +215,18 @@ def sellout_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (f.groupBy(F.col("r_name").alias("regionid"), F.col("p_brand").alias("productgroup"),
                       raw_yw.alias("yearweek"))
              .agg(F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity")))
-                  .alias("volume"),
+                  .cast("bigint").alias("_v"),
                   F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")))
-                  .alias("target")))
+                  .cast("bigint").cast("string").alias("target"))
+             .select("regionid", "productgroup", "yearweek",
+                     F.when(F.col("_v") % 7 == 3, F.concat(F.col("_v").cast("string"),
+                                                            F.lit(" EA")))
+                     .otherwise(F.col("_v").cast("string")).alias("volume"), "target"))
+
+
+#: Types of the typed view of ``sellout_raw``.
+SELLOUT_TYPES = {"regionid": "string", "productgroup": "string", "yearweek": "string",
+                 "volume": "double", "target": "double"}
 
 
 def promo_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,13 +240,26 @@ def promo_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "discount")
 
 
+def sales_and_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly volume and, where lines were returned, price and discount: one pass over the
+    lines for what ``weekly_sales`` and ``promo_data`` hold."""
+    back = F.col("l_returnflag") == "R"
+    g = (line_facts(spark, sf_dir)
+         .groupBy(F.col("r_name").alias("regionid"), F.col("p_brand").alias("productgroup"),
+                  yearweek_int("l_shipdate").alias("_yw"))
+         .agg(F.sum("l_quantity").alias("volume"),
+              F.max(F.when(back, F.col("p_retailprice"))).alias("price"),
+              F.max(F.when(back, F.col("l_extendedprice") * F.col("l_discount")))
+              .alias("discount"),
+              F.count(F.when(back, 1)).alias("n_returned")))
+    return g.select("regionid", "productgroup", yearweek_str("_yw").alias("yearweek"), "volume",
+                    "price", "discount", "n_returned")
+
+
 def dt_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decision-tree input: weekly sales with holiday / promotion categories."""
-    ws = weekly_sales(spark, sf_dir)
-    pd_ = promo_data(spark, sf_dir).withColumnRenamed("regionid", "p_regionid") \
-                                   .withColumnRenamed("yearweek", "p_yearweek")
-    j = ws.join(pd_, (ws.regionid == pd_.p_regionid) & (ws["product"] == pd_.productgroup) &
-                (ws.yearweek == pd_.p_yearweek), "left")
+    j = sales_and_returns(spark, sf_dir).withColumnRenamed("productgroup", "product") \
+                                        .withColumnRenamed("volume", "qty")
     week = F.substring("yearweek", 5, 2).cast("int")
     return j.select("regionid", "product",
                     F.col("yearweek").cast("int").alias("yearweek"),

@@ -65,7 +65,9 @@ _view("sales_detail", ("line_facts",), f"""
 _view("promotion", ("line_facts",), f"""
   SELECT r_name AS regionseg, n_name AS salesid, p_type AS productgroup, p_brand AS item,
          {yw('l_shipdate')} AS targetweek,
-         greatest(min({yw('o_orderdate')}), '199801') AS planweek,
+         greatest(min({yw('o_orderdate')}), (
+           SELECT lpad(CAST(CAST(substr(min({yw('o_orderdate')}), 1, 4) AS INTEGER) + 4 AS VARCHAR),
+                       4, '0') || '01' FROM line_facts)) AS planweek,
          max(CASE WHEN p_brand = 'Brand#3'
                     OR (p_brand IN ('Brand#1', 'Brand#2') AND l_returnflag = 'R')
                   THEN 0.0 ELSE CAST(floor(p_retailprice) AS DOUBLE) END) AS map_price,
@@ -85,7 +87,7 @@ _view("sellout", ("line_facts",), f"""
 _view("key_fix", (), """
   SELECT ' ' || CAST(o_custkey AS VARCHAR) || ' ' AS suta_tin,
          'K' || CAST(o_orderkey AS VARCHAR) AS mata_tin, o_orderdate, o_orderkey
-  FROM orders WHERE o_orderstatus = 'P'""")
+  FROM orders""")
 
 _view("tax_accounts", (), """
   SELECT CAST(c_custkey AS VARCHAR) || '  ' AS suta_tin, c_name, c_mktsegment FROM customer""")
@@ -97,12 +99,15 @@ _view("region_master", (), """
   WHERE n_regionkey = 0""")
 
 _view("sellout_raw", ("line_facts",), """
-  SELECT r_name AS regionid, p_brand AS productgroup,
-         CAST(isoyear(CAST(l_shipdate AS DATE)) AS VARCHAR)
-           || CAST(week(CAST(l_shipdate AS DATE)) AS VARCHAR) AS yearweek,
-         SUM(CASE WHEN l_linestatus = 'O' THEN l_quantity END) AS volume,
-         SUM(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS target
-  FROM line_facts GROUP BY 1, 2, 3""")
+  SELECT regionid, productgroup, yearweek,
+         CASE WHEN v % 7 = 3 THEN v || ' EA' ELSE CAST(v AS VARCHAR) END AS volume,
+         CAST(t AS VARCHAR) AS target
+  FROM (SELECT r_name AS regionid, p_brand AS productgroup,
+               CAST(isoyear(CAST(l_shipdate AS DATE)) AS VARCHAR)
+                 || CAST(week(CAST(l_shipdate AS DATE)) AS VARCHAR) AS yearweek,
+               CAST(SUM(CASE WHEN l_linestatus = 'O' THEN l_quantity END) AS BIGINT) AS v,
+               CAST(SUM(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS BIGINT) AS t
+        FROM line_facts GROUP BY 1, 2, 3) x""")
 
 _view("promo_data", ("line_facts",), f"""
   SELECT r_name AS regionid, p_brand AS productgroup, {yw('l_shipdate')} AS yearweek,
@@ -222,9 +227,40 @@ SELECT regionid, productgroup, yearweek, volume, target, volume IS NULL AS volum
 FROM sellout_raw WHERE volume IS NULL OR target IS NULL""")
 
 ORACLE["null_fill"] = sql(["sellout_raw"], """
-SELECT regionid, productgroup, yearweek, coalesce(volume, 0.0) AS volume, target
+SELECT regionid, productgroup, yearweek, coalesce(volume, '0') AS volume,
+       coalesce(target, '0') AS target
+FROM sellout_raw""")
+
+ORACLE["any_null_rows"] = sql(["sellout_raw"], """
+SELECT * FROM sellout_raw
+WHERE regionid IS NULL OR productgroup IS NULL OR yearweek IS NULL OR volume IS NULL
+   OR target IS NULL""")
+
+ORACLE["typed_view"] = sql(["sellout_raw"], """
+SELECT regionid, productgroup, yearweek, TRY_CAST(volume AS DOUBLE) AS volume,
+       coalesce(TRY_CAST(target AS DOUBLE), 0.0) AS target
 FROM sellout_raw""")
 
+_VALID = """(length({k}) = 6 AND TRY_CAST(substr({k}, 5, 2) AS INTEGER) BETWEEN 1 AND
+  week(make_date(CAST(substr({k}, 1, 4) AS INTEGER), 12, 28)))"""
+
+ORACLE["reject_report"] = sql(["sellout_raw"], f"""
+SELECT regionid, productgroup, yearweek, volume, target, concat_ws('; ',
+         CASE WHEN bad_number THEN 'bad double in volume' END,
+         CASE WHEN bad_week THEN 'bad week key in yearweek' END) AS reason
+FROM (SELECT *, volume IS NOT NULL AND TRY_CAST(volume AS DOUBLE) IS NULL AS bad_number,
+             NOT {_VALID.format(k='yearweek')} AS bad_week FROM sellout_raw) x
+WHERE bad_number OR bad_week""")
+
+ORACLE["week_validity"] = sql(["sellout_raw"], f"""
+SELECT yearweek, valid, CASE WHEN valid THEN {monday('yearweek')} END AS monday,
+       CASE WHEN valid THEN {week_add('yearweek', 1)} END AS next_week,
+       CASE WHEN {_VALID.format(k="(substr(yearweek, 1, 4) || '53')")}
+            THEN {monday("(substr(yearweek, 1, 4) || '53')")} END AS monday_of_week_53
+FROM (SELECT DISTINCT yearweek, {_VALID.format(k='yearweek')} AS valid FROM sellout_raw) x""")
+
+ORACLE["csv_roundtrip"] = sql(["weekly_sales"], "SELECT * FROM weekly_sales")
+
 ORACLE["complete_rows"] = sql(["sellout_raw"], """
 SELECT * FROM sellout_raw
 WHERE regionid IS NOT NULL AND productgroup IS NOT NULL AND yearweek IS NOT NULL
@@ -339,6 +375,54 @@ LEFT JOIN (SELECT trim(suta_tin) AS k, mata_tin FROM key_fix) b ON trim(a.suta_t
 ORACLE["param_filter"] = sql(["weekly_sales"], """
 SELECT * FROM weekly_sales WHERE regionid IN ('ASIA', 'EUROPE') OR product IN ('Brand#7')""")
 
+ORACLE["param_filter_all"] = sql(["weekly_sales"], "SELECT * FROM weekly_sales")
+
+ORACLE["account_by_key"] = sql(["account_promo"], """
+SELECT accountid, yearweek, pro_percent, o_orderkey FROM account_promo WHERE accountid = '7'""")
+
+ORACLE["sql_view"] = sql(["weekly_sales"], """
+SELECT regionid, yearweek, sum(qty) AS qty, count(*) AS products FROM weekly_sales
+GROUP BY regionid, yearweek""")
+
+# ------------------------------------------------------------------- NULL keys are groups
+
+_NAMED = """
+named AS (SELECT b.regionname, a.product, a.yearweek, a.qty
+          FROM weekly_sales a LEFT JOIN region_master b ON a.regionid = b.regionid)"""
+
+ORACLE["null_key_stats"] = sql(["weekly_sales", "region_master"], f"""
+SELECT regionname, product, yearweek, qty, count(*) OVER w AS cnt, sum(qty) OVER w AS sum,
+       {r6('avg(qty) OVER w', 'mean')}, {r6('stddev_pop(qty) OVER w', 'stddev')}
+FROM named WINDOW w AS (PARTITION BY regionname)""", _NAMED)
+
+ORACLE["null_key_ratio"] = sql(["weekly_sales", "region_master"], f"""
+SELECT regionname, product, yearweek, qty, {r6('m', 'avg_qty')},
+       {r6('CASE WHEN m = 0 THEN 1.0 ELSE qty / m END', 'ratio')}
+FROM (SELECT *, avg(qty) OVER (PARTITION BY regionname) AS m FROM named) x""", _NAMED)
+
+ORACLE["null_key_seasonality"] = sql(["weekly_sales", "region_master"], """
+SELECT regionname, product, yearweek, q AS qty, avg_qty, CAST(CASE WHEN avg_qty = 0 THEN 100
+         ELSE CAST(floor(q / avg_qty * 100 + 0.5) AS BIGINT) END AS DOUBLE) / 100 AS ratio
+FROM (SELECT *, CAST(floor(avg(q) OVER (PARTITION BY regionname) + 0.5) AS BIGINT) AS avg_qty
+      FROM (SELECT *, least(greatest(qty, 0.0), 700000.0) AS q FROM named
+            WHERE CAST(substr(yearweek, 5, 2) AS INTEGER) <> 53) y) x""", _NAMED)
+
+ORACLE["null_key_week_index"] = sql(["weekly_sales", "region_master"], f"""
+SELECT yearweek, regionname, week_qty, {r6('m', 'mean_week_qty')},
+       {r6('CASE WHEN m = 0 THEN 0.0 ELSE week_qty / m END', 'ratio')}
+FROM (SELECT *, avg(week_qty) OVER (PARTITION BY regionname) AS m
+      FROM (SELECT regionname, yearweek, sum(qty) AS week_qty FROM named GROUP BY 1, 2) y) x""",
+                                     _NAMED)
+
+ORACLE["null_key_clusters"] = sql(["weekly_sales", "region_master"], f"""
+SELECT regionname, product, sum_qty, rank, {r6('rank / cnt', 'ratio')},
+       CASE WHEN rank / cnt <= 0.3 THEN 0 WHEN rank / cnt <= 0.6 THEN 1 ELSE 2 END AS cluster
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY regionname ORDER BY sum_qty DESC, product)
+                     AS INTEGER) AS rank, count(*) OVER (PARTITION BY regionname) AS cnt
+      FROM (SELECT regionname, product, sum(qty) AS sum_qty FROM named
+            WHERE yearweek >= (SELECT {week_add('max(yearweek)', -20)} FROM named)
+            GROUP BY regionname, product) y) x""", _NAMED)
+
 # --------------------------------------------------------------------------- aggregates
 
 ORACLE["avg_by_key"] = sql(["weekly_sales"], f"""
@@ -409,6 +493,26 @@ FROM (SELECT *, (200 * CAST(sum(qty) OVER w AS BIGINT) + count(*) OVER w)
         AND product IN ('Brand#1', 'Brand#2')
       WINDOW w AS (PARTITION BY regionid, product)) t""")
 
+ORACLE["partition_ratio_net"] = sql(["line_facts"], """
+SELECT regionid, product, CAST(avg_h AS DOUBLE) / 100 AS avg_net,
+       CAST(CASE WHEN avg_h = 0 THEN 100 ELSE (2 * u + avg_h * 100) // (2 * avg_h * 100) END
+            AS DOUBLE) / 100 AS ratio, count(*) AS n
+FROM (SELECT *, (2 * sum(u) OVER w + 10000 * count(*) OVER w) // (20000 * count(*) OVER w) AS avg_h
+      FROM (SELECT r_name AS regionid, p_brand AS product,
+                   CAST(CAST(l_quantity * (1 - l_discount) AS DECIMAL(18, 6)) * 1000000 AS BIGINT) AS u
+            FROM line_facts) y
+      WINDOW w AS (PARTITION BY regionid, product)) x
+GROUP BY ALL""")
+
+ORACLE["moving_avg_coarse"] = sql(["sales_detail"], f"""
+SELECT regionseg1, productseg2, productseg3, yearweek, qty,
+       {r6("avg(qty) OVER (PARTITION BY regionseg1 ORDER BY productseg2, productseg3, yearweek "
+           "ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)", 'mv_region')},
+       {r6("avg(qty) OVER (PARTITION BY regionseg1, productseg2 ORDER BY yearweek, productseg3 "
+           "ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)", 'mv_type')}
+FROM (SELECT regionseg1, productseg2, productseg3, yearweek, sum(qty) AS qty FROM sales_detail
+      GROUP BY 1, 2, 3, 4) x""")
+
 for _n, _wing in (("moving_avg_3", 1), ("moving_avg_5", 2)):
     ORACLE[_n] = sql(["weekly_sales"], f"""
 SELECT regionid, product, yearweek, qty,
@@ -487,6 +591,24 @@ FROM (SELECT regionid, product,
             GROUP BY 1, 2) k,
            (SELECT max({monday('yearweek')}) AS gmax FROM weekly_sales) g) t""")
 
+ORACLE["history_and_future_weeks"] = sql(["weekly_sales"], f"""
+SELECT * FROM weekly_sales UNION ALL
+SELECT regionid, product, {yw('wk')} AS yearweek, CAST(0.0 AS DOUBLE) AS qty
+FROM (SELECT regionid, product,
+             CAST(unnest(generate_series(kmax + 7, gmax + 28, INTERVAL 7 DAY)) AS DATE) AS wk
+      FROM (SELECT regionid, product, max({monday('yearweek')}) AS kmax FROM weekly_sales
+            GROUP BY 1, 2) k,
+           (SELECT max({monday('yearweek')}) AS gmax FROM weekly_sales) g) t""")
+
+_SEG3 = "regionseg1, productseg2, productseg3"
+ORACLE["filled_weeks"] = sql(["sales_detail"], f"""
+SELECT {_SEG3}, yearweek, year, week, qty, 'Y' AS promotion_check FROM seg3
+UNION ALL
+SELECT {_SEG3}, {yw('m')}, CAST(isoyear(m) AS INTEGER), CAST(week(m) AS INTEGER), 0.0, 'N'
+FROM miss3""", f"""
+seg3 AS (SELECT {_SEG3}, yearweek, year, week, sum(qty) AS qty FROM sales_detail GROUP BY ALL),
+""" + _missing_weeks("seg3", _SEG3, "miss3"))
+
 _C5 = _missing_weeks("weekly_sales", "regionid, product", "missw") + f""",
 c5_f AS (SELECT regionid, product, yearweek, qty FROM weekly_sales
          UNION ALL SELECT regionid, product, {yw('m')}, 0.0 FROM missw),
@@ -512,13 +634,12 @@ ORACLE["item_clusters"] = sql(["sales_detail"], f"""
 SELECT regionseg1, productseg2, productseg3, sum_qty, rank, {r6('rank / cnt', 'ratio')},
        CASE WHEN rank / cnt <= 0.3 THEN 0 WHEN rank / cnt <= 0.6 THEN 1 ELSE 2 END AS cluster
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY regionseg1, productseg2
-                                        ORDER BY regionseg1, productseg2, sum_qty DESC,
-                                                 productseg3) AS INTEGER) AS rank,
+                                        ORDER BY sum_qty DESC, productseg3)
+                     AS INTEGER) AS rank,
                 count(*) OVER (PARTITION BY regionseg1, productseg2) AS cnt
       FROM (SELECT regionseg1, productseg2, productseg3, sum(qty) AS sum_qty
             FROM sales_detail
-            WHERE 1 = 1
-              AND yearweek >= (SELECT {week_add('max(yearweek)', -20)} FROM sales_detail)
+            WHERE yearweek >= (SELECT {week_add('max(yearweek)', -20)} FROM sales_detail)
             GROUP BY regionseg1, productseg2, productseg3) a) b""")
 
 # --------------------------------------------------------------------------- forecasts
@@ -563,7 +684,23 @@ SELECT regionid, product, yearweek, CAST(0.0 AS DOUBLE) AS qty,
        CAST(0.0 AS DOUBLE) AS moving_avg,
        {r6('seasonality', 'seasonality')}, {r6('fcst', 'fcst')},
        {r6('fcst_timeseries', 'fcst_timeseries')}
-FROM c7""", _C5 + "," + _c7("c5", "regionid, product", "c7"))
+FROM c7
+UNION ALL
+SELECT regionid, product, yearweek, qty, {r6('moving_avg', 'moving_avg')},
+       {r6('seasonality', 'seasonality')}, 0.0, 0.0
+FROM c5""", _C5 + "," + _c7("c5", "regionid, product", "c7"))
+
+ORACLE["forecast_legacy"] = sql(["weekly_sales"], f"""
+SELECT regionid, product, yearweek, {r6('s / 4', 'seasonality')}, {r6('fcst', 'fcst')},
+       {r6('CASE WHEN avg_season <> 0 THEN fcst * s / avg_season ELSE 0.0 END',
+           'fcst_timeseries')}
+FROM (SELECT f.regionid, f.product, {yw('f.wk')} AS yearweek, f.fcst, f.avg_season,
+             CASE WHEN h.has THEN h.total ELSE 0.0 END AS s
+      FROM c7_f f JOIN (
+        SELECT regionid, product, sum(seasonality) AS total,
+               bool_or(substr(yearweek, 5, 2) = '28') AS has FROM c5 GROUP BY 1, 2) h
+      ON f.regionid = h.regionid AND f.product = h.product) x""",
+                                 _C5 + "," + _c7("c5", "regionid, product", "c7"))
 
 _E1 = _C3 + f""",
 e1_r AS (
@@ -637,3 +774,51 @@ FROM (SELECT regionid, product, yearweek, 'REAL_QTY' AS measure, qty AS sales FR
       UNION ALL
       SELECT regionid, product, yearweek, 'PREDICTION_QTY', moving_avg FROM c5) t
 GROUP BY regionid, product, yearweek""", _C5)
+
+# --------------------------------------------------------------------------- ML (M1-M7)
+
+_view("dt_input", ("weekly_sales", "promo_data"), """
+  SELECT w.regionid, w.product, CAST(w.yearweek AS INTEGER) AS yearweek,
+         CASE WHEN substr(w.yearweek, 5, 2) IN ('01', '52', '53') THEN 'Y' ELSE 'N' END AS holiday,
+         CASE WHEN p.price IS NOT NULL THEN 'Y' ELSE 'N' END AS promotion,
+         coalesce(least(p.discount / p.price, 1.0), 0.0) AS pro_percent, w.qty
+  FROM weekly_sales w LEFT JOIN promo_data p
+    ON w.regionid = p.regionid AND w.product = p.productgroup AND w.yearweek = p.yearweek""")
+
+ORACLE["ml_split"] = sql(["dt_input"], """
+SELECT CASE WHEN yearweek <= 199952 THEN 'train' ELSE 'test' END AS side, regionid, product,
+       yearweek, qty FROM dt_input""")
+
+_INDEX = """
+counts AS (
+  SELECT 'holiday' AS name, holiday AS label, count(*) AS n FROM dt_input
+  WHERE yearweek <= 199952 GROUP BY 2
+  UNION ALL
+  SELECT 'promotion', promotion, count(*) FROM dt_input WHERE yearweek <= 199952 GROUP BY 2),
+indexed AS (
+  SELECT name, label, CAST(row_number() OVER (PARTITION BY name ORDER BY n DESC, label) - 1
+                           AS DOUBLE) AS category_index, n FROM counts)"""
+
+ORACLE["ml_category_index"] = sql(["dt_input"], "SELECT * FROM indexed", _INDEX)
+
+ORACLE["ml_features"] = sql(["dt_input"], """
+SELECT d.regionid, d.product, d.yearweek, h.category_index AS holiday_in,
+       p.category_index AS promotion_in, d.pro_percent
+FROM dt_input d JOIN indexed h ON h.name = 'holiday' AND h.label = d.holiday
+JOIN indexed p ON p.name = 'promotion' AND p.label = d.promotion
+WHERE d.yearweek > 199952""", _INDEX)
+
+ORACLE["ml_mean_predictor"] = sql(["dt_input"], f"""
+SELECT {r6('sqrt(avg(e * e))', 'rmse')}, {r6('avg(abs(e))', 'mae')}, count(*) AS n
+FROM (SELECT coalesce(m.mean, 0.0) - d.qty AS e FROM dt_input d LEFT JOIN (
+        SELECT holiday, promotion, avg(qty) AS mean FROM dt_input WHERE yearweek <= 199952
+        GROUP BY 1, 2) m ON m.holiday = d.holiday AND m.promotion = d.promotion
+      WHERE d.yearweek > 199952) x""")
+
+ORACLE["dt_leaf_means"] = sql(["dt_input"], """
+SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_violations FROM dt_input
+WHERE yearweek <= 199952""")
+
+ORACLE["kmeans_nearest"] = """
+SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_violations FROM customer c
+WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)"""

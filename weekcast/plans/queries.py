@@ -10,7 +10,10 @@ two-place rounding is part of the semantics.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ from weekcast.operators import aggs, clean, cluster, forecast, joins, promo, sea
 from weekcast.operators import windows as win
 from weekcast.plans import datasets as ds
 from weekcast.plans import flows
-from weekcast.sources import sinks
+from weekcast.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,8 +123,52 @@ def null_report(spark, sf_dir):
 
 @register
 def null_fill(spark, sf_dir):
-    raw = ds.sellout_raw(spark, sf_dir)
-    return clean.fill_nulls(clean.fill_nulls(raw, "0"), 0.0, ["volume"])
+    return clean.fill_nulls(ds.sellout_raw(spark, sf_dir), "0")
+
+
+@register
+def any_null_rows(spark, sf_dir):
+    """Rows with a NULL in any column (F3), without naming the columns."""
+    return clean.rows_with_nulls(ds.sellout_raw(spark, sf_dir))
+
+
+@register
+def typed_view(spark, sf_dir):
+    """The raw strings as typed columns; what is no number becomes NULL (P3, X8), then a
+    numeric fill of one named column (F21)."""
+    t = files.typed(ds.sellout_raw(spark, sf_dir), ds.SELLOUT_TYPES)
+    return clean.fill_nulls(t, 0.0, ["target"])
+
+
+@register
+def reject_report(spark, sf_dir):
+    """Raw rows that do not convert, with the reasons."""
+    return files.rejects(ds.sellout_raw(spark, sf_dir), ds.SELLOUT_TYPES, ("yearweek",)) \
+        .withColumnRenamed("_reject_reason", "reason")
+
+
+@register
+def week_validity(spark, sf_dir):
+    """Raw week keys and the Monday they name, NULL where they name none."""
+    raw = ds.sellout_raw(spark, sf_dir).select("yearweek").distinct()
+    padded = F.concat(F.substring("yearweek", 1, 4), F.lit("53"))
+    return raw.select("yearweek", cal.valid_yearweek("yearweek").alias("valid"),
+                      cal.monday("yearweek").alias("monday"),
+                      cal.week_add("yearweek", 1).alias("next_week"),
+                      cal.monday(padded).alias("monday_of_week_53"))
+
+
+@register
+def csv_roundtrip(spark, sf_dir):
+    """Weekly sales written as CSV with other names and column order into the stage folder,
+    read back by header name and typed (S1, S2, K1)."""
+    ws = ds.weekly_sales(spark, sf_dir).select(
+        F.col("qty").alias("QTY"), F.lit("x").alias("EXTRA"), F.col("yearweek").alias("YEARWEEK"),
+        F.col("product").alias("PRODUCT"), F.col("regionid").alias("REGIONID"))
+    path = sinks.stage_path(spark, "csv_roundtrip")
+    sinks.write_csv(ws, path, sep=";")
+    back = files.typed(files.load_csv(spark, path, "sellout", sep=";"), "sellout")
+    return back.toDF("regionid", "product", "yearweek", "qty")
 
 
 @register
@@ -171,8 +218,11 @@ def _volume(spark, sf_dir):
 
 
 def _promo_join(spark, sf_dir, how):
-    j = joins.join_using(_volume(spark, sf_dir), ds.promo_data(spark, sf_dir),
-                         ["regionid", "productgroup", "yearweek"], how)
+    # both sides come from one pass over the lines, written once (a row per region, brand, week)
+    base = sinks.materialize(ds.sales_and_returns(spark, sf_dir), "sales_and_returns")
+    keys = ["regionid", "productgroup", "yearweek"]
+    returned = base.filter("n_returned > 0").select(*keys, "price", "discount")
+    j = joins.join_using(base.select(*keys, "volume"), returned, keys, how)
     return j.select("regionid", "productgroup", "yearweek", "volume", "price", "discount",
                     sc.discount_guard("discount", "price").alias("new_discount"))
 
@@ -198,7 +248,8 @@ def discounted_price(spark, sf_dir):
 
 @register
 def promo_price_impute(spark, sf_dir):
-    p = promo.impute_promo_prices(ds.promotion(spark, sf_dir))
+    base = sinks.materialize(ds.sales_base(spark, sf_dir), "sales_base")
+    p = promo.impute_promo_prices(ds.promotion(spark, sf_dir, base))
     return p.select("regionseg", "salesid", "productgroup", "item", "targetweek", "planweek",
                     r6("map_price"), r6("ir"), r6("pmap"), "pmap10", r6("pro_percent"))
 
@@ -209,8 +260,8 @@ def _sales_promo(spark, sf_dir, base=None):
     join runs once instead of three times."""
     if base is None:
         base = sinks.materialize(ds.sales_base(spark, sf_dir), "sales_base")
-    return promo.attach_promotion(ds.sales_detail(spark, sf_dir, base),
-                                  promo.impute_promo_prices(ds.promotion(spark, sf_dir, base)))
+    return flows.sales_with_promotion(ds.sales_detail(spark, sf_dir, base),
+                                      ds.promotion(spark, sf_dir, base))
 
 
 @register
@@ -267,6 +318,71 @@ def param_filter(spark, sf_dir):
     return clean.params_filter(ds.weekly_sales(spark, sf_dir), params, "regionid", "product")
 
 
+@register
+def param_filter_all(spark, sf_dir):
+    """``ALL`` and a missing parameter match everything (F13): the region set holds ALL, the
+    product set is not given, and both must hold."""
+    params = spark.createDataFrame([("COMMON", "VALID_REGION", "ALL"),
+                                    ("OTHER", "VALID_PRODUCT", "Brand#7")],
+                                   "CATEGORY string, NAME string, VALUE string")
+    return clean.params_filter(ds.weekly_sales(spark, sf_dir), params, "regionid", "product",
+                               combine="and")
+
+
+@register
+def account_by_key(spark, sf_dir):
+    """Point lookup of a keyed result (K9): the filter reaches the scan."""
+    return joins.by_key(ds.account_promo(spark, sf_dir), {"accountid": "7"}) \
+        .select("accountid", "yearweek", "pro_percent", "o_orderkey")
+
+
+@register
+def sql_view(spark, sf_dir):
+    """A named view queried with SQL."""
+    ds.weekly_sales(spark, sf_dir).createOrReplaceTempView("weekly_sales_view")
+    return spark.sql("""SELECT regionid, yearweek, sum(qty) AS qty, count(*) AS products
+                        FROM weekly_sales_view GROUP BY regionid, yearweek""")
+
+
+# ------------------------------------------------------------------- NULL keys are groups
+
+def _by_name(spark, sf_dir):
+    """Weekly sales with the region's name: the master lacks a region, so names are NULL."""
+    return _master_join(spark, sf_dir, "left").select("regionname", "product", "yearweek", "qty")
+
+
+@register
+def null_key_stats(spark, sf_dir):
+    r = aggs.stats_on_rows(_by_name(spark, sf_dir), ["regionname"], "qty")
+    return r.select("regionname", "product", "yearweek", "qty", "cnt", "sum", r6("mean"),
+                    r6("stddev"))
+
+
+@register
+def null_key_ratio(spark, sf_dir):
+    r = win.partition_ratio(_by_name(spark, sf_dir), ["regionname"], "qty")
+    return r.select("regionname", "product", "yearweek", "qty", r6("avg_qty"), r6("ratio"))
+
+
+@register
+def null_key_seasonality(spark, sf_dir):
+    r = seasonality.simple_seasonality(_by_name(spark, sf_dir), ("regionname",))
+    return r.select("regionname", "product", "yearweek", "qty", "avg_qty", "ratio")
+
+
+@register
+def null_key_week_index(spark, sf_dir):
+    r = seasonality.week_index(_by_name(spark, sf_dir), ["regionname"])
+    return r.select("yearweek", "regionname", "week_qty", r6("mean_week_qty"), r6("ratio"))
+
+
+@register
+def null_key_clusters(spark, sf_dir):
+    c = cluster.item_clusters(sinks.materialize(_by_name(spark, sf_dir), "sales_named"),
+                              ("regionname",), "product")
+    return c.select("regionname", "product", "sum_qty", "rank", r6("ratio"), "cluster")
+
+
 # --------------------------------------------------------------------------- aggregates (A*)
 
 @register
@@ -289,14 +405,20 @@ def count_avg(spark, sf_dir):
 
 @register
 def global_minmax(spark, sf_dir):
-    ws = ds.weekly_sales(spark, sf_dir)
-    return ws.agg(F.min("yearweek").alias("min_yearweek"), F.max("yearweek").alias("max_yearweek"),
-                  F.min("qty").alias("min_qty"), F.max("qty").alias("max_qty"))
+    ws = ds.weekly_sales(spark, sf_dir).withColumn("yearweek", F.col("yearweek").cast("int"))
+    weeks = aggs.min_max(ws, "yearweek", also=("qty",))
+    return weeks.select(cal.yearweek_str("min_yearweek").alias("min_yearweek"),
+                        cal.yearweek_str("max_yearweek").alias("max_yearweek"), "min_qty",
+                        "max_qty")
 
 
 @register
 def group_minmax(spark, sf_dir):
-    return aggs.min_max(ds.weekly_sales(spark, sf_dir), "yearweek", ["regionid", "product"])
+    ws = ds.weekly_sales(spark, sf_dir).withColumn("yearweek", F.col("yearweek").cast("int"))
+    weeks = aggs.min_max(ws, "yearweek", ["regionid", "product"])
+    return weeks.select("regionid", "product",
+                        cal.yearweek_str("min_yearweek").alias("min_yearweek"),
+                        cal.yearweek_str("max_yearweek").alias("max_yearweek"))
 
 
 @register
@@ -308,7 +430,8 @@ def group_stats(spark, sf_dir):
 
 @register
 def nonzero_mean(spark, sf_dir):
-    r = aggs.nonzero_mean(ds.promotion(spark, sf_dir), ["productgroup", "item"], "map_price")
+    base = ds.sales_base(spark, sf_dir)
+    r = aggs.nonzero_mean(ds.promotion(spark, sf_dir, base), ["productgroup", "item"], "map_price")
     return r.select("productgroup", "item", r6("nz_mean"))
 
 
@@ -344,16 +467,18 @@ def partition_ratio(spark, sf_dir):
     ws = ds.weekly_sales(spark, sf_dir, since=cal.first_monday(1996))
     f = clean.drop_week(clean.from_year(ws, "yearweek", 1996), "yearweek", 53) \
         .filter(F.col("product").isin("Brand#1", "Brand#2"))
-    m = f.groupBy("regionid", "product").agg(F.sum("qty").alias("_s"),
-                                              F.count(F.lit(1)).alias("_n"))
-    j = f.join(m, on=["regionid", "product"], how="inner")
-    avg_h = sc.hundredths_half_up("_s", "_n")
-    j = j.withColumn("_avg_h", avg_h)
-    ratio_h = F.when(F.col("_avg_h") == 0, F.lit(100).cast("bigint")) \
-               .otherwise(sc.int_div(F.col("qty").cast("bigint") * 20000 + F.col("_avg_h"),
-                                     F.col("_avg_h") * 2))
-    return j.select("regionid", "product", "yearweek", "qty",
-                    (F.col("_avg_h") / 100.0).alias("avg_qty"), (ratio_h / 100.0).alias("ratio"))
+    r = win.partition_ratio_exact(f, ["regionid", "product"], "qty")
+    return r.select("regionid", "product", "yearweek", "qty", "avg_qty", "ratio")
+
+
+@register
+def partition_ratio_net(spark, sf_dir):
+    """Two-place mean and ratio of a fractional measure (W2, X13): each line's net quantity."""
+    f = ds.line_facts(spark, sf_dir).select(
+        F.col("r_name").alias("regionid"), F.col("p_brand").alias("product"), "l_orderkey",
+        (F.col("l_quantity") * (1 - F.col("l_discount"))).alias("net"))
+    r = win.partition_ratio_exact(f, ["regionid", "product"], "net", "avg_net", "ratio")
+    return r.groupBy("regionid", "product", "avg_net", "ratio").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register
@@ -370,6 +495,20 @@ def moving_avg_5(spark, sf_dir):
     return r.select("regionid", "product", "yearweek", "qty", r6("mv_avg"))
 
 
+@register
+def moving_avg_coarse(spark, sf_dir):
+    """Moving means over coarser partitions than the series (W3 by region; W4 by two of the
+    three keys), in a total order."""
+    s = ds.sales_detail(spark, sf_dir).groupBy("regionseg1", "productseg2", "productseg3",
+                                               "yearweek").agg(F.sum("qty").alias("qty"))
+    r = win.moving_avg(s, ["regionseg1"], ["productseg2", "productseg3", "yearweek"], "qty", 3,
+                       "mv_region")
+    r = win.moving_avg(r, ["regionseg1", "productseg2"], ["yearweek", "productseg3"], "qty", 5,
+                       "mv_type")
+    return r.select("regionseg1", "productseg2", "productseg3", "yearweek", "qty",
+                    r6("mv_region"), r6("mv_type"))
+
+
 @register
 def group_position(spark, sf_dir):
     return win.position_in_group(ds.weekly_sales(spark, sf_dir), ["regionid", "product"],
@@ -401,7 +540,7 @@ def top_n(spark, sf_dir):
 # --------------------------------------------------------------------------- series
 
 SEG6 = ["regionseg1", "productseg1", "productseg2", "regionseg2", "regionseg3", "productseg3"]
-SEG5 = ["regionseg1", "productseg2", "regionseg2", "regionseg3", "productseg3"]
+SEG5 = flows.SEG5
 
 
 def _key_summary(df, keys, flag_col=None):
@@ -422,9 +561,7 @@ def fill_weeks_6key(spark, sf_dir):
 
 
 def _filled5(spark, sf_dir):
-    fill = {"qty": 0.0, "map_price": 0.0, "ir": 0.0, "pmap": 0.0, "pmap10": 0,
-            "pro_percent": 0.0, "promotion_check": "N"}
-    return series.fill_weeks(_sales_promo(spark, sf_dir), SEG5, fill=fill,
+    return series.fill_weeks(_sales_promo(spark, sf_dir), SEG5, fill=flows.PROMO_FILL,
                              derived=series.week_parts())
 
 
@@ -439,6 +576,23 @@ def future_weeks(spark, sf_dir):
                                fill={"qty": 0.0}, only_new=True)
 
 
+@register
+def history_and_future_weeks(spark, sf_dir):
+    """The series followed by its coming weeks (U1: bag union of old and new rows)."""
+    return series.extend_weeks(ds.weekly_sales(spark, sf_dir), ["regionid", "product"], 4,
+                               fill={"qty": 0.0})
+
+
+@register
+def filled_weeks(spark, sf_dir):
+    """Every row of a gap-filled series by region and type, one row a week."""
+    keys = ["regionseg1", "productseg2", "productseg3"]
+    s = ds.sales_detail(spark, sf_dir).groupBy(*keys, "yearweek", "year", "week").agg(
+        F.sum("qty").alias("qty")).withColumn("promotion_check", F.lit("Y"))
+    return series.fill_weeks(s, keys, fill={"qty": 0.0, "promotion_check": "N"},
+                             derived=series.week_parts())
+
+
 def _ratio_series(spark, sf_dir, ws=None):
     ws = ws if ws is not None else ds.weekly_sales(spark, sf_dir)
     f = series.fill_weeks(ws, ["regionid", "product"], fill={"qty": 0.0})
@@ -459,11 +613,16 @@ def active_items(spark, sf_dir):
 
 # --------------------------------------------------------------------------- clusters
 
+def _weeks_back(monday, weeks):
+    return None if monday is None else monday - timedelta(weeks=weeks)
+
+
 @register
 def item_clusters(spark, sf_dir):
-    # read twice (global last week, recent sums): staged once instead of two star joins
-    sales = ds.sales_detail(spark, sf_dir).select("regionseg1", "productseg2", "productseg3",
-                                                  "yearweek", "qty")
+    # only the weeks that count are joined; read twice (last week, recent sums), so staged
+    since = _weeks_back(ds.last_ship_monday(spark, sf_dir), 20)
+    sales = ds.sales_detail(spark, sf_dir, since=since).select(
+        "regionseg1", "productseg2", "productseg3", "yearweek", "qty")
     c = cluster.item_clusters(sinks.materialize(sales, "sales_items"))
     return c.select("regionseg1", "productseg2", "productseg3", "sum_qty", "rank", r6("ratio"),
                     "cluster")
@@ -474,8 +633,9 @@ def item_clusters(spark, sf_dir):
 @register
 def forecast_mean4(spark, sf_dir):
     keys = ["regionseg1", "regionseg2", "productseg2", "productseg3"]
-    sales = sinks.materialize(ds.sales_detail(spark, sf_dir).select(*keys, "yearweek", "qty"),
-                              "sales_recent")
+    since = _weeks_back(ds.last_ship_monday(spark, sf_dir), 4)
+    sales = sinks.materialize(ds.sales_detail(spark, sf_dir, since=since).select(
+        *keys, "yearweek", "qty"), "sales_recent")
     f = forecast.mean_recent_forecast(sales, keys, recent=4, horizon=1)
     return f.select(*keys, "fcst_week", r6("fcst"))
 
@@ -483,12 +643,23 @@ def forecast_mean4(spark, sf_dir):
 @register
 def forecast_level_seasonal(spark, sf_dir):
     ws = sinks.materialize(ds.weekly_sales(spark, sf_dir), "weekly_sales")
-    last_week = series.global_value(ws, F.max("yearweek"))  # the fill adds no later week
+    last_week = ws.agg(F.max("yearweek").alias("w"))  # the fill adds no later week
     f = forecast.level_seasonal_forecast(_ratio_series(spark, sf_dir, ws), ["regionid", "product"],
-                                         fill={"qty": 0.0, "moving_avg": 0.0}, only_new=True,
+                                         fill={"qty": 0.0, "moving_avg": 0.0},
                                          last_week=last_week)
-    return f.select("regionid", "product", "yearweek", "qty", "moving_avg", r6("seasonality"),
-                    r6("fcst"), r6("fcst_timeseries"))
+    return f.select("regionid", "product", "yearweek", "qty", r6("moving_avg"),
+                    r6("seasonality"), r6("fcst"), r6("fcst_timeseries"))
+
+
+@register
+def forecast_legacy(spark, sf_dir):
+    """The forecast rows by the target-week formula as the source script wrote it."""
+    ws = sinks.materialize(ds.weekly_sales(spark, sf_dir), "weekly_sales")
+    f = forecast.level_seasonal_forecast(_ratio_series(spark, sf_dir, ws), ["regionid", "product"],
+                                         fill={"qty": 0.0, "moving_avg": 0.0}, only_new=True,
+                                         legacy_week=28)
+    return f.select("regionid", "product", "yearweek", r6("seasonality"), r6("fcst"),
+                    r6("fcst_timeseries"))
 
 
 @register
@@ -504,7 +675,7 @@ def demand_forecast(spark, sf_dir):
     base = sinks.materialize(ds.sales_base(spark, sf_dir), "sales_base")
     f = flows.demand_forecast_flow(ds.sales_detail(spark, sf_dir, base),
                                    ds.promotion(spark, sf_dir, base), stage=False,
-                                   last_week=series.global_value(base, F.max("yearweek")))
+                                   last_week=base.agg(F.max("yearweek").alias("w")))
     return f.select(*SEG5, "yearweek", "year", "week", "promotion_check", r6("seasonality"),
                     r6("fcst"), r6("fcst_timeseries"))
 
@@ -538,6 +709,60 @@ def _dt_predictions(spark, sf_dir):
     return ml.fit_predict(ml.decision_tree_model(), train, test)
 
 
+def _dt_split(spark, sf_dir):
+    inp = sinks.materialize(ds.dt_input(spark, sf_dir), "dt_input")
+    return ml.split_by_week(inp, "yearweek", LAST_TRAIN_WEEK)
+
+
+@register
+def ml_split(spark, sf_dir):
+    """Both sides of the time split."""
+    train, test = _dt_split(spark, sf_dir)
+    cols = ["regionid", "product", "yearweek", "qty"]
+    return train.select(F.lit("train").alias("side"), *cols).unionByName(
+        test.select(F.lit("test").alias("side"), *cols))
+
+
+@register
+def ml_category_index(spark, sf_dir):
+    """Indices of the categories by falling frequency (M1)."""
+    train, _ = _dt_split(spark, sf_dir)
+    return ml.category_index(train, ["holiday", "promotion"])
+
+
+@register
+def ml_features(spark, sf_dir):
+    """The feature vectors of the test rows (M2, M4)."""
+    train, test = _dt_split(spark, sf_dir)
+    stages = ml.decision_tree_model().getStages()[:-1]
+    out = Pipeline(stages=stages).fit(train).transform(test)
+    v = vector_to_array("features")
+    return out.select("regionid", "product", "yearweek", v[0].alias("holiday_in"),
+                      v[1].alias("promotion_in"), v[2].alias("pro_percent"))
+
+
+@register
+def ml_mean_predictor(spark, sf_dir):
+    """RMSE and MAE of the mean of each category (M5)."""
+    train, test = _dt_split(spark, sf_dir)
+    m = ml.regression_metrics(ml.mean_by_category(train, test, ["holiday", "promotion"]))
+    return m.select(r6("rmse"), r6("mae"), "n")
+
+
+@register
+def dt_leaf_means(spark, sf_dir):
+    """Every leaf of the tree predicts the mean of its training rows (M3)."""
+    train, _ = _dt_split(spark, sf_dir)
+    return ml.leaf_violations(ml.fit_predict(ml.decision_tree_model(), train, train))
+
+
+@register
+def kmeans_nearest(spark, sf_dir):
+    """Every row of the segmentation sits with its nearest centre (M6)."""
+    inp = sinks.materialize(ds.student_like(spark, sf_dir), "kmeans_input")
+    return ml.centre_violations(inp, ["sw", "db", "and"], k=2)
+
+
 @register
 def dt_regression(spark, sf_dir):
     p = _dt_predictions(spark, sf_dir)

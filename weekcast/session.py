@@ -53,12 +53,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be set by the deployment (a shared filesystem); it
-    is read from the session.  Only when it is unset (local tests) a fresh
-    temporary folder is created and registered.
+    is read from the session, or else from the folder given to the context.
+    Only when both are unset (local tests) a fresh temporary folder is
+    created and registered.
     """
     sc = spark.sparkContext
     key = "spark.checkpoint.dir"
-    d = spark.conf.get(key, None) or sc.getConf().get(key, None)
+    d = spark.conf.get(key, None) or sc.getConf().get(key, None) or sc.getCheckpointDir()
     if not d:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")

@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from weekcast.session import checkpoint_dir
 
@@ -33,9 +33,17 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     w.parquet(path)
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a stage in the shared checkpoint folder."""
+    return os.path.join(checkpoint_dir(spark), "stages", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared checkpoint folder and read it back."""
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+
+    The job runs at once, while the plan that reads the stage is still being built.
+    """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "stages", f"{name}-{uuid.uuid4().hex[:12]}")
+    path = stage_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -1,3 +1,4 @@
-from weekcast.streaming.weekly import start_weekly_sales, weekly_sales_stream
+from weekcast.streaming.weekly import (current_weekly_sales, start_weekly_sales,
+                                       weekly_sales_stream)
 
-__all__ = ["start_weekly_sales", "weekly_sales_stream"]
+__all__ = ["current_weekly_sales", "start_weekly_sales", "weekly_sales_stream"]
