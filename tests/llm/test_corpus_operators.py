@@ -77,16 +77,18 @@ def test_simhash_tiles_and_large_groups(spark):
     fps = list({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))
                 for c in center for _ in range(150)} | {rng.getrandbits(64) for _ in range(100)})
     frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    edges = simhash.linked_edges(frame, tile=32)
-    roots = {r.node: r.root for r in simhash.components(edges).collect()}
     want = brute.component_of(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     group = {}
     for f, r in zip(signed, want):
         group.setdefault(r, []).append(f)
-    for members in group.values():
-        assert {roots.get(f, f) for f in members} == {min(members)}
-    assert edges.count() < 8 * len(fps)
+    for blocks, most in ((5, 8), (6, 20)):
+        edges = simhash.linked_edges(frame, tile=32, blocks=blocks)
+        roots = {r.node: r.root for r in simhash.components(edges).collect()}
+        for members in group.values():
+            assert {roots.get(f, f) for f in members} == {min(members)}
+        assert edges.count() < most * len(fps)
+    assert [simhash.block_count(10 ** k) for k in (5, 6, 9, 11, 15)] == [5, 5, 6, 7, 8]
 
 
 @pytest.mark.parametrize("radius", [1, 3, 4, 7])

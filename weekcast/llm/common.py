@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.sources.sinks import materialize
 
 __all__ = ["WORD_BYTES", "ALNUM_BYTES", "LOWER", "arrow_rows", "byte_texts", "bounded_batches",
-           "empty_to", "fresh", "global_index", "materialize", "private", "signed", "str_texts", "word_bounds"]
+           "fresh", "materialize", "private", "str_texts", "word_bounds"]
 
 #: Rows of one Arrow batch of documents; bounds the memory of a Python worker.
 BATCH_ROWS = 512
@@ -77,24 +77,6 @@ def private(df: DataFrame) -> str:
     return prefix
 
 
-def global_index(df: DataFrame, order: list[Column], name: str, stage: str) -> DataFrame:
-    """Number the rows of ``df`` 0, 1, 2, ... in the given order, without a single task.
-
-    The rows are sorted by range partitions and written; the partitions' row counts (as many
-    as there are partitions, whatever the rows) give each partition its first number.
-    """
-    mono, part = f"{name}_mono", F.shiftright(F.col(f"{name}_mono"), 33)
-    staged = materialize(df.orderBy(*order).withColumn(mono, F.monotonically_increasing_id()), stage)
-    counts = staged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    first, starts = 0, [F.lit(0), F.lit(0)]
-    for row in counts:
-        starts += [F.lit(row["p"]), F.lit(first)]
-        first += row["n"]
-    offset = F.create_map(*[x.cast("long") for x in starts[2:] or starts])
-    index = offset[part] + F.col(mono).bitwiseAND(F.lit((1 << 33) - 1))
-    return staged.withColumn(name, index).drop(mono)
-
-
 def arrow_rows(df: DataFrame, columns: list[str], fn, fields: list[T.StructField],
                keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``df`` (all by default) plus the columns that ``fn`` makes.
@@ -127,12 +109,3 @@ def arrow_rows(df: DataFrame, columns: list[str], fn, fields: list[T.StructField
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
           "string": pa.string(), "array<bigint>": pa.list_(pa.int64()),
           "array<string>": pa.list_(pa.string())}
-
-
-def signed(x: int) -> int:
-    """An unsigned 64-bit integer as Spark's signed long."""
-    return x - (1 << 64) if x >> 63 else x
-
-
-def empty_to(column: Column, value) -> Column:
-    return F.coalesce(column, F.lit(value))

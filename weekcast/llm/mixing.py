@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weekcast.llm.common import global_index, materialize
+from weekcast.llm.common import materialize
+from weekcast.operators.windows import global_index
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICES = 4096

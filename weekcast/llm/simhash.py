@@ -5,9 +5,11 @@ its 64-bit fingerprint is 1 if it is set in over half of the XXH64 hashes (seed
 4-word shingles, repeats included.
 
 Links.  Fingerprints link if at most ``RADIUS`` bits differ.  Equal fingerprints fall together
-first, by an aggregate.  The 64 bits are cut into ``RADIUS + 1`` blocks; two linked
-fingerprints agree in one block at least, so every distinct fingerprint goes to one bucket a
-block and only buckets are compared, whole.  In a bucket the fingerprints stand bit-sliced:
+first, by an aggregate.  The 64 bits are cut into ``B > RADIUS`` blocks; two linked fingerprints
+agree in ``B - RADIUS`` blocks at least, so every distinct fingerprint goes to one bucket for
+each choice of that many blocks, and only buckets are compared, whole.  ``B`` is the smallest
+for which evenly spread fingerprints make buckets of a quarter ``TILE`` or less (5 blocks and 5
+buckets a fingerprint up to millions, 6 and 15 up to billions); any ``B`` gives the same links.  In a bucket the fingerprints stand bit-sliced:
 plane ``b`` holds bit ``b`` of 64 fingerprints in one machine word.  One XOR a plane gives
 the differences of a query to 64 fingerprints, carry-save counters (ones, twos, fours, and a
 flag beyond) add them up, and a word all of whose counters exceed the radius is abandoned.
@@ -27,7 +29,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -205,11 +207,26 @@ def group_edges(fps: np.ndarray, group: np.ndarray, second: np.ndarray,
     return fps[child], fps[parent[child]]
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of radius + 1 blocks that make up the 64 bits."""
-    k = radius + 1
-    cuts = [64 * i // k for i in range(k + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def block_count(distinct: int, radius: int = RADIUS, tile: int = TILE) -> int:
+    """Fewest blocks whose buckets hold a quarter tile of evenly spread fingerprints."""
+    blocks = radius + 1
+    while blocks < radius + 4 and distinct > tile / 4 * 2 ** (64 * (blocks - radius) / blocks):
+        blocks += 1
+    return blocks
+
+
+def bucket_keys(fp, radius: int, blocks: int) -> list:
+    """One bucket key (a long) for each choice of ``blocks - radius`` blocks of the 64 bits."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    keys = []
+    for number, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        key, used = F.lit(number << 40).cast("long"), 0
+        for b in chosen:
+            bits = cuts[b + 1] - cuts[b]
+            value = F.shiftrightunsigned(fp, cuts[b]).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+            key, used = key + F.shiftleft(value, used), used + bits
+        keys.append(key)
+    return keys
 
 
 def _compare(radius: int):
@@ -255,11 +272,11 @@ def _compare(radius: int):
     return run
 
 
-def linked_edges(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def linked_edges(fps: DataFrame, radius: int = RADIUS, tile: int = TILE,
+                 blocks: int | None = None) -> DataFrame:
     """Edges (a, b) that join the distinct fingerprints ``fp`` linked within the radius."""
-    keys = F.array(*[
-        (F.shiftrightunsigned(F.col("fp"), first).bitwiseAND(F.lit((1 << bits) - 1))
-         + F.lit(i << 32)).cast("long") for i, (first, bits) in enumerate(_blocks(radius))])
+    blocks = blocks or block_count(fps.count(), radius, tile)
+    keys = F.array(*bucket_keys(F.col("fp"), radius, blocks))
     keyed = fps.select("fp", F.explode(keys).alias("bucket"))
     chunks = F.ceil(F.col("n") / tile).cast("int")
     large = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile) \
