@@ -44,3 +44,17 @@ def test_semicolon_parameter_table_drives_the_filter(spark, tmp_path):
     got = clean.params_filter(ws, params, "regionid", "product")
     want = ws.filter((F.col("regionid") == "ASIA") | (F.col("product") == "Brand#7"))
     assert rows(got) == rows(want)
+
+
+def test_flow_with_history_and_coarser_mean(spark):
+    base = sinks.materialize(ds.sales_base(spark, SF_SMALL), "base")
+    sales, plans = ds.sales_detail(spark, SF_SMALL, base), ds.promotion(spark, SF_SMALL, base)
+    new = flows.demand_forecast_flow(sales, plans)
+    whole = flows.demand_forecast_flow(sales, plans, only_new=False)
+    assert whole.columns == new.columns and len(whole.columns) == 19
+    assert rows(whole.filter("fcst > 0")) == rows(new.filter("fcst > 0"))
+    coarse = flows.demand_forecast_flow(sales, plans, only_new=False,
+                                        mean_partition=["regionseg1", "productseg2", "regionseg2"])
+    key = ["regionseg1", "productseg2", "regionseg2", "regionseg3", "productseg3", "yearweek", "qty"]
+    assert rows(coarse, *key) == rows(whole, *key)
+    assert rows(coarse, "moving_avg") != rows(whole, "moving_avg")

@@ -29,12 +29,20 @@ def test_materialize_under_checkpoint_dir(spark):
     assert spark.conf.get("spark.checkpoint.dir") in m.inputFiles()[0]
 
 
+def test_stages_are_removed_by_age(spark):
+    path = sinks.materialize(spark.range(3), "old").inputFiles()[0]
+    sinks.remove_stages(spark, older_than_hours=1)
+    assert os.path.exists(path.removeprefix("file://"))
+
+
 def test_jdbc_options():
     o = jdbc.read_options("jdbc:postgresql://h/db", "t", user="u", password="p",
                           partition_column="id", lower_bound=0, upper_bound=100, num_partitions=8)
     assert o["driver"] == "org.postgresql.Driver" and o["numPartitions"] == "8"
-    assert jdbc.read_options("jdbc:oracle:thin:@h:1521/x", "t")["driver"] == \
-        "oracle.jdbc.OracleDriver"
+    assert jdbc.read_options("jdbc:oracle:thin:@h:1521/x", "t", single_connection=True)["driver"] \
+        == "oracle.jdbc.OracleDriver"
+    with pytest.raises(ValueError):  # a whole table through one connection is asked for
+        jdbc.read_options("jdbc:oracle:thin:@h:1521/x", "t")
     with pytest.raises(ValueError):
         jdbc.read_options("jdbc:postgresql://h/db", "t", partition_column="id")
     w = jdbc.write_options("jdbc:postgresql://h/db", "t", batch_size=500)

@@ -723,6 +723,19 @@ SELECT {_SEG5}, yearweek, CAST(substr(yearweek, 1, 4) AS INTEGER) AS year,
        {r6('fcst_timeseries', 'fcst_timeseries')}
 FROM e1""", _E1)
 
+ORACLE["demand_forecast_history"] = sql(["promotion", "sales_detail"], f"""
+SELECT {_SEG5}, yearweek, CAST(substr(yearweek, 1, 4) AS INTEGER) AS year,
+       CAST(substr(yearweek, 5, 2) AS INTEGER) AS week, 0.0 AS qty, 0.0 AS map_price, 0.0 AS ir,
+       0.0 AS pmap, 0 AS pmap10, 0.0 AS pro_percent, 'N' AS promotion_check, 0.0 AS moving_avg,
+       {r6('seasonality', 'seasonality')}, {r6('fcst', 'fcst')},
+       {r6('fcst_timeseries', 'fcst_timeseries')}
+FROM e1
+UNION ALL
+SELECT {_SEG5}, yearweek, year, week, qty, {r6('map_price', 'map_price')}, {r6('ir', 'ir')},
+       {r6('pmap', 'pmap')}, pmap10, {r6('pro_percent', 'pro_percent')}, promotion_check,
+       {r6('moving_avg', 'moving_avg')}, {r6('seasonality', 'seasonality')}, 0.0, 0.0
+FROM e1_a""", _E1)
+
 # ------------------------------------------------------------------- simple seasonality
 
 _C9 = """

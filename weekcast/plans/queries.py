@@ -662,6 +662,14 @@ def forecast_legacy(spark, sf_dir):
                     r6("fcst_timeseries"))
 
 
+def _demand_forecast(spark, sf_dir, only_new=True):
+    base = sinks.materialize(ds.sales_base(spark, sf_dir), "sales_base")
+    return flows.demand_forecast_flow(ds.sales_detail(spark, sf_dir, base),
+                                      ds.promotion(spark, sf_dir, base), stage=False,
+                                      last_week=base.agg(F.max("yearweek").alias("w")),
+                                      only_new=only_new)
+
+
 @register
 def demand_forecast(spark, sf_dir):
     """Flagship (E1): promotions -> price imputation -> sales x promotion -> discontinued-item
@@ -672,14 +680,21 @@ def demand_forecast(spark, sf_dir):
     from there the series steps share one hash partitioning by the 5 keys
     (``flows.demand_forecast_flow``).
     """
-    base = sinks.materialize(ds.sales_base(spark, sf_dir), "sales_base")
-    f = flows.demand_forecast_flow(ds.sales_detail(spark, sf_dir, base),
-                                   ds.promotion(spark, sf_dir, base), stage=False,
-                                   last_week=base.agg(F.max("yearweek").alias("w")))
+    f = _demand_forecast(spark, sf_dir)
     return f.select(*SEG5, "yearweek", "year", "week", "promotion_check", r6("seasonality"),
                     r6("fcst"), r6("fcst_timeseries"))
 
 
+@register
+def demand_forecast_history(spark, sf_dir):
+    """The flagship's whole result: the weekly history of the active items and their forecast
+    rows, 19 columns (C7, U1)."""
+    f = _demand_forecast(spark, sf_dir, only_new=False)
+    return f.select(*SEG5, "yearweek", "year", "week", "qty", r6("map_price"), r6("ir"), r6("pmap"),
+                    "pmap10", r6("pro_percent"), "promotion_check", r6("moving_avg"),
+                    r6("seasonality"), r6("fcst"), r6("fcst_timeseries"))
+
+
 # ------------------------------------------------------------------- simple seasonality
 
 @register

@@ -27,8 +27,12 @@ def driver_for(url: str) -> str | None:
 def read_options(url: str, table: str, user: str | None = None, password: str | None = None,
                  partition_column: str | None = None, lower_bound=None, upper_bound=None,
                  num_partitions: int | None = None, fetch_size: int = 10000,
-                 **extra) -> dict[str, str]:
-    """Options for ``spark.read.format('jdbc')``; validates the partitioned-read set."""
+                 single_connection: bool = False, **extra) -> dict[str, str]:
+    """Options for ``spark.read.format('jdbc')``; validates the partitioned-read set.
+
+    Without a partition column the whole table comes through one connection and
+    one task, which must be asked for with ``single_connection``.
+    """
     opts = {"url": url, "dbtable": table, "fetchsize": str(fetch_size)}
     drv = extra.pop("driver", None) or driver_for(url)
     if drv:
@@ -42,8 +46,13 @@ def read_options(url: str, table: str, user: str | None = None, password: str |
         if any(p is None for p in part):
             raise ValueError("partitioned JDBC read needs partition_column, lower_bound, "
                              "upper_bound and num_partitions together")
+        if single_connection:
+            raise ValueError("single_connection excludes a partitioned read")
         opts.update(partitionColumn=partition_column, lowerBound=str(lower_bound),
                     upperBound=str(upper_bound), numPartitions=str(num_partitions))
+    elif not single_connection:
+        raise ValueError("give partition_column, lower_bound, upper_bound and num_partitions, "
+                         "or single_connection=True for a small table")
     opts.update({k: str(v) for k, v in extra.items()})
     return opts
 

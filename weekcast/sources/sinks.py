@@ -38,6 +38,21 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "stages", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def remove_stages(spark: SparkSession, older_than_hours: float = 24.0) -> int:
+    """Remove stage folders that nothing wrote to for so long; the number removed.
+
+    Stages of running jobs must outlive their readers, so the age is the deployment's choice.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint_dir(spark), "stages"))
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return 0
+    limit = jvm.java.lang.System.currentTimeMillis() - older_than_hours * 3_600_000
+    old = [f.getPath() for f in fs.listStatus(root) if f.getModificationTime() < limit]
+    return sum(fs.delete(p, True) for p in old)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
