@@ -98,3 +98,22 @@ def test_year_filter_bounds_the_lineitem_scan(spark):
     plan = _plan(E.queries()["partition_ratio"](spark, SF_SMALL))
     scan = [ln for ln in plan.splitlines() if "lineitem.parquet" in ln][0]
     assert "GreaterThanOrEqual(l_shipdate,1996-01-01" in scan
+
+
+@pytest.mark.parametrize("name", ["promo_lookup", "global_minmax", "group_minmax"])
+def test_numeric_aggregates_stay_hashed(spark, name):
+    assert "SortAggregate" not in _plan(QUERIES[name](spark, SF_SMALL))
+
+
+@pytest.mark.parametrize("name", ["promo_join_using_inner", "promo_join_using_left",
+                                  "promo_price_impute", "active_items", "missing_weeks",
+                                  "item_clusters", "forecast_mean4"])
+def test_twice_read_inputs_are_staged(spark, name):
+    assert "lineitem.parquet" not in _plan(QUERIES[name](spark, SF_SMALL))
+
+
+def test_week_threshold_is_computed_once(spark):
+    """The date arithmetic on the global last week is inside its one-row aggregate."""
+    plan = _plan(QUERIES["demand_forecast"](spark, SF_SMALL))
+    keep = [ln for ln in plan.splitlines() if "Filter" in ln and "_kmax" in ln]
+    assert keep and all("make_date" not in ln and "substring" not in ln for ln in keep)

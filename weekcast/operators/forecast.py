@@ -22,7 +22,7 @@ def mean_recent_forecast(df: DataFrame, keys, week_col: str = "yearweek", value:
     keys = list(keys)
     last = df.agg(F.max(monday(week_col)).alias("_g"))  # Monday of the last week
     gmax = last.scalar()
-    rec = df.filter(monday(week_col) > last.select(F.date_add("_g", -7 * recent)).scalar())
+    rec = df.filter(monday(week_col) > last.select(F.date_add("_g", -7 * recent).alias("from")).scalar())
     m = rec.groupBy(*keys).agg(F.avg(value).alias("fcst")).withColumn("_gmax", gmax)
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_h")
     return (m.select(*keys, "fcst", "_gmax", steps)
@@ -67,7 +67,7 @@ def level_seasonal_forecast(df: DataFrame, keys, week_col: str = "yearweek",
     value, season_col = resolve(df, value), resolve(df, season_col)
     fill = resolve_keys(df, fill)
     wk = F.col(monday_col) if monday_col else monday(week_col)
-    gmax = last_week.select(monday(last_week.columns[0])).scalar() if last_week is not None \
+    gmax = last_week.select(monday(last_week.columns[0]).alias("g")).scalar() if last_week is not None \
         else df.agg(F.max(wk).alias("_g")).scalar()
     number = F.weekofyear(wk) if monday_col else week_of(week_col)
     rec = df.withColumn("_wk", wk).withColumn("_number", number).withColumn(

@@ -147,7 +147,7 @@ def active_keys(df: DataFrame, keys, week_col: str = "yearweek", threshold: str
         thr = F.lit(threshold)
     else:
         one = last_week if last_week is not None else df.agg(F.max(week_col).alias("w"))
-        thr = one.select(week_add(one.columns[0], -lookback)).scalar()
+        thr = one.select(week_add(one.columns[0], -lookback).alias("threshold")).scalar()
     return df.withColumn("_kmax", kmax).filter(F.col("_kmax") >= thr).drop("_kmax")
 
 
@@ -163,7 +163,7 @@ def last_weeks(df: DataFrame, n: int, week_col: str = "yearweek",
 
     ``inclusive``: keep ``week >= last - n`` (n+1 weeks); else ``week > last - n`` (n weeks).
     """
-    start = df.agg(F.max(week_col).alias("w")).select(week_add("w", -n)).scalar()
+    start = df.agg(F.max(week_col).alias("w")).select(week_add("w", -n).alias("start")).scalar()
     return df.filter(F.col(week_col) >= start if inclusive else F.col(week_col) > start)
 
 

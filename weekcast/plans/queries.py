@@ -608,7 +608,8 @@ def seasonality_ratio(spark, sf_dir):
 
 @register
 def active_items(spark, sf_dir):
-    return series.active_keys(ds.sales_detail(spark, sf_dir), SEG5)
+    # read twice (global last week, the series): the star join runs once
+    return series.active_keys(sinks.materialize(ds.sales_detail(spark, sf_dir), "sales"), SEG5)
 
 
 # --------------------------------------------------------------------------- clusters
@@ -812,7 +813,7 @@ def page_lines(spark, sf_dir):
 def missing_weeks(spark, sf_dir):
     """Expected weeks (each key's calendar from first to last week) minus present weeks
     (J13, U2): the rows a gap fill adds, found by an anti join."""
-    ws = ds.weekly_sales(spark, sf_dir)
+    ws = sinks.materialize(ds.weekly_sales(spark, sf_dir), "weekly_sales")  # both sides read it
     keys = ["regionid", "product"]
     b = ws.groupBy(*keys).agg(F.min(cal.monday("yearweek")).alias("mn"),
                               F.max(cal.monday("yearweek")).alias("mx"))
