@@ -10,7 +10,8 @@ a hash of the id and a seed, so reruns agree.
 
 The sample's size is fixed in *words*: the front of the ranking is taken as far as it fits;
 the words that the first document too long for the rest leaves open are filled in further
-passes from the front of the documents that still fit.
+passes from the front of the documents that still fit, and at last one document that is too
+long by less than it fills is taken: the one that comes nearest to the target.
 
 No source is ranked in one task: words are summed by (source, slice of u), the slice in
 which the target is reached follows from at most ``SLICES`` sums a source, and only the
@@ -124,7 +125,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         state = state.join(last, key, "left").withColumn(
             f"rest{k + 1}", F.col(f"rest{k}") - F.coalesce(F.col("used"), F.lit(0))).drop("used")
     state = materialize(state, "mix-cuts")
-    extra = (F.col("size") > 0) & (F.col("p") > 0) & _taken(PASSES)
+    rest = F.col(f"rest{PASSES}")
+    near = sizes.join(state, key).filter(
+        (F.col("p") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * rest) & ~_taken(PASSES)) \
+        .groupBy(*key).agg(F.min(F.struct(F.abs(F.col("size") - rest).alias("gap"), odds.alias("odds"),
+                                          F.col("u").alias("u"), F.col("size").alias("size"))).alias("near"))
+    state = materialize(state.join(near, key, "left"), "mix-last")
+    last = (F.col("u") == F.col("near.u")) & (F.col("size") == F.col("near.size"))
+    extra = (F.col("size") > 0) & (F.col("p") > 0) & (_taken(PASSES) | F.coalesce(last, F.lit(False)))
     copies = F.when(F.col("size") > 0, F.col("whole") + extra.cast("long")).otherwise(F.lit(0))
     return sizes.join(state, key).select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size",

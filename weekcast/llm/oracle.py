@@ -94,6 +94,13 @@ state{k + 1} AS (SELECT s.src, s.rest - coalesce(c.used, 0) AS rest
         taken = f"{taken} OR {now}"
     joins = " ".join(f"LEFT JOIN cut{j} c{j} ON c{j}.src = d.src JOIN state{j} s{j} ON s{j}.src = d.src"
                      for j in range(passes))
+    steps += f""",
+near AS (SELECT d.src, min({{'gap': abs(d.size - z.rest), 'odds': (d.u / (1 - d.u)) / (t.p / (1 - t.p)),
+                           'u': d.u, 'size': d.size}}) AS n
+  FROM sized d JOIN rate t ON t.src = d.src JOIN state{passes} z ON z.src = d.src {joins}
+  WHERE t.p > 0 AND d.size > 0 AND d.size < 2 * z.rest AND NOT ({taken}) GROUP BY d.src)"""
+    joins += " LEFT JOIN near ON near.src = d.src"
+    taken += " OR coalesce(near.n.u = d.u AND near.n.size = d.size, false)"
     return f"""
 WITH sized AS (
   SELECT doc_id, source, (source IS NULL, coalesce(source, '')) AS src,
