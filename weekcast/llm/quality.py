@@ -122,24 +122,24 @@ def host_quality(docs: DataFrame, text_col: str = "text", host_col: str = "sourc
     ``_q_base_failed``, ``_q_host_guilty`` and ``_q_kept`` (more underscores in front where
     ``docs`` has such names; ``verdict_names`` gives them).
 
-    The statistics are written once to the shared stage folder, since two passes need them:
-    one aggregate by host (combined before its shuffle, so a host with a third of all rows
-    is no hot spot) and the join of the verdicts, which AQE plans by their measured size and
-    splits where a host is skewed.
+    Two passes: one aggregate by host (combined before its shuffle, so a host with a third of
+    all rows is no hot spot) and the join of the verdicts.  The hosts' verdicts are written to
+    the shared stage folder, so the join is planned by their size: broadcast while they are
+    below Spark's threshold, else sort-merge with skewed hosts split by AQE.  Where the text is
+    not carried the statistics are written too; with the text they are computed again, which
+    costs less than to write and shuffle all texts.
     """
     carry = docs.columns if carry is None else carry
     source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, host_col, text_col])])
     marked, names = with_stats(source, text_col)
-    if text_col not in carry:
-        marked = marked.drop(text_col)
-    staged = materialize(marked, "quality")
+    staged = marked if text_col in carry else materialize(marked.drop(text_col), "quality")
     rules = list(RULES)
     failed = {r: F.expr(RULES[r].format(**{k: f"`{v}`" for k, v in names.items()})) for r in rules}
     host = F.col(f"`{host_col}`")
     p = private(staged)
-    hosts = staged.groupBy(host.alias(f"{p}host")).agg(
+    hosts = materialize(staged.groupBy(host.alias(f"{p}host")).agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.sum(failed[r].cast("long")).alias(f"_k_{r}") for r in rules])
+        *[F.sum(failed[r].cast("long")).alias(f"_k_{r}") for r in rules]), "quality-hosts")
     prior = _prior(hosts, rules)
     guilty = hosts.select(f"{p}host", *[
         ((F.col(f"_k_{r}") + prior[r][0]) / (F.col("_n") + sum(prior[r])) > host_rate)
