@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekcast.llm.common import arrow_rows, byte_texts, fresh, materialize, private
+from weekcast.llm.common import arrow_rows, byte_texts, materialize, private
 
 SHINGLE = 4
 RADIUS = 4
@@ -348,24 +348,27 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """One row of each component, with the columns of ``docs``: the one with the smallest id
     (null last), then with the smallest hash of the whole row.
 
-    The row is found by an aggregate of ids and hashes alone and the rows are then filtered,
-    so texts of dropped copies are never shuffled and no group meets in one task.
+    Which row stays is found from ids, fingerprints and two hashes of the whole row alone; the
+    texts are read once more and joined to those keys, so they are shuffled at most once and
+    no group meets in one task.
     """
     p = private(docs)
-    name = fresh(docs, f"{p}fp")
-    marked = materialize(with_fingerprint(docs, text_col, name), "simhash-rows")
-    comp = fingerprint_components(marked, name, id_col, radius)
-    ident = F.col(f"`{id_col}`")
-    order = F.struct(ident.isNull().alias("a"), ident.alias("b"),
-                     F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("c"))
-    rows = marked.join(comp.select(F.col("fp").alias(f"{p}f"), F.col("root").alias(f"{p}root")),
-                       F.col(name) == F.col(f"{p}f")).withColumn(f"{p}order", order)
-    first = rows.groupBy(f"{p}root").agg(F.min(f"{p}order").alias(f"{p}first"),
-                                         F.count(F.lit(1)).alias(f"{p}n")) \
-        .withColumnRenamed(f"{p}root", f"{p}r")
-    kept = rows.join(first, (F.col(f"{p}root") == F.col(f"{p}r"))
-                     & F.col(f"{p}order").eqNullSafe(F.col(f"{p}first")))
-    single = kept.filter(F.col(f"{p}n") == 1)
-    # rows that are repeated whole share id and hash: one of them stays
-    several = kept.filter(F.col(f"{p}n") > 1).dropDuplicates([f"{p}root"])
-    return single.union(several).select(*[F.col(f"`{c}`") for c in docs.columns])
+    ident, every = F.col(f"`{id_col}`"), [F.col(f"`{c}`") for c in docs.columns]
+    hashes = [F.xxhash64(*every), F.xxhash64(F.lit(1), *every)]
+    keyed = docs.select(F.col(f"`{text_col}`"), ident.alias("id"), hashes[0].alias("a"),
+                        hashes[1].alias("b"))
+    marked = materialize(with_fingerprint(keyed, text_col, "fp", ["id", "a", "b"]), "simhash-rows")
+    comp = fingerprint_components(marked, "fp", "id", radius)
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "a", "b")
+    # rows that are repeated whole share all keys: n counts them
+    first = marked.groupBy("fp", order.alias("o")).agg(F.count(F.lit(1)).alias("n")) \
+        .join(comp.select("fp", "root"), "fp").groupBy("root") \
+        .agg(F.min(F.struct("o", "n")).alias("first"))
+    keep = materialize(first.select(*[F.col(f"first.o.{c}").alias(f"{p}{c}") for c in ("id", "a", "b")],
+                                    F.col("first.n").alias(f"{p}n")), "simhash-kept")
+    same = ident.eqNullSafe(F.col(f"{p}id")) & (hashes[0] == F.col(f"{p}a")) & (hashes[1] == F.col(f"{p}b"))
+    kept = docs.join(keep, same)
+    if keep.filter(F.col(f"{p}n") > 1).isEmpty():
+        return kept.select(*every)
+    several = kept.filter(F.col(f"{p}n") > 1).dropDuplicates([f"{p}a", f"{p}b"])
+    return kept.filter(F.col(f"{p}n") == 1).union(several).select(*every)
