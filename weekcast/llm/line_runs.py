@@ -49,12 +49,12 @@ def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def _lines(docs: DataFrame, row: str, text_col: str) -> DataFrame:
     """(row, pos, idx, a, b, words) of every line with a word; idx counts those lines only."""
-    lines = docs.filter(F.col(f"`{text_col}`").isNotNull()).select(
-        F.col(row).alias("row"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("pos", "line"))
-    lines = lines.select("row", "pos", F.xxhash64("line").alias("a"),
-                         F.xxhash64(F.lit(1), "line").alias("b"),
-                         F.regexp_count("line", F.lit(WORD)).alias("words")).filter("words > 0")
-    return lines
+    lines = F.filter(F.transform(
+        F.split(F.col(f"`{text_col}`"), "\n", -1), lambda line, pos: F.struct(
+            pos.alias("pos"), F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"),
+            F.regexp_count(line, F.lit(WORD)).alias("words"))), lambda x: x["words"] > 0)
+    return docs.select(F.col(row).alias("row"), F.posexplode(lines).alias("idx", "line")) \
+        .select("row", "idx", "line.*")
 
 
 def _levels(base: DataFrame) -> list[DataFrame]:
@@ -150,13 +150,9 @@ def repeated_runs(docs: DataFrame, row: str, text_col: str, id_col: str,
                   min_words: int = MIN_WORDS) -> DataFrame:
     """(row, cuts, lines): line ranges to delete of the rows that have any, and how many of
     the lines in them have a word.  ``row`` names a stored column that is unique."""
-    lines = _lines(docs, row, text_col)
-    lines = materialize(lines, "lines")
+    lines = materialize(_lines(docs, row, text_col), "lines")
     ids = _ranked(lines, ["a", "b"], "lines-ids")
-    # idx numbers the lines with a word of a document; it is set before the rare ones leave
-    numbered = lines.withColumn("idx", F.row_number().over(
-        Window.partitionBy("row").orderBy("pos")) - 1)
-    base = materialize(numbered.join(ids, ["a", "b"]).select(
+    base = materialize(lines.join(ids, ["a", "b"]).select(
         "row", "pos", "idx", "words", F.col("rank").alias("r")), "lines-level0")
     levels = _levels(base)
     ident = F.col(f"`{id_col}`")
