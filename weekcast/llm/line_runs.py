@@ -105,7 +105,9 @@ def _copies(docs_order: DataFrame, levels: list[DataFrame], short: DataFrame) ->
         .join(right, ["row", "idx2", "k"]).drop("idx2").join(docs_order, "row")
     sites = materialize(sites, "lines-sites")
     place = F.struct("no_id", "id", "row", "idx")
-    first = sites.groupBy("q", "ra", "rb").agg(F.min(place).alias("e"))
+    # written on its own, so that the join back has exchanges of its own, which AQE can split
+    # where many sites share a passage
+    first = materialize(sites.groupBy("q", "ra", "rb").agg(F.min(place).alias("e")), "lines-first")
     return sites.join(first, ["q", "ra", "rb"]) \
         .select("row", "idx", "q", F.col("e.row").alias("erow"), F.col("e.idx").alias("eidx")) \
         .filter("row <> erow or idx <> eidx")
