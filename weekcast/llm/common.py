@@ -106,6 +106,6 @@ def arrow_rows(df: DataFrame, columns: list[str], fn, fields: list[T.StructField
     return source.mapInArrow(run, schema)
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
+_ARROW = {"bigint": pa.int64(), "binary": pa.binary(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
           "string": pa.string(), "array<bigint>": pa.list_(pa.int64()),
           "array<string>": pa.list_(pa.string())}

@@ -343,26 +343,25 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         F.col(f"`{id_col}`"), hexa.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-             radius: int = RADIUS) -> DataFrame:
-    """One row of each component, with the columns of ``docs``: the one with the smallest id
-    (null last), then with the smallest hash of the whole row.
+def row_keys(docs: DataFrame) -> list:
+    """Two hashes of the whole row."""
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    return [F.xxhash64(*every), F.xxhash64(F.lit(1), *every)]
 
-    Which row stays is found from ids, fingerprints and two hashes of the whole row alone; the
-    texts are read once more and joined to those keys, so they are shuffled at most once and
-    no group meets in one task.
+
+def keep_first(docs: DataFrame, marked: DataFrame, roots: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row of each root, with the columns of ``docs``: the one with the smallest id (null
+    last), then with the smallest hash of the whole row.
+
+    ``marked`` has a row (fp, id, a, b) for each row of ``docs``, with its keys; ``roots`` gives
+    the root of each fp.
     """
     p = private(docs)
-    ident, every = F.col(f"`{id_col}`"), [F.col(f"`{c}`") for c in docs.columns]
-    hashes = [F.xxhash64(*every), F.xxhash64(F.lit(1), *every)]
-    keyed = docs.select(F.col(f"`{text_col}`"), ident.alias("id"), hashes[0].alias("a"),
-                        hashes[1].alias("b"))
-    marked = materialize(with_fingerprint(keyed, text_col, "fp", ["id", "a", "b"]), "simhash-rows")
-    comp = fingerprint_components(marked, "fp", "id", radius)
+    ident, every, hashes = F.col(f"`{id_col}`"), [F.col(f"`{c}`") for c in docs.columns], row_keys(docs)
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "a", "b")
     # rows that are repeated whole share all keys: n counts them
     first = marked.groupBy("fp", order.alias("o")).agg(F.count(F.lit(1)).alias("n")) \
-        .join(comp.select("fp", "root"), "fp").groupBy("root") \
+        .join(roots, "fp").groupBy("root") \
         .agg(F.min(F.struct("o", "n")).alias("first"))
     keep = materialize(first.select(*[F.col(f"first.o.{c}").alias(f"{p}{c}") for c in ("id", "a", "b")],
                                     F.col("first.n").alias(f"{p}n")), "simhash-kept")
@@ -372,3 +371,19 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         return kept.select(*every)
     several = kept.filter(F.col(f"{p}n") > 1).dropDuplicates([f"{p}a", f"{p}b"])
     return kept.filter(F.col(f"{p}n") == 1).union(several).select(*every)
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+             radius: int = RADIUS) -> DataFrame:
+    """One row of each component, with the columns of ``docs``, as ``keep_first`` chooses it.
+
+    Which row stays is found from ids, fingerprints and two hashes of the whole row alone; the
+    texts are read once more and joined to those keys, so they are shuffled at most once and
+    no group meets in one task.
+    """
+    hashes = row_keys(docs)
+    keyed = docs.select(F.col(f"`{text_col}`"), F.col(f"`{id_col}`").alias("id"),
+                        hashes[0].alias("a"), hashes[1].alias("b"))
+    marked = materialize(with_fingerprint(keyed, text_col, "fp", ["id", "a", "b"]), "simhash-rows")
+    comp = fingerprint_components(marked, "fp", "id", radius)
+    return keep_first(docs, marked, comp.select("fp", "root"), id_col)
