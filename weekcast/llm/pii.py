@@ -4,15 +4,17 @@ Four fixed patterns (e-mail, IP address, payment card, phone number in internati
 give the base spans, which always stay.  Beside them generators with high recall propose
 candidates that may overlap: digit groups of any punctuation, anything around an @, spelled-
 out addresses, bank account numbers.  A candidate's format and the characters around it make
-a short vector of small integers; gradient-boosted trees (``pyspark.ml``) learn from the
-candidates that hold a base span, and those that hold none, what personal data looks like.
-A threshold is calibrated so that at least ``PRECISION`` of the candidates above it hold a base
-span; candidates above it that overlap no base span are added as kind ``other``.
+a short vector of small integers; gradient-boosted trees (``pyspark.ml``) learn from weak
+labels what personal data looks like.  Good candidates hold a base span, or are account
+numbers with a valid check (ISO 7064 mod 97-10), spelled-out addresses with a dotted domain,
+or 7 to 15 digits that are no date after a word such as ``phone``; the others are bad.  For
+each generator a threshold is calibrated so that at least ``PRECISION`` of its candidates above
+it that overlap no base span are good; these are added as kind ``other``.
 
 Scale.  Patterns run only on texts that have a character they need.  For training the
 candidates of all documents are counted by vector before the shuffle; the table of counts is
 bounded by the number of different vectors, whatever the corpus, and the trees are fitted on
-it with the counts as weights.  Trees are then one column expression over each document's
+it; a generator's good and bad candidates weigh the same in all, so rare ones count.  Trees are then one column expression over each document's
 array of candidates: no join, no shuffle, no Python.
 
 Offsets are code points, ends exclusive.
@@ -20,8 +22,8 @@ Offsets are code points, ends exclusive.
 Patterns follow the contract's but for possessive loops, which read the same strings without
 recursion or repeated starts inside one run, so long texts take linear time.
 
-Defined results: a null or empty text has no spans; rows are scanned one by one; without
-candidates of both classes no span is added; an empty table gives an empty table; extra
+Defined results: a null or empty text has no spans; rows are scanned one by one; if all
+candidates are good all are added, if all are bad none; an empty table gives an empty table; extra
 columns stay.
 """
 
@@ -62,7 +64,7 @@ GENERATORS = {
     "number": ("{t} rlike '[0-9]'", r"[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9]){6,}+"),
     "at": ("contains({t}, '@') or {t} rlike '(?i)[(\\\\[]at[)\\\\]]'",
            r"[^\s@,;:<>()\[\]]{1,64}\s?(?:@|[(\[](?i:at)[)\]])\s?[^\s@,;:<>()\[\]]{1,64}+"),
-    "account": ("{t} rlike '[A-Z]{{2}}[0-9]{{2}}'", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+\b"),
+    "account": ("{t} rlike '[A-Z]{{2}}[0-9]{{2}}'", r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{8,30}+|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3})?+)\b"),
 }
 
 _MARK, _STAND_IN = "\\u0001", "\\u0003"
@@ -86,6 +88,24 @@ FEATURES = {
     "word_before": f"cast(lower(c.before) rlike '{_WORDS}' as int)",
 }
 
+# features that the weak labels rest on
+_PHONE = r"'\\b(tele)?(phone|fon|fax)|\\b(tel|call|mobile|cell)\\b'"
+_BARE = "replace(c.value, ' ', '')"
+FEATURES |= {
+    "generator": "c.generator",
+    "check": "cast(c.generator = 2 and aggregate(filter(split(concat(substring("
+             f"{_BARE}, 5), left({_BARE}, 4)), ''), x -> x <> ''), 0, (a, x) -> "
+             "(if(x rlike '[0-9]', a * 10 + coalesce(try_cast(x as int), 0), a * 100 + ascii(x) - 55)) % 97"
+             ") = 1 as int)",
+    "spelled": "cast(c.value rlike '[(\\\\[](?i:at)[)\\\\]]' as int)",
+    "phone_word": f"cast(lower(c.before) rlike {_PHONE} as int)",
+    "date": "cast(c.value rlike '^(19|20)[0-9][0-9][-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}}' as int)",
+}
+
+#: Weak label of a candidate ``c`` that holds no base span, by generator.
+GOOD = ("case c.f.generator when 2 then c.f.check = 1 when 1 then c.f.spelled = 1 and c.f.domain = 1 "
+        "else c.f.phone_word = 1 and c.f.date = 0 and c.f.digits between 7 and 15 end")
+
 _SPAN = "struct<start:int,stop:int,value:string,before:string,after:string>"
 
 
@@ -127,11 +147,14 @@ def _with_spans(docs: DataFrame, text_col: str, p: str) -> DataFrame:
     base = ", ".join(f"`{p}{k}`" for k in KINDS)
     out = out.withColumn(f"{p}base", F.expr(
         f"transform(concat({base}), s -> named_struct('start', s.start, 'stop', s.stop))"))
-    made = ", ".join(f"`{p}g_{n}`" for n in GENERATORS)
+    made = ", ".join(f"transform(`{p}g_{n}`, s -> named_struct('start', s.start, 'stop', s.stop, 'value', s.value, "
+                     f"'before', s.before, 'after', s.after, 'generator', {k}))" for k, n in enumerate(GENERATORS))
     candidates = (f"transform(concat({made}), c -> named_struct('start', c.start, 'stop', c.stop, "
                   f"'holds', exists(`{p}base`, b -> b.start >= c.start and b.stop <= c.stop), "
                   f"'meets', exists(`{p}base`, b -> b.start < c.stop and c.start < b.stop), "
                   f"'f', named_struct({features})))")
+    candidates = (f"transform({candidates}, c -> named_struct('start', c.start, 'stop', c.stop, "
+                  f"'meets', c.meets, 'good', c.holds or {GOOD}, 'f', c.f))")
     return out.withColumn(f"{p}candidates", F.expr(candidates)).drop(*[f"{p}g_{n}" for n in GENERATORS])
 
 
@@ -149,14 +172,19 @@ def _tree_sql(lines: list[str], at: int, names: list[str]) -> tuple[str, int]:
 def boosted_score(counts: DataFrame, trees: int = TREES, depth: int = DEPTH) -> str | None:
     """SQL for the margin of a feature struct ``f``, learned from vectors with counts.
 
-    ``counts``: the features, ``holds`` and ``n``.  None if a class is missing.
+    ``counts``: the features, ``good`` and ``n``.  None without a good candidate, the same margin
+    for all without a bad one.
     """
-    classes = counts.groupBy("holds").count().collect()  # two rows at most
-    if len(classes) < 2:
-        return None
+    totals = counts.groupBy("generator", "good").agg(F.sum("n").alias("n")).collect()  # six rows at most
+    if len({r["good"] for r in totals}) < 2:
+        return "0.0D" if any(r["good"] for r in totals) else None
     names = list(FEATURES)
+    weight = F.lit(0.0)
+    for r in totals:
+        weight = F.when((F.col("generator") == r["generator"]) & (F.col("good") == r["good"]),
+                        F.col("n") / F.lit(float(r["n"]))).otherwise(weight)
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(
-        counts.withColumn("label", F.col("holds").cast("double")).withColumn("weight", F.col("n").cast("double")))
+        counts.withColumn("label", F.col("good").cast("double")).withColumn("weight", weight))
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11, weightCol="weight",
                           minInstancesPerNode=1, maxBins=32).fit(rows)
     terms = []
@@ -166,18 +194,21 @@ def boosted_score(counts: DataFrame, trees: int = TREES, depth: int = DEPTH) ->
     return " + ".join(terms)
 
 
-def calibrated(counts: DataFrame, score: str, precision: float = PRECISION) -> float | None:
-    """Lowest margin from which on at least ``precision`` of the candidates hold a base span."""
+def calibrated(counts: DataFrame, score: str, precision: float = PRECISION) -> dict[int, float]:
+    """By generator, the lowest margin from which on at least ``precision`` of its candidates
+    that overlap no base span (``free`` of ``n``) are good; generators without one are left out."""
     margin = score.replace("f.", "")
-    levels = counts.withColumn("margin", F.round(F.expr(margin), 4)).groupBy("margin").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("holds"), F.col("n")).otherwise(0)).alias("good")) \
-        .orderBy(F.desc("margin")).collect()  # bounded by the number of vectors
-    n = good = 0
-    best = None
+    levels = counts.withColumn("margin", F.round(F.expr(margin), 4)).groupBy("generator", "margin").agg(
+        F.sum("free").alias("n"), F.sum(F.when(F.col("good"), F.col("free")).otherwise(0)).alias("good")) \
+        .orderBy("generator", F.desc("margin")).collect()  # bounded by the number of vectors
+    best: dict[int, float] = {}
+    at = None
     for row in levels:
+        if row["generator"] != at:
+            at, n, good = row["generator"], 0, 0
         n, good = n + row["n"], good + row["good"]
         if good >= precision * n:
-            best = row["margin"]
+            best[at] = row["margin"]
     return best
 
 
@@ -188,16 +219,19 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
     """
     p = private(docs)
     marked = _with_spans(docs, text_col, p)
-    found = marked.select(F.explode(f"{p}candidates").alias("c")).select("c.holds", "c.f.*")
-    counts = materialize(found.groupBy("holds", *FEATURES).agg(F.count(F.lit(1)).alias("n")).coalesce(1)
-                         .orderBy("holds", *FEATURES), "pii-vectors")
+    found = marked.select(F.explode(f"{p}candidates").alias("c")).select("c.good", "c.meets", "c.f.*")
+    counts = materialize(found.groupBy("good", *FEATURES).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("meets")).alias("free")).coalesce(1)
+                         .orderBy("good", *FEATURES), "pii-vectors")
     score = boosted_score(counts)
-    threshold = calibrated(counts, score) if score else None
-    if threshold is None:
+    thresholds = calibrated(counts, score) if score else {}
+    if not thresholds:
         other = "filter({0}, c -> false)"
     else:
         margin = score.replace("f.", "c.f.")
-        other = f"filter({{0}}, c -> not c.meets and round({margin}, 4) >= {threshold!r}D)"
+        least = " ".join(f"when {g} then {m!r}D" for g, m in thresholds.items())
+        other = (f"filter({{0}}, c -> not c.meets and coalesce(round({margin}, 4) >= "
+                 f"case c.f.generator {least} end, false))")
     other = other.format(f"`{p}candidates`")
     merged = (f"array_sort(array_distinct(transform({other}, c -> "
               "named_struct('start', c.start, 'stop', c.stop))))")
