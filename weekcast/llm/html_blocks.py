@@ -5,8 +5,8 @@ vector of its tag path (tag names, class and id words, hashed), its words (hashe
 counts; a bidirectional LSTM in numpy reads the blocks of a page in order and labels each as
 main text or not, with the whole page as context.  The text of the main blocks is returned.
 
-Training.  Pages carry no labels, so blocks of ``TRAIN_PAGES`` pages (chosen by a hash of their
-id) are labelled by what their path says outright: inside ``article`` or
+Training.  Pages carry no labels, so blocks of ``TRAIN_PAGES`` pages (chosen by a hash of id
+and html) are labelled by what their path says outright: inside ``article`` or
 ``main`` and under nothing of ``BOILERPLATE`` is main, under something of it is not; other
 blocks have no label and no loss.  Copies of these pages get blocks of boilerplate put in
 between, inside the article too, so that the labeller knows forms of it that the sample
@@ -357,15 +357,25 @@ def _augmented(blocks: list, rng) -> list:
 def train(pages: DataFrame, html_col: str, id_col: str, train_pages: int = TRAIN_PAGES) -> dict:
     """Weights from a sample of the pages and their augmented copies.
 
-    A hash class of about four times ``train_pages`` pages is cut out in the tasks first, so
-    what tasks send for the sample does not grow with their number.
+    The pages with the smallest hashes of id and html are taken, of those that have blocks,
+    repeated ones once.  They are looked for in a hash class of about four times
+    ``train_pages`` pages, and in all pages only if the class holds too few; hashes alone are
+    sorted.
     """
     rows = pages.select(F.col(f"`{html_col}`").alias("html"),
-                        F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("h")) \
+                        F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{html_col}`")).alias("h")) \
         .filter("html is not null")
-    classes = max(1, pages.count() // (4 * train_pages))
-    chosen = rows.filter(F.pmod("h", F.lit(classes)) == 0) \
-        .orderBy("h", F.xxhash64("html")).limit(train_pages)
+
+    def smallest(part):
+        marked = arrow_rows(part, ["html"], lambda a: [[bool(blocks_of(x)) for x in str_texts(a[0])]],
+                            [T.StructField("some", T.BooleanType(), False)], ["h"])
+        return [r["h"] for r in marked.filter("some").select("h").distinct().orderBy("h").limit(train_pages).collect()]
+
+    classes = max(1, rows.count() // (4 * train_pages))
+    found = smallest(rows.filter(F.pmod("h", F.lit(classes)) == 0))
+    if classes > 1 and len(found) < train_pages:
+        found = smallest(rows)
+    chosen = rows.filter(F.col("h").isin(found)).dropDuplicates(["h"]).orderBy("h")
     rng = np.random.default_rng(3)
     sequences, labels, hashes = [], [], {}
     for row in chosen.toLocalIterator():
