@@ -3,10 +3,7 @@ import sys
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
-
-SF_SMALL = "/root/testdata/sf0.001"
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
@@ -16,9 +13,3 @@ def spark():
     checkpoint_dir(s)  # unset in tests: a fresh temporary folder is registered
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    """Sorted list of tuples of ``cols`` (all columns when omitted)."""
-    cols = cols or df.columns
-    return sorted(tuple(r[c] for c in cols) for r in df.select(*cols).collect())

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from weekcast.operators import clean, joins
 from weekcast.sources import files
 

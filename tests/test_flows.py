@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
+from support import SF_SMALL, rows
 from weekcast.operators import clean
 from weekcast.plans import datasets as ds
 from weekcast.plans import flows

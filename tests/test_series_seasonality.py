@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from weekcast.functions import calendar as cal
 from weekcast.operators import cluster, forecast, promo, seasonality, series, windows
 

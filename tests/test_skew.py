@@ -3,7 +3,7 @@ must pre-aggregate before the shuffle instead of moving the hot key's rows."""
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from weekcast.operators import aggs, joins, series
 
 

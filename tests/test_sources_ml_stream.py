@@ -4,7 +4,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
+from support import SF_SMALL, rows
 from weekcast.functions import calendar as cal
 from weekcast.operators import ml
 from weekcast.plans import datasets as ds
