@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekcast.llm import decontam, line_runs, mixing, quality, similar
+from weekcast.llm import decontam, line_runs, mixing, quality, simhash
 from weekcast.llm.queries import QUERIES  # noqa: F401 - registers the modules for shipping
 from weekcast.sources.sinks import materialize
 from weekcast.sources.tables import load
@@ -26,9 +26,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: one document of each component of near copies (5-word shingles, Jaccard
-    similarity 0.8) stays."""
-    return similar.keep_one(docs)
+    """Operator 1: one document of each component of linked fingerprints stays (shingle length
+    and bit distance of ``op1_simhash``)."""
+    return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
