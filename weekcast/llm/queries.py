@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.llm import (decontam, html_blocks, langid, licenses, line_runs, mixing, pii, quality,
-                          secrets, ship, similar, simhash)
+                          secrets, ship, simhash)
 from weekcast.sources.tables import load
 
 for _module in ("common", "decontam", "html_blocks", "langid", "licenses", "line_runs", "mixing", "quality", "secrets",
-                "similar", "simhash"):
+                "simhash"):
     ship(f"weekcast.llm.{_module}")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -359,10 +359,11 @@ def keep_first(docs: DataFrame, marked: DataFrame, roots: DataFrame, id_col: str
     p = private(docs)
     ident, every, hashes = F.col(f"`{id_col}`"), [F.col(f"`{c}`") for c in docs.columns], row_keys(docs)
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "a", "b")
-    # rows that are repeated whole share all keys: n counts them
-    first = marked.groupBy("fp", order.alias("o")).agg(F.count(F.lit(1)).alias("n")) \
-        .join(roots, "fp").groupBy("root") \
-        .agg(F.min(F.struct("o", "n")).alias("first"))
+    # rows that are repeated whole share all keys: n counts them; one row of each fp is joined,
+    # so a fingerprint of many documents is no hot key
+    least = marked.groupBy("fp", order.alias("o")).agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy("fp").agg(F.min(F.struct("o", "n")).alias("least"))
+    first = least.join(roots, "fp").groupBy("root").agg(F.min("least").alias("first"))
     keep = materialize(first.select(*[F.col(f"first.o.{c}").alias(f"{p}{c}") for c in ("id", "a", "b")],
                                     F.col("first.n").alias(f"{p}n")), "simhash-kept")
     same = ident.eqNullSafe(F.col(f"{p}id")) & (hashes[0] == F.col(f"{p}a")) & (hashes[1] == F.col(f"{p}b"))
