@@ -11,16 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekcast.functions.calendar import wing_length
 from weekcast.functions.scalar import clamp, clip_band, int_div, round_half_up, safe_div
 from weekcast.operators.clean import drop_week, valid_week
 from weekcast.operators.joins import join_back
-from weekcast.operators.windows import centred
+from weekcast.operators.windows import centred, in_blocks
 
 
 def robust_seasonality(df: DataFrame, keys=("regionid", "product"), week_col: str = "yearweek",
                        value: str = "qty", ma_width: int = 17, sd_width: int = 5,
-                       smooth_width: int = 5, max_week: int = 52,
-                       tiebreak=()) -> DataFrame:
+                       smooth_width: int = 5, max_week: int = 52, tiebreak=(),
+                       block_rows: int | None = None) -> DataFrame:
     """Clip-and-smooth seasonality index per key.
 
     qty < 0 -> 0 and weeks > ``max_week`` dropped; ``ma`` = centred mean of
@@ -29,18 +30,29 @@ def robust_seasonality(df: DataFrame, keys=("regionid", "product"), week_col: st
     stddev leaves qty as is); ``smoothed`` = centred mean of refined over
     ``smooth_width`` rows; the indices divide qty / refined by smoothed (1 when
     smoothed is 0).
+
+    ``block_rows``: for keys that may be hot, the three chained frames are taken in blocks
+    with a halo of their wings' sum (``windows.in_blocks``).
     """
     keys = list(keys)
     order = [week_col, *tiebreak]
     q = F.col(value)
     clean = valid_week(df.withColumn(value, F.when(q < 0, F.lit(0.0)).otherwise(q)),
                        week_col, max_week)
-    ma = clean.withColumn("ma", F.avg(value).over(centred(keys, order, ma_width)))
-    sd = ma.withColumn("stddev", F.stddev_samp("ma").over(centred(keys, order, sd_width)))
-    ref = (sd.withColumn("upper_bound", F.col("ma") + F.col("stddev"))
-             .withColumn("lower_bound", F.col("ma") - F.col("stddev"))
-             .withColumn("refined", clip_band(value, "ma", "stddev")))
-    sm = ref.withColumn("smoothed", F.avg("refined").over(centred(keys, order, smooth_width)))
+
+    def frames(rows, part, by):
+        ma = rows.withColumn("ma", F.avg(value).over(centred(part, by, ma_width)))
+        sd = ma.withColumn("stddev", F.stddev_samp("ma").over(centred(part, by, sd_width)))
+        ref = (sd.withColumn("upper_bound", F.col("ma") + F.col("stddev"))
+                 .withColumn("lower_bound", F.col("ma") - F.col("stddev"))
+                 .withColumn("refined", clip_band(value, "ma", "stddev")))
+        return ref.withColumn("smoothed", F.avg("refined").over(centred(part, by, smooth_width)))
+
+    if block_rows is None:
+        sm = frames(clean, keys, order)
+    else:
+        reach = sum(wing_length(w) for w in (ma_width, sd_width, smooth_width))
+        sm = in_blocks(clean, keys, order, reach, frames, block_rows)
     return (sm.withColumn("seasonality_stable", safe_div(F.col(value), F.col("smoothed"), 1.0))
               .withColumn("seasonality_unstable",
                           safe_div(F.col("refined"), F.col("smoothed"), 1.0)))

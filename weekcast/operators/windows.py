@@ -24,15 +24,57 @@ def centred(partition, order, width: int) -> Window:
 
 
 def moving_avg(df: DataFrame, partition, order, value: str, width: int,
-               name: str = "moving_avg") -> DataFrame:
-    """Centred moving mean over ``width`` rows."""
-    return df.withColumn(name, F.avg(value).over(centred(partition, order, width)))
+               name: str = "moving_avg", block_rows: int | None = None) -> DataFrame:
+    """Centred moving mean over ``width`` rows.
+
+    ``block_rows``: the partition may be hot; frames are then taken in blocks of so many
+    rows (``in_blocks``).
+    """
+    def add(rows, keys, by):
+        return rows.withColumn(name, F.avg(value).over(centred(keys, by, width)))
+    if block_rows is None:
+        return add(df, partition, order)
+    return in_blocks(df, partition, order, wing_length(width), add, block_rows)
 
 
 def moving_stddev(df: DataFrame, partition, order, value: str, width: int,
-                  name: str = "stddev") -> DataFrame:
-    """Centred moving *sample* stddev (W6); NULL for a one-row frame."""
-    return df.withColumn(name, F.stddev_samp(value).over(centred(partition, order, width)))
+                  name: str = "stddev", block_rows: int | None = None) -> DataFrame:
+    """Centred moving *sample* stddev (W6); NULL for a one-row frame.  ``block_rows`` as in
+    ``moving_avg``."""
+    def add(rows, keys, by):
+        return rows.withColumn(name, F.stddev_samp(value).over(centred(keys, by, width)))
+    if block_rows is None:
+        return add(df, partition, order)
+    return in_blocks(df, partition, order, wing_length(width), add, block_rows)
+
+
+#: Rows of a block of ``in_blocks``: one task's sort and frames.
+BLOCK_ROWS = 1 << 16
+
+
+def in_blocks(df: DataFrame, partition, order, reach: int, fn, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Row frames over partitions of any size: windows with a halo.
+
+    All rows are sorted once by (partition, order) in range partitions and numbered
+    (``global_index``).  A block is ``block_rows`` consecutive rows; it also gets the
+    ``reach`` rows before and after it from its neighbours.  ``fn(rows, partition, order)``
+    adds columns by windows over the ``partition`` and ``order`` that it is given; frames of
+    chained windows must not reach further than ``reach`` rows in all.  The partition keys
+    stay among the window's keys, so frames end where a partition ends; rows of a
+    neighbouring block are dropped again.  A hot key, or one key on all rows, is spread over
+    as many tasks as it has blocks.  ``order`` must make the order total; NULL keys are a
+    group.
+    """
+    if not 0 <= reach <= block_rows:
+        raise ValueError("reach must not exceed block_rows")
+    order_by = [F.col(k).asc_nulls_first() if isinstance(k, str) else k for k in [*partition, *order]]
+    rows = global_index(df, order_by, "_at", "blocks")
+    block, at = F.floor(F.col("_at") / block_rows), F.col("_at") % block_rows
+    near = F.array(block, F.when((at < reach) & (block > 0), block - 1),
+                   F.when(at >= block_rows - reach, block + 1))
+    spread = rows.withColumn("_own", block).withColumn("_block", F.explode(F.array_compact(near)))
+    out = fn(spread, ["_block", *partition], ["_at"])
+    return out.filter(F.col("_block") == F.col("_own")).drop("_block", "_own", "_at")
 
 
 def partition_mean(df: DataFrame, keys, value: str, name: str = "avg_qty") -> DataFrame:
