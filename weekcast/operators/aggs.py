@@ -70,3 +70,17 @@ def pivot_sum(df: DataFrame, keys, pivot_col: str, values, measure: str) -> Data
     Spark would run otherwise.
     """
     return df.groupBy(*keys).pivot(pivot_col, list(values)).agg(F.sum(measure))
+
+
+def stats_by_sets(df: DataFrame, keys, sets, value: str, level: str = "level") -> DataFrame:
+    """Count, sum, mean and population stddev for several groupings at once.
+
+    ``sets`` lists the groupings, each a list of ``keys`` (empty: the total).  One scan, one
+    expand and one exchange for all of them, combined before the shuffle.  ``level`` is the
+    grouping id (bit ``i`` from the left is 1 where key ``i`` is not grouped by), which tells a
+    key that is rolled up from a key that is NULL.
+    """
+    keys = list(keys)
+    return df.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(
+        F.grouping_id().alias(level), F.count(F.lit(1)).alias("cnt"), F.sum(value).alias("sum"),
+        F.avg(value).alias("mean"), F.stddev_pop(value).alias("stddev"))

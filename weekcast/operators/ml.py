@@ -15,6 +15,8 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekcast.operators.windows import rank_within_groups
+
 
 def split_by_week(df: DataFrame, week_col: str, last_train_week) -> tuple[DataFrame, DataFrame]:
     """Time-based split (M7, F19): train = week <= last_train_week, test = the rest."""
@@ -25,7 +27,10 @@ def split_by_week(df: DataFrame, week_col: str, last_train_week) -> tuple[DataFr
 def decision_tree_model(categorical=("holiday", "promotion"), numeric=("pro_percent",),
                         label: str = "qty", seed: int = 42, max_depth: int = 5) -> Pipeline:
     """StringIndexer per category (unseen labels kept, M1) -> VectorAssembler (M2) ->
-    DecisionTreeRegressor (M3), as one Pipeline (M4)."""
+    DecisionTreeRegressor (M3), as one Pipeline (M4).
+
+    The tree takes at most ``maxBins`` (32) labels a category, which bounds the indexers'
+    lists; ``category_index`` is for columns with more."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_in", handleInvalid="keep")
            for c in categorical]
     va = VectorAssembler(inputCols=[f"{c}_in" for c in categorical] + list(numeric),
@@ -66,13 +71,35 @@ def kmeans_segments(df: DataFrame, features, k: int = 2, seed: int = 1) -> DataF
 
 def category_index(train: DataFrame, columns) -> DataFrame:
     """(name, label, category_index, n) of each category of each column: 0 is the most
-    frequent label, ties go by label (M1).  The labels of one fitted indexer a column."""
-    out = None
+    frequent label, ties go by label (M1); NULL is no category.
+
+    For columns of any cardinality: the labels are counted (combined before the shuffle) and
+    ranked by one range-partitioned sort over all columns (``windows.rank_within_groups``).
+    No list of labels is held by the driver or by one task.
+    """
+    columns = list(columns)
+    long = train.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("label")) for c in columns])).alias("c")) \
+        .select("c.*").filter(F.col("label").isNotNull())
+    counts = long.groupBy("name", "label").agg(F.count(F.lit(1)).alias("n"))
+    ranked = rank_within_groups(counts, ["name"], "n", ["label"], name="_rank", count_name="_labels")
+    return ranked.select("name", "label", (F.col("_rank") - 1).cast("double").alias("category_index"), "n")
+
+
+def encode_categories(df: DataFrame, index: DataFrame, columns, suffix: str = "_in") -> DataFrame:
+    """``df`` with the index of each column as ``<column><suffix>`` (M1, M2).
+
+    ``index`` is the result of ``category_index``; a label that it lacks, and NULL, get the
+    number of labels, one past the last index.  A join a column: Spark broadcasts a small
+    index and shuffles a large one, with skewed labels split by AQE.
+    """
+    out = df
     for c in columns:
-        model = StringIndexer(inputCol=c, outputCol="category_index").fit(train)
-        part = model.transform(train).groupBy(F.lit(c).alias("name"), F.col(c).alias("label"),
-                                              "category_index").agg(F.count(F.lit(1)).alias("n"))
-        out = part if out is None else out.union(part)
+        own = index.filter(F.col("name") == c)
+        many = own.agg(F.count(F.lit(1)).cast("double").alias("k")).scalar()
+        own = own.select(F.col("label").alias("_label"), F.col("category_index").alias("_index"))
+        out = out.join(own, out[c].cast("string") == own["_label"], "left") \
+            .withColumn(c + suffix, F.coalesce("_index", many)).drop("_label", "_index")
     return out
 
 
