@@ -13,10 +13,13 @@ Aggregations run partial (map-side) before their shuffle.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.functions.calendar import week_start, yearweek, yearweek_int, yearweek_str
+from weekcast.functions.calendar import monday, week_start, yearweek, yearweek_int, yearweek_str
+from weekcast.sources.sinks import materialize
 from weekcast.sources.tables import load
 
 # Fixed values of the derived promotion table: brands whose list price is
@@ -96,13 +99,35 @@ def sales_base(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
                     "_max_ir", "_min_order_week")
 
 
-def last_ship_monday(spark: SparkSession, sf_dir: str):
-    """Monday (date) of the last week with a shipped line; one value, from one column.
+def ship_mondays(spark: SparkSession, sf_dir: str):
+    """Mondays (dates) of the first and the last week with a shipped line: one row of one column."""
+    row = load(spark, sf_dir, "lineitem", ["l_shipdate"]).agg(
+        week_start(F.min("l_shipdate")).alias("first"), week_start(F.max("l_shipdate")).alias("last")).first()
+    return row["first"], row["last"]
+
+
+def recent_sales(spark: SparkSession, sf_dir: str, weeks: int, columns) -> DataFrame:
+    """``columns`` of the six-segment sales of the last sales week and the ``weeks`` before it,
+    written once as a stage; it may hold earlier weeks too.
 
-    Lines before it can then be left out by a plain bound on the ship date.
+    Lines before a bound on the ship date are not joined.  The newest lines may have no order,
+    customer or part, so the last *sales* week can lie before the last shipped one: the bound
+    moves back until the stage has a week, and once more if it does not reach far enough.
     """
-    return load(spark, sf_dir, "lineitem", ["l_shipdate"]).agg(
-        week_start(F.max("l_shipdate")).alias("m")).first()["m"]
+    first, last = ship_mondays(spark, sf_dir)
+    columns, back = list(columns), weeks
+    while True:
+        since = None if last is None else last - timedelta(weeks=back)
+        sales = materialize(sales_detail(spark, sf_dir, since=since).select(*columns), "sales-recent")
+        newest = sales.agg(monday(yearweek_str(F.max(F.col("yearweek").cast("int")))).alias("m")).first()["m"]
+        if newest is not None and newest - timedelta(weeks=weeks) >= since:
+            return sales
+        if since is None or since <= first:  # all lines were read
+            return sales
+        if newest is not None:
+            back = (last - newest).days // 7 + weeks
+        else:
+            back = 4 * back + 1
 
 
 def sales_detail(spark: SparkSession, sf_dir: str, base: DataFrame | None = None,
@@ -162,6 +187,44 @@ def sellout(spark: SparkSession, sf_dir: str) -> DataFrame:
                     yearweek_str("_yw").alias("yearweek"), "qty")
 
 
+#: Accounts of this segment are billed to one payer; any other account pays for itself.
+PAYER_SEGMENT = "BUILDING"
+
+
+def _payer(account: str, segment: str):
+    return F.when(F.col(segment) == PAYER_SEGMENT, F.col(segment)).otherwise(
+        F.col(account).cast("string"))
+
+
+def _quarter(yw: str):
+    """Year and quarter (weeks 1-13, ...; week 53 to the last) of an integer week key, YYYYQ."""
+    week = F.col(yw) % 100
+    return F.floor(F.col(yw) / 100) * 10 + F.least(F.floor((week - 1) / 13), F.lit(3)) + 1
+
+
+def payer_sellout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(payer, quarter, regionid, accountid, yearweek, qty): sell-out by paying account.
+
+    One payer holds the accounts of a whole segment, so (payer, quarter) is a hot key.
+    """
+    g = (line_facts(spark, sf_dir)
+         .groupBy(F.col("r_name").alias("regionid"), F.col("o_custkey").alias("_acc"),
+                  F.col("c_mktsegment").alias("_seg"), yearweek_int("l_shipdate").alias("_yw"))
+         .agg(F.sum("l_quantity").alias("qty")))
+    return g.select(_payer("_acc", "_seg").alias("payer"), _quarter("_yw").alias("quarter"), "regionid",
+                    F.col("_acc").cast("string").alias("accountid"),
+                    yearweek_str("_yw").alias("yearweek"), "qty")
+
+
+def payer_promo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(payer, quarter, percent): the whole promotion percentage of each order, by payer."""
+    o = load(spark, sf_dir, "orders", ["o_custkey", "o_orderdate", "o_totalprice"])
+    c = load(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
+    return o.join(c, o.o_custkey == c.c_custkey).withColumn("_yw", yearweek_int("o_orderdate")).select(
+        _payer("o_custkey", "c_mktsegment").alias("payer"), _quarter("_yw").alias("quarter"),
+        (F.floor("o_totalprice").cast("bigint") % 30).alias("percent"))
+
+
 def key_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key-correction table (suta_tin -> mata_tin) with blank-padded source keys.
 

@@ -176,6 +176,9 @@ SELECT regionid, product, yearweek, qty, {r6('ma', 'ma')}, {r6('stddev', 'stddev
        {r6('seasonality_unstable', 'seasonality_unstable')}
 FROM c8""")
 
+ORACLE["seasonality_robust_region"] = ORACLE["seasonality_robust"].replace(
+    "PARTITION BY regionid, product ORDER BY yearweek", "PARTITION BY regionid ORDER BY yearweek, product")
+
 ORACLE["seasonality_profile"] = _c8(f"""
 SELECT regionid, product, qty, substr(yearweek, 5, 2) AS week,
        {r6('avg(seasonality_stable)', 'seasonality_stable')},
@@ -340,6 +343,48 @@ SELECT regionseg1, productseg2, regionseg2, regionseg3, productseg3, yearweek, y
        {r6('pro_percent', 'pro_percent')}, promotion_check
 FROM c2""", _C2)
 
+ORACLE["promo_flag_bucketed"] = ORACLE["promo_flag"]
+
+
+def _quarter(d: str) -> str:
+    return (f"(CAST(isoyear(CAST({d} AS DATE)) AS BIGINT) * 10 + "
+            f"least(CAST(floor((week(CAST({d} AS DATE)) - 1) / 13) AS BIGINT), 3) + 1)")
+
+
+def _payer(account: str) -> str:
+    return (f"CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment "
+            f"ELSE CAST({account} AS VARCHAR) END")
+
+
+ORACLE["payer_fanout"] = sql(["line_facts"], f"""
+SELECT a.regionid, a.quarter, count(*) AS n_rows, count(b.percent) AS n_pairs,
+       sum(CASE WHEN b.percent IS NULL THEN a.qty END) AS qty_unmatched,
+       sum(a.qty * b.percent) AS qty_percent
+FROM (SELECT payer, quarter, regionid, o_custkey, yearweek, sum(q) AS qty FROM (
+        SELECT {_payer('o_custkey')} AS payer, {_quarter('l_shipdate')} AS quarter,
+               r_name AS regionid, o_custkey, {yw('l_shipdate')} AS yearweek, l_quantity AS q
+        FROM line_facts) x GROUP BY 1, 2, 3, 4, 5) a
+LEFT JOIN (SELECT {_payer('o_custkey')} AS payer, {_quarter('o_orderdate')} AS quarter,
+                  CAST(floor(o_totalprice) AS BIGINT) % 30 AS percent
+           FROM orders JOIN customer ON o_custkey = c_custkey) b
+  ON a.payer = b.payer AND a.quarter = b.quarter
+GROUP BY 1, 2""")
+
+ORACLE["weekly_sink"] = sql(["weekly_sales"], """
+SELECT regionid, product, yearweek,
+       CASE WHEN substr(yearweek, 1, 4) = '1998' THEN qty * 2 ELSE qty END AS qty
+FROM weekly_sales WHERE yearweek <> '199830'""")
+
+ORACLE["recent_weeks"] = sql(["weekly_sales"], f"""
+SELECT regionid, product, yearweek, qty FROM weekly_sales
+WHERE yearweek >= (SELECT {week_add('max(yearweek)', -20)} FROM weekly_sales)""")
+
+ORACLE["stats_grouping_sets"] = sql(["weekly_sales"], f"""
+SELECT regionid, product, CAST(grouping(regionid, product) AS BIGINT) AS level, count(*) AS cnt,
+       sum(qty) AS sum, {r6('avg(qty)', 'mean')}, {r6('stddev_pop(qty)', 'stddev')}
+FROM weekly_sales
+GROUP BY GROUPING SETS ((regionid, product), (regionid), (product), ())""")
+
 ORACLE["promo_lookup"] = sql(["sellout", "account_promo"], """
 SELECT s.regionid, s.accountid, s.yearweek, s.qty, coalesce(a.pro_percent, 0.0) AS pro_percent
 FROM sellout s LEFT JOIN (
@@ -814,6 +859,25 @@ indexed AS (
 
 ORACLE["ml_category_index"] = sql(["dt_input"], "SELECT * FROM indexed", _INDEX)
 
+_PARTS = f"""
+shipped AS (SELECT l_partkey, CAST({yw('l_shipdate')} AS INTEGER) AS yearweek FROM line_facts),
+part_index AS (
+  SELECT 'l_partkey' AS name, label, n,
+         CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS DOUBLE) AS category_index
+  FROM (SELECT CAST(l_partkey AS VARCHAR) AS label, count(*) AS n FROM shipped
+        WHERE yearweek < 199601 GROUP BY 1) c)"""
+
+ORACLE["ml_part_index"] = sql(["line_facts"],
+                              "SELECT name, label, category_index, n FROM part_index", _PARTS)
+
+ORACLE["ml_part_codes"] = sql(["line_facts"], """
+SELECT l_partkey_in, count(*) AS n, count(DISTINCT l_partkey) AS n_parts
+FROM (SELECT l_partkey, coalesce(category_index, (SELECT CAST(count(*) AS DOUBLE) FROM part_index))
+             AS l_partkey_in
+      FROM shipped LEFT JOIN part_index ON label = CAST(l_partkey AS VARCHAR)
+      WHERE yearweek >= 199601) x
+GROUP BY 1""", _PARTS)
+
 ORACLE["ml_features"] = sql(["dt_input"], """
 SELECT d.regionid, d.product, d.yearweek, h.category_index AS holiday_in,
        p.category_index AS promotion_in, d.pro_percent

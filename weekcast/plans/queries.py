@@ -10,7 +10,6 @@ two-place rounding is part of the semantics.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from weekcast.functions import calendar as cal
 from weekcast.functions import scalar as sc
-from weekcast.operators import aggs, clean, cluster, forecast, joins, promo, seasonality, series
+from weekcast.operators import aggs, clean, cluster, forecast, joins, promo, seasonality, series, tiles
 from weekcast.operators import windows as win
 from weekcast.plans import datasets as ds
 from weekcast.plans import flows
@@ -50,6 +49,17 @@ def seasonality_robust(spark, sf_dir):
                                       "seasonality_unstable")])
 
 
+@register
+def seasonality_robust_region(spark, sf_dir):
+    """The three chained frames by region alone (W5-W7): five hot keys, blocks with a halo."""
+    s = seasonality.robust_seasonality(ds.weekly_sales(spark, sf_dir), ["regionid"],
+                                       tiebreak=["product"], block_rows=win.BLOCK_ROWS)
+    return s.select("regionid", "product", "yearweek", "qty",
+                    *[r6(c) for c in ("ma", "stddev", "upper_bound", "lower_bound", "refined",
+                                      "smoothed", "seasonality_stable",
+                                      "seasonality_unstable")])
+
+
 @register
 def seasonality_profile(spark, sf_dir):
     s = seasonality.robust_seasonality(ds.weekly_sales(spark, sf_dir))
@@ -171,6 +181,38 @@ def csv_roundtrip(spark, sf_dir):
     return back.toDF("regionid", "product", "yearweek", "qty")
 
 
+CORRECTED_YEAR, WITHDRAWN_WEEK = "1998", "199830"
+
+
+@register
+def weekly_sink(spark, sf_dir):
+    """A weekly table that is written, corrected, extended and re-run (K1, K4).
+
+    History up to 1999; a correction of 1998 that doubles the quantities and withdraws a week;
+    the later weeks; then the last two deliveries once more, which must change nothing.
+    """
+    ws = sinks.materialize(ds.weekly_sales(spark, sf_dir), "weekly_sales")
+    path = sinks.stage_path(spark, "weekly_sink")
+    fixed = ws.filter(F.col("yearweek").startswith(CORRECTED_YEAR) & (F.col("yearweek") != WITHDRAWN_WEEK)) \
+        .withColumn("qty", F.col("qty") * 2)
+    weeks = [f"{CORRECTED_YEAR}{w:02d}" for w in range(1, 54)]
+    later = ws.filter(F.col("yearweek") >= "200001")
+    sinks.write_weeks(ws.filter(F.col("yearweek") < "200001"), path)
+    for _ in range(2):
+        sinks.write_weeks(fixed, path, weeks=weeks)
+        sinks.write_weeks(later, path)
+    return sinks.read_weeks(spark, path).select("regionid", "product", "yearweek", "qty")
+
+
+@register
+def recent_weeks(spark, sf_dir):
+    """The last 20 weeks before the last one, read from a weekly table by a one-row bound on
+    its partitions (F15)."""
+    path = sinks.stage_path(spark, "sales_by_week")
+    sinks.write_weeks(ds.weekly_sales(spark, sf_dir), path)
+    return sinks.read_weeks(spark, path, last=20).select("regionid", "product", "yearweek", "qty")
+
+
 @register
 def complete_rows(spark, sf_dir):
     return clean.rows_without_nulls(ds.sellout_raw(spark, sf_dir))
@@ -283,6 +325,35 @@ def promo_fanout(spark, sf_dir):
     return r.orderBy("regionid", "accountid", "yearweek")
 
 
+@register
+def payer_fanout(spark, sf_dir):
+    """Every promotion of a payer's quarter on every sell-out row of it (J7, C14 kept whole).
+
+    One payer holds a segment's accounts, hot on both sides: its rows meet in tiles.  Reported
+    by region and quarter.
+    """
+    j = tiles.tiled_join(ds.payer_sellout(spark, sf_dir), ds.payer_promo(spark, sf_dir),
+                         ["payer", "quarter"], how="left")
+    return j.groupBy("regionid", "quarter").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("percent").alias("n_pairs"),
+        F.sum(F.when(F.col("percent").isNull(), F.col("qty"))).alias("qty_unmatched"),
+        F.sum(F.col("qty") * F.col("percent")).alias("qty_percent"))
+
+
+@register
+def promo_flag_bucketed(spark, sf_dir):
+    """``promo_flag`` over stage tables bucketed and sorted by the join's keys: the join has no
+    exchange, and neither would any later one by these keys (K5, J6)."""
+    base = sinks.materialize(ds.sales_base(spark, sf_dir), "sales_base")
+    sales = sinks.bucketed(ds.sales_detail(spark, sf_dir, base), "sales_by_item",
+                           ["regionseg1", "productseg2", "regionseg2", "productseg3", "yearweek"])
+    plans = sinks.bucketed(promo.impute_promo_prices(ds.promotion(spark, sf_dir, base)), "promo_by_item",
+                           ["regionseg", "productgroup", "salesid", "item", "targetweek"])
+    s = promo.attach_promotion(sales, plans)
+    return s.select(*[r6(c) if c in ("map_price", "ir", "pmap", "pro_percent") else F.col(c)
+                      for c in s.columns])
+
+
 def _overlay(spark, sf_dir, pick):
     acc = ds.tax_accounts(spark, sf_dir)
     r = joins.lookup(acc, ds.key_fix(spark, sf_dir), ["suta_tin"], ["suta_tin"], "mata_tin",
@@ -428,6 +499,14 @@ def group_stats(spark, sf_dir):
                     r6("stddev"))
 
 
+@register
+def stats_grouping_sets(spark, sf_dir):
+    """The statistics by key, by region, by product and in total from one scan."""
+    r = aggs.stats_by_sets(ds.weekly_sales(spark, sf_dir), ["regionid", "product"],
+                           [["regionid", "product"], ["regionid"], ["product"], []], "qty")
+    return r.select("regionid", "product", "level", "cnt", "sum", r6("mean"), r6("stddev"))
+
+
 @register
 def nonzero_mean(spark, sf_dir):
     base = ds.sales_base(spark, sf_dir)
@@ -498,13 +577,14 @@ def moving_avg_5(spark, sf_dir):
 @register
 def moving_avg_coarse(spark, sf_dir):
     """Moving means over coarser partitions than the series (W3 by region; W4 by two of the
-    three keys), in a total order."""
+    three keys), in a total order.  A region holds a fifth of all rows or more, so the frames
+    are taken in blocks of rows with a halo."""
     s = ds.sales_detail(spark, sf_dir).groupBy("regionseg1", "productseg2", "productseg3",
                                                "yearweek").agg(F.sum("qty").alias("qty"))
     r = win.moving_avg(s, ["regionseg1"], ["productseg2", "productseg3", "yearweek"], "qty", 3,
-                       "mv_region")
+                       "mv_region", block_rows=win.BLOCK_ROWS)
     r = win.moving_avg(r, ["regionseg1", "productseg2"], ["yearweek", "productseg3"], "qty", 5,
-                       "mv_type")
+                       "mv_type", block_rows=win.BLOCK_ROWS)
     return r.select("regionseg1", "productseg2", "productseg3", "yearweek", "qty",
                     r6("mv_region"), r6("mv_type"))
 
@@ -614,17 +694,11 @@ def active_items(spark, sf_dir):
 
 # --------------------------------------------------------------------------- clusters
 
-def _weeks_back(monday, weeks):
-    return None if monday is None else monday - timedelta(weeks=weeks)
-
-
 @register
 def item_clusters(spark, sf_dir):
     # only the weeks that count are joined; read twice (last week, recent sums), so staged
-    since = _weeks_back(ds.last_ship_monday(spark, sf_dir), 20)
-    sales = ds.sales_detail(spark, sf_dir, since=since).select(
-        "regionseg1", "productseg2", "productseg3", "yearweek", "qty")
-    c = cluster.item_clusters(sinks.materialize(sales, "sales_items"))
+    c = cluster.item_clusters(ds.recent_sales(spark, sf_dir, 20, [
+        "regionseg1", "productseg2", "productseg3", "yearweek", "qty"]))
     return c.select("regionseg1", "productseg2", "productseg3", "sum_qty", "rank", r6("ratio"),
                     "cluster")
 
@@ -634,9 +708,7 @@ def item_clusters(spark, sf_dir):
 @register
 def forecast_mean4(spark, sf_dir):
     keys = ["regionseg1", "regionseg2", "productseg2", "productseg3"]
-    since = _weeks_back(ds.last_ship_monday(spark, sf_dir), 4)
-    sales = sinks.materialize(ds.sales_detail(spark, sf_dir, since=since).select(
-        *keys, "yearweek", "qty"), "sales_recent")
+    sales = ds.recent_sales(spark, sf_dir, 4, [*keys, "yearweek", "qty"])
     f = forecast.mean_recent_forecast(sales, keys, recent=4, horizon=1)
     return f.select(*keys, "fcst_week", r6("fcst"))
 
@@ -746,6 +818,32 @@ def ml_category_index(spark, sf_dir):
     return ml.category_index(train, ["holiday", "promotion"])
 
 
+def _shipped_parts(spark, sf_dir):
+    f = ds.line_facts(spark, sf_dir).select("l_partkey", cal.yearweek_int("l_shipdate").alias("yearweek"))
+    return f.filter(F.col("yearweek") < FIRST_PARTS_UNTIL), f.filter(F.col("yearweek") >= FIRST_PARTS_UNTIL)
+
+
+#: Parts are indexed by the lines shipped before this week; later lines have parts it lacks.
+FIRST_PARTS_UNTIL = 199601
+
+
+@register
+def ml_part_index(spark, sf_dir):
+    """The index of a column with as many categories as there are parts (M1)."""
+    train, _ = _shipped_parts(spark, sf_dir)
+    return ml.category_index(train, ["l_partkey"])
+
+
+@register
+def ml_part_codes(spark, sf_dir):
+    """Later lines by the index of their part; parts without one share the next number (M1, M2)."""
+    train, test = _shipped_parts(spark, sf_dir)
+    index = sinks.materialize(ml.category_index(train, ["l_partkey"]), "part_index")
+    coded = ml.encode_categories(test, index, ["l_partkey"])
+    return coded.groupBy("l_partkey_in").agg(F.count(F.lit(1)).alias("n"),
+                                             F.countDistinct("l_partkey").alias("n_parts"))
+
+
 @register
 def ml_features(spark, sf_dir):
     """The feature vectors of the test rows (M2, M4)."""
