@@ -185,9 +185,105 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM judged j JOIN guilt g ON g.source IS NOT DISTINCT FROM j.source"""
 
 
+def _exact_dedup() -> str:
+    return """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
+def _merkle(heights: int = 5) -> str:
+    """Trees of up to ``16 ** heights`` leaves a source, and as many sources."""
+    def leaf(text: str) -> str:
+        parts = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+                            for c in ("doc_id", "source", "lang", "n_chars", text))
+        return f"sha256({parts})"
+
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, x: list_reduce(
+          list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, i:
+          CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"""
+
+    def tree(name: str) -> str:
+        out = ""
+        for h in range(heights):
+            out += f""",
+{name}s{h} AS (SELECT *, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+    coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM {name}{h} WHERE n > 1 WINDOW w AS (PARTITION BY g, p // 16 ORDER BY p)),
+{name}{h + 1} AS (SELECT g, p // 16 AS p, (n + 15) // 16 AS n, sha256(string_agg(d, '' ORDER BY p)) AS d
+  FROM {name}{h} WHERE n > 1 GROUP BY g, p // 16, n)"""
+        ends = " UNION ALL ".join(f"SELECT g, d FROM {name}{h} WHERE n = 1" for h in range(heights + 1))
+        return out + f""",
+{name}end AS ({ends})"""
+
+    def folded(name: str, src: str, g: str, p: str, out: str) -> str:
+        """One CTE a height: the running digest of each row."""
+        text, at = "", src
+        for h in range(heights):
+            text += f""",
+{out}{h} AS (SELECT r.* EXCLUDE (acc, sibs), coalesce(sha256(t.lft || r.acc || t.rgt), r.acc) AS acc,
+    r.sibs || coalesce(t.lft || t.rgt, '') AS sibs
+  FROM {at} r LEFT JOIN {name}s{h} t ON t.g = {g} AND t.p = {p} // {16 ** h})"""
+            at = f"{out}{h}"
+        return text
+
+    return f"""
+WITH doc AS (SELECT doc_id, source, {leaf('text')} AS leaf,
+    CASE WHEN ({crc}) % 5 = 0 THEN {leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")}
+         ELSE {leaf('text')} END AS given FROM documents),
+ranked AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM doc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p,
+    count(*) OVER (PARTITION BY g) AS n FROM ranked),
+a0 AS (SELECT g, p, n, leaf AS d FROM placed){tree('a')},
+b0 AS (SELECT 0 AS g, g AS p, count(*) OVER () AS n, d FROM aend){tree('b')},
+start AS (SELECT doc_id, leaf, g, p, given AS acc, '' AS sibs FROM placed){folded('a', 'start', 'r.g', 'r.p', 'low')}{folded('b', f'low{heights - 1}', '0', 'r.g', 'up')}
+SELECT u.doc_id, u.leaf, s.d AS subroot, r.d AS root, sha256(u.sibs) AS proof_sha256, u.acc AS folded_root,
+       u.acc = r.d AS verified
+FROM up{heights - 1} u JOIN aend s ON s.g = u.g CROSS JOIN bend r"""
+
+
+def _filter_audit() -> str:
+    letters = "ABCDE"
+    values = ", ".join(f"('{c}', {1 << i})" for i, c in enumerate(letters))
+    apart = " AND ".join(f"{x}.l <> {y}.l" for i, x in enumerate("vwxyz") for y in "vwxyz"[:i])
+    return f"""
+WITH word AS (SELECT doc_id, lang, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), {_WORD}) AS words FROM documents),
+flag AS (SELECT coalesce(d.lang, '') AS part,
+    CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS m,
+    coalesce(b.good, 0) AS good, coalesce(b.toxic, 0) AS toxic
+  FROM word d LEFT JOIN (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+    max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id) b USING (doc_id)),
+mask AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flag GROUP BY part, m),
+letter(l, bit) AS (VALUES {values}),
+perm AS (SELECT v.l || w.l || x.l || y.l || z.l AS o, [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits
+  FROM letter v, letter w, letter x, letter y, letter z WHERE {apart}),
+step AS (SELECT o, s, bits[s] AS bit, coalesce(list_sum(bits[1:s - 1]), 0)::BIGINT AS before
+  FROM perm, range(1, 6) t(s)),
+found AS (
+  SELECT part, o, s, bit, sum(CASE WHEN m & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN m & before = 0 AND m & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN m & before > 0 AND m & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN m = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN m & before = 0 AND m & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN m & before = 0 AND m & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM mask, step GROUP BY part, o, s, bit)
+SELECT part, o AS filter_order, s::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM found"""
+
+
 ORACLE: dict[str, str] = {
     "op3_line_dedup": _line_dedup(),
     "op5_decontamination": _decontamination(),
     "op7_mixing": _mixing(),
     "op10_host_quality": _quality(),
+    "op11_exact_dedup": _exact_dedup(),
+    "op12_merkle_manifest": _merkle(),
+    "op13_filter_audit": _filter_audit(),
 }

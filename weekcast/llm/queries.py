@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm import (decontam, html_blocks, langid, licenses, line_runs, mixing, pii, quality,
-                          secrets, ship, simhash)
+from weekcast.llm import (decontam, digest_index, filter_audit, html_blocks, langid, licenses, line_runs,
+                          merkle, mixing, pii, quality, secrets, ship, simhash)
+from weekcast.sources.sinks import stage_path
 from weekcast.sources.tables import load
 
-for _module in ("common", "decontam", "html_blocks", "langid", "licenses", "line_runs", "mixing", "quality", "secrets",
+for _module in ("common", "decontam", "filter_audit", "html_blocks", "langid", "licenses", "line_runs", "mixing", "quality", "secrets",
                 "simhash"):
     ship(f"weekcast.llm.{_module}")
 
@@ -103,3 +104,44 @@ def op10_host_quality(spark, sf_dir):
                          F.col(names["base_failed"]).alias("base_failed"),
                          F.col(names["kept"]).alias("kept"),
                          F.col(names["host_guilty"]).alias("host_guilty"))
+
+
+@register
+def op11_exact_dedup(spark, sf_dir):
+    """Every document with the row that stays of its equal texts, by a new digest index that the
+    documents are delivered to."""
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    index = digest_index.DigestIndex.create(spark, stage_path(spark, "digest-index"))
+    return digest_index.keep_largest(docs, index).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+MANIFEST_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@register
+def op12_merkle_manifest(spark, sf_dir):
+    """Leaf, subroot, root and proof of every document, and the root that its proof gives for
+    what was handed in: a fifth of the documents are lower-cased."""
+    docs = load(spark, sf_dir, "documents", list(MANIFEST_COLUMNS))
+    cols = {c: F.col(c) for c in MANIFEST_COLUMNS}
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaf = merkle.leaf_digest(cols.values())
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    given = F.when(tampered, merkle.leaf_digest((cols | {"text": lowered}).values())).otherwise(leaf)
+    rows = docs.select("doc_id", "source", leaf.alias("leaf"), given.alias("given"))
+    manifest = merkle.build(rows, "source", "doc_id", "leaf", carry=["given"])
+    proofs = merkle.prove(manifest, manifest.leaves.select("grp", "pos", "ident", "given"), ["ident", "given"])
+    folded = proofs.withColumn("folded_root", merkle.fold(F.col("given"), F.col("path")))
+    root = F.lit(manifest.root).cast("string")
+    return folded.select(F.col("ident").alias("doc_id"), "leaf", "subroot", root.alias("root"),
+                         merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == root).alias("verified"))
+
+
+@register
+def op13_filter_audit(spark, sf_dir):
+    """What each of five filters removes in every order, by language."""
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    marked, fails, outcomes = filter_audit.corpus_filters(docs, load(spark, sf_dir, "labels"))
+    return filter_audit.audit(marked, F.col("part"), fails, outcomes)
