@@ -144,8 +144,8 @@ def new_documents(docs: DataFrame, index: DigestIndex, delivery: str, id_col: st
     rows = digest_rows(docs, delivery, id_col, text_col, hashes)
     index.append(rows, delivery)
     kept = index.verdicts(rows).filter("kept").select("digest", "id", "a", "b")
-    same = rows.groupBy("digest", "id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    kept = materialize(kept.join(same.filter("n > 1"), ["digest", "id", "a", "b"], "left").select(
+    same = rows.groupBy("digest", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    kept = materialize(kept.join(same, ["digest", "a", "b"], "left").select(
         *[F.col(c).alias(p + c) for c in ("digest", "id", "a", "b")],
         F.coalesce("n", F.lit(1)).alias(f"{p}n")), "digest-kept")
     on = (digest_of(F.col(f"`{text_col}`")) == F.col(f"{p}digest")) \
