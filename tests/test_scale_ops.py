@@ -268,3 +268,52 @@ def test_groupings_from_one_scan(spark):
     have = {(r.r, r.p, r.level): (r.cnt, r["sum"]) for r in got.collect()}
     assert have == {("a", "x", 0): (1, 1.0), ("a", None, 0): (1, 3.0), (None, "x", 0): (1, 5.0),
                     ("a", None, 1): (2, 4.0), (None, None, 1): (1, 5.0), (None, None, 3): (3, 9.0)}
+
+
+# --------------------------------------------------------------------- lookups and models
+
+def rows_read(df):
+    """Rows that the file scans of an executed frame gave out."""
+    plan = df._jdf.queryExecution().executedPlan()
+    for name, step in (("AdaptiveSparkPlanExec", "executedPlan"), ("ResultQueryStageExec", "plan")):
+        if plan.getClass().getSimpleName() == name:
+            plan = getattr(plan, step)()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_point_lookup_skips_row_groups(spark, tmp_path):
+    from weekcast.operators import joins
+    df = spark.range(400_000).select((F.col("id") * 7919 % 100_003).cast("string").alias("k"),
+                                     F.sha2(F.col("id").cast("string"), 256).alias("v")).repartition(4)
+    stage = sinks.keyed(df, "by-k", "k", block_mb=1)
+    got = joins.by_key(stage, {"k": "500"})
+    assert "EqualTo(k,500)" in executed_plan(got)
+    assert same(got, df.filter("k = '500'"))
+    got = joins.by_key(stage, {"k": "500"})
+    n = len(got.collect())
+    assert 1 <= n < 10 and rows_read(got) < 40_000  # of 400,000
+    # a key inside the range of every row group that is not there: the Bloom filters say so
+    assert joins.by_key(stage, {"k": "5000000"}).count() == 0
+
+
+def test_account_lookup_filters_the_stage(spark):
+    plan = executed_plan(QUERIES["account_lookup"](spark, SF_SMALL))
+    assert "EqualTo(accountid,7)" in plan and "Join" not in plan
+
+
+def test_lloyd_rounds(spark):
+    pts = [(i, float(i % 2) * 10 + i % 3, float(i % 5)) for i in range(40)] + [(100, None, 1.0)]
+    df = spark.createDataFrame(pts, "id long, x double, y double")
+    got = {r.id: r.prediction for r in ml.lloyd_segments(df, "id", ["x", "y"], k=2, rounds=20).collect()}
+    assert got.pop(100) is None
+    centres = [pts[0][1:], pts[1][1:]]
+    for _ in range(20):
+        lab = [min(range(2), key=lambda c: (sum((a - b) ** 2 for a, b in zip(p[1:], centres[c])), c)) for p in pts[:40]]
+        centres = [tuple(sum(p[d] for p, z in zip(pts, lab) if z == c) / lab.count(c) for d in (1, 2)) for c in range(2)]
+    assert got == dict(enumerate(lab))
+    # fewer rows than centres, one point many times, an empty table
+    assert [r.prediction for r in ml.lloyd_segments(df.limit(1), "id", ["x", "y"], k=3).collect()] == [0]
+    one = spark.createDataFrame([(i, 1.0, 1.0) for i in range(5)], "id long, x double, y double")
+    assert {r.prediction for r in ml.lloyd_segments(one, "id", ["x", "y"], k=2).collect()} == {0}
+    assert ml.lloyd_segments(df.limit(0), "id", ["x", "y"]).count() == 0

@@ -12,10 +12,11 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.operators.windows import rank_within_groups
+from weekcast.sources.sinks import materialize
 
 
 def split_by_week(df: DataFrame, week_col: str, last_train_week) -> tuple[DataFrame, DataFrame]:
@@ -25,18 +26,21 @@ def split_by_week(df: DataFrame, week_col: str, last_train_week) -> tuple[DataFr
 
 
 def decision_tree_model(categorical=("holiday", "promotion"), numeric=("pro_percent",),
-                        label: str = "qty", seed: int = 42, max_depth: int = 5) -> Pipeline:
+                        label: str = "qty", seed: int = 42, max_depth: int = 5,
+                        max_bins: int = 32) -> Pipeline:
     """StringIndexer per category (unseen labels kept, M1) -> VectorAssembler (M2) ->
     DecisionTreeRegressor (M3), as one Pipeline (M4).
 
     The tree takes at most ``maxBins`` (32) labels a category, which bounds the indexers'
-    lists; ``category_index`` is for columns with more."""
+    lists; ``category_index`` is for columns with more.  A numeric feature with fewer distinct
+    values than ``max_bins`` is split exactly: every threshold between two values is tried.
+    """
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_in", handleInvalid="keep")
            for c in categorical]
     va = VectorAssembler(inputCols=[f"{c}_in" for c in categorical] + list(numeric),
                          outputCol="features", handleInvalid="keep")
     dt = DecisionTreeRegressor(labelCol=label, featuresCol="features", seed=seed,
-                               maxDepth=max_depth)
+                               maxDepth=max_depth, maxBins=max_bins)
     return Pipeline(stages=[*idx, va, dt])
 
 
@@ -69,6 +73,46 @@ def kmeans_segments(df: DataFrame, features, k: int = 2, seed: int = 1) -> DataF
     return Pipeline(stages=[va, km]).fit(df).transform(df).drop("features")
 
 
+def lloyd_segments(df: DataFrame, key: str, features, k: int = 2, rounds: int = 10) -> DataFrame:
+    """k-means by Lloyd's rounds from fixed starting rows (M6, C16); adds ``prediction``.
+
+    The start is the ``k`` rows with the smallest ``key`` (which must be unique), so a run can
+    be repeated, and checked, on any engine.  A round assigns every row to its nearest centre
+    (ties: the smaller number) and takes the means; a centre without rows stays.  It ends
+    after ``rounds`` rounds or when no centre moved.  Centres are stages of ``k`` rows that
+    the rows read as one scalar subquery: no join, and one partial aggregate a round.  Rows
+    with a NULL feature have no segment.  ``df`` is read once a round: pass a stage.
+    """
+    features = list(features)
+    values = [F.col(f).cast("double") for f in features]
+    usable = F.lit(True)
+    for f in features:
+        usable = usable & F.col(f).isNotNull()
+    start = df.filter(usable).orderBy(key).limit(k).select(
+        (F.row_number().over(Window.orderBy(key)) - 1).alias("c"), F.array(*values).alias("at"))
+    centres = materialize(start, "centres")
+
+    def nearest(centres):
+        m = centres.agg(F.array_sort(F.collect_list(F.struct("c", "at"))).alias("m")).scalar()
+        # k distances as plain columns: a lambda may not hold a subquery
+        far = []
+        for j in range(k):
+            centre = F.get(m, F.lit(j))
+            at = centre["at"]
+            d = sum(((v - at[i]) * (v - at[i]) for i, v in enumerate(values)), F.lit(0.0))
+            far.append(F.when(at.isNotNull(), F.struct(d.alias("d"), centre["c"].alias("c"))))
+        return F.when(usable, F.array_min(F.array(*far))["c"])
+
+    for _ in range(rounds):
+        means = df.withColumn("_c", nearest(centres)).filter(F.col("_c").isNotNull()).groupBy("_c").agg(
+            F.array(*[F.avg(v) for v in values]).alias("_mean"))
+        old, centres = centres, materialize(centres.join(means, F.col("c") == F.col("_c"), "left").select(
+            "c", F.coalesce("_mean", "at").alias("at")), "centres")
+        if centres.exceptAll(old).isEmpty():
+            break
+    return df.withColumn("prediction", nearest(centres))
+
+
 def category_index(train: DataFrame, columns) -> DataFrame:
     """(name, label, category_index, n) of each category of each column: 0 is the most
     frequent label, ties go by label (M1); NULL is no category.

@@ -899,3 +899,83 @@ WHERE yearweek <= 199952""")
 ORACLE["kmeans_nearest"] = """
 SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_violations FROM customer c
 WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)"""
+
+
+ORACLE["account_lookup"] = sql(["sellout"], "SELECT * FROM sellout WHERE accountid = '7'")
+
+
+def _cart(depth: int) -> str:
+    """CTEs ``tree{depth}``: every row with its node and the node's training mean (``pred``), by
+    greedy variance splits over two flags (lower mean to the left) and one number."""
+    out = """
+dt AS (SELECT regionid, product, yearweek, qty, holiday, promotion,
+              floor(pro_percent * 100) / 100.0 AS x, yearweek <= 199952 AS train FROM dt_input),
+vals AS (SELECT x, lead(x) OVER (ORDER BY x) AS nx FROM (SELECT DISTINCT x FROM dt WHERE train) v),
+cuts AS (SELECT (x + nx) / 2.0 AS t FROM vals WHERE nx IS NOT NULL),
+tree0 AS (SELECT *, '' AS node FROM dt)"""
+    for d in range(depth):
+        out += f""",
+cand{d} AS (
+  SELECT node, 0 AS f, CAST(NULL AS DOUBLE) AS t, sum(CASE WHEN holiday = 'N' THEN 1 ELSE 0 END) AS nl,
+         sum(CASE WHEN holiday = 'N' THEN qty ELSE 0.0 END) AS sl, count(*) AS n, sum(qty) AS s
+  FROM tree{d} WHERE train GROUP BY node
+  UNION ALL
+  SELECT node, 1, NULL, sum(CASE WHEN promotion = 'N' THEN 1 ELSE 0 END),
+         sum(CASE WHEN promotion = 'N' THEN qty ELSE 0.0 END), count(*), sum(qty)
+  FROM tree{d} WHERE train GROUP BY node
+  UNION ALL
+  SELECT node, 2, t, sum(CASE WHEN x <= t THEN k ELSE 0 END), sum(CASE WHEN x <= t THEN q ELSE 0.0 END),
+         sum(k), sum(q)
+  FROM (SELECT node, x, count(*) AS k, sum(qty) AS q FROM tree{d} WHERE train GROUP BY node, x) g, cuts
+  GROUP BY node, t),
+gain{d} AS (
+  SELECT *, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain FROM cand{d}
+  WHERE nl > 0 AND nl < n),
+best{d} AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 6) DESC, f, t) AS rn
+                 FROM gain{d} WHERE gain > 1e-9) b WHERE rn = 1),
+tree{d + 1} AS (
+  SELECT r.* EXCLUDE (node), r.node || CASE
+    WHEN b.f IS NULL THEN '.'
+    WHEN b.f = 0 THEN r.holiday WHEN b.f = 1 THEN r.promotion
+    WHEN r.x <= b.t THEN 'L' ELSE 'R' END AS node
+  FROM tree{d} r LEFT JOIN best{d} b ON b.node = r.node)"""
+    return out + f""",
+leaf AS (SELECT node, avg(qty) AS pred FROM tree{depth} WHERE train GROUP BY node),
+predicted AS (SELECT * FROM tree{depth} JOIN leaf USING (node) WHERE NOT train)"""
+
+
+ORACLE["dt_exact"] = sql(["dt_input"], f"""
+SELECT regionid, product, yearweek, qty, {r6('pred', 'prediction')} FROM predicted""", _cart(3))
+
+ORACLE["dt_exact_metrics"] = sql(["dt_input"], f"""
+SELECT {r6('sqrt(avg((pred - qty) * (pred - qty)))', 'rmse')}, {r6('avg(abs(pred - qty))', 'mae')},
+       count(*) AS n FROM predicted""", _cart(3))
+
+
+def _lloyd(k: int, rounds: int) -> str:
+    dims = ("a", "b", "c")
+
+    def near(centres: str) -> str:
+        far = " + ".join(f"(p.{x} - m.{x}) * (p.{x} - m.{x})" for x in dims)
+        return f"""SELECT id, {', '.join(f'p_{x} AS {x}' for x in dims)}, min_by(z, (d, z)) AS z FROM (
+    SELECT p.id, {', '.join(f'p.{x} AS p_{x}' for x in dims)}, m.z, {far} AS d FROM pt p, {centres} m) q
+  GROUP BY id, {', '.join(f'p_{x}' for x in dims)}"""
+
+    out = f"""
+pt AS (
+  SELECT c_custkey AS id, CAST(n AS DOUBLE) AS a, s / 1000.0 AS b, c_acctbal / 1000.0 AS c FROM customer
+  JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1) o
+    ON o_custkey = c_custkey),
+m0 AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS z, a, b, c FROM pt
+       ORDER BY id LIMIT {k})"""
+    for r in range(rounds):
+        out += f""",
+near{r} AS ({near(f'm{r}')}),
+m{r + 1} AS (
+  SELECT m.z, {', '.join(f'coalesce(v.{x}, m.{x}) AS {x}' for x in dims)} FROM m{r} m LEFT JOIN (
+    SELECT z, {', '.join(f'avg({x}) AS {x}' for x in dims)} FROM near{r} GROUP BY z) v ON v.z = m.z)"""
+    return f"WITH {out}, last AS ({near(f'm{rounds}')}) SELECT id AS c_custkey, z AS prediction FROM last"
+
+
+ORACLE["kmeans_lloyd"] = _lloyd(2, 10)

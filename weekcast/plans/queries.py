@@ -407,6 +407,13 @@ def account_by_key(spark, sf_dir):
         .select("accountid", "yearweek", "pro_percent", "o_orderkey")
 
 
+@register
+def account_lookup(spark, sf_dir):
+    """Point lookup in a keyed stage of a join's result (K9): the sell-out of one account."""
+    stage = sinks.keyed(ds.sellout(spark, sf_dir), "sellout_by_account", "accountid")
+    return joins.by_key(stage, {"accountid": "7"})
+
+
 @register
 def sql_view(spark, sf_dir):
     """A named view queried with SQL."""
@@ -884,6 +891,36 @@ def dt_regression(spark, sf_dir):
                     "qty", "prediction").orderBy("yearweek")
 
 
+def _exact_tree_predictions(spark, sf_dir):
+    """A tree of depth 3 over percentages in whole hundredths: few enough values that every
+    threshold is tried, so the tree is the exact greedy one."""
+    inp = ds.dt_input(spark, sf_dir).withColumn("pro_percent", F.floor(F.col("pro_percent") * 100) / 100.0)
+    train, test = ml.split_by_week(sinks.materialize(inp, "dt_input"), "yearweek", LAST_TRAIN_WEEK)
+    return ml.fit_predict(ml.decision_tree_model(max_depth=3, max_bins=256), train, test)
+
+
+@register
+def dt_exact(spark, sf_dir):
+    """Predictions of the exact greedy tree."""
+    p = _exact_tree_predictions(spark, sf_dir)
+    return p.select("regionid", "product", "yearweek", "qty", r6("prediction"))
+
+
+@register
+def dt_exact_metrics(spark, sf_dir):
+    """RMSE and MAE of the exact greedy tree (M5)."""
+    m = ml.regression_metrics(_exact_tree_predictions(spark, sf_dir))
+    return m.select(r6("rmse"), r6("mae"), "n")
+
+
+@register
+def kmeans_lloyd(spark, sf_dir):
+    """Segments after ten rounds from fixed starting rows."""
+    inp = sinks.materialize(ds.student_like(spark, sf_dir), "kmeans_input")
+    s = ml.lloyd_segments(inp, "c_custkey", ["sw", "db", "and"], k=2, rounds=10)
+    return s.select("c_custkey", "prediction")
+
+
 @register
 def dt_metrics(spark, sf_dir):
     return ml.regression_metrics(_dt_predictions(spark, sf_dir))

@@ -127,6 +127,22 @@ def bucketed(df: DataFrame, name: str, keys, buckets: int | None = None) -> Data
     return spark.table(table)
 
 
+def keyed(df: DataFrame, name: str, key: str, block_mb: int = 8) -> DataFrame:
+    """``df`` written once in the order of ``key`` for point lookups.
+
+    Rows are sorted by the key in range partitions, row groups are small (``block_mb``) and
+    carry a Bloom filter of the key: a filter on the key (``joins.by_key``) opens the row
+    groups whose range and Bloom filter admit it, and skips the others, instead of running
+    the plan behind ``df`` again.
+    """
+    spark = df.sparkSession
+    path = stage_path(spark, name)
+    (df.orderBy(key).write.mode("overwrite")
+       .option(f"parquet.bloom.filter.enabled#{key}", "true")
+       .option("parquet.block.size", str(block_mb << 20)).parquet(path))
+    return spark.read.parquet(path)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a stage in the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), "stages", f"{name}-{uuid.uuid4().hex[:12]}")
