@@ -81,8 +81,12 @@ class DigestIndex:
         return self.spark.table(self.table)
 
     def missing(self, rows: DataFrame) -> DataFrame:
-        """The digests of ``rows`` (id, digest) that the index lacks, with the largest id."""
-        fresh = rows.groupBy("digest").agg(F.max("id").alias("keep_id"))
+        """The digests of ``rows`` (id, digest) that the index lacks, with the largest id.
+
+        The aggregate is stored first: the optimizer would move the join with a small index
+        below it, to the rows, and shuffle every copy of a hot text.
+        """
+        fresh = materialize(rows.groupBy("digest").agg(F.max("id").alias("keep_id")), "digest-fresh")
         return fresh.join(self.frame().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, rows: DataFrame, delivery: str) -> None:
