@@ -80,33 +80,32 @@ def _mixing(passes: int = mixing.PASSES) -> str:
     steps = ""
     taken = "false"
     for k in range(passes):
-        now = f"(d.size <= s{k}.rest AND d.u <= coalesce(c{k}.cut, 0.0))"
+        now = f"(d.size <= s{k}.rest AND d.t <= coalesce(c{k}.cut, 0.0))"
         before = " ".join(f"LEFT JOIN cut{j} c{j} ON c{j}.src = d.src JOIN state{j} s{j} ON s{j}.src = d.src"
                           for j in range(k))
         steps += f""",
-row{k} AS (SELECT d.src, d.size, d.u, s{k}.rest, sum(d.size) OVER (
-    PARTITION BY d.src ORDER BY (d.u / (1 - d.u)) / (t.p / (1 - t.p))) AS cum
-  FROM sized d JOIN rate t ON t.src = d.src JOIN state{k} s{k} ON s{k}.src = d.src {before}
-  WHERE t.p > 0 AND d.size > 0 AND d.size <= s{k}.rest AND NOT ({taken})),
-cut{k} AS (SELECT src, max(u) AS cut, max(cum) AS used FROM row{k} WHERE cum <= rest GROUP BY src),
+row{k} AS (SELECT d.src, d.size, d.t, s{k}.rest, sum(d.size) OVER (PARTITION BY d.src ORDER BY d.t) AS cum
+  FROM rated d JOIN state{k} s{k} ON s{k}.src = d.src {before}
+  WHERE d.t IS NOT NULL AND d.size <= s{k}.rest AND NOT ({taken})),
+cut{k} AS (SELECT src, max(t) AS cut, max(cum) AS used FROM row{k} WHERE cum <= rest GROUP BY src),
 state{k + 1} AS (SELECT s.src, s.rest - coalesce(c.used, 0) AS rest
   FROM state{k} s LEFT JOIN cut{k} c USING (src))"""
         taken = f"{taken} OR {now}"
     joins = " ".join(f"LEFT JOIN cut{j} c{j} ON c{j}.src = d.src JOIN state{j} s{j} ON s{j}.src = d.src"
                      for j in range(passes))
     steps += f""",
-near AS (SELECT d.src, min({{'gap': abs(d.size - z.rest), 'odds': (d.u / (1 - d.u)) / (t.p / (1 - t.p)),
-                           'u': d.u, 'size': d.size}}) AS n
-  FROM sized d JOIN rate t ON t.src = d.src JOIN state{passes} z ON z.src = d.src {joins}
-  WHERE t.p > 0 AND d.size > 0 AND d.size < 2 * z.rest AND NOT ({taken}) GROUP BY d.src)"""
+near AS (SELECT d.src, min({{'gap': abs(d.size - z.rest), 't': d.t, 'size': d.size}}) AS n
+  FROM rated d JOIN state{passes} z ON z.src = d.src {joins}
+  WHERE d.t IS NOT NULL AND d.size < 2 * z.rest AND NOT ({taken}) GROUP BY d.src)"""
     joins += " LEFT JOIN near ON near.src = d.src"
-    taken += " OR coalesce(near.n.u = d.u AND near.n.size = d.size, false)"
+    taken += " OR coalesce(near.n.t = d.t AND near.n.size = d.size, false)"
+    key = "coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || coalesce(source, '')"
     return f"""
 WITH sized AS (
   SELECT doc_id, source, (source IS NULL, coalesce(source, '')) AS src,
     coalesce(len(regexp_extract_all(text, {_WORD})), 0)::BIGINT AS size,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5)
-      / 4503599627370496.0 AS u
+    (('0x' || substr(md5(md5({key}) || ':' || (row_number() OVER (PARTITION BY {key}) - 1) || ':mix'), 1, 13))
+      ::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 source AS (SELECT src, sum(size)::BIGINT AS source_size FROM sized GROUP BY src),
 weighted AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY src) - 1) % 3 + 1)::INT] AS w
@@ -126,14 +125,26 @@ target AS (
   SELECT src, source_size, CASE WHEN w * c.words > 3 * source_size * c.ws
     THEN (3 * source_size)::DOUBLE ELSE w::DOUBLE * c.words::DOUBLE / c.ws::DOUBLE END AS target
   FROM weighted, chosen c),
+-- within a source, copies by the binary digits of the size
+class AS (SELECT src, length(bin(size)) AS k, sum(size)::BIGINT AS words FROM sized WHERE size > 0 GROUP BY 1, 2),
+tried AS (
+  SELECT c.*, t.target, (t.target - 3 * coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(k * words) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f
+  FROM class c JOIN target t USING (src) WINDOW o AS (PARTITION BY c.src ORDER BY k DESC)),
+fits AS (SELECT src, max_by(f, k) AS f FROM tried WHERE f * k <= 3 GROUP BY src),
 rate AS (
-  SELECT *, least(floor(r)::BIGINT, 3) AS whole, r - least(floor(r)::BIGINT, 3) AS p
-  FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS r FROM target)),
-state0 AS (SELECT src, greatest(target - whole * source_size, 0.0) AS rest FROM rate){steps}
+  SELECT src, k, words, floor(r)::BIGINT AS whole, r - floor(r) AS p FROM (
+    SELECT c.*, greatest(least(coalesce(f * k, 3.0), 3.0), 0.0)::DOUBLE AS r
+    FROM class c LEFT JOIN fits USING (src)) x),
+rated AS (
+  SELECT d.*, r.whole, CASE WHEN r.p > 0 THEN (u * (1 - r.p)) / (u * (1 - r.p) + (1 - u) * r.p) END AS t
+  FROM sized d LEFT JOIN rate r ON r.src = d.src AND r.k = length(bin(d.size))),
+state0 AS (SELECT t.src, greatest(t.target - coalesce(x.certain, 0), 0.0) AS rest FROM target t
+  LEFT JOIN (SELECT src, sum(whole * words)::BIGINT AS certain FROM rate GROUP BY src) x USING (src)){steps}
 SELECT d.doc_id, d.size, t.source_size, t.target,
-  CASE WHEN d.size > 0 THEN ((t.whole + CASE WHEN t.p > 0 AND ({taken}) THEN 1 ELSE 0 END) * d.size)::BIGINT
+  CASE WHEN d.size > 0 THEN ((d.whole + CASE WHEN d.t IS NOT NULL AND ({taken}) THEN 1 ELSE 0 END) * d.size)::BIGINT
        ELSE 0 END AS taken
-FROM sized d JOIN rate t ON t.src = d.src {joins}"""
+FROM rated d JOIN target t ON t.src = d.src {joins}"""
 
 
 def _quality() -> str:
