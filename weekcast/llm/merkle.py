@@ -57,11 +57,11 @@ def leaf_digest(columns) -> object:
 
 @dataclass
 class Manifest:
-    """``leaves``: grp, pos (rank in its group), leaf and the carried columns; ``groups``: grp,
-    n, height; ``inner`` and ``top``: the stages of the groups' trees and of the tree over the
-    subroots by height (digest, children, ...); ``root``: its digest, None for an empty table."""
+    """``leaves``: grp, pos (rank in its group), leaf and the carried columns; ``subroots``: grp,
+    digest, height; ``inner`` and ``top``: the stages of the groups' trees and of the tree over
+    the subroots by height (digest, children, ...); ``root``: its digest, None for an empty table."""
     leaves: DataFrame
-    groups: DataFrame
+    subroots: DataFrame
     inner: list[DataFrame]
     top: list[DataFrame]
     root: str | None
@@ -108,10 +108,10 @@ def build(rows: DataFrame, group: str, ident: str, leaf: str, carry=()) -> Manif
     leaves = materialize(ranked.select("grp", (F.col("at") - F.col("first")).alias("pos"), "n", "ident", "leaf",
                                        *carry), "merkle-ranked")
     most = groups.agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("g")).first()
-    if not most["g"]:
-        return Manifest(leaves, groups, [], [], None)
     nodes, inner = leaves.select("grp", "pos", "n", F.col("leaf").alias("digest")), []
     subroots = nodes.filter("n = 1").select("grp", "digest", F.lit(0).alias("height"))
+    if not most["g"]:
+        return Manifest(leaves, subroots, [], [], None)
     for h in range(1, _heights(most["n"]) + 1):
         inner.append(_next_height(nodes, f"merkle-{h}"))
         nodes = inner[-1].select("grp", "pos", "n", "digest")
@@ -123,7 +123,7 @@ def build(rows: DataFrame, group: str, ident: str, leaf: str, carry=()) -> Manif
     for h in range(1, _heights(most["g"]) + 1):
         top.append(_next_height(nodes, f"merkle-top-{h}"))
         nodes = top[-1].select("grp", "pos", "n", "digest")
-    return Manifest(leaves, subroots.select("grp", "height"), inner, top, nodes.first()["digest"])
+    return Manifest(leaves, subroots, inner, top, nodes.first()["digest"])
 
 
 def _descend(state: DataFrame, stage: DataFrame, wanted: DataFrame, carry=()) -> DataFrame:
@@ -150,16 +150,16 @@ def prove(manifest: Manifest, requests: DataFrame, carry=()) -> DataFrame:
     wanted_top = [groups]
     for h in range(1, len(manifest.top)):
         wanted_top.append(wanted_top[-1].select("grp", F.floor(F.col("pos") / FANOUT).alias("pos")).distinct())
-    spark = requests.sparkSession
-    state = spark.range(0 if manifest.root is None else 1).select(
-        F.lit(0).cast("long").alias("grp"), F.lit(0).cast("long").alias("pos"),
-        F.lit(manifest.root).cast("string").alias("digest"), F.array().cast(kind).alias("segments"))
+    none = F.array().cast(kind).alias("segments")
+    if manifest.top:
+        state = manifest.top[-1].select("grp", "pos", "digest", none)
+    else:  # one group: its subroot is the root
+        state = manifest.subroots.select(F.lit(0).cast("long").alias("grp"), F.col("grp").alias("pos"), "digest", none)
     for h in range(len(manifest.top), 0, -1):
         state = _descend(state, manifest.top[h - 1], wanted_top[h - 1])
-    if manifest.root is None:
-        start = state.withColumn("height", F.lit(0))
-    else:  # the position in the top tree is the group's number
-        start = state.drop("grp").join(manifest.groups.withColumnRenamed("grp", "g"), F.col("pos") == F.col("g"))
+    # the position in the top tree is the group's number
+    heights = manifest.subroots.select(F.col("grp").alias("own"), "height")
+    start = state.join(heights, F.col("pos") == F.col("own"))
     start = materialize(start.select(
         F.col("pos").alias("grp"), F.lit(0).cast("long").alias("pos"), "digest", "segments",
         F.col("digest").alias("subroot"), "height"), "merkle-starts")
