@@ -55,7 +55,8 @@ def test_novel_strings_in_sensitive_context_only():
     assert novel(f"auth header: {value} end") == [value]
     assert novel(f"the lake {value} end") == []
     assert novel("auth header: application/json/text/plain/version2") == []
-    assert novel(f"auth header\n{value}") == []
+    assert novel(f"auth header\n{value}") == [value]
+    assert novel(f"the lake\n{value}") == []
     assert novel(f"password = {value} key") == []  # a base span already
 
 

@@ -1,15 +1,22 @@
 """Secret scans by dictionary-primed zstandard novelty (operator 4).
 
 Three fixed patterns find the secrets of known form.  Beyond them every string of
-``CANDIDATE``'s form that contains a letter and a digit and follows a word such as ``key`` or
-``auth`` on its line within ``REACH`` characters is a candidate.  A compressor primed with a
-dictionary of common identifiers compresses the surrounding text with and without the
-candidate; the bytes the candidate adds, over its length, are its novelty.  Names, versions
-and paths are made of pieces that the dictionary or the surrounding text holds and cost
-little; a random string costs most of its entropy.  Candidates of ``NOVELTY`` bytes a
-character or more are reported as kind ``novel`` unless they overlap a span of fixed form.
-
-Texts are read in place, one at a time; nothing is shuffled.
+``CANDIDATE``'s form that contains a letter and a digit is a candidate, wherever it stands.
+Its context is sensitive if a word such as ``key`` or ``auth`` stands in the ``AROUND``
+characters before or after it, across line ends (a value below its key, a label after the
+value); the lines of a key block (base64 lines one below the other) inherit the context of
+the line above, so a block counts to its end.
+
+A compressor primed with a dictionary of common identifiers compresses the surroundings with
+and without the candidate; the bytes the candidate adds, over its length, are its novelty.
+Names, versions and paths are made of pieces that the dictionary or the surrounding text holds
+and cost little; a random string costs most of its entropy.  Candidates of ``NOVELTY`` bytes a
+character or more in a sensitive context are reported as kind ``novel`` unless they overlap a
+span of fixed form.
+
+Texts are read in place, one at a time; nothing is shuffled.  The candidates of a text are
+enumerated once and each one is judged by a window of fixed size, so the time is linear in the
+text, whatever it holds.
 
 Defined results: a null or empty text has no spans; every row is scanned on its own, rows
 with equal ids too; an empty table gives an empty table; extra columns stay.  Offsets are
@@ -29,8 +36,7 @@ from weekcast.llm.common import arrow_rows, private, str_texts
 
 KINDS = ("assign", "access", "hex", "novel")
 BASE_KINDS = KINDS[:3]
-REACH = 48
-NOVELTY = 0.6
+NOVELTY = 0.65
 LEAST = 16
 AROUND = 160
 
@@ -40,8 +46,14 @@ _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, so shorter ones are just the failing matches
 
-_SENSITIVE = re.compile(r"pass|secret|token|key|auth|cred|bearer|private|signature|session")
+_WORDS = (r"pass(?:word|wd|phrase|code)?s?", r"secrets?", r"tokens?", r"(?:api)?keys?", r"auth(?:entication|orization)?",
+          r"cred(?:ential)?s?", r"bearer", r"private", r"signature", r"session")
+#: A sensitive word of its own, or a capitalised one inside a name (accessKey).
+_SENSITIVE = re.compile(r"(?<![A-Za-z])(?i:%s)(?![a-z])|(?:Pass(?:word|wd)?|Secret|Token|Key|Auth|Credential)s?(?![a-z])"
+                        % "|".join(_WORDS))
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+#: What may stand between two lines of one key block.
+_SAME_BLOCK = re.compile(r"(?:\\[nr]|[\s\"',+\\])+")
 
 #: Identifiers and words of code and settings that prime the compressor.
 IDENTIFIERS = """
@@ -59,12 +71,31 @@ get_value set_value to_string from_string parse_args main_function test_case han
 service controller repository factory manager provider adapter middleware component container
 docker kubernetes cluster server client proxy gateway endpoint connection timeout retry buffer
 error warning info debug trace exception message example sample placeholder your-key-here changeme
+application source main java python script document documents department finance policy security
+report account customer order payment invoice product country city street language number name
+first second last next previous current new old value values file files path folder image page
+user users group team member manager admin system process thread memory network device event
+string to_string or default cache from by with for and the is are on in of at method class test tests
+january february march april may june july august september october november december
+2015 2016 2017 2018 2019 2020 2021 2022 2023 2024 2025 2026
 """
 
 
+def dictionary(words: str = IDENTIFIERS) -> bytes:
+    """The words as they are, capitalised one after the other, and joined by ``_`` and ``-``."""
+    each = words.split()
+    camel = "".join(w.capitalize() for w in each)
+    return "\n".join((camel, "-".join(each), "_".join(each), words)).encode()
+
+
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+
+
 def _compressor() -> zstandard.ZstdCompressor:
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
+    """Short matches count: an identifier is pieces of three characters and more."""
+    primed = zstandard.ZstdCompressionDict(dictionary(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    search = zstandard.ZstdCompressionParameters.from_level(12, min_match=3, write_content_size=False)
+    return zstandard.ZstdCompressor(dict_data=primed, compression_params=search)
 
 
 def novelty(press: zstandard.ZstdCompressor, before: str, candidate: str, after: str) -> float:
@@ -92,26 +123,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], press) -> list[tuple[int, int, str]]:
     """Candidates in a sensitive context whose novelty is high, apart from the base spans."""
-    low = text.lower()
-    if len(low) != len(text):  # a character that grows when lower-cased: keep the offsets
-        low = text.translate({c: c + 32 for c in range(65, 91)})
-    found, upto, at = [], 0, 0
-    for m in _SENSITIVE.finditer(low):
-        stop = text.find("\n", m.end(), m.end() + REACH)
-        stop = m.end() + REACH if stop < 0 else stop
-        pos = max(m.end(), upto)
-        while (c := CANDIDATE.search(text, pos)) and c.start() < stop:
-            pos = upto = c.end()
-            value = c.group()
-            if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
-                continue
-            while at < len(base) and base[at][1] <= c.start():
-                at += 1
-            if any(a < c.end() and c.start() < z for a, z, _ in base[at:at + 64]):
-                continue
-            before = text[max(0, c.start() - AROUND):c.start()]
-            if novelty(press, before, value, text[c.end():c.end() + AROUND]) >= NOVELTY:
-                found.append((c.start(), c.end(), "novel"))
+    found, at = [], 0
+    ends = sorted(base)
+    last, sensitive = None, False  # the end of the previous candidate, and its context
+    for c in CANDIDATE.finditer(text):
+        lo, hi = c.span()
+        block = last is not None and lo - last <= 16 and _SAME_BLOCK.fullmatch(text, last, lo) is not None
+        sensitive = block and sensitive
+        last = hi
+        value = c.group()
+        if not (_DIGIT.search(value) and _LETTER.search(value)):
+            continue
+        before, after = text[max(0, lo - AROUND):lo], text[hi:hi + AROUND]
+        sensitive = sensitive or _SENSITIVE.search(before) is not None or _SENSITIVE.search(after) is not None
+        if not sensitive:
+            continue
+        while at < len(ends) and ends[at][1] <= lo:
+            at += 1
+        k = at
+        while k < len(ends) and ends[k][0] < hi and ends[k][1] <= lo:
+            k += 1
+        if k < len(ends) and ends[k][0] < hi:
+            continue
+        if novelty(press, before, value, after) >= NOVELTY:
+            found.append((lo, hi, "novel"))
     return found
 
 
