@@ -18,4 +18,4 @@ def test_sample_is_full(spark, monkeypatch, rows, pages):
     monkeypatch.setattr(html_blocks, "fit", lambda x, y: seen.append(len(x)))
     docs = spark.createDataFrame(rows, "page_id long, html string")
     html_blocks.train(docs, "html", "page_id", train_pages=5)
-    assert seen == [2 * pages]  # each page and its augmented copy
+    assert seen == [(1 + html_blocks.COPIES) * pages]  # each page and its augmented copies

@@ -5,12 +5,18 @@ vector of its tag path (tag names, class and id words, hashed), its words (hashe
 counts; a bidirectional LSTM in numpy reads the blocks of a page in order and labels each as
 main text or not, with the whole page as context.  The text of the main blocks is returned.
 
-Training.  Pages carry no labels, so blocks of ``TRAIN_PAGES`` pages (chosen by a hash of id
-and html) are labelled by what their path says outright: inside ``article`` or
-``main`` and under nothing of ``BOILERPLATE`` is main, under something of it is not; other
-blocks have no label and no loss.  Copies of these pages get blocks of boilerplate put in
-between, inside the article too, so that the labeller knows forms of it that the sample
-lacks.  Training runs on the driver, on that bounded sample; all pages are labelled in tasks.
+Training.  Pages carry no labels.  Blocks of ``TRAIN_PAGES`` pages (chosen by a hash of id
+and html) are labelled by what says outright what they are.  Under something of
+``BOILERPLATE``: not main.  Inside ``article`` or ``main`` otherwise: main.  On a page that has
+neither, prose (sentences of ``PROSE_WORDS`` words or more with few links) and what stands
+beside it in its container is main, and blocks full of links, or repeated on other pages of the
+sample, are not.  Other blocks have no label
+and no loss.  ``COPIES`` copies of each page get blocks of boilerplate put in between, inside
+the article too, other wrappers, and on half of them no ``article`` or ``main`` at all; on half
+of them the word-list features are blanked, so that the reader must tell by the words, the
+shape and the surroundings of a block.  Training runs on the driver, on that bounded sample;
+all pages are labelled in tasks.  If the sample has no block that counts as main, nothing is
+fitted, and every block that no path word speaks against is text.
 
 Never text, whatever the labeller says: comments, scripts, styles and other raw elements.
 
@@ -24,6 +30,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,18 +42,23 @@ from weekcast.llm.common import arrow_rows, private, str_texts
 TRAIN_PAGES = 120
 #: Blocks of one training page that are read; a longer page gives several sequences.
 TRAIN_BLOCKS = 64
+COPIES = 2
 EPOCHS = 16
 HIDDEN = 16
 PATH_DIMS, WORD_DIMS = 24, 16
 
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object",
+RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "annotation",
        "select", "canvas", "audio", "video", "title")
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
                   "source", "track", "wbr"))
 #: Tags that do not end a block.
 INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data",
                     "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp",
-                    "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"))
+                    "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+                    # formulas
+                    "math", "semantics", "mfrac", "mi", "mn", "mo", "mover", "mpadded", "mphantom", "mroot",
+                    "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd",
+                    "mtext", "mtr", "munder", "munderover"))
 #: Tags that an opening tag closes when they are open (markup without closing tags).
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
           "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -64,6 +76,11 @@ BOILERPLATE = frozenset(("nav", "menu", "footer", "aside", "sidebar", "form", "b
                          "masthead", "toolbar", "widget", "head", "tags", "search", "skip"))
 CONTENT = frozenset(("article", "main", "content", "post", "entry", "story", "body", "text"))
 
+#: Fewest words of a block that counts as prose on pages that name no article.
+PROSE_WORDS = 10
+#: Blocks that are held as vectors at a time.
+CELLS = 1 << 14
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
@@ -80,30 +97,102 @@ def _words_of(tag: str, attributes: str) -> tuple[str, ...]:
     return (tag, *(f".{w}" for w in _PIECES.findall(named)))
 
 
-def blocks_of(page: str | None) -> list[tuple[tuple, str, int]]:
+class Node:
+    """A tag path: its parent and the words of its last tag.  Features are made from the parent's
+    when they are first asked for, so a path costs the same however deep it is."""
+
+    __slots__ = ("parent", "words", "below", "_hashed", "_flags")
+
+    def __init__(self, parent: Node | None = None, words: tuple = ()):
+        self.parent, self.words, self.below = parent, words, {}
+        self._hashed = np.zeros(PATH_DIMS, dtype=np.float32) if parent is None else None
+        #: count of words, boilerplate, content word, header, inside, header before the article
+        self._flags = (0, False, False, False, False, False) if parent is None else None
+
+    def child(self, words: tuple) -> Node:
+        node = self.below.get(words)
+        if node is None:
+            node = self.below[words] = Node(self, words)
+        return node
+
+    def _made(self) -> Node:
+        chain, node = [], self
+        while node._flags is None:
+            chain.append(node)
+            node = node.parent
+        for node in reversed(chain):
+            hashed = node.parent._hashed.copy()
+            n, boiler, content, header, inside, late = node.parent._flags
+            for w in node.words:
+                h = zlib.crc32(w.encode())
+                hashed[h % PATH_DIMS] += 1 if h & 0x10000 else -1
+                name = w.lstrip(".")
+                boiler = boiler or name in BOILERPLATE
+                content = content or (n >= 2 and name in CONTENT)
+                if name in ("article", "main"):
+                    inside, late = True, header
+                header = header or name == "header"
+                n += 1
+            node._hashed, node._flags = hashed, (n, boiler, content, header, inside, late)
+        return self
+
+    def features(self) -> np.ndarray:
+        """Hashed path words, and whether one is of boilerplate, of content, a header."""
+        self._made()
+        return np.append(self._hashed, np.array(self._flags[1:4], dtype=np.float32))
+
+    def label(self) -> int:
+        """1 main text, 0 not, -1 unknown, by what the path says outright."""
+        _, boiler, _, header, inside, late = self._made()._flags
+        if boiler or (late if inside else header):
+            return 0
+        return 1 if inside else -1
+
+    def tags(self) -> list[tuple]:
+        """The words of each tag, outermost first."""
+        out, node = [], self
+        while node.parent is not None:
+            out.append(node.words)
+            node = node.parent
+        return out[::-1]
+
+
+def path(tags, root: Node) -> Node:
+    for words in tags:
+        root = root.child(words)
+    return root
+
+
+def blocks_of(page: str | None, root: Node | None = None) -> list[tuple[Node, str, int]]:
     """(path, text, characters in links) of each block with text, in page order.
 
-    The path holds the words of the open tags, outermost first.  White space inside a block
-    is one space; character references are decoded after the markup is gone.
+    Paths hang below ``root``, which pages may share.  White space inside a block is one
+    space; character references are decoded after the markup is gone.
     """
     out: list = []
     if not page:
         return out
-    stack: list[tuple[str, tuple]] = []
+    stack: list[str] = []
+    nodes: list[Node] = [root or Node()]
+    still: Counter = Counter()  # open tags by name: a closing tag without one is not looked for
     parts: list[str] = []
     link = [0]
-    path: tuple = ()
     links_open = 0
 
     def flush():
         if parts:
-            raw = " ".join(parts) if len(parts) == 1 else "".join(parts)
+            raw = parts[0] if len(parts) == 1 else "".join(parts)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append((path, text, min(link[0], len(text))))
+                out.append((nodes[-1], text, min(link[0], len(text))))
             parts.clear()
             link[0] = 0
 
+    def shut_from(i: int):
+        for name in stack[i:]:
+            still[name] -= 1
+        del stack[i:], nodes[i + 1:]
+
     pos, size = 0, len(page)
     while pos < size:
         m = _TOKEN.search(page, pos)
@@ -128,10 +217,11 @@ def blocks_of(page: str | None) -> list[tuple[tuple, str, int]]:
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if still[tag]:
+                i = len(stack) - 1
+                while stack[i] != tag:
+                    i -= 1
+                shut_from(i)
         else:
             if tag in VOID:
                 continue
@@ -143,57 +233,44 @@ def blocks_of(page: str | None) -> list[tuple[tuple, str, int]]:
             shut = CLOSES.get(tag, ()) if tag != "p" else ()
             if tag in ENDS_P:
                 shut = (*shut, "p")
-            if shut:
+            if any(still[t] for t in shut):
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in shut:
-                        del stack[i:]
+                    if stack[i] in shut:
+                        shut_from(i)
                         break
-                    if stack[i][0] in ("ul", "ol", "table", "div", "article", "section"):
+                    if stack[i] in ("ul", "ol", "table", "div", "article", "section"):
                         break
-            stack.append((tag, _words_of(tag, attributes)))
-        path = tuple(w for _, words in stack for w in words)
+            stack.append(tag)
+            still[tag] += 1
+            nodes.append(nodes[-1].child(_words_of(tag, attributes)))
     flush()
     return out
 
 
 # --------------------------------------------------------------------------- vectors
 
-def path_label(path: tuple) -> int:
-    """1 main text, 0 not, -1 unknown, by what the path says outright."""
-    words = [w.lstrip(".") for w in path]
-    inside = max((i for i, w in enumerate(words) if w in ("article", "main")), default=-1)
-    if any(w in BOILERPLATE for w in words) or "header" in words[:max(inside, 0)] \
-            or "header" in words and inside < 0:
-        return 0
-    return 1 if inside >= 0 else -1
-
-
 _DENSE = 8
 DIMS = PATH_DIMS + WORD_DIMS + _DENSE
+#: Columns of a vector that say whether a path word is of a list.
+LISTED = slice(PATH_DIMS, PATH_DIMS + 3)
 
 
-def vectors(blocks: list, hashes: dict) -> np.ndarray:
-    """One row a block: hashed path words, hashed text words, counts."""
+def vectors(blocks: list, known: dict | None = None) -> np.ndarray:
+    """One row a block: hashed path words, hashed text words, counts.  ``known`` keeps the
+    features of the paths of several pages."""
+    known = {} if known is None else known
     out = np.zeros((len(blocks), DIMS), dtype=np.float32)
     total = max(1, sum(len(t) for _, t, _ in blocks))
-    for i, (path, text, link) in enumerate(blocks):
-        kept = hashes.get(path)
+    for i, (node, text, link) in enumerate(blocks):
+        kept = known.get(node)
         if kept is None:
-            kept = np.zeros(PATH_DIMS + 3, dtype=np.float32)
-            for w in path:
-                h = zlib.crc32(w.encode())
-                kept[h % PATH_DIMS] += 1 if h & 0x10000 else -1
-            names = [w.lstrip(".") for w in path]
-            kept[PATH_DIMS] = any(w in BOILERPLATE for w in names)
-            kept[PATH_DIMS + 1] = any(w in CONTENT for w in names[2:])
-            kept[PATH_DIMS + 2] = "header" in names
-            hashes[path] = kept
+            kept = known[node] = node.features()
         row = out[i]
         row[:PATH_DIMS + 3] = kept
         words = text.encode().split()
         codes = np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words))
         row[PATH_DIMS + 3:PATH_DIMS + 3 + WORD_DIMS] = \
-            np.bincount(codes % WORD_DIMS, minlength=WORD_DIMS) / len(words) ** 0.5 / 4
+            np.bincount(codes % WORD_DIMS, minlength=WORD_DIMS) / max(1, len(words)) ** 0.5 / 4
         row[-5:] = (np.log1p(len(words)) / 5, link / len(text), len(text) / total,
                     text[-1] in ".!?", i / len(blocks))
     return out
@@ -305,7 +382,8 @@ def main_scores(w: dict, sequences: list[np.ndarray]) -> list[np.ndarray]:
     lo = 0
     while lo < len(order):
         hi, steps = lo + 1, len(sequences[order[lo]])
-        while hi < len(order) and len(sequences[order[hi]]) <= max(8, steps * 2) and hi - lo < 128:
+        while hi < len(order) and len(sequences[order[hi]]) <= max(8, steps * 2) and hi - lo < 128 \
+                and (hi - lo + 1) * len(sequences[order[hi]]) <= CELLS:
             hi += 1
         chosen = order[lo:hi]
         # pages are padded at the end; the backward reader gets its own, turned, copy
@@ -329,33 +407,62 @@ def main_scores(w: dict, sequences: list[np.ndarray]) -> list[np.ndarray]:
 # --------------------------------------------------------------------------- training set
 
 #: Paths that extra blocks of boilerplate get in the copies of the training pages.
-_EXTRA = (("aside", ".sidebar"), ("div", ".comments"), ("section", ".comments", "div", ".comment"),
-          ("div", ".cookie", ".notice"), ("form",), ("form", "label"), ("div", ".newsletter", "form"),
-          ("header", "div"), ("div", ".menu", "ul", "li"), ("ul", ".breadcrumb", "li"),
-          ("div", ".related", "ul", "li"), ("div", ".share"), ("div", ".banner"), ("div", ".advert"),
-          ("aside",), ("nav", "ul", "li"), ("footer", "p"), ("div", ".notice"), ("div", ".ad"))
+_EXTRA = tuple(tuple(tuple(tag.split(" ")) for tag in tags.split(" > ")) for tags in (
+    "aside .sidebar", "div .comments", "section .comments > div .comment", "div .cookie .notice", "form",
+    "form > label", "div .newsletter > form", "header > div", "div .menu > ul > li", "ul .breadcrumb > li",
+    "div .related > ul > li", "div .share", "div .banner", "div .advert", "aside", "nav > ul > li",
+    "footer > p", "div .notice", "div .ad"))
 
 
-def _augmented(blocks: list, rng) -> list:
+#: What may stand for ``article`` and ``main`` in copies that have neither.
+_WRAPPERS = ((), ("div",), ("div", ".content"), ("div", ".post", ".body"), ("td",), ("section",), ("div", ".text"))
+
+
+def page_labels(blocks: list, repeated: set[str]) -> list[int]:
+    """1 main text, 0 not, -1 unknown, of the blocks of a page."""
+    out = [node.label() for node, _, _ in blocks]
+    if 1 in out:
+        return out
+    for i, (_, text, link) in enumerate(blocks):
+        if out[i] < 0:
+            if text in repeated or link > 0.5 * len(text):
+                out[i] = 0
+            elif link < 0.3 * len(text) and text[-1] in ".!?\"\u201d" and len(text.split()) >= PROSE_WORDS:
+                out[i] = 1
+    # what stands beside prose in its container is main too: headings, short paragraphs
+    beside = {id(node.parent) for (node, _, _), y in zip(blocks, out, strict=True) if y == 1}
+    return [1 if y < 0 and id(node.parent) in beside else y for (node, _, _), y in zip(blocks, out, strict=True)]
+
+
+def _augmented(blocks: list, labels: list[int], rng, root: Node) -> tuple[list, list[int]]:
     """The page's blocks in other wrappers, with blocks of boilerplate in between (texts from
-    the page itself)."""
-    out = []
-    wrapper = tuple(x for _ in range(rng.integers(3)) for x in ("div", f".w{rng.integers(1000)}"))
-    for path, text, link in blocks:
-        path = path[:2] + wrapper + path[2:]
+    the page itself), and their labels."""
+    out, out_labels = [], []
+    wrapper = [("div", f".w{rng.integers(1000)}") for _ in range(rng.integers(3))]
+    bare = rng.random() < 0.5
+    instead = _WRAPPERS[rng.integers(len(_WRAPPERS))]
+    for (node, text, link), label in zip(blocks, labels, strict=True):
+        tags = node.tags()
+        tags = tags[:2] + wrapper + tags[2:]
+        if bare:
+            tags = [(w if w[0] not in ("article", "main") else instead) for w in tags]
+            tags = [w for w in tags if w]
+        elif rng.random() < 0.3 and label == 1:
+            tags = tags[:2] + ([("main",)] if rng.random() < 0.5 else [("div", ".content"), ("article",)]) + tags[-1:]
         while rng.random() < 0.25:
             extra = _EXTRA[rng.integers(len(_EXTRA))]
-            base = path if rng.random() < 0.5 else path[:2]
+            base = tags if rng.random() < 0.5 else tags[:2]
             other = blocks[rng.integers(len(blocks))][1]
-            out.append((base + extra, other, 0 if rng.random() < 0.7 else len(other)))
-        if rng.random() < 0.3 and path_label(path) == 1:
-            path = path[:2] + (("main",) if rng.random() < 0.5 else ("div", ".content", "article")) + path[-1:]
-        out.append((path, text, link))
-    return out
+            out.append((path([*base, *extra], root), other, 0 if rng.random() < 0.7 else len(other)))
+            out_labels.append(0)
+        out.append((path(tags, root), text, link))
+        out_labels.append(label)
+    return out, out_labels
 
 
-def train(pages: DataFrame, html_col: str, id_col: str, train_pages: int = TRAIN_PAGES) -> dict:
-    """Weights from a sample of the pages and their augmented copies.
+def train(pages: DataFrame, html_col: str, id_col: str, train_pages: int = TRAIN_PAGES) -> dict | None:
+    """Weights from a sample of the pages and their augmented copies; None if no block of the
+    sample counts as main text.
 
     The pages with the smallest hashes of id and html are taken, of those that have blocks,
     repeated ones once.  They are looked for in a hash class of about four times
@@ -377,27 +484,48 @@ def train(pages: DataFrame, html_col: str, id_col: str, train_pages: int = TRAIN
         found = smallest(rows)
     chosen = rows.filter(F.col("h").isin(found)).dropDuplicates(["h"]).orderBy("h")
     rng = np.random.default_rng(3)
-    sequences, labels, hashes = [], [], {}
+    root, texts, sample = Node(), Counter(), []
     for row in chosen.toLocalIterator():
-        own = blocks_of(row["html"])
-        for blocks in (own, _augmented(own, rng) if own else []):
-            x = vectors(blocks, hashes)
-            y = np.array([path_label(b[0]) for b in blocks], dtype=np.int64)
+        sample.append(blocks_of(row["html"], root))
+        texts.update({t for _, t, _ in sample[-1]})
+    often = max(3, len(sample) // 20)
+    repeated = {t for t, n in texts.items() if n >= often}
+    sequences, labels, some = [], [], False
+    for own in sample:
+        marks = page_labels(own, repeated)
+        some = some or 1 in marks
+        for copy in range(1 + COPIES):
+            blocks, y = _augmented(own, marks, rng, root) if copy else (own, marks)
+            x = vectors(blocks)
+            if copy and rng.random() < 0.5:
+                x[:, LISTED] = 0
             for lo in range(0, len(blocks), TRAIN_BLOCKS):
                 sequences.append(x[lo:lo + TRAIN_BLOCKS])
-                labels.append(y[lo:lo + TRAIN_BLOCKS])
-    return fit(sequences, labels)
+                labels.append(np.array(y[lo:lo + TRAIN_BLOCKS], dtype=np.int64))
+    return fit(sequences, labels) if some else None
 
 
-def extract_batch(pages: list[str | None], weights: dict) -> list[str]:
-    """Main text of each page."""
-    hashes: dict = {}
-    blocks = [blocks_of(p) for p in pages]
-    scores = main_scores(weights, [vectors(b, hashes) for b in blocks])
+def _labelled(blocks: list[list], weights: dict | None) -> list[str]:
+    if weights is None:
+        return ["\n\n".join(t for node, t, _ in b if node.label() != 0) for b in blocks]
+    known: dict = {}
+    scores = main_scores(weights, [vectors(b, known) for b in blocks])
     return ["\n\n".join(t for (_, t, _), s in zip(b, score) if s > 0.5)
             for b, score in zip(blocks, scores)]
 
 
+def extract_batch(pages: list[str | None], weights: dict | None) -> list[str]:
+    """Main text of each page; about ``CELLS`` blocks, or one page, are held at a time."""
+    out, held, cells, root = [], [], 0, Node()
+    for page in pages:
+        held.append(blocks_of(page, root))
+        cells += len(held[-1])
+        if cells >= CELLS:
+            out += _labelled(held, weights)
+            held, cells, root = [], 0, Node()
+    return out + _labelled(held, weights)
+
+
 def extract(pages: DataFrame, html_col: str = "html", id_col: str = "page_id",
             prefix: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``pages`` (or its columns ``keep``) and, under ``prefix``, ``text`` and ``n_chars``."""
