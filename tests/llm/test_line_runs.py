@@ -23,26 +23,19 @@ def brute(rows, min_words):
             kept.append((ident is None, ident if ident is not None else 0, r,
                          [(p, x) for p, x in enumerate(lines) if words(x)], lines))
     kept.sort(key=lambda x: x[:3])
-    first, out = {}, {r: t for r, (_, t) in enumerate(rows)}
-    spans = {}
+    out = {r: t for r, (_, t) in enumerate(rows)}
+    spans, places = {}, {}  # the places of a line, in the order of the corpus
     for d, (_, _, r, seq, _) in enumerate(kept):
         for s in range(len(seq)):
-            n = q = 0
-            while s + q < len(seq) and n < min_words:
-                n += words(seq[s + q][1])
-                q += 1
-            if n < min_words:
-                continue
-            key = tuple(x for _, x in seq[s:s + q])
-            if key not in first:
-                first[key] = (d, s)
-                continue
-            e, es = first[key]
-            other, size = kept[e][3], 0
-            while s + size < len(seq) and es + size < len(other) and \
-                    seq[s + size][1] == other[es + size][1]:
-                size += 1
-            spans.setdefault(r, set()).update(range(s, s + size))
+            longest = 0  # over every earlier place, how many lines agree
+            for e, es in places.get(seq[s][1], []):
+                other, size = kept[e][3], 0
+                while s + size < len(seq) and es + size < len(other) and seq[s + size][1] == other[es + size][1]:
+                    size += 1
+                longest = max(longest, size)
+            if sum(words(x) for _, x in seq[s:s + longest]) >= min_words:
+                spans.setdefault(r, set()).update(range(s, s + longest))
+            places.setdefault(seq[s][1], []).append((d, s))
     for _, _, r, seq, lines in kept:
         if r in spans:
             gone = {seq[i][0] for i in spans[r]}
@@ -113,3 +106,12 @@ def test_hot_passage_is_kept_once(spark, copies):
     rows = [(i, f"{passage}\nown line {i}") for i in range(copies)]
     got = run(spark, rows, 50)
     assert got[0] == rows[0][1] and got[1:] == [f"own line {i}" for i in range(1, copies)]
+
+
+def test_the_longest_run_of_any_earlier_copy_goes(spark):
+    x, y, z = " ".join(["x"] * 50), " ".join(["y"] * 20), "z z"
+    rows = [(1, x), (2, f"{x}\n{y}"), (3, f"{x}\n{y}"), (4, f"{x}\n{y}\n{z}"), (5, f"{x}\n{z}\nown"),
+            (6, f"{x}\n{y}\n{z}\nmore")]
+    got = run(spark, rows, 50)
+    assert got == brute(rows, 50)
+    assert got == [x, y, "", z, f"{z}\nown", "more"]

@@ -3,10 +3,10 @@
 The corpus is read as one sequence of lines (lines without a word are left out of it), each
 document closed by an end that equals nothing.  A *run* is a sequence of lines within a
 document.  Where a run of at least ``min_words`` words already stands earlier in the corpus
-(by id, then line), the later copy is deleted.  In full: let ``q`` lines from line ``s`` on be
-the fewest with ``min_words`` words, and ``e`` the earliest line from which the same ``q`` lines
-stand.  If ``e`` is not ``s``, the lines from ``s`` on are deleted as far as they agree with the
-lines from ``e`` on (lines without a word between deleted lines go with them).
+(by id, then line), the later copy is deleted: from each line ``s`` on, the longest run that also
+stands from any earlier line on, if it has ``min_words`` words (lines without a word between
+deleted lines go with them).  So every maximal repeated run goes, whichever earlier copy it
+agrees with furthest.
 
 Prefix doubling.  Rank 0 orders the lines by their ids (128 bits of hash); rank k + 1 orders
 the suffixes by the pair (rank k here, rank k 2**k lines on), so equal ranks at level k are
@@ -15,10 +15,13 @@ common prefix is at least that.  Ranks are given to the *distinct* pairs, by a r
 partitioned sort, so no task holds the array; suffixes whose pair occurs once can be part of
 no longer repeat and leave, so the levels shrink.
 
-Intervals.  The interval of ``s`` at depth ``q`` is the class of its two (overlapping) windows of
-2**k lines; its smallest member is ``e``.  The longest common prefix of ``s`` and ``e`` follows by
-going down the levels once.  Consecutive ``s`` with consecutive ``e`` are one repeat, so only the
-last of them goes down the levels.
+Intervals.  The interval of ``s`` at depth ``q`` (the fewest lines from ``s`` on with ``min_words``
+words) is the class of its two (overlapping) windows of 2**k lines; if ``s`` is not its earliest
+member, ``s`` starts a copy.  Going down the levels once, a class is parted by the rank of the
+next 2**k lines: whoever is not the earliest of its part extends and moves to the part; the
+earliest stays (others of the class may agree with it on fewer lines) and also stands in the
+part as a witness.  A line that starts a copy, like the line after it, ends no later than that
+one, so only the last of consecutive ones, and the classes they are in, go down the levels.
 
 Groups: a line or passage that a third of all rows share is one row in each ranking (counted
 before the shuffle), and its joins are splittable by AQE.  Windows go by document only.
@@ -93,8 +96,9 @@ def _shortest(base: DataFrame, min_words: int) -> DataFrame:
     return found.withColumn("k", (F.length(F.bin("q")) - 1).cast("int"))
 
 
-def _copies(docs_order: DataFrame, levels: list[DataFrame], short: DataFrame) -> DataFrame:
-    """(row, idx, q, erow, eidx) of the lines whose first ``q`` lines stand earlier."""
+def _classes(docs_order: DataFrame, levels: list[DataFrame], short: DataFrame) -> DataFrame:
+    """(row, idx, no_id, id, q, erow, eidx, copy) of the lines whose first ``q`` lines stand twice
+    or more: the class's earliest line, and whether it is another one."""
     every = levels[0].withColumn("k", F.lit(0))
     for k, level in enumerate(levels[1:], 1):
         every = every.union(level.withColumn("k", F.lit(k)))
@@ -104,34 +108,48 @@ def _copies(docs_order: DataFrame, levels: list[DataFrame], short: DataFrame) ->
     sites = short.join(left, ["row", "idx", "k"]).withColumn("idx2", tail.cast("int")) \
         .join(right, ["row", "idx2", "k"]).drop("idx2").join(docs_order, "row")
     sites = materialize(sites, "lines-sites")
-    place = F.struct("no_id", "id", "row", "idx")
     # written on its own, so that the join back has exchanges of its own, which AQE can split
     # where many sites share a passage
-    first = materialize(sites.groupBy("q", "ra", "rb").agg(F.min(place).alias("e")), "lines-first")
-    return sites.join(first, ["q", "ra", "rb"]) \
-        .select("row", "idx", "q", F.col("e.row").alias("erow"), F.col("e.idx").alias("eidx")) \
-        .filter("row <> erow or idx <> eidx")
+    first = materialize(sites.groupBy("q", "ra", "rb").agg(
+        F.min(_place()).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "lines-first")
+    return sites.join(first, ["q", "ra", "rb"]).select(
+        "row", "idx", "no_id", "id", "q", F.col("e.row").alias("erow"), F.col("e.idx").alias("eidx"),
+        ((F.col("e.row") != F.col("row")) | (F.col("e.idx") != F.col("idx"))).alias("copy"))
 
 
-def _extended(copies: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """(row, idx, end): each copy's lines up to ``end`` agree with its earliest copy."""
+def _place():
+    """A line's place in the corpus."""
+    return F.struct("no_id", "id", "row", "idx")
+
+
+def _extended(classes: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(row, idx, end): the lines up to ``end`` also stand from an earlier line on."""
     order = Window.partitionBy("row").orderBy("idx")
-    goes_on = (F.lead("idx").over(order) == F.col("idx") + 1) \
-        & (F.lead("erow").over(order) == F.col("erow")) \
-        & (F.lead("eidx").over(order) == F.col("eidx") + 1)
-    copies = materialize(copies.withColumn("last", ~F.coalesce(goes_on, F.lit(False))), "lines-copies")
-    ends = copies.filter("last").withColumn("len", F.col("q"))
+    goes_on = (F.lead("idx").over(order) == F.col("idx") + 1) & F.lead("copy").over(order)
+    classes = materialize(classes.withColumn("asks", F.col("copy") & ~F.coalesce(goes_on, F.lit(False)))
+                          .withColumn("len", F.col("q")), "lines-classes")
+    key = ["erow", "eidx", "len"]
+    asked = classes.filter("asks").select(*key).distinct()
+    state = materialize(classes.join(asked, key, "left_semi").drop("q", "copy"), "lines-asked")
     for k in range(len(levels) - 1, -1, -1):
-        here = levels[k].select("row", F.col("idx").alias("at"), F.col("r").alias("r1"))
-        there = levels[k].select(F.col("row").alias("erow"), F.col("idx").alias("eat"),
-                                 F.col("r").alias("r2"))
-        ends = ends.withColumn("at", F.col("idx") + F.col("len")) \
-            .withColumn("eat", F.col("eidx") + F.col("len")) \
-            .join(here, ["row", "at"], "left").join(there, ["erow", "eat"], "left") \
-            .withColumn("len", F.col("len") + F.when(F.col("r1") == F.col("r2"), 1 << k).otherwise(0)) \
-            .drop("at", "eat", "r1", "r2")
-    inner = copies.filter("not last").select("row", "idx", (F.col("idx") + F.col("q")).alias("end"))
-    return inner.union(ends.select("row", "idx", (F.col("idx") + F.col("len")).alias("end")))
+        ahead = levels[k].select("row", F.col("idx").alias("at"), "r")
+        state = materialize(state.withColumn("at", F.col("idx") + F.col("len")).join(ahead, ["row", "at"], "left")
+                            .drop("at"), f"lines-ahead{k}")
+        parts = state.filter("r is not null").groupBy(*key, "r").agg(
+            F.min(_place()).alias("f"), F.count(F.lit(1)).alias("n"), F.max("asks").alias("some"))
+        parts = materialize(parts.filter("n > 1 and some").select(
+            *key, "r", F.col("f.row").alias("frow"), F.col("f.idx").alias("fidx")), f"lines-parts{k}")
+        moved = F.col("frow").isNotNull()
+        is_first = (F.col("frow") == F.col("row")) & (F.col("fidx") == F.col("idx"))
+        old = F.struct(*key, "asks")
+        new = F.struct(F.col("frow").alias("erow"), F.col("fidx").alias("eidx"),
+                       (F.col("len") + (1 << k)).alias("len"), (F.col("asks") & ~is_first).alias("asks"))
+        state = state.join(parts, [*key, "r"], "left").select(
+            "row", "idx", "no_id", "id", F.explode(F.array_compact(F.array(
+                F.when(~moved | is_first, old), F.when(moved, new)))).alias("c")) \
+            .select("row", "idx", "no_id", "id", "c.*")
+    inner = classes.filter("copy and not asks").select("row", "idx", (F.col("idx") + F.col("q")).alias("end"))
+    return inner.union(state.filter("asks").select("row", "idx", (F.col("idx") + F.col("len")).alias("end")))
 
 
 def _deleted(base: DataFrame, ends: DataFrame) -> DataFrame:
@@ -159,8 +177,8 @@ def repeated_runs(docs: DataFrame, row: str, text_col: str, id_col: str,
     levels = _levels(base)
     ident = F.col(f"`{id_col}`")
     order = docs.select(F.col(row).alias("row"), ident.isNull().alias("no_id"), ident.alias("id"))
-    copies = _copies(order, levels, _shortest(base, min_words))
-    return _deleted(base, materialize(_extended(copies, levels), "lines-ends"))
+    classes = _classes(order, levels, _shortest(base, min_words))
+    return _deleted(base, materialize(_extended(classes, levels), "lines-ends"))
 
 
 def _without(text, cuts):

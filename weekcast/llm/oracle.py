@@ -33,17 +33,15 @@ site AS (
 piece AS (
   SELECT s.doc_id, s.idx, array_to_string(d.lines[s.idx:s.last], chr(10)) AS body
   FROM site s JOIN doc d USING (doc_id) WHERE s.last <= len(d.lines)),
-copy AS (
-  SELECT doc_id, idx, first_value(doc_id) OVER w AS edoc, first_value(idx) OVER w AS eidx
-  FROM piece WINDOW w AS (PARTITION BY body ORDER BY doc_id, idx)),
+-- every earlier place of the same piece: the copy goes as far as any of them agrees
 tail AS (
-  SELECT c.doc_id, c.idx, d.lines[c.idx:] AS a, e.lines[c.eidx:] AS b
-  FROM copy c JOIN doc d ON d.doc_id = c.doc_id JOIN doc e ON e.doc_id = c.edoc
-  WHERE c.doc_id <> c.edoc OR c.idx <> c.eidx),
+  SELECT c.doc_id, c.idx, d.lines[c.idx:] AS a, e.lines[p.idx:] AS b
+  FROM piece c JOIN piece p ON p.body = c.body AND (p.doc_id, p.idx) < (c.doc_id, c.idx)
+  JOIN doc d ON d.doc_id = c.doc_id JOIN doc e ON e.doc_id = p.doc_id),
 reach AS (
-  SELECT doc_id, idx, least(len(a), len(b), coalesce(list_position(
+  SELECT doc_id, idx, max(least(len(a), len(b), coalesce(list_position(
     list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false) - 1,
-    1000000000)) AS n FROM tail),
+    1000000000))) AS n FROM tail GROUP BY doc_id, idx),
 gone AS (SELECT DISTINCT doc_id, unnest(range(idx, idx + n)) AS idx FROM reach),
 spot AS (SELECT g.doc_id, g.idx, d.places[g.idx] AS lo,
                 CASE WHEN n.idx IS NULL THEN d.places[g.idx] ELSE d.places[g.idx + 1] - 1 END AS hi
