@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 
 from weekcast.llm.common import arrow_rows, bounded_batches, private, str_texts
 
+#: Most letters times languages whose scores are held at a time (a task's memory).
+CELLS = 1 << 23
 TRAIN_DOCS = 3000
 BUCKET_BITS = 16
 SWITCH = 12.0
@@ -102,7 +104,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str,
     usable = docs.select(F.col(f"`{id_col}`").alias("id"), lang.alias("lang"),
                          F.col(f"`{text_col}`").alias("text")).filter("text is not null and lang is not null")
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    unit = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    unit = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)).cast("double") / float(1 << 30)
     langs = {r["lang"]: r["n"] for r in counts.collect()}  # one row a language
     names = sorted(langs)
     model = {"langs": names, "tables": letter_tables()}
@@ -180,7 +182,38 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
 
 
 def predict(texts: list[str | None], model: dict) -> tuple[list, list, list]:
-    """Language, share of its letters, and spans ``lang:start:end`` (code points) of texts."""
+    """Language, share of its letters, and spans ``lang:start:end`` (code points) of texts.
+
+    Texts are read in groups of about ``CELLS`` letters times languages, or one by one.
+    """
+    out: tuple[list, list, list] = ([], [], [])
+    most = CELLS // max(1, len(model["langs"]))
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text or "") > most:
+            for into, part in zip(out, _predict(group, model), strict=True):
+                into += part
+            group, size = [], 0
+        group.append(text)
+        size += len(text or "")
+    for into, part in zip(out, _predict(group, model), strict=True):
+        into += part
+    return out
+
+
+def _word_scores(scores: np.ndarray, bucket: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sum of the letters' scores of each word; letters are looked up ``CELLS`` at a time."""
+    out = np.empty((len(starts), scores.shape[1]), dtype=scores.dtype)
+    lo, most = 0, max(1, CELLS // scores.shape[1])
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + most)))
+        end = starts[hi] if hi < len(starts) else len(bucket)
+        out[lo:hi] = np.add.reduceat(scores[bucket[starts[lo]:end]], starts[lo:hi] - starts[lo], axis=0)
+        lo = hi
+    return out
+
+
+def _predict(texts: list[str | None], model: dict) -> tuple[list, list, list]:
     names = model["langs"]
     n = len(texts)
     if not names:
@@ -189,7 +222,7 @@ def predict(texts: list[str | None], model: dict) -> tuple[list, list, list]:
     if not len(at):
         return ["und"] * n, [0.0] * n, [""] * n
     # a word's score is a sum over its letters; a sum over a text of any length stays in its words
-    word = np.add.reduceat(model["scores"][bucket], starts, axis=0)
+    word = _word_scores(model["scores"], bucket, starts)
     allowed = model["allowed"][script[starts]]
     word = np.where(allowed | ~allowed.any(axis=1, keepdims=True), word, np.float32(-100.0))
     of = text[starts]
