@@ -198,7 +198,7 @@ def search(index: dict, data: bytes, threshold: float = THRESHOLD) -> list[tuple
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
     """The items in blocks of bounded text, each collected on its own."""
-    ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    ident, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")
     size = benchmark.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     items = benchmark.select(ident.alias("id"), text.alias("text")).filter(text.isNotNull())
@@ -225,7 +225,9 @@ _FOUND = ("items", "found", "size")
 
 def _matched(docs: DataFrame, text_col: str, items: list[tuple], threshold: float, prefix: str,
              keep: list[str] | None = None) -> DataFrame:
-    fields = [T.StructField(f"{prefix}{n}", T.ArrayType(T.LongType(), True), False) for n in _FOUND]
+    kinds = (T.StringType(), T.LongType(), T.LongType())  # ids of any type, as text
+    fields = [T.StructField(f"{prefix}{n}", T.ArrayType(k, True), False)
+              for n, k in zip(_FOUND, kinds, strict=True)]
     return arrow_rows(docs, [text_col], _matcher(docs.sparkSession, items, threshold), fields, keep)
 
 
@@ -234,13 +236,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and item that it contains: ``doc_id``, ``item_id``, ``n_found``,
     ``n_shingles``, ``containment``."""
-    out = None
+    out, kind = None, benchmark.schema[item_id].dataType
     for items in _blocks(benchmark, item_id, item_text):
         hits = _matched(docs.select(f"`{id_col}`", f"`{text_col}`"), text_col, items, threshold,
                         "_w_", [id_col])
         rows = hits.select(F.col(f"`{id_col}`").alias("doc_id"), F.explode(F.arrays_zip(
             "_w_items", "_w_found", "_w_size")).alias("m")).select(
-            "doc_id", F.col("m._w_items").alias("item_id"), F.col("m._w_found").alias("n_found"),
+            "doc_id", F.col("m._w_items").cast(kind).alias("item_id"), F.col("m._w_found").alias("n_found"),
             F.col("m._w_size").alias("n_shingles"),
             (F.col("m._w_found") / F.col("m._w_size")).alias("containment"))
         out = rows if out is None else out.union(rows)
