@@ -72,23 +72,60 @@ def test_licenses(spark, documents):
 
 
 def test_license_templates_demand_their_mandatory_words():
-    grant = licenses._MIT_GRANT
-    plain = grant.replace("<<opt>>including the next paragraph<<end>>", "")
-    full = grant.replace("<<opt>>", "").replace("<<end>>", "")
+    whole = f"{licenses._MIT_GRANT} {licenses._AS_IS}".replace("<<any:12>>", "the authors or copyright holders")
+    whole = " ".join(whole.split())
+    plain = whole.replace("<<opt>>including the next paragraph<<end>>", "")
+    full = whole.replace("<<opt>>", "").replace("<<end>>", "")
     for text in (plain, full, " * " + plain.upper().replace(" ", "\n// ")):
         assert licenses.scan(text.encode())[5:] == ("mit", 1.0)
-    broken = licenses.scan(plain.replace("sublicense", "resell").encode())
-    assert broken[5] == "" and 0 < broken[6] < 0.5
-    name = licenses._BSD_HEAD.replace("<<opt>>", "").replace("<<end>>", "") + (
-        " neither the name of {} nor the names of its contributors may be used to endorse or promote "
-        "products derived from this software without specific prior written permission")
-    assert licenses.scan(name.format("the foo project").encode())[5] == "bsd-3-clause"
-    assert licenses.scan(name.format("x " * 13).encode())[5] == ""
+    # a word changed or left out, early or late, or the disclaimer missing
+    for broken in (plain.replace("sublicense", "resell"), plain.replace("other dealings", "all dealings"),
+                   plain.replace("tort ", ""), plain.split("the software is provided")[0]):
+        got = licenses.scan(broken.encode())
+        assert got[5] == "" and 0 < got[6] < 0.5
+    name = f"{licenses._BSD_HEAD} {licenses._BSD_NAMES} {licenses._BSD_AS_IS}".replace("<<opt>>", "").replace("<<end>>", "")
+    name = " ".join(name.split()).replace("<<any:12>>", "{}").replace("<<any:3>>", "")
+    assert licenses.scan(name.format(*["the foo project"] * 3).encode())[5] == "bsd-3-clause"
+    assert licenses.scan(name.format("x " * 13, "a", "b").encode())[5] == ""
+    assert licenses.scan(name.format(*["the foo project"] * 3).replace("such damage", "damage").encode())[5] == ""
     nested = licenses.Automaton("a <<opt>>b <<opt>>c<<end>><<end>> <<any:2>> d")
     for text, ok in (("a d", 1), ("a b d", 1), ("a b c d", 1), ("a x y d", 1), ("a x y z d", 0), ("b d", 0)):
         assert nested.run([w.encode() for w in text.split()], 0)[0] == bool(ok)
 
 
+def test_every_template_accepts_its_own_wording():
+    """Each template, with its optional words and without, is accepted under its own label only."""
+    import re
+
+    for label, markup in licenses.TEMPLATES:
+        filled = re.sub(r"<<any:\d+>>", "x", markup)
+        bare = filled
+        while "<<opt>>" in bare:
+            bare = re.sub(r"<<opt>>((?!<<opt>>).)*?<<end>>", "", bare, flags=re.S)
+        for text in (re.sub("<<opt>>|<<end>>", "", filled), bare):
+            labels = set(licenses.scan(text.encode())[5].split(","))
+            base = {"mit", "apache", "gpl"} - {label}
+            assert label in labels and labels - base == {label}, (label, labels)
+
+
+def test_licenses_of_one_family_are_told_apart():
+    gnu = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} "
+           "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+           "or (at your option) any later version.")
+    for word, label in (("", "gpl"), ("Lesser", "lgpl"), ("Affero", "agpl")):
+        assert label in licenses.scan(gnu.format(word).encode())[5].split(",")
+        assert not {"gpl", "lgpl", "agpl"} - {label, "gpl"} & set(licenses.scan(gnu.format(word).encode())[5].split(","))
+
+
+def test_license_tables(spark):
+    docs = spark.createDataFrame([(1, None, "a", 1.0), (None, "x" * 200_000 + " released under the MIT license", "b", 2.0)],
+                                 "doc_id long, text string, labels string, score double")
+    out = licenses.find_licenses(docs)
+    assert out.columns[:4] == docs.columns
+    assert [r[-2] for r in out.orderBy("labels").collect()] == ["", "mit"]
+    assert licenses.find_licenses(docs.limit(0)).count() == 0
+
+
 def test_personal_data(spark, documents):
     got = {r.doc_id: r for r in QUERIES["op9_pii"](spark, SF).collect()}
     marked, p = pii.find_pii(frame(spark, ODD + ["mail me at joe@mail.example.com", "host 10.0.0.1."] * 3))
