@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from support import SF_SMALL, executed_plan, rows
 from weekcast.operators import aggs, ml, seasonality, tiles, windows
+from weekcast.plans import queries
 from weekcast.plans.queries import QUERIES
 from weekcast.sources import sinks
 
@@ -120,6 +121,48 @@ def test_tiled_join_rejects_what_it_cannot_do(spark):
         tiles.tiled_join(left, right.withColumnRenamed("y", "X"), ["k"])
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_tiled_join_counts_equal_right_rows(spark, how):
+    left, right = sides(spark)
+    left = left.union(spark.createDataFrame([("L", i) for i in range(300)], "k string, x int"))
+    right = right.withColumn("y", F.when(F.col("y") % 7 > 0, F.col("y") % 7))  # some NULL, many equal
+    got = tiles.tiled_join(left, right, ["k"], how, least_rows=20, least_pairs=500, times="n")
+    again = got.select("k", "x", "y", F.explode(F.sequence(F.lit(1), "n")).alias("_")).drop("_")
+    assert got.columns == ["k", "x", "y", "n"] and same(again, left.join(right, "k", how))
+    assert got.count() == left.join(right.distinct(), "k", how).count()
+    with pytest.raises(ValueError):
+        tiles.tiled_join(left, right, ["k"], how, times="Y")
+    with pytest.raises(ValueError):
+        tiles.tiled_join(left, right, ["k"], how, right_number="y", times="n")
+
+
+def test_payer_fanout_grows_with_the_rows(spark, monkeypatch):
+    sold = spark.createDataFrame(
+        [("HOT", 20001, "A", str(i), "200001", float(i % 9)) for i in range(200)]
+        + [("one", 20001, "B", "7", "200002", 3.0), ("none", 20002, "B", "8", "200015", 5.0),
+           (None, None, "B", "9", None, 2.0), ("one", 20003, "B", "7", "200027", None)],
+        "payer string, quarter bigint, regionid string, accountid string, yearweek string, qty double")
+    promo = spark.createDataFrame(
+        [("HOT", 20001, i % 5) for i in range(50)] + [("HOT", 20001, None), ("one", 20001, 4), ("one", 20001, None),
+         ("one", 20003, 0), ("other", 20001, 1), (None, None, 2)], "payer string, quarter bigint, percent bigint")
+    made = []
+    join = tiles.tiled_join
+    monkeypatch.setattr(tiles, "tiled_join", lambda *a, **b: made.append(join(*a, **b)) or made[-1])
+    monkeypatch.setattr(queries.ds, "payer_sellout", lambda *_: sold)
+    counts = []
+    for copies in (1, 40):
+        each = promo.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_")
+        monkeypatch.setattr(queries.ds, "payer_promo", lambda *_, each=each: each)
+        plain = sold.join(each, ["payer", "quarter"], "left").groupBy("regionid", "quarter").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count("percent").alias("n_pairs"),
+            F.sum(F.when(F.col("percent").isNull(), F.col("qty"))).alias("qty_unmatched"),
+            F.sum(F.col("qty") * F.col("percent")).alias("qty_percent"))
+        got = QUERIES["payer_fanout"](spark, SF_SMALL)
+        assert got.dtypes == plain.dtypes and same(got, plain)
+        counts.append(made[-1].count())
+    assert counts[0] == counts[1] == 200 * 6 + 2 + 1 + 1 + 1
+
+
 # --------------------------------------------------------------------------- category index
 
 def test_category_index_ties_nulls_and_types(spark):

@@ -6,6 +6,10 @@ the keys of both sides first.  A heavy key's left rows are dealt into ``pl`` par
 right rows into ``pr``; part ``i`` of the left meets part ``j`` of the right in tile
 ``(i, j)``, so every pair of rows meets exactly once and no tile holds more than about a
 stated share of either side or of the result.  Light keys are one tile, (0, 0).
+
+The pairs of a key that is hot on both sides grow with the square of its rows.  Where many of
+its right rows are equal, ``times`` keeps them as one row and its number: each left row still
+meets every different right row, and the number tells how often.
 """
 
 from __future__ import annotations
@@ -102,15 +106,26 @@ def tiles(left: DataFrame, right: DataFrame, keys, share: float = SHARE,
 
 def tiled_join(left: DataFrame, right: DataFrame, keys, how: str = "inner", share: float = SHARE,
                least_rows: int = LEAST_ROWS, least_pairs: int = LEAST_PAIRS,
-               left_number: str | None = None, right_number: str | None = None) -> DataFrame:
+               left_number: str | None = None, right_number: str | None = None,
+               times: str | None = None) -> DataFrame:
     """Equi-join on same-named ``keys`` that splits heavy keys on both sides.
 
     The columns of ``left`` and those of ``right`` that are no keys.  ``how`` is inner or
     left; NULL keys match nothing, and with ``left`` a hot NULL key is spread like any other.
+
+    ``times`` names a column to add: equal rows of ``right`` then meet a left row once, and it
+    holds how many rows of the plain join that row stands for (1 for a left row without a
+    match).  Repeating each row so often gives the plain join.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     keys = list(keys)
+    if times is not None:
+        if right_number is not None:
+            raise ValueError("numbered right rows are all different: give times or right_number")
+        if times.lower() in {c.lower() for c in right.columns}:
+            raise ValueError(f"the right side has a column {times}")
+        right = right.groupBy(*right.columns).agg(F.count(F.lit(1)).alias(times))
     extra = [c for c in right.columns if c not in keys]
     if clash := {c.lower() for c in extra} & {c.lower() for c in left.columns}:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
@@ -124,4 +139,5 @@ def tiled_join(left: DataFrame, right: DataFrame, keys, how: str = "inner", shar
     joined = a.join(b, cond, how)
     if how == "left":  # a left row stands in pr tiles: an empty one of them is no missing match
         joined = joined.filter(F.col(f"{_P}ri").isNotNull() | ~F.col(f"{_P}met"))
-    return joined.select(*[a[c] for c in left.columns], *[b[c] for c in extra])
+    return joined.select(*[a[c] for c in left.columns],
+                         *[b[c] if c != times else F.coalesce(b[c], F.lit(1)).alias(c) for c in extra])

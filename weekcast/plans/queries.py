@@ -329,15 +329,18 @@ def promo_fanout(spark, sf_dir):
 def payer_fanout(spark, sf_dir):
     """Every promotion of a payer's quarter on every sell-out row of it (J7, C14 kept whole).
 
-    One payer holds a segment's accounts, hot on both sides: its rows meet in tiles.  Reported
-    by region and quarter.
+    One payer holds a segment's accounts, hot on both sides: its rows meet in tiles.  A sell-out
+    row meets every different promotion of its quarter; equal ones count by their number, as
+    the pairs of rows grow with the square of the segment.  Reported by region and quarter.
     """
-    j = tiles.tiled_join(ds.payer_sellout(spark, sf_dir), ds.payer_promo(spark, sf_dir),
-                         ["payer", "quarter"], how="left")
+    sold = ds.payer_sellout(spark, sf_dir).select("payer", "quarter", "regionid", "qty")  # it is stored
+    j = tiles.tiled_join(sold, ds.payer_promo(spark, sf_dir), ["payer", "quarter"], how="left", times="times")
+    percent, qty = F.col("percent"), F.col("qty") * F.col("times")
     return j.groupBy("regionid", "quarter").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("percent").alias("n_pairs"),
-        F.sum(F.when(F.col("percent").isNull(), F.col("qty"))).alias("qty_unmatched"),
-        F.sum(F.col("qty") * F.col("percent")).alias("qty_percent"))
+        F.sum("times").alias("n_rows"),
+        F.sum(F.when(percent.isNull(), 0).otherwise(F.col("times"))).alias("n_pairs"),
+        F.sum(F.when(percent.isNull(), qty)).alias("qty_unmatched"),
+        F.sum(qty * percent).alias("qty_percent"))
 
 
 @register
